@@ -1 +1,13 @@
+"""SQL that the corpus queries have to equal, where SQL can say it."""
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op7_warc"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as payload_digest from p),
+b as (select payload_digest, max(page_id) as best from d where payload_bytes >= 1000 group by 1)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, d.payload_digest,
+       case when best is not null and page_id <> best then 'revisit' else 'response' end as record_type,
+       case when best is not null and page_id <> best then best end as refers_to
+from d left join b using (payload_digest)
+"""
