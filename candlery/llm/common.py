@@ -139,3 +139,65 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
 
 def sha256_hex(column: str):
     return F.sha2(F.col(column), 256)
+
+
+#: Many small values on their way to buckets by hash: for each owner in turn `counts` of the values.
+PACKED = "bucket int, owners binary, counts binary, hashes binary, extra binary"
+_PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("owners", "counts", "hashes", "extra"))])
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(owner: np.ndarray, hashes: np.ndarray, bucket: np.ndarray, extra: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each bucket. owner: 64-bit, with equal ones side by side within a bucket."""
+    order = np.argsort(bucket, kind="stable")
+    owner, hashes, bucket = owner[order], hashes[order], bucket[order]
+    extra = extra[order] if extra is not None else None
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])
+    runs = np.flatnonzero(new)
+    counts = np.diff(np.append(runs, len(owner))).astype(np.uint32)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    rows = []
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
+        i, j = np.searchsorted(runs, (a, b))
+        rows.append((int(bucket[a]), owner[runs[i:j]].tobytes(), counts[i:j].tobytes(), hashes[a:b].tobytes(), b"" if extra is None else extra[a:b].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PACKED)], schema=_PACKED)
+
+
+def unpacked(batches, owner_type=np.uint64, extra_type=None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """All values of a bucket: owner, hash and extra of each."""
+    owners, hashes, extras = [np.zeros(0, owner_type)], [np.zeros(0, np.uint64)], []
+    for batch in batches:
+        for own, counts, values, extra in zip(*(batch.column(c).to_pylist() for c in ("owners", "counts", "hashes", "extra"))):
+            owners.append(np.repeat(np.frombuffer(own, owner_type), np.frombuffer(counts, np.uint32)))
+            hashes.append(np.frombuffer(values, np.uint64))
+            if extra_type is not None:
+                extras.append(np.frombuffer(extra, extra_type))
+    return np.concatenate(owners), np.concatenate(hashes), np.concatenate(extras) if extras else (np.zeros(0, extra_type) if extra_type is not None else None)
+
+
+def to_buckets(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Deals PACKED rows out by bucket, one a task, and runs over each bucket's batches."""
+    return rows.repartitionById(partitions(rows.sparkSession), "bucket").mapInArrow(run, schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id and component (the least id it is linked to, in any number of steps) of all ids in edges (a, b).
+
+    Least labels spread along edges, and each round labels also jump to their label's label, so the number of rounds
+    grows with the logarithm of the longest path. Each round is a stored table.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    while True:
+        spread = both.join(labels, both["b"] == labels["id"]).groupBy(both["a"].alias("id")).agg(F.min("component").alias("near"))
+        near = spread.join(labels, "id").select("id", F.least("near", "component").alias("near"), F.col("component").alias("old"))
+        up = labels.select(F.col("id").alias("near"), F.col("component").alias("top"))
+        new = stored(near.join(up, "near", "left").select("id", F.least("near", F.coalesce("top", "near")).alias("component"), "old"))
+        changed = new.where("component <> old").limit(1).count()
+        labels = new.select("id", "component")
+        if not changed:
+            return labels
