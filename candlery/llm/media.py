@@ -23,6 +23,7 @@ ROW = 192
 HEADER_BYTES = 33  # PNG's signature and its IHDR chunk
 SHARD_BYTES = 64 << 20
 READ_BYTES = 4 << 20
+BROADCAST_IDS = 1_000_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -84,40 +85,36 @@ def feature_of(payload: bytes) -> str:
     return f"{len(x) // ROW}:{int(x.sum(dtype=np.int64))}:{x.min()}:{x.max()}:{int(np.abs(np.diff(x.astype(np.int16))).sum(dtype=np.int64))}:" + ",".join(map(str, bins))
 
 
-def encode(docs: DataFrame, text: str = "text") -> DataFrame:
-    """digest and media of each task's distinct texts."""
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """digest and text of each text's row with the least doc_id, without moving texts while copies are few.
 
-    def run(batches):
-        seen = set()
-        for batch in slices(batches):
-            digests, media = [], []
-            for value in batch.column(0).to_pylist():
-                payload = pad((value or "").encode())
-                digest = hashlib.sha256(payload).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    digests.append(digest.hex())
-                    media.append(to_png(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "digest string, media binary")
+    The other rows' ids are broadcast up to BROADCAST_IDS of them; beyond that the rows are joined by a shuffle. Rows
+    that repeat a doc_id, or have none, may come through more than once; store() keeps one place for each digest.
+    """
+    rows = docs.select("doc_id", "text", F.sha2(payload_of(F.col("text")), 256).alias("digest"))
+    owner = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(rows.select("doc_id", "digest").join(owner, "digest").where("doc_id > owner").select("doc_id"))
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("digest", "text")
 
 
-def store(media: DataFrame, folder: str) -> DataFrame:
-    """Writes each digest's media once, into tar shards in folder; returns digest, shard, offset and length, stored.
+def store(texts: DataFrame, folder: str) -> DataFrame:
+    """Writes the media of (digest, text) rows into tar shards in folder; returns digest, shard, offset, length, stored.
 
-    Shards get fresh names and only a successful task's enter the manifest, so retries do no harm.
+    Each task writes shards of its own under fresh names, and only a successful task's enter the manifest, so retries
+    do no harm.
     """
     make_folder(folder)
 
     def run(batches):
-        out, shard, at, last = None, None, 0, None
-        for batch in batches:
+        out, shard, at, seen = None, None, 0, set()
+        for batch in slices(batches):
             rows = []
-            for digest, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if digest == last:
+            for digest, text in zip(*(batch.column(c).to_pylist() for c in ("digest", "text"))):
+                if digest in seen:
                     continue
-                last = digest
+                seen.add(digest)
+                data = to_png(pad((text or "").encode()))
                 if out is None:
                     shard, at = f"{folder}/{uuid.uuid4().hex}.tar", 0
                     system, local = opened(shard)
@@ -137,8 +134,8 @@ def store(media: DataFrame, folder: str) -> DataFrame:
             out.write(b"\0" * 1024)
             out.close()
 
-    by_digest = media.repartition(partitions(media.sparkSession), "digest").sortWithinPartitions("digest")
-    return stored(by_digest.mapInArrow(run, "digest string, shard string, offset long, length long"))
+    places = stored(texts.mapInArrow(run, "digest string, shard string, offset long, length long"))
+    return places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
 def _reading(manifest: DataFrame, read, schema: str) -> DataFrame:
@@ -187,6 +184,6 @@ def features(manifest: DataFrame) -> DataFrame:
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts are 192 spaces; equal texts share one member; repeated rows stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    manifest = store(encode(docs), scratch(spark))
+    manifest = store(one_of_each(docs), scratch(spark))
     rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(payload_of(F.col("text")), 256).alias("digest"))
     return rows.join(features(manifest), "digest").drop("digest")
