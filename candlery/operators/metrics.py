@@ -1,12 +1,173 @@
-"""What a list of trades or an equity curve amounts to."""
+"""What a list of trades or an equity curve amounts to.
+
+Totals are plain aggregates with a partial step before the shuffle. Anything in exit order is a window over one
+strategy's trades; nothing is gathered on the driver.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+COMMISSION = 0.0006  # of the traded value, on each leg
+INFINITY = float("inf")
+PNL = F.col("pnl")
+
+
+def profit_factor(gain: Column, loss: Column) -> Column:
+    """Gain over loss; infinite without losses, 0 without both."""
+    return F.when(loss > 0, gain / F.nullif(loss, F.lit(0.0))).when(gain > 0, F.lit(INFINITY)).otherwise(F.lit(0.0))
+
+
+def totals() -> list[Column]:
+    return [
+        F.count("*").alias("trades"), F.count_if(PNL > 0).alias("wins"), F.coalesce(F.sum(F.when(PNL > 0, PNL)), F.lit(0.0)).alias("gross_profit"),
+        F.coalesce(F.sum(F.when(PNL <= 0, F.abs(PNL))), F.lit(0.0)).alias("gross_loss"),
+    ]
+
+
+def trade_totals(trades: DataFrame, *key: str) -> DataFrame:
+    return trades.groupBy(*key).agg(*totals())
+
+
+def with_ratios(t: DataFrame) -> DataFrame:
+    """Adds win_rate (percent), pf and net to totals."""
+    return t.withColumns({"win_rate": F.col("wins") / F.nullif(F.col("trades"), F.lit(0)) * 100, "pf": profit_factor(F.col("gross_profit"), F.col("gross_loss")), "net": F.col("gross_profit") - F.col("gross_loss")})
+
+
+def by_regime(trades: DataFrame, *key: str) -> DataFrame:
+    """Totals by the regime at entry; an unknown one is _unknown."""
+    return with_ratios(trades.groupBy(*key, F.coalesce("regime", F.lit("_unknown")).alias("regime")).agg(*totals()))
+
+
+def sharpe(initial: float) -> Column:
+    """Mean over sample deviation of returns on the initial capital, times the root of their number; 0 if undefined."""
+    r = PNL / initial
+    return F.coalesce(F.when((F.count(r) > 1) & (F.stddev_samp(r) > 0), F.avg(r) / F.nullif(F.stddev_samp(r), F.lit(0.0)) * F.sqrt(F.count(r))), F.lit(0.0))
+
+
+def drawdown(curve: DataFrame, key: str, order: list[str], equity: str = "equity") -> DataFrame:
+    """Largest fall from the running peak, in money and as a share."""
+    peak = F.max(equity).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    x = curve.select(key, F.col(equity).alias("e"), peak.alias("p"))
+    return x.groupBy(key).agg(F.max(F.col("p") - F.col("e")).alias("max_dd"), F.max((F.col("p") - F.col("e")) / F.nullif(F.col("p"), F.lit(0.0))).alias("max_dd_pct"))
+
+
+def equity_curve(trades: DataFrame, key: str, order: list[str], initial: float) -> DataFrame:
+    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return trades.withColumn("equity", F.lit(initial) + F.sum("pnl").over(w))
+
+
+def cagr(total_return: Column, years: Column) -> Column:
+    """Yearly rate of a total return (0.5: half more); the return itself where there is no yearly rate."""
+    return F.when((years > 0) & (total_return > -1), F.pow(1 + total_return, 1 / F.nullif(years, F.lit(0.0))) - 1).otherwise(total_return)
+
+
+def pooled(rows: DataFrame, *key: str) -> DataFrame:
+    """Breakdown rows (trades, wins, pf, gross_profit, gross_loss) pooled: sums first, then the ratio.
+
+    Where a row lacks its gross sums the profit factors are averaged by trades.
+    """
+    t = rows.groupBy(*key).agg(
+        F.sum("trades").alias("trades"), F.sum("wins").alias("wins"), F.sum("gross_profit").alias("gp"), F.sum("gross_loss").alias("gl"),
+        F.count_if(F.col("gross_profit").isNull() | F.col("gross_loss").isNull()).alias("lacking"), F.sum(F.col("trades") * F.col("pf")).alias("weighted"))
+    pf = F.when(F.col("lacking") > 0, F.col("weighted") / F.nullif(F.col("trades"), F.lit(0))).otherwise(profit_factor(F.col("gp"), F.col("gl")))
+    return t.select(*key, "trades", "wins", pf.alias("pf"))
+
+
+def worst_regime(breakdown: DataFrame, *key: str, least: int = 5) -> DataFrame:
+    """Least finite profit factor of regimes with enough trades."""
+    ok = (F.col("trades") >= least) & F.col("pf").isNotNull() & ~F.isnan("pf") & (F.abs("pf") < INFINITY)
+    return breakdown.where(ok).groupBy(*key).agg(F.min("pf").alias("worst_pf"))
+
+
+def walk_forward_means(windows: DataFrame, *key: str) -> DataFrame:
+    """Means over windows with trades and a positive in-sample factor, and their ratio (efficiency)."""
+    valid = (F.col("is_trades") > 0) & (F.col("is_pf") > 0)
+    t = windows.groupBy(*key).agg(F.avg(F.when(valid, F.col("is_pf"))).alias("mean_is"), F.avg(F.when(valid, F.col("oos_pf"))).alias("mean_oos"), F.count_if(valid).alias("valid"))
+    return t.withColumn("wfe", F.col("mean_oos") / F.nullif(F.col("mean_is"), F.lit(0.0)))
+
+
+def monthly(curve: DataFrame, key: str, ts: str, order: list[str], initial: float) -> DataFrame:
+    """Last equity of each month, the month before's as its start, and percent change."""
+    at = F.timestamp_millis(F.col(ts))
+    m = curve.groupBy(key, F.year(at).alias("year"), F.month(at).alias("month")).agg(F.max_by("equity", F.struct(*order)).alias("end"))
+    start = F.lag("end", 1).over(W.partitionBy(key).orderBy("year", "month"))
+    m = m.withColumn("start", F.coalesce(start, F.lit(initial)))
+    return m.withColumn("pct", (F.col("end") - F.col("start")) / F.nullif(F.col("start"), F.lit(0.0)) * 100)
+
+
+def yearly(months: DataFrame, key: str) -> DataFrame:
+    y = months.groupBy(key, "year").agg(F.min_by("start", "month").alias("start"), F.max_by("end", "month").alias("end"))
+    return y.withColumn("pct", (F.col("end") - F.col("start")) / F.nullif(F.col("start"), F.lit(0.0)) * 100)
+
+
+def month_grid(months: DataFrame, key: str) -> DataFrame:
+    return months.groupBy(key, "year").pivot("month", list(range(1, 13))).agg(F.first("pct")).withColumnsRenamed({str(m): f"m{m:02d}" for m in range(1, 13)})
+
 
 def buy_and_hold(bars: DataFrame) -> DataFrame:
     """Percent from the first open to the last close of each year (UTC)."""
     year = F.year(F.timestamp_millis(F.col("bar_ts")))
     out = bars.groupBy(year.alias("year")).agg(F.min_by("open", F.col("bar_ts")).alias("o"), F.max_by("close", F.col("bar_ts")).alias("c"))
     return out.select("year", ((F.col("c") - F.col("o")) / F.nullif(F.col("o"), F.lit(0.0)) * 100).alias("hold_pct"))
+
+
+def signal_counts(trades: DataFrame, signal: str, alias: dict[str, str]) -> DataFrame:
+    """Trades by exit signal, with some signals counted under another's name."""
+    name = F.coalesce(*(F.when(F.col(signal) == k, F.lit(v)) for k, v in alias.items()), F.col(signal))
+    return trades.groupBy(name.alias("signal")).count().withColumnRenamed("count", "n")
+
+
+def distribution(df: DataFrame, key: str, x: str) -> DataFrame:
+    """Mean, least, most, and values at floor(n * p) of the sorted ones; ranks by a window, so no list is built."""
+    w = W.partitionBy(key)
+    r = df.select(key, x).withColumns({"_i": F.row_number().over(w.orderBy(x)) - 1, "_n": F.count("*").over(w)})
+    at = lambda p: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * p), F.col(x)))
+    return r.groupBy(key).agg(F.avg(x).alias("mean"), at(0.5).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90"), F.min(x).alias("least"), F.max(x).alias("most"))
+
+
+def diversity(genes: DataFrame, key: str) -> DataFrame:
+    """Mean over parameters of the deviation as a share of the parameter's range; genes: key, param, value, low, high."""
+    p = genes.groupBy(key, "param").agg((F.stddev_pop("value") / F.nullif(F.max("high") - F.min("low"), F.lit(0.0))).alias("spread"))
+    return p.groupBy(key).agg(F.avg("spread").alias("diversity"))
+
+
+def streaks(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """After each trade the kind (W, L) and length of the current streak; trades at 0 change nothing."""
+    w = W.partitionBy(key).orderBy(*order)
+    sign = F.signum("pnl")
+    x = trades.withColumn("_s", F.when(sign != 0, sign))
+    x = x.withColumn("_last", F.last("_s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    x = x.withColumn("_new", (F.col("_s").isNotNull() & (F.col("_last").isNull() | (F.col("_s") != F.col("_last")))).cast("int"))
+    x = x.withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy(key, "_g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    length = F.count("_s").over(run)
+    kind = F.last("_s", ignorenulls=True).over(run)
+    return x.withColumns({"streak": length, "kind": F.when(kind > 0, "W").when(kind < 0, "L")}).drop("_s", "_last", "_new", "_g")
+
+
+def running_stats(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """What was known before each trade: number, win rate, mean win and loss, largest win and loss, last pnl."""
+    w = W.partitionBy(key).orderBy(*order)
+    b = w.rowsBetween(W.unboundedPreceding, -1)
+    n = F.count("*").over(b)
+    return trades.withColumns({
+        "n_before": n, "win_rate": F.coalesce(F.count_if(PNL > 0).over(b) / F.nullif(n, F.lit(0)), F.lit(0.0)),
+        "avg_win": F.coalesce(F.avg(F.when(PNL > 0, PNL)).over(b), F.lit(0.0)), "avg_loss": F.coalesce(F.avg(F.when(PNL < 0, -PNL)).over(b), F.lit(0.0)),
+        "biggest_win": F.coalesce(F.max(F.when(PNL > 0, PNL)).over(b), F.lit(0.0)), "biggest_loss": F.coalesce(F.max(F.when(PNL < 0, -PNL)).over(b), F.lit(0.0)), "last_pnl": F.lag("pnl").over(w),
+    })
+
+
+def sub_pnl(units: Column, entry: Column, exit_: Column, long: Column) -> Column:
+    """Profit of a slice after commission on both legs."""
+    move = F.when(long, exit_ - entry).otherwise(entry - exit_)
+    return units * move - units * (entry + exit_) * COMMISSION
+
+
+def leverage_cap(units: Column, equity: Column, leverage: Column, price: Column) -> Column:
+    return F.least(units, equity * leverage / F.nullif(price, F.lit(0.0)))
+
+
+def risk_share(risk: Column, units: Column, position: list[str]) -> Column:
+    """A slice's part of its position's risk, by units."""
+    return risk * units / F.nullif(F.sum(units).over(W.partitionBy(*position)), F.lit(0.0))

@@ -1,0 +1,47 @@
+"""The position simulation: signals and indicators are columns; only the order of events is a fold over a symbol's bars.
+
+Rows are (symbol, gene_id) series with the columns of COLUMNS. A group is one series of bars, bounded by its time span;
+genes and symbols fan out over tasks.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import exits
+
+COLUMNS = ["bar_ts", "open", "high", "low", "close", "direction", "atr", "regime", "exit_long", "exit_short"]
+TRADE = "symbol string, gene_id long, position long, direction string, entry_ts long, exit_ts long, signal string, entry_price double, exit_price double, units double, pnl double, equity double, regime string"
+SETTINGS = {"initial": 100_000.0, "slippage": 0.02, "commission": 0.0006, "leverage": 1.0, "start": 0, "stop_mult": 2.0, "emergency_pct": 25.0, "targets": ((1.5, 50.0), (3.0, 50.0)), "max_bars": 40, "sizing": ("pctOfEquity", {"pct": 10.0})}
+
+
+def signals(bars: DataFrame, direction: Column, atr: str, regime: Column | None = None, exit_long: Column | None = None, exit_short: Column | None = None) -> DataFrame:
+    """The columns that the simulation reads, from planned bars."""
+    no = F.lit(False)
+    return bars.select("symbol", "bar_ts", "open", "high", "low", "close", direction.cast("int").alias("direction"), F.col(atr).alias("atr"), (regime if regime is not None else F.lit(None).cast("string")).alias("regime"),
+                       F.coalesce(exit_long, no).alias("exit_long") if exit_long is not None else no.alias("exit_long"), F.coalesce(exit_short, no).alias("exit_short") if exit_short is not None else no.alias("exit_short"))
+
+
+def simulate(series: DataFrame, settings: dict | None = None, by_gene: dict[int, dict] | None = None) -> DataFrame:
+    """Trades (one row for each closed slice) of each (symbol, gene_id) series; by_gene: settings of single genes."""
+    base, own = SETTINGS | (settings or {}), by_gene or {}
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("bar_ts")
+        gene = int(key[1])
+        trades = exits.Account(group, base | own.get(gene, {})).run()
+        return pd.DataFrame([(key[0], gene, *t) for t in trades], columns=[c.split()[0] for c in TRADE.split(", ")])
+
+    return series.groupBy("symbol", "gene_id").applyInPandas(run, TRADE)
+
+
+def bar_equity(series: DataFrame, trades: DataFrame, initial: float) -> DataFrame:
+    """Realised equity at each bar: the last trade closed by then."""
+    closed = trades.groupBy("symbol", "gene_id", F.col("exit_ts").alias("bar_ts")).agg(F.sum("pnl").alias("pnl"))
+    rows = series.select("symbol", "gene_id", "bar_ts").join(closed, ["symbol", "gene_id", "bar_ts"], "left")
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("symbol", "gene_id").orderBy("bar_ts").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("equity", F.lit(initial) + F.coalesce(F.sum("pnl").over(w), F.lit(0.0)))

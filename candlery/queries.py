@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def _load() -> tuple[dict, dict[str, str]]:
     from . import catalog
-    from .catalog import bars, indicators  # noqa: F401
+    from .catalog import bars, indicators, metrics, scalars, search  # noqa: F401
 
     return catalog.QUERIES, catalog.ORACLES
 
