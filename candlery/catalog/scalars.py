@@ -124,7 +124,7 @@ def _(spark, d):
 @query("fn_20_qualified_id", "select p_partkey, 'entry.' || p_brand || '.a.b' as id, p_brand as instance, 'a.b' as local from part")
 def _(spark, d):
     q = F.concat_ws(".", F.lit("entry"), F.col("p_brand"), F.lit("a.b"))
-    parts = F.split(q, r"\\.", 3)
+    parts = F.split(q, r"\.", 3)
     return table(spark, d, "part").select("p_partkey", q.alias("id"), parts[1].alias("instance"), parts[2].alias("local"))
 
 

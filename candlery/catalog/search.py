@@ -93,7 +93,7 @@ def _(spark, d):
 
 @query("ga_06_sweep", "select * from (values (0, null, null), (1, 'emaFast', 18.0), (2, 'emaSlow', 60.0), (3, 'period', 26.0)) t(planet, id, value)")
 def _(spark, d):
-    rows = [(k, *(next(iter(f.items())) if f else (None, None))) for k, f in enumerate(P.sweep(S.SPACE, 4))]
+    rows = [(k, *next(((i, float(v)) for i, v in f.items()), (None, None))) for k, f in enumerate(P.sweep(S.SPACE, 4))]
     return spark.createDataFrame(rows, "planet int, id string, value double")
 
 
