@@ -47,6 +47,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some MB, so that a task's memory does not depend on how long 10,000 texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -137,10 +143,6 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     return starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
-def sha256_hex(column: str):
-    return F.sha2(F.col(column), 256)
-
-
 #: Many small values on their way to buckets by hash: for each owner in turn `counts` of the values.
 PACKED = "bucket int, owners binary, counts binary, hashes binary, extra binary"
 _PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("owners", "counts", "hashes", "extra"))])

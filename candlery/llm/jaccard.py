@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import PACKED, bucket_of, components, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words
+from .common import PACKED, bucket_of, components, mix, packed, partitions, slices, small_batches, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -224,6 +224,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
+    small_batches(spark)
     rows = stored(documents_keys(docs.where("doc_id is not null")))
     classes = rows.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     shared = to_buckets(_prefixes(docs, buckets), _shared, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))

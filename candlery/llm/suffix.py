@@ -2,7 +2,8 @@
 
 Windows are dealt out by winnowed anchor (see winnow). Within a bucket the differing segments of an anchor form small
 collections, and their suffixes are sorted column by column: each round puts one more symbol of every segment in front
-of its last suffix, and updates the collection's Burrows-Wheeler transform and common prefixes. The transform's files
+of its last suffix, and updates the collection's Burrows-Wheeler transform and common prefixes. Windows whose hash is
+the only one of its kind are left out before, and equal parts go in once. The transform's files
 are arrays here, since a collection has about a megabyte; each round reads and writes them once, in order.
 """
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import mix, slices, table, text_buffer
+from .common import mix, slices, table, text_buffer, window_hashes
 from .winnow import covered, repeated_runs, with_runs
 
 WIDTH, ANCHOR = 100, 24
@@ -70,21 +71,56 @@ def collection_order(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np
 
 def compare(doc, anchor, start, count, off, data, width) -> np.ndarray:
     """For each window of the segments whether an equal one starts earlier."""
+    first, out = np.cumsum(count) - count, np.zeros(int(count.sum()), bool)
     size = count + (width - 1)
-    owner, length, common = collection_order(data, size)
+    begin = np.cumsum(size) - size
+    seg, place, length, run = _repeated_parts(data, begin, doc, start, count, width)
+    if not len(seg):
+        return out
+    # Of equal parts all but the earliest are repeats from end to end; those left are sorted.
+    order = np.lexsort((start[seg] + place, doc[seg], run))
+    lead = np.zeros(len(seg), bool)
+    lead[order[np.concatenate([[True], run[order][1:] != run[order][:-1]])]] = True
+    rest = np.flatnonzero(~lead)
+    out[_ranges(first[seg[rest]] + place[rest], length[rest])] = True
+    seg, place, length = seg[lead], place[lead], length[lead]
+    size = length + (width - 1)
+    owner, tail, common = collection_order(data[_ranges(begin[seg] + place, size)], size)
     group = np.cumsum(common < width)
-    use = length >= width
-    owner, group, place = owner[use], group[use], size[owner[use]] - length[use]
-    order = np.lexsort((start[owner] + place, doc[owner], group))
-    owner, group, place = owner[order], group[order], place[order]
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    back = np.repeat(begin, np.diff(np.append(begin, len(group))))
-    early = (doc[owner] == doc[owner[back]]) & (start[owner] + place == start[owner[back]] + place[back])
-    out = np.zeros(int(count.sum()), bool)
-    out[(np.cumsum(count) - count)[owner] + place] = ~early
+    use = tail >= width
+    owner, group = owner[use], group[use]
+    at = place[owner] + size[owner] - tail[use]
+    doc, start = doc[seg[owner]], start[seg[owner]] + at
+    order = np.lexsort((start, doc, group))
+    group, doc, start = group[order], doc[order], start[order]
+    lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    back = np.repeat(lead, np.diff(np.append(lead, len(group))))
+    early = (doc == doc[back]) & (start == start[back])
+    out[(first[seg[owner]] + at)[order]] = ~early
     return out
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of `size` places each, one range after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _repeated_parts(data, begin, doc, start, count, width) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a segment's windows whose hash another window of the collection has too: segment, place, length, hash."""
+    hashes = mix(window_hashes(_TABLE[data], width))[_ranges(begin, count)]
+    _, which, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    again = often[which] > 1
+    seg = np.repeat(np.arange(len(count)), count)
+    new = again.copy()
+    new[1:] &= ~again[:-1] | (seg[1:] != seg[:-1])
+    at = np.flatnonzero(new)
+    if not len(at):
+        return at, at, at, np.zeros(0, np.uint64)
+    length = np.add.reduceat(again.astype(np.int64), at)
+    run = mix(hashes[at] ^ mix(hashes[at + length - 1] + length.astype(np.uint64)))
+    return seg[at], at - (np.cumsum(count) - count)[seg[at]], length, run
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start and count of the runs of 100-byte windows that start earlier too."""
     return repeated_runs(docs, symbols_of, compare, WIDTH, ANCHOR, True, np.uint8)

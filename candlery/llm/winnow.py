@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import PACKED, bucket_of, mix, packed, partitions, slices, stored, to_buckets, unpacked, window_hashes
+from .common import PACKED, bucket_of, mix, packed, partitions, slices, small_batches, stored, to_buckets, unpacked, window_hashes
 
 #: seg: hash of the segment; start: its first symbol in the document; count: its windows; off: its anchor's place.
 SEGMENT = np.dtype([("seg", "<u8"), ("start", "<u4"), ("count", "<u2"), ("off", "u1"), ("settled", "u1")])
@@ -94,10 +94,12 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
     same_doc: whether a window repeats if it starts earlier in its own document; else in a lesser doc_id only.
     """
     buckets = partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    limit = (2 if symbol is np.uint8 else 8) << 20  # a symbol a byte takes more memory than one a word
     docs = docs.where("doc_id is not null").select("doc_id", "text")
 
     def cut(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=limit):
             _, symbols, first = symbols_of(batch.column("text"))
             text, anchors, seg = segments(symbols, first, width, anchor)
             doc = batch.column("doc_id").to_numpy()[text]
@@ -129,7 +131,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
     schema = "bucket int, docs binary, anchors binary, segs binary, data binary"
 
     def send(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=limit):
             data, symbols, first = symbols_of(batch.column("text"))
             source = data if symbol is np.uint8 else symbols
             asked = batch.column("asked").combine_chunks() if isinstance(batch.column("asked"), pa.ChunkedArray) else batch.column("asked")
