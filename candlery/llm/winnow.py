@@ -106,7 +106,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
             order, early, _ = _settle(doc, anchors, seg, same_doc)
             doc, anchors, seg = doc[order], anchors[order], seg[order]
             seg["settled"] = ~early
-            bucket = np.where(early, bucket_of(anchors, buckets), bucket_of(mix(doc.view(np.uint64)), buckets))
+            bucket = np.where(early, bucket_of(mix(anchors), buckets), bucket_of(mix(doc.view(np.uint64)), buckets))
             order = np.lexsort((seg["start"], doc, bucket))
             yield packed(doc[order], anchors[order], bucket[order], seg[order])
 
@@ -142,7 +142,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
             seg = np.zeros(len(text), SEGMENT)
             seg["start"], seg["count"], seg["off"] = start, count, off
             begin, size = first[text] + start, count + (width - 1)
-            bucket = bucket_of(anchors, buckets)
+            bucket = bucket_of(mix(anchors), buckets)
             order = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
             rows = []
