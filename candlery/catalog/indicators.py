@@ -34,34 +34,34 @@ def simple(name, sql, build, base=None):
         return bars.select("symbol", "bar_ts", F.round(build(), 6).alias("v"))
 
 
-simple("ind_01_sma", SMA(20), lambda: I.sma(C, 20))
-simple("ind_07_stdev", SD(20), lambda: I.stdev(C, 20))
-simple("ind_11_highest", f"case when count(*) {frame(20)} = 20 then max(high) {frame(20)} end", lambda: I.highest(H, 20))
-simple("ind_12_lowest", f"case when count(*) {frame(20)} = 20 then min(low) {frame(20)} end", lambda: I.lowest(L, 20))
-simple("ind_14_vwap", f"case when count(volume) {frame(20)} = 20 and sum(volume) {frame(20)} > 0 then sum((high+low+close)/3*volume) {frame(20)} / nullif(sum(volume) {frame(20)}, 0) end", lambda: I.vwap(H, L, C, V, 20))
-simple("ind_19_lag", f"close - lag(close, 3) over ({P})", lambda: C - F.lag(C, 3).over(I.series()))
-simple("ind_23_running_peak", f"max(close) over ({P}) - close", lambda: F.max(C).over(I.series().rowsBetween(W.unboundedPreceding, 0)) - C)
-simple("ind_05_true_range", f"case when lag(close) over ({P}) is null then high - low else greatest(high - low, abs(high - lag(close) over ({P})), abs(low - lag(close) over ({P}))) end", lambda: I.true_range(H, L, C))
+simple("ind_01_sma", SMA(20), lambda: I.sma(C(), 20))
+simple("ind_07_stdev", SD(20), lambda: I.stdev(C(), 20))
+simple("ind_11_highest", f"case when count(*) {frame(20)} = 20 then max(high) {frame(20)} end", lambda: I.highest(H(), 20))
+simple("ind_12_lowest", f"case when count(*) {frame(20)} = 20 then min(low) {frame(20)} end", lambda: I.lowest(L(), 20))
+simple("ind_14_vwap", f"case when count(volume) {frame(20)} = 20 and sum(volume) {frame(20)} > 0 then sum((high+low+close)/3*volume) {frame(20)} / nullif(sum(volume) {frame(20)}, 0) end", lambda: I.vwap(H(), L(), C(), V(), 20))
+simple("ind_19_lag", f"close - lag(close, 3) over ({P})", lambda: C() - F.lag(C(), 3).over(I.series()))
+simple("ind_23_running_peak", f"max(close) over ({P}) - close", lambda: F.max(C()).over(I.series().rowsBetween(W.unboundedPreceding, 0)) - C())
+simple("ind_05_true_range", f"case when lag(close) over ({P}) is null then high - low else greatest(high - low, abs(high - lag(close) over ({P})), abs(low - lag(close) over ({P}))) end", lambda: I.true_range(H(), L(), C()))
 STOCH = f"""case when count(*) {frame(14)} = 14 then case when max(high) {frame(14)} = min(low) {frame(14)} then 50.0 else (close - min(low) {frame(14)})/(max(high) {frame(14)} - min(low) {frame(14)})*100 end end"""
-simple("ind_04_stoch", STOCH, lambda: I.stoch(C, H, L, 14))
-simple("ind_08_percentrank", f"case when count(close) over ({P} rows between 20 preceding and 1 preceding) = 20 then len(list_filter(array_agg(close) over ({P} rows between 20 preceding and 1 preceding), lambda x: x < close))/20.0*100 end", lambda: I.percent_rank(C, 20))
+simple("ind_04_stoch", STOCH, lambda: I.stoch(C(), H(), L(), 14))
+simple("ind_08_percentrank", f"case when count(close) over ({P} rows between 20 preceding and 1 preceding) = 20 then len(list_filter(array_agg(close) over ({P} rows between 20 preceding and 1 preceding), lambda x: x < close))/20.0*100 end", lambda: I.percent_rank(C(), 20))
 
 
 @query("ind_09_crossover", f"with {HOURLY}, m as (select *, {SMA(5)} as a, {SMA(20)} as b from hourly) select symbol, bar_ts, coalesce(a > b and lag(a) over ({P}) <= lag(b) over ({P}), false) as up from m")
 def _(spark, d):
-    m = hourly(spark, d).withColumns({"a": I.sma(C, 5), "b": I.sma(C, 20)})
+    m = hourly(spark, d).withColumns({"a": I.sma(C(), 5), "b": I.sma(C(), 20)})
     return m.select("symbol", "bar_ts", I.cross_over(F.col("a"), F.col("b")).alias("up"))
 
 
 @query("ind_10_crossunder", f"with {HOURLY}, m as (select *, {SMA(5)} as a, {SMA(20)} as b from hourly) select symbol, bar_ts, coalesce(a < b and lag(a) over ({P}) >= lag(b) over ({P}), false) as down from m")
 def _(spark, d):
-    m = hourly(spark, d).withColumns({"a": I.sma(C, 5), "b": I.sma(C, 20)})
+    m = hourly(spark, d).withColumns({"a": I.sma(C(), 5), "b": I.sma(C(), 20)})
     return m.select("symbol", "bar_ts", I.cross_under(F.col("a"), F.col("b")).alias("down"))
 
 
 @query("ind_15_bollinger", f"with {HOURLY}, m as (select *, {SMA(20)} as b, {SD(20)} as sd from hourly) select symbol, bar_ts, round(b, 6) as basis, round(b + 2*sd, 6) as upper, round(b - 2*sd, 6) as lower, round(4*sd/nullif(b, 0)*100, 6) as width from m")
 def _(spark, d):
-    m = hourly(spark, d).withColumns({"b": I.sma(C, 20), "sd": I.stdev(C, 20)})
+    m = hourly(spark, d).withColumns({"b": I.sma(C(), 20), "sd": I.stdev(C(), 20)})
     b, sd = F.col("b"), F.col("sd")
     return m.select("symbol", "bar_ts", *(F.round(x, 6).alias(n) for n, x in (("basis", b), ("upper", b + 2 * sd), ("lower", b - 2 * sd), ("width", 4 * sd / F.nullif(b, F.lit(0.0)) * 100))))
 
@@ -69,27 +69,27 @@ def _(spark, d):
 @query("ind_16_rank_with_current", f"""with {HOURLY}, m as (select *, row_number() over ({P}) - 1 as i, {full(20, f"round(stddev_pop(close) {frame(20)}, 9)")} as w from hourly)
 select symbol, bar_ts, round(case when i >= 100 and w is not null then len(list_filter(array_agg(w) filter (where w is not null) over ({P} rows between 99 preceding and current row), lambda x: x < w))*100.0/nullif(count(w) over ({P} rows between 99 preceding and current row), 0) end, 6) as v from m""")
 def _(spark, d):
-    m = indexed(hourly(spark, d)).withColumn("w", F.round(I.stdev(C, 20), 9))
+    m = indexed(hourly(spark, d)).withColumn("w", F.round(I.stdev(C(), 20), 9))
     return m.select("symbol", "bar_ts", F.round(I.rank_with_current(F.col("w"), 100, F.col("i")), 6).alias("v"))
 
 
 @query("ind_17_rank_null_tolerant", f"""with {HOURLY}, m as (select *, row_number() over ({P}) - 1 as i, {full(30, "high - low")} as w from hourly)
 select symbol, bar_ts, round(case when i >= 50 and w is not null then len(list_filter(coalesce(array_agg(w) filter (where w is not null) over ({P} rows between 50 preceding and 1 preceding), []), lambda x: x < w))/50.0*100 end, 6) as v from m""")
 def _(spark, d):
-    m = indexed(hourly(spark, d)).withColumn("w", F.when(F.count(C).over(I.rows(30)) == 30, H - L))
+    m = indexed(hourly(spark, d)).withColumn("w", F.when(F.count(C()).over(I.rows(30)) == 30, H() - L()))
     return m.select("symbol", "bar_ts", F.round(I.rank_null_tolerant(F.col("w"), 50, F.col("i")), 6).alias("v"))
 
 
 @query("ind_18_smoothed_stoch", f"with {HOURLY}, s as (select *, {STOCH} as s from hourly), k as (select *, {SMA(3, 's')} as k from s) select symbol, bar_ts, round(k, 6) as k, round({SMA(3, 'k')}, 6) as d from k")
 def _(spark, d):
-    m = hourly(spark, d).withColumn("s", I.stoch(C, H, L, 14))
+    m = hourly(spark, d).withColumn("s", I.stoch(C(), H(), L(), 14))
     m = m.withColumn("k", I.sma(F.col("s"), 3)).withColumn("d", I.sma(F.col("k"), 3))
     return rounded(m.select("symbol", "bar_ts", "k", "d"), "k", "d")
 
 
 @query("ind_20_any_recent", f"with {HOURLY} select symbol, bar_ts, max(close > open) {frame(5)} as v from hourly")
 def _(spark, d):
-    return hourly(spark, d).select("symbol", "bar_ts", I.any_recent(C > F.col("open"), 5).alias("v"))
+    return hourly(spark, d).select("symbol", "bar_ts", I.any_recent(C() > F.col("open"), 5).alias("v"))
 
 
 @query("ind_21_bar_index", f"with {HOURLY} select symbol, bar_ts, row_number() over ({P}) - 1 as i from hourly")
@@ -101,7 +101,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.joins import slope
 
-    return daily(spark, d).select("symbol", "bar_ts", F.round(slope(C, 5), 6).alias("slope"))
+    return daily(spark, d).select("symbol", "bar_ts", F.round(slope(C(), 5), 6).alias("slope"))
 
 
 def numbered(rel="hourly"):
@@ -205,7 +205,7 @@ e as (select *, coalesce(a > b, false)::int as t_long, coalesce(a < b, false)::i
 
 
 def with_votes(spark, d):
-    b = hourly(spark, d).withColumns({"a": I.sma(C, 5), "b": I.sma(C, 20)})
+    b = hourly(spark, d).withColumns({"a": I.sma(C(), 5), "b": I.sma(C(), 20)})
     b = B.put(b, "t", F.col("a") > F.col("b"), F.col("a") < F.col("b"))
     return B.volume_filter(B.volume_surge(B.donchian(b, name="d"), name="s"), name="f")
 
@@ -236,6 +236,6 @@ def _(spark, d):
     bars = with_votes(spark, d)
     htf = roll_up_bars(hourly(spark, d), 240).select("symbol", "bar_ts", F.col("close").alias("hc"))
     bars = asof_closed(bars, htf, 240, ["hc"])
-    up = B.entry_ok(["t", "d", "s"], "long", "score", 2) & F.col("f_long") & F.coalesce(C > F.col("hc"), F.lit(True))
-    down = B.entry_ok(["t", "d", "s"], "short", "score", 2) & F.col("f_short") & F.coalesce(C < F.col("hc"), F.lit(True))
+    up = B.entry_ok(["t", "d", "s"], "long", "score", 2) & F.col("f_long") & F.coalesce(C() > F.col("hc"), F.lit(True))
+    down = B.entry_ok(["t", "d", "s"], "short", "score", 2) & F.col("f_short") & F.coalesce(C() < F.col("hc"), F.lit(True))
     return bars.groupBy("symbol").agg(F.count_if(up).alias("longs"), F.count_if(down).alias("shorts"), F.count("*").alias("bars"))

@@ -215,19 +215,19 @@ def sizing(name, sql, build, source=TRADES, rel="trades", frame=None):
         return t.select(*KEYS, F.round(build(), 6).alias("units"))
 
 
-E, PX = F.col("pnl") * 0 + 50_000.0, F.col("entry_price")
+E, PX = (lambda: F.col("pnl") * 0 + 50_000.0), (lambda: F.col("entry_price"))  # columns need a session, so made when called
 EQ = "(pnl*0 + 50000.0)"
-sizing("sz_01_flat", "case when entry_price > 0 then 1000.0/nullif(entry_price, 0) else 0 end", lambda: S.flat(E, PX, 1000.0))
-sizing("sz_02_pct_of_equity", f"{EQ}*0.05/nullif(entry_price, 0)", lambda: S.pct_of_equity(E, PX, 5))
-sizing("sz_03_pct_of_initial", "100000.0*0.05/nullif(entry_price, 0)", lambda: S.pct_of_initial(F.lit(100_000.0), PX, 5))
-sizing("sz_04_atr_risk", f"case when k2 - 2 > 0 then {EQ}*0.02/nullif(k2 - 2, 0) else 0 end", lambda: S.atr_risk(E, (F.col("k2") - 2).cast("double"), 2))
-sizing("sz_05_martingale", f"{EQ}*0.02*least(pow(2.0, case when kind = 'L' then streak else 0 end), 8.0)/nullif(entry_price, 0)", lambda: S.streak_scaled(E, PX, F.col("kind"), F.col("streak"), "L", 2, 2.0, 8.0), STREAKS, "streaks", lambda t: M.streaks(t, "strategy", EXIT_ORDER))
-sizing("sz_06_anti_martingale", f"{EQ}*0.02*least(pow(1.5, case when kind = 'W' then streak else 0 end), 5.0)/nullif(entry_price, 0)", lambda: S.streak_scaled(E, PX, F.col("kind"), F.col("streak"), "W", 2, 1.5, 5.0), STREAKS, "streaks", lambda t: M.streaks(t, "strategy", EXIT_ORDER))
+sizing("sz_01_flat", "case when entry_price > 0 then 1000.0/nullif(entry_price, 0) else 0 end", lambda: S.flat(E(), PX(), 1000.0))
+sizing("sz_02_pct_of_equity", f"{EQ}*0.05/nullif(entry_price, 0)", lambda: S.pct_of_equity(E(), PX(), 5))
+sizing("sz_03_pct_of_initial", "100000.0*0.05/nullif(entry_price, 0)", lambda: S.pct_of_initial(F.lit(100_000.0), PX(), 5))
+sizing("sz_04_atr_risk", f"case when k2 - 2 > 0 then {EQ}*0.02/nullif(k2 - 2, 0) else 0 end", lambda: S.atr_risk(E(), (F.col("k2") - 2).cast("double"), 2))
+sizing("sz_05_martingale", f"{EQ}*0.02*least(pow(2.0, case when kind = 'L' then streak else 0 end), 8.0)/nullif(entry_price, 0)", lambda: S.streak_scaled(E(), PX(), F.col("kind"), F.col("streak"), "L", 2, 2.0, 8.0), STREAKS, "streaks", lambda t: M.streaks(t, "strategy", EXIT_ORDER))
+sizing("sz_06_anti_martingale", f"{EQ}*0.02*least(pow(1.5, case when kind = 'W' then streak else 0 end), 5.0)/nullif(entry_price, 0)", lambda: S.streak_scaled(E(), PX(), F.col("kind"), F.col("streak"), "W", 2, 1.5, 5.0), STREAKS, "streaks", lambda t: M.streaks(t, "strategy", EXIT_ORDER))
 KELLY = "(avg_win/nullif(avg_loss, 0)*win_rate - (1 - win_rate))/nullif(avg_win/nullif(avg_loss, 0), 0)"
 STATS_OF = lambda t: M.running_stats(t, "strategy", EXIT_ORDER)
 sizing("sz_07_kelly", f"case when n_before < 20 or avg_loss <= 0 then {EQ}*0.01/nullif(entry_price, 0) when {KELLY} > 0 then {EQ}*least({KELLY}*0.5, 0.25)/nullif(entry_price, 0) else 0 end",
-       lambda: S.kelly(E, PX, F.col("n_before"), F.col("win_rate"), F.col("avg_win"), F.col("avg_loss"), 0.5, 0.25, 20, 1), STATS, "stats", STATS_OF)
-sizing("sz_08_fixed_fractional", f"{EQ}*0.1/greatest(biggest_loss, 100.0)", lambda: S.fixed_fractional(E, PX, F.col("biggest_loss"), 0.1, 100.0), STATS, "stats", STATS_OF)
+       lambda: S.kelly(E(), PX(), F.col("n_before"), F.col("win_rate"), F.col("avg_win"), F.col("avg_loss"), 0.5, 0.25, 20, 1), STATS, "stats", STATS_OF)
+sizing("sz_08_fixed_fractional", f"{EQ}*0.1/greatest(biggest_loss, 100.0)", lambda: S.fixed_fractional(E(), PX(), F.col("biggest_loss"), 0.1, 100.0), STATS, "stats", STATS_OF)
 CURVES = f"{TRADES}, c0 as (select *, 100000.0 + sum(pnl) {ORDER} as eq from trades), curves as (select *, count(*) over (partition by strategy order by {EXIT} rows between unbounded preceding and 1 preceding) as n, lag(eq) over (partition by strategy order by {EXIT}) as le, case when count(*) over (partition by strategy order by {EXIT} rows between 10 preceding and 1 preceding) = 10 then avg(eq) over (partition by strategy order by {EXIT} rows between 10 preceding and 1 preceding) end as me from c0)"
 
 
@@ -238,8 +238,8 @@ def curves(t):
     return c.withColumns({"n": F.count("*").over(w.rowsBetween(W.unboundedPreceding, -1)), "le": F.lag("equity").over(w), "me": F.when(F.count("*").over(ten) == 10, F.avg("equity").over(ten))})
 
 
-sizing("sz_09_equity_curve", f"{EQ}*(case when n < 20 or me is null then 2.0 when le > me then 4.0 else 1.0 end)/100/nullif(entry_price, 0)", lambda: S.equity_curve(E, PX, F.col("n"), F.col("le"), F.col("me"), 2.0, 4.0, 1.0, 20), CURVES, "curves", curves)
-sizing("sz_10_vol_target", f"case when k2 - 1 > 0 then least({EQ}*0.01/nullif(k2 - 1, 0), {EQ}*0.5/nullif(entry_price, 0)) else 0 end", lambda: S.vol_target(E, PX, (F.col("k2") - 1).cast("double"), 1, 50))
+sizing("sz_09_equity_curve", f"{EQ}*(case when n < 20 or me is null then 2.0 when le > me then 4.0 else 1.0 end)/100/nullif(entry_price, 0)", lambda: S.equity_curve(E(), PX(), F.col("n"), F.col("le"), F.col("me"), 2.0, 4.0, 1.0, 20), CURVES, "curves", curves)
+sizing("sz_10_vol_target", f"case when k2 - 1 > 0 then least({EQ}*0.01/nullif(k2 - 1, 0), {EQ}*0.5/nullif(entry_price, 0)) else 0 end", lambda: S.vol_target(E(), PX(), (F.col("k2") - 1).cast("double"), 1, 50))
 
 
 @query("rp_01_fitness_terms", "select c_custkey, t.name as term, round(t.norm*t.weight, 8) as contribution from customer, lateral (values ('pf', least(greatest(c_acctbal, 0)/4000, 1.0), 0.5), ('dd', 1 - c_nationkey/25.0, 0.3), ('ret', least(c_nationkey/10.0, 1.0), 0.2)) t(name, norm, weight)")

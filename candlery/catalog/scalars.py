@@ -39,14 +39,14 @@ def _(spark, d):
 
 
 NORMS = "case when c_acctbal <= 0 then 0.0 else least(c_acctbal/2500/4, 1.0) end as pf, greatest(least(1 - c_nationkey/20.0, 1.0), 0.0) as dd, case when c_acctbal <= 0 then 0.0 else least(c_acctbal/5000, 1.0) end as ret"
-PF, DD, RET = F.col("c_acctbal") / 2500, F.col("c_nationkey") / 20.0, F.col("c_acctbal") / 5000
+PF, DD, RET = (lambda: F.col("c_acctbal") / 2500), (lambda: F.col("c_nationkey") / 20.0), (lambda: F.col("c_acctbal") / 5000)  # columns need a session, so made when called
 
 
 @query("fn_06_normalise", f"with n as (select c_custkey, {NORMS}, greatest(c_nationkey - 5, 0) as a, greatest(c_nationkey - 10, 0) as b from customer) select c_custkey, round(pf, 6) as pf, round(dd, 6) as dd, round(ret, 6) as ret, round(case when a + b > 0 then a/(a + b) else 0.5 end, 6) as w from n")
 def _(spark, d):
     a, b = ((F.col("c_nationkey") - k).cast("double") for k in (5, 10))
     w = X.normal_weights(a, b)[0]
-    return table(spark, d, "customer").select("c_custkey", *(F.round(x, 6).alias(n) for n, x in (("pf", X.normal_pf(PF, 4.0)), ("dd", X.normal_dd(DD)), ("ret", X.normal_return(RET, 1.0)), ("w", w))))
+    return table(spark, d, "customer").select("c_custkey", *(F.round(x, 6).alias(n) for n, x in (("pf", X.normal_pf(PF(), 4.0)), ("dd", X.normal_dd(DD())), ("ret", X.normal_return(RET(), 1.0)), ("w", w))))
 
 
 @query("fn_07_dates", "select event_id, epoch_us(ts)//1000 as ms, strftime(ts, '%Y-%m-%d') as day, year(ts) as y, month(ts) as m from events")

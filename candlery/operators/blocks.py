@@ -10,7 +10,7 @@ from . import indicators as I
 from .candles import indexed, roll_up_bars
 from .joins import asof_closed, slope
 
-C, H, L, O, V = (F.col(x) for x in ("close", "high", "low", "open", "volume"))
+C, H, L, O, V = (lambda x=x: F.col(x) for x in ("close", "high", "low", "open", "volume"))  # columns need a session, so made when called
 
 
 def no(x: Column) -> Column:
@@ -23,7 +23,7 @@ def put(bars: DataFrame, name: str, long: Column, short: Column) -> DataFrame:
 
 
 def stoch_cross(bars: DataFrame, length=14, smooth=3, long_level=30, short_level=70, name="stoch") -> DataFrame:
-    bars = bars.withColumn("_s", I.stoch(C, H, L, length))
+    bars = bars.withColumn("_s", I.stoch(C(), H(), L(), length))
     bars = bars.withColumn("_k", I.sma(F.col("_s"), smooth)).withColumn("_d", I.sma(F.col("_k"), smooth))
     k, d = F.col("_k"), F.col("_d")
     return put(bars, name, I.cross_over(k, d) & (k < long_level), I.cross_under(k, d) & (k > short_level)).drop("_s", "_k", "_d")
@@ -35,11 +35,11 @@ def ema_trend(bars: DataFrame, fast=10, slow=30, name="trend") -> DataFrame:
 
 
 def squeeze_breakout(bars: DataFrame, length=20, mult=2.0, pct=25, lookback=5, window=100, name="squeeze") -> DataFrame:
-    bars = indexed(bars).withColumns({"_b": I.sma(C, length), "_sd": I.stdev(C, length)})
+    bars = indexed(bars).withColumns({"_b": I.sma(C(), length), "_sd": I.stdev(C(), length)})
     bars = bars.withColumn("_w", F.when(F.col("_b") > 0, 2 * mult * F.col("_sd") / F.col("_b") * 100))
     bars = bars.withColumn("_r", I.rank_with_current(F.col("_w"), window, F.col("i")))
     bars = bars.withColumn("_q", I.any_recent(F.col("_r") < pct, lookback))
-    return put(bars, name, F.col("_q") & (C > F.col("_b")), F.col("_q") & (C < F.col("_b"))).drop("_b", "_sd", "_w", "_r", "_q", "i")
+    return put(bars, name, F.col("_q") & (C() > F.col("_b")), F.col("_q") & (C() < F.col("_b"))).drop("_b", "_sd", "_w", "_r", "_q", "i")
 
 
 def rsi_pullback(bars: DataFrame, length=14, long_level=40, short_level=60, name="rsi") -> DataFrame:
@@ -51,23 +51,23 @@ def rsi_pullback(bars: DataFrame, length=14, long_level=40, short_level=60, name
 def ma_pullback(bars: DataFrame, fast=10, slow=30, name="pullback") -> DataFrame:
     bars = I.with_recursive(bars, {"_f": ("ema", fast), "_w": ("ema", slow)})
     f, w = F.col("_f"), F.col("_w")
-    return put(bars, name, (f > w) & (L <= f) & (C > f), (f < w) & (H >= f) & (C < f)).drop("_f", "_w")
+    return put(bars, name, (f > w) & (L() <= f) & (C() > f), (f < w) & (H() >= f) & (C() < f)).drop("_f", "_w")
 
 
 def donchian(bars: DataFrame, length=20, name="donchian") -> DataFrame:
     w = I.series().rowsBetween(-length, -1)
     full = F.count(F.lit(1)).over(w) == length
-    return put(bars, name, full & (C > F.max(H).over(w)), full & (C < F.min(L).over(w)))
+    return put(bars, name, full & (C() > F.max(H()).over(w)), full & (C() < F.min(L()).over(w)))
 
 
 def volume_surge(bars: DataFrame, length=20, mult=1.5, name="surge") -> DataFrame:
-    big = V >= mult * I.sma(V, length)
-    return put(bars, name, big & (C > O), big & (C < O))
+    big = V() >= mult * I.sma(V(), length)
+    return put(bars, name, big & (C() > O()), big & (C() < O()))
 
 
 def htf_trend_filter(bars: DataFrame, minutes=240, length=10, name="htf") -> DataFrame:
     """Both sides pass while the longer timeframe has no bar or no average yet."""
-    htf = I.with_recursive(roll_up_bars(bars, minutes), {"_ma": ("ema", length)}).withColumn("_hc", C).select("symbol", "bar_ts", "_hc", "_ma")
+    htf = I.with_recursive(roll_up_bars(bars, minutes), {"_ma": ("ema", length)}).withColumn("_hc", C()).select("symbol", "bar_ts", "_hc", "_ma")
     out = asof_closed(bars, htf, minutes, ["_hc", "_ma"])
     free = F.col("_ma").isNull()
     return put(out, name, free | (F.col("_hc") > F.col("_ma")), free | (F.col("_hc") < F.col("_ma"))).drop("_hc", "_ma")
@@ -75,13 +75,13 @@ def htf_trend_filter(bars: DataFrame, minutes=240, length=10, name="htf") -> Dat
 
 def volatility_floor(bars: DataFrame, length=14, least=0.5, name="floor") -> DataFrame:
     bars = I.with_recursive(bars, {"_a": ("atr", length)})
-    ok = F.col("_a") / F.nullif(C, F.lit(0.0)) * 100 >= least
+    ok = F.col("_a") / F.nullif(C(), F.lit(0.0)) * 100 >= least
     return put(bars, name, ok, ok).drop("_a")
 
 
 def volume_filter(bars: DataFrame, length=20, least=0.8, name="volume") -> DataFrame:
-    bars = bars.withColumn("_m", I.sma(V, length))
-    ok = (F.col("_m") > 0) & (V >= least * F.col("_m"))
+    bars = bars.withColumn("_m", I.sma(V(), length))
+    ok = (F.col("_m") > 0) & (V() >= least * F.col("_m"))
     return put(bars, name, ok, ok).drop("_m")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 COMMISSION = 0.0006  # of the traded value, on each leg
 INFINITY = float("inf")
-PNL = F.col("pnl")
+PNL = lambda: F.col("pnl")  # noqa: E731  columns need a session, so made when called
 
 
 def profit_factor(gain: Column, loss: Column) -> Column:
@@ -20,8 +20,8 @@ def profit_factor(gain: Column, loss: Column) -> Column:
 
 def totals() -> list[Column]:
     return [
-        F.count("*").alias("trades"), F.count_if(PNL > 0).alias("wins"), F.coalesce(F.sum(F.when(PNL > 0, PNL)), F.lit(0.0)).alias("gross_profit"),
-        F.coalesce(F.sum(F.when(PNL <= 0, F.abs(PNL))), F.lit(0.0)).alias("gross_loss"),
+        F.count("*").alias("trades"), F.count_if(PNL() > 0).alias("wins"), F.coalesce(F.sum(F.when(PNL() > 0, PNL())), F.lit(0.0)).alias("gross_profit"),
+        F.coalesce(F.sum(F.when(PNL() <= 0, F.abs(PNL()))), F.lit(0.0)).alias("gross_loss"),
     ]
 
 
@@ -41,7 +41,7 @@ def by_regime(trades: DataFrame, *key: str) -> DataFrame:
 
 def sharpe(initial: float) -> Column:
     """Mean over sample deviation of returns on the initial capital, times the root of their number; 0 if undefined."""
-    r = PNL / initial
+    r = PNL() / initial
     return F.coalesce(F.when((F.count(r) > 1) & (F.stddev_samp(r) > 0), F.avg(r) / F.nullif(F.stddev_samp(r), F.lit(0.0)) * F.sqrt(F.count(r))), F.lit(0.0))
 
 
@@ -152,9 +152,9 @@ def running_stats(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
     b = w.rowsBetween(W.unboundedPreceding, -1)
     n = F.count("*").over(b)
     return trades.withColumns({
-        "n_before": n, "win_rate": F.coalesce(F.count_if(PNL > 0).over(b) / F.nullif(n, F.lit(0)), F.lit(0.0)),
-        "avg_win": F.coalesce(F.avg(F.when(PNL > 0, PNL)).over(b), F.lit(0.0)), "avg_loss": F.coalesce(F.avg(F.when(PNL < 0, -PNL)).over(b), F.lit(0.0)),
-        "biggest_win": F.coalesce(F.max(F.when(PNL > 0, PNL)).over(b), F.lit(0.0)), "biggest_loss": F.coalesce(F.max(F.when(PNL < 0, -PNL)).over(b), F.lit(0.0)), "last_pnl": F.lag("pnl").over(w),
+        "n_before": n, "win_rate": F.coalesce(F.count_if(PNL() > 0).over(b) / F.nullif(n, F.lit(0)), F.lit(0.0)),
+        "avg_win": F.coalesce(F.avg(F.when(PNL() > 0, PNL())).over(b), F.lit(0.0)), "avg_loss": F.coalesce(F.avg(F.when(PNL() < 0, -PNL())).over(b), F.lit(0.0)),
+        "biggest_win": F.coalesce(F.max(F.when(PNL() > 0, PNL())).over(b), F.lit(0.0)), "biggest_loss": F.coalesce(F.max(F.when(PNL() < 0, -PNL())).over(b), F.lit(0.0)), "last_pnl": F.lag("pnl").over(w),
     })
 
 

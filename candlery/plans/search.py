@@ -58,7 +58,7 @@ def planned(bars: DataFrame, genes: list[dict]) -> DataFrame:
     for g in genes:
         fast, slow, d = F.col(f"ema_{int(g['emaFast'])}"), F.col(f"ema_{int(g['emaSlow'])}"), f"d{int(g['period'])}"
         way = F.when((fast > slow) & F.col(f"{d}_long"), 1).when((fast < slow) & F.col(f"{d}_short"), -1).otherwise(0)
-        rows.append(F.struct(F.lit(int(g["gene_id"])).cast("long").alias("gene_id"), way.alias("way"), F.col(f"atr_{int(g['atrLen'])}").alias("a"), F.coalesce(C < slow, F.lit(False)).alias("xl"), F.coalesce(C > slow, F.lit(False)).alias("xs"), F.when(fast > slow, "up").when(fast < slow, "down").alias("reg")))
+        rows.append(F.struct(F.lit(int(g["gene_id"])).cast("long").alias("gene_id"), way.alias("way"), F.col(f"atr_{int(g['atrLen'])}").alias("a"), F.coalesce(C() < slow, F.lit(False)).alias("xl"), F.coalesce(C() > slow, F.lit(False)).alias("xs"), F.when(fast > slow, "up").when(fast < slow, "down").alias("reg")))
     wide = bars.select("symbol", "bar_ts", "open", "high", "low", "close", F.inline(F.array(*rows)))
     return wide.select("symbol", "gene_id", "bar_ts", "open", "high", "low", "close", F.col("way").alias("direction"), F.col("a").alias("atr"), F.col("reg").alias("regime"), F.col("xl").alias("exit_long"), F.col("xs").alias("exit_short"))
 
