@@ -1,8 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are folded bytes (32 kinds), so n-grams are whole numbers and no order has more than 32**n of them. Tasks count
-their own n-grams first; counts, contexts and lower orders then meet in joins sharded by n-gram. The finished tables,
-whose size has that bound, are written to the shared folder, and scoring tasks read them from there.
+N-grams are of whole words, which 64-bit hashes stand for. Tasks count their own n-grams first; counts, contexts and
+lower orders then meet in joins sharded by n-gram, and so do the distinct n-grams of the texts to score: a text's log
+probability is a sum of one number for each of its n-grams, so only sums by text come back.
+
+Below single words, in place of a uniform distribution, stands how a word is spelt: a model of the same kind over
+folded bytes (32 kinds, so no order has more than 32**n n-grams), which gives words that training never saw a probability.
+Its tables have that bound; they are written to the shared folder, and tasks read them from there.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import pyarrow as pa
 import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, stored, table, text_buffer
+from .common import LOWER, bucket_of, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, words
 from .files import opened
 
 BITS, ORDER = 5, 5
@@ -25,6 +29,15 @@ FOLD[[ord(c) for c in ".,;:!?'\"-"]] = 3
 FOLD[97:123] = np.arange(5, 31)
 FOLD[65:91] = np.arange(5, 31)
 FOLD[128:] = 5 + np.arange(128) * 7 % 26
+WORD_ORDER = 3
+#: How many of the 256 bytes share a byte's symbol.
+SHARED = np.bincount(FOLD, minlength=KINDS)
+#: Hashes of the marks before a text (two of them) and after it.
+BEFORE, AFTER = mix(np.array([1, 2], np.uint64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of texts are sent to the counts in this many rounds, each a part of all n-grams, which bounds the disk in use.
+ROUNDS = 4
+SLICE = 4 << 20
 #: Of the trusted documents kept back from training, this share lies within its language's threshold.
 QUANTILE = 0.98
 BROADCAST_LABELS = 2_000_000
@@ -146,24 +159,201 @@ def dense(paths: list[tuple[list[str], list[str]]]) -> np.ndarray:
     return np.log(p, out=p)
 
 
-def perplexities(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """docs' columns but text, n_symbols (bytes), and perplexity a byte; null for null and empty texts."""
-    kept = [c for c in docs.columns if c not in ("text", "n_symbols", "perplexity")]
-    paths = _paths(tables)
+def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of the n-grams of order 1 to WORD_ORDER that end at each place, each place's text and number in it, and the words.
+
+    A text is two marks, its words in lower case, and a mark; the words are given by place, start and end in data.
+    A key is made from the key of the n-gram without its last word, so a context has the key it has as an n-gram.
+    """
+    starts, ends, hashes, first = words(data, offsets, True)
+    count = np.diff(first)
+    size = count + 3
+    begin = np.concatenate([[0], np.cumsum(size)])
+    own = np.arange(len(starts)) + 3 * np.repeat(np.arange(len(count)), count) + 2
+    symbols = np.full(begin[-1], BEFORE, np.uint64)
+    symbols[own] = hashes
+    symbols[begin[1:] - 1] = AFTER
+    keys = [mix(symbols)]
+    for _ in range(1, WORD_ORDER):
+        longer = np.zeros_like(symbols)
+        longer[1:] = mix(keys[-1][:-1] * _STEP + symbols[1:])
+        keys.append(longer)
+    text = np.repeat(np.arange(len(count)), size)
+    return keys, text, np.arange(begin[-1]) - begin[text], (own, starts, ends)
+
+
+def spelt(logs: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The log probability of each word in lower case and the space after it, by the bytes' model."""
+    size = ends - starts + 1
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    joined = np.full(offsets[-1], 32, np.uint8)
+    inside = np.ones(offsets[-1], bool)
+    inside[offsets[1:] - 1] = False
+    joined[inside] = LOWER[data[np.repeat(starts - offsets[:-1], size)[inside] + np.flatnonzero(inside)]]
+    column = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined)])
+    found, _ = codes(column)
+    sums = np.concatenate([[0.0], np.cumsum(logs[found] - np.log(SHARED[FOLD[joined]]), dtype=np.float64)])[offsets]
+    return np.diff(sums)
+
+
+def _after(logs: np.ndarray) -> float:
+    """The mark after a text is spelt as a line break, which no word holds."""
+    return float(logs[0]) - float(np.log(SHARED[FOLD[10]]))
+
+
+def _word_rows(trusted: DataFrame, paths: list[tuple[list[str], list[str]]]) -> DataFrame:
+    """size, gram, context, lower (the n-gram without its first word), n and spelt, once for each n-gram of a task's slice."""
+    names = ["size", "gram", "context", "lower", "n", "spelt"]
 
     def run(batches):
         logs = None
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             logs = dense(paths) if logs is None else logs
-            found, offsets = codes(batch.column("text"))
-            sums = np.concatenate([[0.0], np.cumsum(logs[found], dtype=np.float64)])[offsets]
-            n = np.diff(offsets)
-            value = np.exp(-np.diff(sums) / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n), pa.array(value, mask=n == 0)], names=[*kept, "n_symbols", "perplexity"])
+            data, offsets = text_buffer(batch.column("text"))
+            keys, _, at, (own, starts, ends) = word_grams(data, offsets)
+            word = np.full(len(at), -1)
+            word[own] = np.arange(len(own))
+            ends_at = np.flatnonzero(at >= 2)
+            for k in range(1, WORD_ORDER + 1):
+                gram, where, n = np.unique(keys[k - 1][ends_at], return_index=True, return_counts=True)
+                where = ends_at[where]
+                blank = np.zeros(len(gram), np.int64)
+                context = keys[k - 2][where - 1].view(np.int64) if k > 1 else blank
+                lower = keys[k - 2][where].view(np.int64) if k > 1 else blank
+                value = np.zeros(len(gram))
+                if k == 1:
+                    which = word[where]
+                    value[which < 0] = _after(logs)
+                    value[which >= 0] = spelt(logs, data, starts[which[which >= 0]], ends[which[which >= 0]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), *(pa.array(x) for x in (gram.view(np.int64), context, lower, n.astype(np.int64), value))], names=names)
+
+    return trusted.select("text").mapInArrow(run, "size int, gram long, context long, lower long, n long, spelt double")
+
+
+def word_model(trusted: DataFrame, paths: list[tuple[list[str], list[str]]]) -> tuple[DataFrame, float]:
+    """(gram, v), and the weight of spelling: what each n-gram adds to the log probability of a text with it.
+
+    As an n-gram it adds the log of its probability over that of the lower order with the context's weight; as a context
+    it adds the log of that weight. N-grams that were never seen add nothing, so the sum over a text's n-grams, with
+    the spelling of its words, is its log probability.
+    """
+    rows = _word_rows(trusted, paths).groupBy("size", "gram").agg(F.first("context").alias("context"), F.first("lower").alias("lower"), F.sum("n").alias("n"), F.first("spelt").alias("spelt"))
+    rows = stored(rows)
+    counts = {WORD_ORDER: rows.where(F.col("size") == WORD_ORDER)}
+    for k in range(WORD_ORDER - 1, 0, -1):
+        ends = counts[k + 1].groupBy(F.col("lower").alias("gram")).agg(F.count("*").alias("n"))
+        counts[k] = stored(rows.where(F.col("size") == k).drop("n").join(ends, "gram"))
+    values, below, spelling = [], None, 1.0
+    for k in range(1, WORD_ORDER + 1):
+        seen = counts[k].agg(*(F.count_if(F.col("n") == r) for r in range(1, 5))).first()
+        d1, d2, d3 = discounts(tuple(seen))
+        t = counts[k].withColumn("off", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
+        if k == 1:
+            total, off = t.agg(F.sum("n"), F.sum("off")).first()
+            if not total:
+                break
+            spelling = off / total
+            p = t.select("gram", ((F.col("n") - F.col("off")) / float(total) + spelling * F.exp("spelt")).alias("p"), (F.lit(float(np.log(spelling))) + F.col("spelt")).alias("rest"))
+        else:
+            contexts = stored(t.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("back")))
+            values.append(contexts.select(F.col("context").alias("gram"), F.log("back").alias("v")))
+            t = t.join(contexts, "context").join(below.select(F.col("gram").alias("lower"), F.col("p").alias("q")), "lower")
+            p = t.select("gram", ((F.col("n") - F.col("off")) / F.col("total") + F.col("back") * F.col("q")).alias("p"), (F.log("back") + F.log("q")).alias("rest"))
+        below = stored(p)
+        values.append(below.select("gram", (F.log("p") - F.col("rest")).alias("v")))
+    if not values:
+        return rows.select("gram", F.col("spelt").alias("v")).limit(0), spelling
+    out = values[0]
+    for more in values[1:]:
+        out = out.unionByName(more)
+    return stored(out.groupBy("gram").agg(F.sum("v").alias("v"))), spelling
+
+
+def _sent(docs: DataFrame, buckets: int, part: int) -> DataFrame:
+    """PACKED rows: the distinct n-grams of each text of one round; owner: the text's hash, extra: how often."""
+
+    def run(batches):
+        for batch in slices(batches, limit=SLICE):
+            keys, text, at, _ = word_grams(*text_buffer(batch.column("text")))
+            owner = batch.column("text_key").to_numpy().view(np.uint64)
+            for k, all_keys in enumerate(keys):
+                mine = np.flatnonzero((at >= (1, 1, 2)[k]) & (all_keys % np.uint64(ROUNDS) == part))
+                _, where, n = np.unique(mix(all_keys[mine] + text[mine].astype(np.uint64) * _STEP), return_index=True, return_counts=True)
+                order = np.argsort(where)
+                where, n = mine[where[order]], n[order].astype(np.uint32)
+                gram = all_keys[where]
+                yield packed(owner[text[where]], gram, bucket_of(gram, buckets), n)
 
-    docs = docs.select(*kept, "text")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.drop("text").schema)
-    return docs.mapInArrow(run, f"{fields}n_symbols long, perplexity double")
+    return docs.select("text_key", "text").mapInArrow(run, "bucket int, owners binary, counts binary, hashes binary, extra binary")
+
+
+def _known(values: DataFrame, buckets: int, part: int) -> DataFrame:
+    """PACKED rows of the model's n-grams of one round: no owners; extra: the values."""
+
+    def run(batches):
+        for batch in batches:
+            gram, v = batch.column("gram").to_numpy().view(np.uint64), batch.column("v").to_numpy()
+            mine = gram % np.uint64(ROUNDS) == part
+            out = packed(np.zeros(int(mine.sum()), np.uint64), gram[mine], bucket_of(gram[mine], buckets), v[mine])
+            yield out.set_column(1, "owners", pa.array([b""] * len(out), pa.binary()))
+
+    return values.select("gram", "v").mapInArrow(run, "bucket int, owners binary, counts binary, hashes binary, extra binary")
+
+
+def _sums(batches):
+    known, asked = [], []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("owners", "counts", "hashes", "extra"))):
+            (asked if row[0] else known).append(row)
+    gram = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[2], np.uint64) for r in known)])
+    value = np.concatenate([np.zeros(0), *(np.frombuffer(r[3], np.float64) for r in known)])
+    order = np.argsort(gram)
+    gram, value = gram[order], value[order]
+    if not len(gram):
+        return
+    for owners, counts, hashes, extra in asked:
+        owners, counts, hashes = np.frombuffer(owners, np.uint64), np.frombuffer(counts, np.uint32), np.frombuffer(hashes, np.uint64)
+        at = np.minimum(np.searchsorted(gram, hashes), len(gram) - 1)
+        found = np.where(gram[at] == hashes, value[at], 0.0) * np.frombuffer(extra, np.uint32)
+        sums = np.add.reduceat(found, np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array(owners.view(np.int64)), pa.array(sums)], names=["text_key", "known"])
+
+
+def perplexities(docs: DataFrame, paths: list[tuple[list[str], list[str]]], model_: tuple[DataFrame, float]) -> DataFrame:
+    """docs' columns but text, n_symbols (words, and the mark after them), and perplexity a symbol; null for null and empty texts.
+
+    Equal texts share their n-grams' sums: those of all rows with a text, over the number of such rows.
+    """
+    kept = [c for c in docs.columns if c not in ("text", "n_symbols", "perplexity")]
+    values, spelling = model_
+    docs = docs.select(*kept, "text", F.xxhash64("text").alias("text_key"))
+    buckets = partitions(docs.sparkSession)
+    parts = []
+    for part in range(ROUNDS):
+        both = _sent(docs, buckets, part).unionByName(_known(values, buckets, part))
+        parts.append(stored(to_buckets(both, _sums, "text_key long, known double").groupBy("text_key").agg(F.sum("known").alias("known"))))
+    known = parts[0]
+    for more in parts[1:]:
+        known = known.unionByName(more)
+
+    def run(batches):
+        logs = None
+        for batch in slices(batches, limit=SLICE):
+            logs = dense(paths) if logs is None else logs
+            data, offsets = text_buffer(batch.column("text"))
+            starts, ends, hashes, first = words(data, offsets, True)
+            _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+            each = spelt(logs, data, starts[where], ends[where])[which] if len(starts) else np.zeros(0)
+            n = np.diff(first) + 1
+            base = np.diff(np.concatenate([[0.0], np.cumsum(each)])[first]) + _after(logs) + n * np.log(spelling)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*kept, "text_key")), pa.array(np.where(np.diff(offsets) > 0, n, 0)), pa.array(base)], names=[*kept, "text_key", "n_symbols", "base"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.drop("text", "text_key").schema)
+    rows = stored(docs.mapInArrow(run, f"{fields}text_key long, n_symbols long, base double"))
+    copies = rows.groupBy("text_key").agg(F.count("*").alias("copies"))
+    known = known.groupBy("text_key").agg(F.sum("known").alias("known")).join(copies, "text_key")
+    value = F.exp(-(F.col("base") + F.coalesce(F.col("known") / F.col("copies"), F.lit(0.0))) / F.col("n_symbols"))
+    return rows.join(known, "text_key", "left").select(*kept, "n_symbols", F.when(F.col("n_symbols") > 0, value).alias("perplexity"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -174,8 +364,9 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     aren't kept; without trusted text there is no threshold, and all others are kept. Repeated rows stay.
     """
     train, back = _marked(docs, labels)
-    tables = model(docs.select("doc_id", "text").join(_small(train), "doc_id", "left_semi"))
-    rows = stored(perplexities(docs.select("doc_id", "lang", "text"), tables))
+    trusted = docs.select("doc_id", "text").join(_small(train), "doc_id", "left_semi")
+    paths = _paths(model(trusted))
+    rows = stored(perplexities(docs.select("doc_id", "lang", "text"), paths, word_model(trusted, paths)))
     held = rows.join(_small(back), "doc_id", "left_semi").where("perplexity is not null")
     value = F.percentile_approx("perplexity", quantile, 10_000)
     by = held.groupBy(F.col("lang").alias("of")).agg(value.alias("own"))  # a row a language

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -306,3 +306,55 @@ def test_empty_null_repeated_and_clashing(spark, run):
     nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (1, None, None, None, None), (2, REPEATED, None, None, 1), (2, REPEATED, None, None, 1)], EMPTY)
     out = run(nulls.withColumn("n_tokens", F.lit("clash")).withColumn("component_id", F.lit("clash")).withColumn("n_removed", F.lit("clash")))
     assert out.where("doc_id = 2").count() in (1, 2)
+
+
+def plain_kneser_ney(trained, scored, spelt, after):
+    """Perplexity of each text under interpolated modified Kneser-Ney of word 3-grams, by recursion over plain counts."""
+    import math
+
+    marked = [("<", "<", *lower(t).split(), ">") for t in trained]
+    counts = {3: Counter(m[i - 2 : i + 1] for m in marked for i in range(2, len(m)))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts, totals, off = {}, {k: defaultdict(float) for k in counts}, {k: defaultdict(float) for k in counts}
+    for k, c in counts.items():
+        cuts[k] = quality.discounts(tuple(sum(n == r for n in c.values()) for r in range(1, 5)))
+        for g, n in c.items():
+            totals[k][g[:-1]] += n
+            off[k][g[:-1]] += cuts[k][min(n, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1.0
+        k, context = len(g), g[:-1]
+        less = p(g[1:]) if k > 1 else math.exp(after if g[0] == ">" else spelt(g[0]))
+        if not totals[k][context]:
+            return less
+        n = counts[k][g]
+        return ((n - cuts[k][min(n, 3) - 1] if n else 0) + off[k][context] * less) / totals[k][context]
+
+    out = []
+    for t in scored:
+        m = ("<", "<", *lower(t).split(), ">")
+        out.append(math.exp(-sum(math.log(p(m[i - 2 : i + 1])) for i in range(2, len(m))) / (len(m) - 2)))
+    return out
+
+
+def test_quality_is_kneser_ney_over_words(spark):
+    import numpy as np
+
+    trained = ["the cat sat on the mat and the cat ran", "A cat and a mat", "the dog sat on the mat", "the cat sat"]
+    scored = ["the cat sat on the mat", "mat the on sat cat the", "THE zebra sat", " ", "the cat sat on the mat", "a a a a"]
+    trusted = spark.createDataFrame([(t,) for t in trained], "text string")
+    paths = quality._paths(quality.model(trusted))
+    logs = quality.dense(paths)
+
+    def spelt(word):
+        return quality.spelt(logs, np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word)]))[0]
+
+    docs = spark.createDataFrame([*enumerate(scored), (6, ""), (7, None)], "doc_id long, text string")
+    got = by_id(quality.perplexities(docs, paths, quality.word_model(trusted, paths)), "n_symbols", "perplexity")
+    for i, want in enumerate(plain_kneser_ney(trained, scored, spelt, quality._after(logs))):
+        assert got[i][0] == len(scored[i].split()) + 1 and abs(got[i][1] - want) < 1e-4 * want
+    assert got[6] == got[7] == (0, None)
+    assert got[0][1] < got[1][1]  # the same words in another order: bytes of words alone could hardly tell
