@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions.scalars import normal_dd, normal_pf, normal_return, normal_weights, number_or
 from ..operators import blocks as B, indicators as I
 from ..operators.blocks import C
-from ..operators.metrics import totals, with_ratios
+from ..operators.metrics import drawdown, equity_curve, totals, with_ratios
 from . import params as P
-from .backtest import simulate
+from .backtest import SETTINGS, simulate
 
 ELIMINATED = -1000.0
 
@@ -64,11 +64,17 @@ def planned(bars: DataFrame, genes: list[dict]) -> DataFrame:
 
 
 def evaluate(bars: DataFrame, genes: list[dict], settings: dict | None = None) -> DataFrame:
-    """gene_id with trades, wins, pf, net and a score over all symbols."""
+    """gene_id with trades, wins, pf, net and a score over all symbols, whose trades share one account by time of exit."""
     own = {int(g["gene_id"]): {"stop_mult": float(g["atrSL"])} for g in genes if "atrSL" in g}
+    initial = (SETTINGS | (settings or {}))["initial"]
     trades = simulate(planned(bars, genes), settings, own)
+    order = ["exit_ts", "symbol", "position", "units", "exit_price"]
+    curve = equity_curve(trades, "gene_id", order, initial).select("gene_id", *order, "equity")
+    start = trades.select("gene_id").distinct().withColumn("equity", F.lit(initial))  # sorts first: the peak begins at the initial equity
+    falls = drawdown(curve.unionByName(start, allowMissingColumns=True), "gene_id", order).select("gene_id", "max_dd_pct")
     t = with_ratios(trades.groupBy("gene_id").agg(*totals(), F.countDistinct("symbol", "position").alias("positions")))
-    return t.withColumn("score", classic_score(F.col("trades"), F.col("net") / 100_000.0, F.lit(0.0), 10))
+    score = classic_score(F.col("trades"), F.col("net") / 100_000.0, F.col("max_dd_pct"), 10)
+    return t.join(falls, "gene_id").withColumn("score", score).drop("max_dd_pct")
 
 
 SPACE = [("emaFast", "int", 5, 30, 1), ("emaSlow", "int", 20, 100, 5), ("period", "int", 10, 40, 2), ("atrLen", "int", 5, 30, 1), ("atrSL", "float", 0.5, 4.0, 0.25)]
