@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, small_batches, table
+from .common import slices, small_batches, stored, table
 
 #: Fixed: look-alikes of Latin letters, folded when a text holds any; dashes, quotes and wide blanks become a space.
 HOMOGLYPHS = str.maketrans(
@@ -32,8 +32,10 @@ FOLD[ord("@")], FOLD[ord("$")], FOLD[ord("|")] = ord("a"), ord("s"), ord(" ")
 FOLD = bytes(FOLD)
 RUNS = re.compile(rb"[@$]{2,}|[@$](?![a-z])")
 SHORTEST, LONGEST = 3, 8
-#: A term needs this share of the toxic training documents, which bounds how many terms there can be; 4 at least.
-SUPPORT = 0.01
+#: A term needs this many distinct toxic training texts, and an exception this many clean ones, however many there are.
+SUPPORT, CLEAN_SUPPORT = 4, 3
+#: Up to this many candidate terms clean rows count only those; beyond, all terms are counted and joined as tables.
+CANDIDATES = 200_000
 BROADCAST_LABELS = 2_000_000
 
 
@@ -59,7 +61,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, "doc_id")
+    rows = rows.groupBy(F.sha2("text", 256).alias("digest"), "toxic").agg(F.first("text").alias("text"))
+    return stored(rows.select("text", "toxic"))  # read several times
 
 
 def _counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
@@ -93,16 +97,15 @@ def _counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Weights of terms that mark toxic rows: frequent there, in varied company, and rare in clean rows."""
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
-    counted = _counted(toxic, None).persist()
+    counted = stored(_counted(toxic, None))
     n_toxic = (counted.where("term = ''").agg(F.sum("n")).first()[0]) or 0
-    least = max(4, SUPPORT * n_toxic)
-    found = {r.term: r.n for r in counted.where((F.col("n") >= least) & (F.col("kinds") >= F.least(F.lit(8), F.col("n") / 2))).collect() if r.term}
-    counted.unpersist()
-    against = {r.term: r.n for r in _counted(clean, frozenset(found)).collect()}
-    n_clean = against.get("", 0)
+    terms = counted.where((F.col("n") >= SUPPORT) & (F.col("kinds") >= F.least(F.lit(8), F.col("n") / 2)) & (F.col("term") != "")).select("term", F.col("n").alias("t"))
+    known = frozenset(r.term for r in terms.collect()) if terms.limit(CANDIDATES + 1).count() <= CANDIDATES else None
+    against = stored(_counted(clean, known).select("term", "n"))
+    n_clean = (against.where("term = ''").agg(F.sum("n")).first()[0]) or 0
+    both = terms.join(against, "term", "left").select("term", "t", F.coalesce("n", F.lit(0)).alias("c")).where("t >= c")
     weights = {}
-    for term, t in found.items():
-        c = against.get(term, 0)
+    for term, t, c in both.toLocalIterator():
         share, n = t / (t + c), t + c
         low = (share + 1.92 / n - 1.96 * np.sqrt(share * (1 - share) / n + 0.96 / n / n)) / (1 + 3.84 / n)  # Wilson's lower bound
         if low >= 0.5:
@@ -151,24 +154,19 @@ class Matcher:
 def learn_exceptions(rows: DataFrame, lexicon: dict[str, float]) -> frozenset[str]:
     """Words and two-word phrases around matches that clean training rows hold and toxic ones hardly do.
 
-    An exception needs 3 clean rows and a 2000th of them, which bounds how many there can be.
+    An exception needs CLEAN_SUPPORT clean rows, and four for each toxic one.
     """
 
     def run(batches):
-        matcher, count, clean = Matcher(lexicon), Counter(), 0
+        matcher, count = Matcher(lexicon), Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                clean += toxic == 0
                 found = matcher.matches(fold(text)).values()
                 count.update((p, toxic) for p in {x for _, word, phrase in found for x in (word, phrase)})
-        yield pa.RecordBatch.from_arrays([pa.array([*(p for p, _ in count), ""]), pa.array([*(t for _, t in count), 0], pa.int32()), pa.array([*count.values(), clean], pa.int64())], names=["phrase", "toxic", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in count], pa.string()), pa.array([t for _, t in count], pa.int32()), pa.array(list(count.values()), pa.int64())], names=["phrase", "toxic", "n"])
 
     n = rows.mapInArrow(run, "phrase string, toxic int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") != 0, F.col("n")).otherwise(0)).alias("bad"))
-    n = n.persist()
-    total = (n.where("phrase = ''").agg(F.max("clean")).first()[0]) or 0
-    out = frozenset(r.phrase for r in n.where((F.col("clean") >= max(3, total / 2000)) & (F.col("bad") * 4 <= F.col("clean")) & (F.col("phrase") != "")).collect())
-    n.unpersist()
-    return out
+    return frozenset(r.phrase for r in n.where((F.col("clean") >= CLEAN_SUPPORT) & (F.col("bad") * 4 <= F.col("clean"))).collect())
 
 
 def fit_curve(rows: DataFrame, lexicon: dict[str, float], exceptions: frozenset[str]) -> np.ndarray:

@@ -358,3 +358,16 @@ def test_quality_is_kneser_ney_over_words(spark):
         assert got[i][0] == len(scored[i].split()) + 1 and abs(got[i][1] - want) < 1e-4 * want
     assert got[6] == got[7] == (0, None)
     assert got[0][1] < got[1][1]  # the same words in another order: bytes of words alone could hardly tell
+
+
+def test_toxicity_copies_count_once(spark):
+    """900 copies of a toxic text must not push out a term that six toxic texts hold."""
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
+    rare = [(f"word{k} zorgh more{k} text{k}", 1) for k in range(6)]
+    texts = rare + [("copied filth again", 1)] * 900 + [(f"plain{k} words about thing{k}", 0) for k in range(200)]
+    rows = [(i, t, x) for i, (t, x) in zip(ids, texts)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels).where("toxic = 1").count() == 7
+    lexicon, _, _ = toxicity.learn(docs, labels)
+    assert any(" zorgh".startswith(t.rstrip()) for t in lexicon)
