@@ -88,14 +88,14 @@ def feature_of(payload: bytes) -> str:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """digest and text of each text's row with the least doc_id, without moving texts while copies are few.
 
-    The other rows' ids are broadcast up to BROADCAST_IDS of them; beyond that the rows are joined by a shuffle. Rows
+    The other rows' ids and digests are broadcast up to BROADCAST_IDS of them; beyond that the rows are joined by a shuffle. Rows
     that repeat a doc_id, or have none, may come through more than once; store() keeps one place for each digest.
     """
     rows = docs.select("doc_id", "text", F.sha2(payload_of(F.col("text")), 256).alias("digest"))
     owner = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(rows.select("doc_id", "digest").join(owner, "digest").where("doc_id > owner").select("doc_id"))
+    copies = stored(rows.select("doc_id", "digest").join(owner, "digest").where("doc_id > owner").select("doc_id", "digest"))
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("digest", "text")
+    return rows.join(F.broadcast(copies) if few else copies, ["doc_id", "digest"], "left_anti").select("digest", "text")
 
 
 def store(texts: DataFrame, folder: str) -> DataFrame:

@@ -371,3 +371,9 @@ def test_toxicity_copies_count_once(spark):
     assert toxicity.training_rows(docs, labels).where("toxic = 1").count() == 7
     lexicon, _, _ = toxicity.learn(docs, labels)
     assert any(" zorgh".startswith(t.rstrip()) for t in lexicon)
+
+
+def test_media_of_repeated_ids_with_different_texts(spark):
+    rows = [(3, "shared"), (5, "shared"), (5, "of its own")]
+    found = media.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.text for r in found} == {"shared", "of its own"}
