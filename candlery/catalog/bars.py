@@ -329,10 +329,10 @@ def _(spark, d):
     return best.join(edges, "island").select(F.col("dst").alias("island"), F.col("l_partkey").alias("gene"), F.col("l_extendedprice").alias("fitness"))
 
 
-@query("top_04_cache_cap", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice from lineitem where l_extendedprice > 0 order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey limit 5000")
+@query("top_04_cache_cap", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice from lineitem where l_extendedprice > 0 order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey limit 50000")
 def _(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return T.keep_best(x, "l_extendedprice", 5000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return T.keep_best(x, "l_extendedprice", 50_000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 @query("top_05_bottom_quarter", """with r as (select c_nationkey as island, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as best, row_number() over (partition by c_nationkey order by c_acctbal, c_custkey desc) as worst, count(*) over (partition by c_nationkey) as n from customer)

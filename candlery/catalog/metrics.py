@@ -26,9 +26,9 @@ def _(spark, d):
     return rounded(M.trade_totals(trades(spark, d), "strategy"), "gross_profit", "gross_loss", places=4)
 
 
-@query("agg_06_ratios", f"with {TRADES} select k4 as strategy, round(count(*) filter (where pnl > 0)/count(*)*100, 6) as win_rate, round({PFX}, 6) as pf from trades where k1 < 2000 group by 1")
+@query("agg_06_ratios", f"with {TRADES} select k4 as strategy, round(count(*) filter (where pnl > 0)/count(*)*100, 6) as win_rate, round({PFX}, 6) as pf from trades group by 1")
 def _(spark, d):
-    t = trades(spark, d).where("k1 < 2000").drop("strategy").withColumnRenamed("k4", "strategy")
+    t = trades(spark, d).drop("strategy").withColumnRenamed("k4", "strategy")
     return rounded(M.with_ratios(M.trade_totals(t, "strategy")).select("strategy", "win_rate", "pf"), "win_rate", "pf")
 
 

@@ -151,4 +151,6 @@ def _(spark, d):
 
 @query("ga_15_walk_forward")
 def _(spark, d):
-    return S.walk_forward(daily(spark, d), GENE, S.window_bounds(spark, 2400, 200, 4, 0.3))
+    bars = daily(spark, d)
+    length = bars.groupBy("symbol").count().agg(F.min("count")).first()[0]  # of the shortest series
+    return S.walk_forward(bars, GENE, S.window_bounds(spark, length, 200, 4, 0.3))
