@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,29 +30,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the folder that driver and executors share (spark.checkpoint.dir).
+    """A new folder name under the folder that driver and executors share (spark.checkpoint.dir), removed with the session.
 
-    Only where that is unset, as in local tests, a temporary folder is made and removed at exit.
+    Only where that is unset and everything runs in this process, as in tests, a temporary folder takes its place.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("candlery.scratch", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="candlery-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("candlery.scratch", base)
-    return f"{base.rstrip('/')}/candlery-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/candlery-{uuid.uuid4().hex}"
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+#: While a scratch table is written: Arrow batches of some MB, so that a task's memory does not depend on how long
+#: 10,000 texts are, and no shuffle files left behind, since the table is what later jobs read.
+_WHILE_STORING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: later jobs, and lost executors, start from the files."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _settings(df.sparkSession, _WHILE_STORING):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of some MB, so that a task's memory does not depend on how long 10,000 texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that stored() wrote and no later step reads."""
+    for t in tables:
+        system, place = _file_system(t.sparkSession, t.stored_at)
+        system.delete(place, True)
+
+
+def fresh(prefix: str, taken: list[str]) -> str:
+    """A column name that none of `taken` has in any case."""
+    taken, name = {t.lower() for t in taken}, prefix
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts: int = 64) -> DataFrame:
+    """rows (key columns, `value` and others) with column `by`: top (F.min or F.max) of value over equal keys.
+
+    A key may hold a third of all rows: rows meet by key and salt, each key's salts meet afterwards, and the result
+    goes back the same way, so no task gets more than a salt's share of a key.
+    """
+    salt = fresh("salt", rows.columns)
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    part = rows.groupBy(*keys, salt).agg(top(value).alias(by))
+    whole = part.groupBy(*keys).agg(top(by).alias(by))
+    part = part.drop(by).join(whole, keys)
+    return rows.join(part, [*keys, salt], "left").drop(salt)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, small_batches, stored, table
+from .common import slices, stored, table
 
 #: Fixed: look-alikes of Latin letters, folded when a text holds any; dashes, quotes and wide blanks become a space.
 HOMOGLYPHS = str.maketrans(
@@ -199,7 +199,6 @@ def fit_curve(rows: DataFrame, lexicon: dict[str, float], exceptions: frozenset[
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], frozenset[str], np.ndarray]:
-    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels)
     lexicon = learn_lexicon(rows)
     exceptions = learn_exceptions(rows, lexicon)
