@@ -97,20 +97,25 @@ def fresh(prefix: str, taken: list[str]) -> str:
     return name
 
 
-def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts: int = 64) -> DataFrame:
-    """rows (key columns, `value` and others) with column `by`: top (F.min or F.max) of value over equal keys.
+def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, salts: int = 64) -> DataFrame:
+    """rows left-joined with other (one row a key) where a key may hold a third of all rows.
 
-    A key may hold a third of all rows: rows meet by key and salt, each key's salts meet afterwards, and the result
-    goes back the same way, so no task gets more than a salt's share of a key.
+    Rows are spread over salts by column `by`; other goes to the keys' salts that occur, at most `salts` a key, so no
+    task gets more than a salt's share of a key.
     """
-    salt = fresh("salt", rows.columns)
-    rows = rows.withColumn(salt, F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
-    part = rows.groupBy(*keys, salt).agg(top(value).alias(by))
-    whole = part.groupBy(*keys).agg(top(by).alias(by))
-    part = part.drop(by).join(whole, keys)
+    salt = fresh("salt", [*rows.columns, *other.columns])
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    part = rows.select(*keys, salt).distinct().join(other, keys)
     return rows.join(part, [*keys, salt], "left").drop(salt)
 
 
+def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts: int = 64) -> DataFrame:
+    """rows with column `by`: top (F.min or F.max) of value over equal keys, a key's rows spread as in join_spread."""
+    salt = fresh("salt", rows.columns)
+    part = rows.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias(salt)).agg(top(value).alias(by))
+    return join_spread(rows, part.groupBy(*keys).agg(top(by).alias(by)), keys, value, salts)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import partitions, scratch, slices, stored, table
+from .common import join_spread, partitions, scratch, slices, stored, table, with_top
 from .files import make_folder, opened
 
 ROW = 192
@@ -85,16 +85,22 @@ def feature_of(payload: bytes) -> str:
     return f"{len(x) // ROW}:{int(x.sum(dtype=np.int64))}:{x.min()}:{x.max()}:{int(np.abs(np.diff(x.astype(np.int16))).sum(dtype=np.int64))}:" + ",".join(map(str, bins))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and the payload's digest of each row."""
+    return docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(payload_of(F.col("text")), 256).alias("digest"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """digest and text of each text's row with the least doc_id, without moving texts while copies are few.
 
-    The other rows' ids and digests are broadcast up to BROADCAST_IDS of them; beyond that the rows are joined by a shuffle. Rows
-    that repeat a doc_id, or have none, may come through more than once; store() keeps one place for each digest.
+    The other rows' ids and digests are broadcast up to BROADCAST_IDS of them (about 100 bytes each); beyond that the
+    rows are joined by a shuffle. Rows that repeat a doc_id, or have none, may come through more than once; store()
+    keeps one place for each digest.
     """
-    rows = docs.select("doc_id", "text", F.sha2(payload_of(F.col("text")), 256).alias("digest"))
-    owner = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(rows.select("doc_id", "digest").join(owner, "digest").where("doc_id > owner").select("doc_id", "digest"))
+    owners = with_top(keyed(docs).select("doc_id", "digest"), ["digest"], "doc_id", "owner", F.min)
+    copies = stored(owners.where("doc_id > owner").select("doc_id", "digest").distinct())
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = docs.select("doc_id", "text", F.sha2(payload_of(F.col("text")), 256).alias("digest"))
     return rows.join(F.broadcast(copies) if few else copies, ["doc_id", "digest"], "left_anti").select("digest", "text")
 
 
@@ -135,7 +141,7 @@ def store(texts: DataFrame, folder: str) -> DataFrame:
             out.close()
 
     places = stored(texts.mapInArrow(run, "digest string, shard string, offset long, length long"))
-    return places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    return stored(places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"))
 
 
 def _reading(manifest: DataFrame, read, schema: str) -> DataFrame:
@@ -181,9 +187,25 @@ def features(manifest: DataFrame) -> DataFrame:
     return _reading(manifest, read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def columns(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, manifest): doc_id, n_bytes, digest, shard, offset, length, width, height and bits of each row of docs.
+
+    Texts are stored once by content. The last three columns come from header-only range reads. Null and empty texts
+    are 192 spaces; repeated rows stay, and rows that share a doc_id but not the text have each their own digest.
+    """
+    manifest = store(one_of_each(docs.select("doc_id", "text")), folder)
+    known = manifest.join(metadata(manifest), "digest")
+    return with_media(keyed(docs), known), manifest
+
+
+def with_media(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with the columns that known has for their digest; a digest that known lacks is an error."""
+    out = join_spread(rows, known, ["digest"], "doc_id")
+    first = next(c for c in known.columns if c != "digest")
+    return out.withColumn(first, F.when(F.col(first).isNull(), F.raise_error(F.lit("a payload is not in the store"))).otherwise(F.col(first)))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null and empty texts are 192 spaces; equal texts share one member; repeated rows stay."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    manifest = store(one_of_each(docs), scratch(spark))
-    rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(payload_of(F.col("text")), 256).alias("digest"))
-    return rows.join(features(manifest), "digest").drop("digest")
+    """columns(), with what the stored bytes give; see there for null, empty and repeated rows."""
+    rows, manifest = columns(table(spark, sf_dir, "documents"), scratch(spark))
+    return with_media(rows, features(manifest))
