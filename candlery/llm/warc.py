@@ -14,29 +14,39 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import scratch, stored, table
+from .common import scratch, stored, table, with_top
 from .files import make_folder, opened
 
 #: Payloads from this size on are stored once.
 SHARED_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 16
+BROADCAST_ROWS = 1_000_000
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, intact boolean"
 
 
+def revisits(pages: DataFrame) -> DataFrame:
+    """again_id, again_digest and best of the rows whose payload a row with a larger page_id has too; no html moves."""
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.where(F.octet_length(payload) >= SHARED_BYTES).select("page_id", F.sha1(payload.cast("binary")).alias("digest"))
+    found = with_top(rows, ["digest"], "page_id", "best", F.max).where("best is not null and not page_id <=> best")
+    return found.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "best").distinct()
+
+
 def with_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, record_type, refers_to: of equal payloads the largest page_id is the response.
+    """page_id, url, html, digest, size, record_type, refers_to: of equal payloads the largest page_id is the response.
 
     Null html is an empty payload. Rows that repeat the largest page_id are all responses; a null page_id counts as
-    smaller than any other.
+    smaller than any other. Revisits are broadcast up to BROADCAST_ROWS of them (about 100 bytes each); beyond that
+    pages are joined by id and digest.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    best = pages.select("page_id", payload.alias("html")).where(F.octet_length("html") >= SHARED_BYTES).select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
-    best = best.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("digest", "best")
-    again = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
-    rows = rows.join(best, "digest", "left").withColumn("again", again)
-    return rows.select("page_id", "url", F.when(~F.col("again"), F.col("html")).alias("html"), "digest", "size", F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("again"), F.col("best")).alias("refers_to"))
+    again = stored(revisits(pages))
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(again) if few else again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    again = F.col("best").isNotNull()
+    return rows.select("page_id", "url", F.when(~again, F.col("html")).alias("html"), "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("best").alias("refers_to"))
 
 
 def _uri(page_id: int | None) -> str:
