@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import PACKED, bucket_of, components, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words
+from .common import PACKED, bucket_of, components, join_spread, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words, with_top
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -224,8 +224,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    rows = stored(documents_keys(docs.where("doc_id is not null")))
-    classes = rows.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    rows = with_top(stored(documents_keys(docs.where("doc_id is not null"))), ["k1", "k2", "n_shingles"], "doc_id", "class_id", F.min)
+    rows = stored(rows.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))))
+    classes = rows.where("n_shingles > 0 and doc_id = class_id").select("k1", "n_shingles", "class_id").distinct()
     shared = to_buckets(_prefixes(docs, buckets), _shared, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
     enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("n_shingles") * (LEAST / 100) * SHARE)))
     chosen = stored(classes.join(shared, "k1").where(F.col("shared") >= enough).select(F.col("class_id").alias("doc_id")))
@@ -255,7 +256,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cross = marked.join(other, "token").where((F.col("component") < F.col("other")) & near & (apart * (100 + LEAST) <= (F.col("n") + F.col("m")) * (100 - LEAST)))
     cross = cross.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = _verified(cross, sets)
-    return rows.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), components(found.union(more))
+    return rows.select("doc_id", "n_shingles", "class_id"), components(found.union(more))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """
     rows, linked = links(docs)
     linked = linked.select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
-    return rows.join(linked, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
+    return join_spread(rows, linked, ["class_id"], "doc_id").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
