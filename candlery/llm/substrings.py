@@ -78,14 +78,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     repeated rows of one doc_id count as one document, each cut alike.
     """
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
-    rows = with_runs(docs.select(*kept), repeated(docs))
+    rows, runs = with_runs(docs.select(*kept), repeated(docs.select("doc_id", "text")))
 
     def run(batches):
         for batch in slices(batches):
             split = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
             n = np.fromiter(map(len, split), np.int64, len(split))
             first = np.concatenate([[0], np.cumsum(n)])
-            gone = covered(batch.column("_runs"), first, WIDTH)
+            gone = covered(batch.column(runs), first, WIDTH)
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
             bodies = [b" ".join(ws if not r else [w for w, g in zip(ws, gone[a:b].tolist()) if not g]) for ws, r, a, b in zip(split, removed.tolist(), first[:-1].tolist(), first[1:].tolist())]
             texts = pa.array([b.decode() for b in bodies], pa.string(), mask=batch.column("text").is_null().to_numpy(zero_copy_only=False))

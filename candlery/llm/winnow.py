@@ -9,6 +9,10 @@ the same anchor. Segments are dealt out by anchor, not by document:
 2. Only the earliest of segments that share an anchor but differ are sent out with their symbols, and a `compare`
    function finds their common windows.
 
+An anchor with more than HOT differing segments is split, without losing a window: of the symbols around an anchor, a
+window holds at least half either before or after it, so segments part into windows of the one kind and of the other,
+and each goes by that longer run of symbols in place of the anchor.
+
 What comes back are runs of repeated windows, which the caller joins with the documents.
 """
 
@@ -18,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import PACKED, bucket_of, mix, packed, partitions, slices, stored, to_buckets, unpacked, window_hashes
+from .common import PACKED, bucket_of, fresh, mix, packed, partitions, slices, stored, to_buckets, unpacked, window_hashes
 
 #: seg: hash of the segment; start: its first symbol in the document; count: its windows; off: its anchor's place.
 SEGMENT = np.dtype([("seg", "<u8"), ("start", "<u4"), ("count", "<u2"), ("off", "u1"), ("settled", "u1")])
 RUNS = "doc_id long, start long, count long"
+HOT = 4096
+#: Bytes of segments that are compared at once; one anchor's are not cut.
+COLLECTION = 4 << 20
 
 
 def least_positions(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,16 +80,35 @@ def _earliest(doc: np.ndarray, start: np.ndarray, group: np.ndarray, same_doc: b
 
 
 def _settle(doc: np.ndarray, anchor: np.ndarray, seg: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (anchor, segment, doc, start); which rows in that order are earliest; which share an anchor with another segment."""
+    """Order by (anchor, segment, doc, start); which rows in that order are earliest; how many different segments their anchors have."""
     order = np.lexsort((seg["start"], doc, seg["seg"], anchor))
     doc, anchor, seg = doc[order], anchor[order], seg[order]
     if not len(order):
-        return order, np.zeros(0, bool), np.zeros(0, bool)
+        return order, np.zeros(0, bool), np.zeros(0, np.int64)
     new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     new = new_anchor | np.concatenate([[True], seg["seg"][1:] != seg["seg"][:-1]])
     first = _earliest(doc, seg["start"], np.cumsum(new), same_doc)
     kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))
-    return order, first, (kinds > 1)[np.cumsum(new_anchor) - 1]
+    return order, first, kinds[np.cumsum(new_anchor) - 1]
+
+
+def split_hot(symbols: np.ndarray, base: np.ndarray, anchors: np.ndarray, seg: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of segments (base: where their texts begin in symbols) by their windows' longer side: which segment, key and SEGMENT."""
+    half = (width - anchor + 1) // 2
+    off, count = seg["off"].astype(np.int64), seg["count"].astype(np.int64)
+    longer = mix(window_hashes(symbols, anchor + half, np.uint64(0xA0761D6478BD642F)))
+    place = base + seg["start"] + off
+    cut = np.clip(off - half, 0, count)  # windows before it have at least half of the rest in front of the anchor
+    which, keys, parts = [], [], []
+    for begin, end, at in ((np.zeros_like(cut), cut, place - half), (cut, count, place)):
+        i = np.flatnonzero(end > begin)
+        part = seg[i].copy()
+        part["start"] += begin[i].astype(np.uint32)
+        part["count"], part["off"] = end[i] - begin[i], off[i] - begin[i]
+        which.append(i)
+        keys.append(mix(anchors[i] ^ longer[at[i]] + np.uint64(len(which))))
+        parts.append(part)
+    return np.concatenate(which), np.concatenate(keys), np.concatenate(parts)
 
 
 def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int, same_doc: bool, symbol: type) -> DataFrame:
@@ -112,21 +138,21 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
     def gather(batches):
         doc, anchors, seg = unpacked(batches, np.int64, SEGMENT)
         known = seg["settled"] == 1
-        out = [(doc[known], anchors[known], seg[known], np.zeros(known.sum(), bool))]
+        out = [(doc[known], anchors[known], seg[known], np.zeros(known.sum(), bool), np.zeros(known.sum(), bool))]
         doc, anchors, seg = doc[~known], anchors[~known], seg[~known]
-        order, early, mixed = _settle(doc, anchors, seg, same_doc)
+        order, early, kinds = _settle(doc, anchors, seg, same_doc)
         doc, anchors, seg = doc[order], anchors[order], seg[order]
-        use = ~early | mixed
-        out.append((doc[use], anchors[use], seg[use], early[use]))
-        for doc, anchors, seg, ask in out:
+        use = ~early | (kinds > 1)
+        out.append((doc[use], anchors[use], seg[use], early[use], kinds[use] > HOT))
+        for doc, anchors, seg, ask, hot in out:
             order = np.lexsort((seg["start"], doc))
             for a in range(0, len(order), 1 << 17):
                 i = order[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(seg["start"][i].astype(np.int64)), pa.array(seg["count"][i].astype(np.int64)), pa.array(ask[i]), pa.array(anchors[i].view(np.int64)), pa.array(seg["off"][i].astype(np.int32))],
-                                                 names=["doc_id", "start", "count", "ask", "anchor", "off"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(seg["start"][i].astype(np.int64)), pa.array(seg["count"][i].astype(np.int64)), pa.array(ask[i]), pa.array(anchors[i].view(np.int64)), pa.array(seg["off"][i].astype(np.int32)), pa.array(hot[i])],
+                                                 names=["doc_id", "start", "count", "ask", "anchor", "off", "hot"])
 
-    found = stored(to_buckets(docs.mapInArrow(cut, PACKED), gather, f"{RUNS}, ask boolean, anchor long, off int"))
-    asked = found.where("ask").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "off", "anchor")).alias("asked"))
+    found = stored(to_buckets(docs.mapInArrow(cut, PACKED), gather, f"{RUNS}, ask boolean, anchor long, off int, hot boolean"))
+    asked = found.where("ask").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "off", "anchor", "hot")).alias("asked"))
     schema = "bucket int, docs binary, anchors binary, segs binary, data binary"
 
     def send(batches):
@@ -136,11 +162,18 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
             asked = batch.column("asked").combine_chunks() if isinstance(batch.column("asked"), pa.ChunkedArray) else batch.column("asked")
             per = np.diff(asked.offsets.to_numpy())
             start, count, off, anchors = (asked.flatten().field(i).to_numpy() for i in range(4))
-            text = np.repeat(np.arange(len(per)), per)
-            doc, anchors = batch.column("doc_id").to_numpy()[text], anchors.view(np.uint64)
+            hot = asked.flatten().field(4).to_numpy(zero_copy_only=False)
+            text, anchors = np.repeat(np.arange(len(per)), per), anchors.view(np.uint64)
             seg = np.zeros(len(text), SEGMENT)
             seg["start"], seg["count"], seg["off"] = start, count, off
-            begin, size = first[text] + start, count + (width - 1)
+            if hot.any():
+                i = np.flatnonzero(hot)
+                which, keys, parts = split_hot(symbols, first[text[i]], anchors[i], seg[i], width, anchor)
+                text, anchors, seg = (np.concatenate([x[~hot], y]) for x, y in ((text, text[i][which]), (anchors, keys), (seg, parts)))
+                order = np.lexsort((seg["start"], text))
+                text, anchors, seg = text[order], anchors[order], seg[order]
+            doc = batch.column("doc_id").to_numpy()[text]
+            begin, size = first[text] + seg["start"], seg["count"].astype(np.int64) + (width - 1)
             bucket = bucket_of(mix(anchors), buckets)
             order = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
@@ -167,8 +200,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
         order = np.lexsort((seg["start"], doc, anchors_))
         edges = np.flatnonzero(np.concatenate([[True], anchors_[order][1:] != anchors_[order][:-1]])) if len(order) else np.zeros(0, int)
         filled = np.concatenate([[0], np.cumsum(size[order])])
-        # Whole groups of one anchor, about 1 MB of symbols at a time.
-        chunk = np.unique(np.searchsorted(filled[edges], np.arange(0, filled[-1] + 1, max(1, (1 << 20) // data.itemsize))))
+        chunk = np.unique(np.searchsorted(filled[edges], np.arange(0, filled[-1] + 1, max(1, COLLECTION // data.itemsize))))
         cuts = edges[np.minimum(chunk, len(edges) - 1)] if len(edges) else edges
         cuts = np.unique(np.concatenate([[0], cuts, [len(order)]])).astype(np.int64)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -189,10 +221,11 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
     return found.where("not ask").select("doc_id", "start", "count").unionByName(to_buckets(sent, match, RUNS))
 
 
-def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """docs with their runs as a list; a document's own list is bounded by its text."""
-    lists = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("_runs")).withColumnRenamed("doc_id", "_id")
-    return docs.join(lists, docs["doc_id"] == lists["_id"], "left").drop("_id")
+def with_runs(docs: DataFrame, runs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with their runs as a list, and that column's name; a document's own list is bounded by its text."""
+    name, key = fresh("runs", docs.columns), fresh("of", docs.columns)
+    lists = runs.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "count")).alias(name))
+    return docs.join(lists, docs["doc_id"] == lists[key], "left").drop(key), name
 
 
 def covered(runs: pa.Array, first: np.ndarray, width: int) -> np.ndarray:

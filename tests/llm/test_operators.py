@@ -137,10 +137,40 @@ def plain_bytes(rows):
 
 def test_suffix(docs, rows, awkward):
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    short = [(d, t[:20_000] if t else t) for d, t in AWKWARD]
-    assert by_id(suffix.dedup(awkward.withColumn("text", F.substring("text", 1, 20_000))), *names) == plain_bytes(short)
-    few = [r for r in rows if len(r[1] or "") < 20_000]
-    assert by_id(suffix.dedup(docs.where("coalesce(length(text), 0) < 20000")), *names) == plain_bytes(few)
+    assert by_id(suffix.dedup(awkward), *names) == plain_bytes(AWKWARD)
+    assert by_id(suffix.dedup(docs), *names) == plain_bytes(rows)
+
+
+def test_suffix_order_against_sorting(tmp_path, monkeypatch):
+    """The column-wise order over files equals sorted suffixes and their common prefixes, whatever the blocks' size."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for turn in range(25):
+        monkeypatch.setattr(suffix, "BLOCK", int(rng.integers(3, 60)))
+        size = rng.integers(1, 30, int(rng.integers(1, 12)))
+        data = rng.integers(97, 97 + int(rng.integers(1, 5)), size.sum()).astype(np.uint8)
+        before, common = suffix.collection_order(data, size, f"{tmp_path}/{turn}")
+        texts = [data[b - n : b].tolist() for b, n in zip(np.cumsum(size), size)]
+        want = sorted((t[k:] + [i - 1000], i, len(t) - k) for i, t in enumerate(texts) for k in range(len(t) + 1))
+        owner, length = suffix.suffixes_of(before, size)
+        assert [x[1:] for x in want] == list(zip(owner.tolist(), length.tolist()))
+        shared = [0] + [next(k for k, (x, y) in enumerate(zip(a[0], b[0])) if x != y) for a, b in zip(want, want[1:])]
+        assert shared == common.tolist() and not list(tmp_path.iterdir())
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    import random
+
+    from candlery.llm import winnow
+
+    monkeypatch.setattr(winnow, "HOT", 1)
+    r, line = random.Random(3), " ".join(f"cw{i}" for i in range(20))
+    rows = [(i, " ".join(f"x{r.randrange(400)}" for _ in range(r.randrange(40))) + " " + line[: r.choice([60, 80, 100])] + " " + " ".join(f"y{r.randrange(40)}" for _ in range(r.randrange(40)))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1][5:]) for i in range(0, 200, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert by_id(suffix.dedup(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_bytes(rows)
+    assert by_id(substrings.dedup(df), "n_words", "n_removed", "kept_sha256") == plain_words(rows)
 
 
 # -- 5
@@ -166,7 +196,7 @@ def test_media(spark, docs, rows, awkward, tmp_path):
     folder = f"{tmp_path}/shards"
     manifest = media.store(media.one_of_each(awkward), folder).cache()
     assert manifest.count() == len({media.pad((t or "").encode()) for _, t in AWKWARD})
-    found = {r.digest: r for r in media.features(manifest).collect()}
+    found = {r.digest: r for r in media.features(media.in_reading_order(manifest)).collect()}
     for _, text in AWKWARD:
         payload = media.pad((text or "").encode())
         r = found[sha(payload)]
