@@ -97,23 +97,16 @@ def fresh(prefix: str, taken: list[str]) -> str:
     return name
 
 
-def join_spread(rows: DataFrame, other: DataFrame, keys: list[str], by: str, salts: int = 64) -> DataFrame:
-    """rows left-joined with other (one row a key) where a key may hold a third of all rows.
+def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts: int = 64) -> DataFrame:
+    """rows with column `by`: top (F.min or F.max) of value over equal keys; null keys are on their own.
 
-    Rows are spread over salts by column `by`; other goes to the keys' salts that occur, at most `salts` a key, so no
-    task gets more than a salt's share of a key.
+    A key may hold a third of all rows: its rows meet by key and salt first, its salts afterwards, and only keys with
+    several rows come back, as a table of their own, so that the join with rows can be split where it is skewed.
     """
-    salt = fresh("salt", [*rows.columns, *other.columns])
-    rows = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    part = rows.select(*keys, salt).distinct().join(other, keys)
-    return rows.join(part, [*keys, salt], "left").drop(salt)
-
-
-def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts: int = 64) -> DataFrame:
-    """rows with column `by`: top (F.min or F.max) of value over equal keys, a key's rows spread as in join_spread."""
     salt = fresh("salt", rows.columns)
-    part = rows.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias(salt)).agg(top(value).alias(by))
-    return join_spread(rows, part.groupBy(*keys).agg(top(by).alias(by)), keys, value, salts)
+    part = rows.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias(salt)).agg(top(value).alias(by), F.count("*").alias("n"))
+    whole = stored(part.groupBy(*keys).agg(top(by).alias(by), F.sum("n").alias("n")).where("n > 1").drop("n"))
+    return rows.join(whole, keys, "left").withColumn(by, F.coalesce(by, value))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import PACKED, bucket_of, components, join_spread, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words, with_top
+from .common import PACKED, bucket_of, components, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words, with_top
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -267,7 +267,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """
     rows, linked = links(docs)
     linked = linked.select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
-    return join_spread(rows, linked, ["class_id"], "doc_id").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
+    return rows.join(linked, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

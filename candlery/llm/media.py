@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import join_spread, partitions, scratch, slices, stored, table, with_top
+from .common import partitions, scratch, slices, stored, table, with_top
 from .files import make_folder, opened
 
 ROW = 192
@@ -98,7 +98,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keeps one place for each digest.
     """
     owners = with_top(keyed(docs).select("doc_id", "digest"), ["digest"], "doc_id", "owner", F.min)
-    copies = stored(owners.where("doc_id > owner").select("doc_id", "digest").distinct())
+    copies = stored(owners.where("doc_id > owner").select("doc_id", "digest"))
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select("doc_id", "text", F.sha2(payload_of(F.col("text")), 256).alias("digest"))
     return rows.join(F.broadcast(copies) if few else copies, ["doc_id", "digest"], "left_anti").select("digest", "text")
@@ -145,64 +145,69 @@ def store(texts: DataFrame, folder: str) -> DataFrame:
 
 
 def _reading(manifest: DataFrame, read, schema: str) -> DataFrame:
-    """read(file, offset, length) -> values, for each row of the manifest; neighbours in a shard are read in turn."""
-    names = ["digest", *(x.split()[0] for x in schema.split(", "))]
-    kinds = [pa.string(), *({"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(", "))]
+    """manifest's columns and read(file, offset, length) -> values of each row; neighbours in a shard are read in turn."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    new = [(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]
+    kept = [c for c in manifest.columns if c not in dict(new)]
 
     def run(batches):
         for batch in batches:
             rows, name, file = [], None, None
-            for digest, shard, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length"))):
                 if shard != name:
                     if file is not None:
                         file.close()
                     system, local = opened(shard)
                     name, file = shard, system.open_input_file(local)
-                rows.append((digest, *read(file, offset, length)))
+                rows.append(read(file, offset, length))
             if file is not None:
                 file.close()
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(new))], names=[*kept, *dict(new)])
 
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in manifest.select(*kept).schema)
+    return manifest.select(*kept).mapInArrow(run, f"{fields}, {schema}")
+
+
+def in_reading_order(manifest: DataFrame) -> DataFrame:
+    """Members dealt out by stretches of their shards, in the order in which they lie there."""
     part = F.floor(F.col("offset") / READ_BYTES)
-    rows = manifest.select("digest", "shard", "offset", "length").repartition(partitions(manifest.sparkSession), "shard", part)
-    return rows.sortWithinPartitions("shard", "offset").mapInArrow(run, f"digest string, {schema}")
+    return manifest.repartition(partitions(manifest.sparkSession), "shard", part).sortWithinPartitions("shard", "offset")
 
 
 def metadata(manifest: DataFrame) -> DataFrame:
-    """digest, width, height and bits of each member, from range reads of 33 bytes."""
+    """manifest with width, height and bits of each member, from range reads of 33 bytes."""
     return _reading(manifest, lambda file, offset, length: png_header(file.read_at(HEADER_BYTES, offset)), "width int, height int, bits int")
 
 
 def features(manifest: DataFrame) -> DataFrame:
-    """What the stored bytes of each member give: sizes, digests of the media and of its payload, and the feature."""
+    """manifest with what the stored bytes of each member give: sizes, digests of media and payload, and the feature."""
 
     def read(file, offset, length):
-        width, height, _ = png_header(file.read_at(min(HEADER_BYTES, length), offset))
         media = file.read_at(length, offset)
         payload = from_png(media)
-        if len(payload) != width * height:
-            raise ValueError("header and body differ")
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)
 
     return _reading(manifest, read, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def columns(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, manifest): doc_id, n_bytes, digest, shard, offset, length, width, height and bits of each row of docs.
+    """(rows, manifest): doc_id, n_bytes and digest of each row of docs; digest, shard, offset, length, width, height
+    and bits of each payload, the last three from header-only range reads.
 
-    Texts are stored once by content. The last three columns come from header-only range reads. Null and empty texts
-    are 192 spaces; repeated rows stay, and rows that share a doc_id but not the text have each their own digest.
+    Texts are stored once by content. Null and empty texts are 192 spaces; repeated rows stay, and rows that share a
+    doc_id but not the text have each their own digest.
     """
     manifest = store(one_of_each(docs.select("doc_id", "text")), folder)
-    known = manifest.join(metadata(manifest), "digest")
-    return with_media(keyed(docs), known), manifest
+    return keyed(docs), metadata(in_reading_order(manifest))
 
 
 def with_media(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with the columns that known has for their digest; a digest that known lacks is an error."""
-    out = join_spread(rows, known, ["digest"], "doc_id")
-    first = next(c for c in known.columns if c != "digest")
-    return out.withColumn(first, F.when(F.col(first).isNull(), F.raise_error(F.lit("a payload is not in the store"))).otherwise(F.col(first)))
+    """rows with the columns that known has for their digest; a digest that known lacks is an error.
+
+    A hot digest is split by Spark's skew join: both sides come to the join straight from their exchange.
+    """
+    there = F.coalesce("shard", F.raise_error(F.lit("a payload is not in the store")).cast("string"))
+    return rows.join(known, "digest", "left").withColumn("shard", there)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
