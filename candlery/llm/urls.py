@@ -1,6 +1,6 @@
 """URL filter with DataFrame functions only: rules first, then logistic regression on hashed character n-grams.
 
-The model is trained on a small labelled table of URLs, given or the fixed one below; its size is bounded by
+The model is trained on a small labelled table of URLs, given or the one made below; its size is bounded by
 TRAINING_URLS. Scoring is one sum over a coefficient array inside each row.
 """
 
@@ -9,27 +9,39 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import LOWER_ASCII, UPPER_ASCII, table
+from .common import LOWER_ASCII, UPPER_ASCII, fresh, table
 
 #: Fixed: rules of host and path beginning with their verdicts.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Fixed: hand-labelled URLs to learn from (1: block).
-BLOCKED_HOSTS = "cheap-pills casino-win free-bets spam-farm hot-dates buy-followers quick-loans miracle-diet adult-cams fake-watches lottery-prize payday-cash poker-bonus viagra-shop crypto-doubler torrent-warez clickbait-farm link-farm slots-jackpot replica-bags".split()
-ALLOWED_HOSTS = "city-library open-journal weather-report school-board museum-guide garden-notes river-trust chess-club bird-atlas town-hall maths-forum book-review train-times science-daily recipe-box hill-walks music-archive law-review coding-notes history-project".split()
-PATHS = ["/", "/en/12", "/de/404.html", "/fr/index", "/es/7?page=2", "/about", "/article/2021/05/notes"]
-#: Fixed: parts of ordinary names; the table takes pairs of them as further hosts to allow.
-SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ing tion ble wh ly sh".split()
-SUBDOMAINS, TOPS = ["", "www.", "m.", "blog."], ["com", "org", "net"]
-GRAMS, FEATURES, TRAINING_URLS = (3, 4), 1 << 12, 2_000
+#: Words that a labeller would know hosts to block by, and words of ordinary hosts; the labelled table pairs them.
+BLOCKED_WORDS = """ads adult airdrop bets bonus bookie bulk cams casino cheap clicks crack craps credit dating debt diet discount doubler escort fake
+followers gamble giveaway hookup jackpot keygen kush loans lottery meds mlm nude payday pharma pills poker popup porn prize replica roulette serial
+slim slots spam steroid streamz torrent tracker traffic vegas viagra wager warez winner xxx""".split()
+ALLOWED_WORDS = """academy archive atlas bakery bird book bridge choir city clinic coast college council craft daily farm forum gallery garden guide
+harbour health heritage hill history hotel journal kitchen law library maths museum music nature news north notes orchard park physics
+poetry press recipe research review river school science street theatre town trails trains travel valley village weather wood""".split()
+#: Made-up names of consonants and vowels, as of firms and people, to be allowed too.
+CONSONANTS, VOWELS = "bcdfghjklmnprstvwz", "aeiou"
+PATHS = ["/", "/en/12", "/de/404.html", "/fr/index", "/es/7?page=2", "/about", "/article/2021/05/notes", "/en/2210#top"]
+BLOCKED_PATHS = ["/bonus/claim", "/buy-now", "/order?promo=99", "/go/signup"]
+SUBDOMAINS, TOPS, JOINTS = ["", "www.", "m.", "blog.", "shop."], ["com", "org", "net", "info", "example.com", "example.org", "example.net"], ["-", "", "-", "."]
+GRAMS, FEATURES, TRAINING_URLS = (3, 4), 1 << 12, 1_200
+
+
+def labelled_urls(blocked: int = 500, allowed: int = 700) -> list[tuple[str, int]]:
+    """The labelled table: a URL for each of so many distinct hosts; (url, 1 to block, 0 to allow)."""
+    rows = []
+    for label, words, count, paths in ((1, BLOCKED_WORDS, blocked, PATHS + BLOCKED_PATHS), (0, ALLOWED_WORDS, allowed * 5 // 7, PATHS)):
+        n = len(words)
+        rows += [(f"{words[k % n]}{JOINTS[(k + k // n) % 4]}{words[(k + 1 + k // n) % n]}", label, k, paths) for k in range(count)]
+    for k in range(allowed - allowed * 5 // 7):
+        name = "".join((CONSONANTS, VOWELS)[(i + k) % 2][(7 * k + 5 * i + k // 9 * i) % (len(CONSONANTS), len(VOWELS))[(i + k) % 2]] for i in range(5 + k % 5))
+        rows.append((name, 0, k, PATHS))
+    return [(f"https://{SUBDOMAINS[k % 5]}{host}.{TOPS[k % 7]}{paths[k % len(paths)]}", label) for host, label, k, paths in rows]
 
 
 def fixed_labels(spark: SparkSession) -> DataFrame:
-    """The fixed labelled table: each blocked name eight times, and as many URLs of plain names."""
-    names = [a + b for i, a in enumerate(SYLLABLES) for b in SYLLABLES[i % 5 :: 5]]
-    blocked = [(name, 1, j) for name in BLOCKED_HOSTS for j in range(12)]
-    allowed = [(name, 0, j) for name in ALLOWED_HOSTS for j in range(4)] + [(f"th{n}" if k % 3 == 0 else n, 0, k) for k, n in enumerate(names)]
-    rows = [(f"https://{SUBDOMAINS[(i + j) % 4]}{name}.example.{TOPS[(i + j // 4) % 3]}{PATHS[(3 * i + j) % 7]}", label) for i, (name, label, j) in enumerate(blocked + allowed)]
-    return spark.createDataFrame(rows, "url string, blocked int")
+    return spark.createDataFrame(labelled_urls(), "url string, blocked int")
 
 
 def host_of(url: Column) -> Column:
@@ -99,7 +111,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] =
     stay; columns of pages named like a new one are replaced.
     """
     new = ("host", "path", "rule", "score", "verdict")
-    kept = [c for c in pages.columns if c not in new]
+    kept = [f"`{c}`" for c in pages.columns if c.lower() not in new]
+    fit, slots, ruled = (fresh(c, pages.columns) for c in ("fit", "slots", "ruled"))
     rows = pages.select(*kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     fits = []
     for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r)):
@@ -108,11 +121,23 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] =
         fits.append(F.when(same & F.startswith(F.col("path"), F.lit("/" + path)), F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
     weights = train(labelled)
     coefficients = F.lit(np.round(weights[:-1], 9))
-    rows = rows.select(*kept, "host", "path", F.coalesce(*fits, F.lit(None)).alias("fit") if fits else F.lit(None).alias("fit"), F.explode(F.array(_grams())).alias("slots"))
-    total = F.aggregate("slots", F.lit(0.0), lambda s, i: s + F.element_at(coefficients, i + 1))
-    score = 1 / (1 + F.exp(-(total / F.greatest(F.size("slots"), F.lit(1)) + F.lit(float(weights[-1])))))
-    rows = rows.select(*kept, "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled"), score.alias("score"))
-    return rows.select(*kept, "host", "path", "rule", "score", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"))
+    rows = rows.select(*kept, "host", "path", F.coalesce(*fits, F.lit(None)).alias(fit) if fits else F.lit(None).cast("struct<rule: string, verdict: string>").alias(fit), F.explode(F.array(_grams())).alias(slots))
+    total = F.aggregate(slots, F.lit(0.0), lambda s, i: s + F.element_at(coefficients, i + 1))
+    score = 1 / (1 + F.exp(-(total / F.greatest(F.size(slots), F.lit(1)) + F.lit(float(weights[-1])))))
+    rows = rows.select(*kept, "host", "path", F.col(fit)["rule"].alias("rule"), F.col(fit)["verdict"].alias(ruled), score.alias("score"))
+    return rows.select(*kept, "host", "path", "rule", "score", F.coalesce(ruled, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"))
+
+
+def held_out(spark: SparkSession, labelled: list[tuple[str, int]], folds: int = 5) -> tuple[float, float]:
+    """Share of blocked hosts caught and of allowed hosts left alone, each host judged by a model that never saw it."""
+    caught = left = 0
+    for fold in range(folds):
+        learn = spark.createDataFrame([r for k, r in enumerate(labelled) if k % folds != fold], "url string, blocked int")
+        rest = spark.createDataFrame([r for k, r in enumerate(labelled) if k % folds == fold], "url string, blocked int")
+        a, b = judge(rest, learn, []).agg(F.expr("count_if(blocked = 1 and verdict = 'block')"), F.expr("count_if(blocked = 0 and verdict = 'allow')")).first()
+        caught, left = caught + a, left + b
+    bad = sum(x for _, x in labelled)
+    return caught / bad, left / (len(labelled) - bad)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
