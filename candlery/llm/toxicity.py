@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, stored, table
+from .common import fresh, slices, stored, table
 
 #: Fixed: look-alikes of Latin letters, folded when a text holds any; dashes, quotes and wide blanks become a space.
 HOMOGLYPHS = str.maketrans(
@@ -37,6 +37,8 @@ SUPPORT, CLEAN_SUPPORT = 4, 3
 #: Up to this many candidate terms clean rows count only those; beyond, all terms are counted and joined as tables.
 CANDIDATES = 200_000
 BROADCAST_LABELS = 2_000_000
+#: Terms and phrases that a task holds before it hands on what it has counted.
+HELD_TERMS = 200_000
 
 
 def fold(text: str | None) -> str:
@@ -69,11 +71,19 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
     """For each term (of known, or all): documents with it, and which of 64 kinds of word precede it."""
 
+    def rows_of(count, before):
+        names = list(count)
+        kinds = [(b := before.get(t, 0)) - (b >> 63 << 64) for t in names]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[t] for t in names], pa.int64()), pa.array(kinds, pa.int64())], names=["term", "n", "before"])
+
     def run(batches):
         count, before, docs = Counter(), {}, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 docs += 1
+                if len(count) > HELD_TERMS:
+                    yield rows_of(count, before)
+                    count, before = Counter(), {}
                 words, seen = fold(text).split(), {}
                 for a, b in zip([""] + words, words):
                     seen.setdefault(b, a)
@@ -87,9 +97,7 @@ def _counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
                                 before[term] = before.get(term, 0) | bit
                 count.update(mine)
         count[""] = docs
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(count)), pa.array(list(count.values()), pa.int64()), pa.array([x - (x >> 63 << 64) for x in map(lambda t: before.get(t, 0), count)], pa.int64())], names=["term", "n", "before"]
-        )
+        yield rows_of(count, before)
 
     return rows.select("text").mapInArrow(run, "term string, n long, before long").groupBy("term").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("before")).alias("kinds"))
 
@@ -136,8 +144,10 @@ class Matcher:
             if at in out and out[at][0] >= weight:
                 continue
             word = folded[at : folded.index(" ", at)]
-            left = folded[max(0, at - 40) : at].rsplit(None, 1)
-            phrase = f"{left[-1] if left else ''} {word}"
+            last = at - 1
+            while last > 0 and folded[last - 1] == " ":
+                last -= 1
+            phrase = f"{folded[folded.rfind(' ', 0, last) + 1 : last]} {word}"
             if word not in self.exceptions and phrase not in self.exceptions:
                 out[at] = weight, word, phrase
         return out
@@ -157,13 +167,19 @@ def learn_exceptions(rows: DataFrame, lexicon: dict[str, float]) -> frozenset[st
     An exception needs CLEAN_SUPPORT clean rows, and four for each toxic one.
     """
 
+    def rows_of(count):
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in count], pa.string()), pa.array([t for _, t in count], pa.int32()), pa.array(list(count.values()), pa.int64())], names=["phrase", "toxic", "n"])
+
     def run(batches):
         matcher, count = Matcher(lexicon), Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = matcher.matches(fold(text)).values()
                 count.update((p, toxic) for p in {x for _, word, phrase in found for x in (word, phrase)})
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in count], pa.string()), pa.array([t for _, t in count], pa.int32()), pa.array(list(count.values()), pa.int64())], names=["phrase", "toxic", "n"])
+                if len(count) > HELD_TERMS:
+                    yield rows_of(count)
+                    count = Counter()
+        yield rows_of(count)
 
     n = rows.mapInArrow(run, "phrase string, toxic int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") != 0, F.col("n")).otherwise(0)).alias("bad"))
     return frozenset(r.phrase for r in n.where((F.col("clean") >= CLEAN_SUPPORT) & (F.col("bad") * 4 <= F.col("clean"))).collect())
@@ -211,8 +227,8 @@ def score(docs: DataFrame, model: tuple[dict[str, float], frozenset[str], np.nda
     Null and empty texts match nothing and get the curve's lowest value; repeated rows get equal scores; without
     labels nothing is known to be toxic, and every score is low.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "n_matches")]
-    docs = docs.select(*kept)
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "n_matches")]
+    docs = docs.select(*(f"`{c}`" for c in kept))
     lexicon, exceptions, weights = model
 
     def run(batches):
@@ -228,8 +244,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], frozenset[str], np.nda
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score 0.5 or more."""
-    return score(docs, learn(docs, labels)).where("predicted = 0").select(*docs.columns)
+    """docs without those that score 0.5 or more; columns named like those of score() keep their values."""
+    model, names = learn(docs, labels), {c: fresh(f"c{i}_", docs.columns) for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = score(docs.withColumnsRenamed(names), model).where("predicted = 0")
+    return rows.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

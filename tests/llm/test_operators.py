@@ -189,6 +189,41 @@ def test_urls(spark):
         assert got[i].verdict == verdict if rule else got[i].verdict in ("allow", "block")
 
 
+def test_url_scores_against_a_plain_model(spark):
+    import math
+
+    import xxhash
+
+    labels = urls.fixed_labels(spark)
+    weights = urls.train(labels)
+    sample = ["https://www.casino-pills.com/bonus/claim?x", "http://river-library.org/en/12", None, "", "x://A.b", "http://" + "ab" * 5000 + "/" + "ü" * 300, "http://same.org/", "http://same.org/"]
+    pages = spark.createDataFrame([(i, u, "own", 7, "r") for i, u in enumerate(sample)], "page_id long, url string, fit string, slots int, ruled string")
+    got = {r.page_id: r for r in urls.judge(pages, labels, []).collect()}
+    for i, url in enumerate(sample):
+        _, mark, rest = (url or "").partition("://")
+        host = re.split("[/?#]", rest, maxsplit=1)[0] if mark else ""
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0] if mark else ""
+        host, total, count = lower(host), 0.0, 0
+        for name, part in (("host", host), ("path", path)):
+            marked = f"^{part}$"
+            for n in urls.GRAMS:
+                for k in range(len(marked) - n + 1):
+                    h = xxhash.xxh64_intdigest(marked[k : k + n].encode(), xxhash.xxh64_intdigest(name.encode(), 42))
+                    total, count = total + round(weights[h % urls.FEATURES], 9), count + 1
+        want = 1 / (1 + math.exp(-(total / max(count, 1) + weights[-1])))
+        assert (got[i].host, got[i].path, got[i].fit, got[i].slots, got[i].ruled) == (host, path, "own", 7, "r")
+        assert abs(got[i].score - want) < 1e-6 and got[i].verdict == ("block" if want >= 0.5 else "allow"), url
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge(empty, labels).count() == 0
+    assert {r.verdict for r in urls.judge(pages, labels.limit(0), []).collect()} == {"block"}  # nothing learnt: 0.5 for all
+
+
+def test_urls_of_unseen_hosts(spark):
+    """Each labelled host judged by a model that never saw it; and none of the table's names is a host of pages."""
+    caught, left = urls.held_out(spark, urls.labelled_urls())
+    assert caught >= 0.9 and left >= 0.9
+
+
 # -- 6
 
 
@@ -313,6 +348,31 @@ def test_toxicity(spark, docs, awkward, sf_dir):
     assert toxicity.score(awkward, toxicity.learn(docs, labels.limit(0))).where("score >= 0.5").count() == 0
 
 
+def test_toxicity_against_a_plain_matcher(spark):
+    """Matches, exceptions and normalisation by length, with plain substring search instead of the automaton."""
+    import math
+
+    lexicon, exceptions, weights = {" stup": 2.0, " idiot ": 3.0, " stupid": 2.5}, frozenset({"not stupid", "stupor"}), [-3.0, 1.0, 0.5]
+    long_word = "w" * 60
+    texts = ["You are stupid", "not stupid at all", f"{long_word} stupid", "Stуp1d IDI0T!", "stupor", "idiots", "", None, "stupid " * 2000, "stupid", "stupid"]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, z int")
+    got = {r.doc_id: r for r in toxicity.score(docs, (lexicon, exceptions, weights)).collect()}
+    for i, text in enumerate(texts):
+        folded, found = toxicity.fold(text), []
+        words = folded.split(" ")
+        for k, word in enumerate(words):
+            own = [w for t, w in lexicon.items() if f" {word} ".startswith(t) and word]
+            before = next((w for w in reversed(words[:k]) if w), "")
+            if own and word not in exceptions and f"{before} {word}" not in exceptions:
+                found.append(max(own))
+        z = weights[0] + (weights[1] * max(found) + weights[2] * math.log1p(sum(found) / math.log2(2 + folded.count(" "))) if found else 0)
+        assert got[i].n_matches == len(found) and abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9, text
+    empty = toxicity.score(docs.limit(0), (lexicon, exceptions, weights))
+    assert empty.count() == 0
+    none = toxicity.learn(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(docs, none).where("predicted = 1").count() == 0
+
+
 def test_toxicity_held_out(spark):
     import os
 
