@@ -1,60 +1,38 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-N-grams are of whole words, which 64-bit hashes stand for. Tasks count their own n-grams first; counts, contexts and
-lower orders then meet in joins sharded by n-gram, and so do the distinct n-grams of the texts to score: a text's log
-probability is a sum of one number for each of its n-grams, so only sums by text come back.
+N-grams are of whole words in lower case, which 64-bit hashes stand for; nothing else about a text is folded or left
+out. All n-grams fall into ROUNDS parts by their middle word, and a round counts its part of the trusted text's
+n-grams, joins counts, contexts and lower orders by n-gram, and joins the values with its part of the n-grams of the
+texts to score. So only a part of all n-grams lies on disk at a time, and what a round moves grows with the text.
 
-Below single words, in place of a uniform distribution, stands how a word is spelt: a model of the same kind over
-folded bytes (32 kinds, so no order has more than 32**n n-grams), which gives words that training never saw a probability.
-Its tables have that bound; they are written to the shared folder, and tasks read them from there.
+A text's log probability is a sum of one value for each of its n-grams, seen or not, so only sums by text come back.
+N-grams that make up more than one in HOT of the trusted text are no matter of joins: there are HOT of them at most a
+kind, tasks hold their values, and so no task gets all texts' questions for a frequent word.
+
+Below single words, in place of a uniform distribution, stands how a word is spelt: the chances of each byte after
+each other byte, a table of 256 times 256.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LOWER, bucket_of, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, words
-from .files import opened
-
-BITS, ORDER = 5, 5
-KINDS = 1 << BITS
-#: Symbols: 0 line break (and what precedes a text), 1 other white space, 2 digits, 3 marks of sentences, 4 other ASCII,
-#: 5 to 30 letters; bytes beyond ASCII share the letters' symbols. 31 is left free.
-FOLD = np.full(256, 4, np.uint8)
-FOLD[[10, 13]], FOLD[[9, 11, 12, 32]], FOLD[48:58] = 0, 1, 2
-FOLD[[ord(c) for c in ".,;:!?'\"-"]] = 3
-FOLD[97:123] = np.arange(5, 31)
-FOLD[65:91] = np.arange(5, 31)
-FOLD[128:] = 5 + np.arange(128) * 7 % 26
+from .common import LOWER, PACKED, bucket_of, forget, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, unpacked, words
+
 WORD_ORDER = 3
-#: How many of the 256 bytes share a byte's symbol.
-SHARED = np.bincount(FOLD, minlength=KINDS)
-#: Hashes of the marks before a text (two of them) and after it.
+#: Hashes of the marks before a text (which has two of the first) and after it.
 BEFORE, AFTER = mix(np.array([1, 2], np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Words of texts are sent to the counts in this many rounds, each a part of all n-grams, which bounds the disk in use.
-ROUNDS = 4
+ROUNDS = 6
+HOT = 1 << 15
 SLICE = 4 << 20
 #: Of the trusted documents kept back from training, this share lies within its language's threshold.
 QUANTILE = 0.98
 BROADCAST_LABELS = 2_000_000
-
-
-def codes(column: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte of all texts, as a number, and the offsets between texts."""
-    data, offsets = text_buffer(column)
-    count = np.diff(offsets)
-    pad = order - 1
-    places = np.arange(len(data)) + pad * (1 + np.repeat(np.arange(len(count)), count))
-    symbols = np.zeros(len(data) + pad * len(count), np.uint8)
-    symbols[places] = FOLD[data]
-    out = np.zeros(len(data), np.int32)
-    for back in range(pad, -1, -1):
-        out = out << BITS | symbols[places - back]
-    return out, offsets
+#: A trigram abc with the keys of its parts, and how often it occurs in a slice.
+TRIGRAM = np.dtype([("ab", "<u8"), ("bc", "<u8"), ("b", "<u8"), ("c", "<u8"), ("n", "<u4")])
 
 
 def _marked(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,33 +46,6 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else ids
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """gram and n: how often each n-gram of the highest order occurs in docs' texts."""
-
-    def run(batches):
-        seen = np.zeros(KINDS**ORDER, np.uint32)
-        held = 0
-
-        def flush():
-            found = np.flatnonzero(seen)
-            for a in range(0, len(found), 1 << 17):
-                part = found[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part].astype(np.int64))], names=["gram", "n"])
-            seen[found] = 0
-
-        for batch in slices(batches):
-            found, _ = codes(batch.column("text"))
-            values, n = np.unique(found, return_counts=True)
-            seen[values] += n.astype(np.uint32)
-            held += len(found)
-            if held > 1 << 31:  # before a count can overflow
-                yield from flush()
-                held = 0
-        yield from flush()
-
-    return docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def discounts(counts: tuple[int, int, int, int]) -> tuple[float, float, float]:
     """D1, D2 and D3+ from how many n-grams occur once, twice, three and four times."""
     n1, n2, n3, n4 = counts
@@ -105,60 +56,6 @@ def discounts(counts: tuple[int, int, int, int]) -> tuple[float, float, float]:
     return tuple(float(min(max(x, 0.05), k + 0.95)) for k, x in enumerate(d))
 
 
-def model(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For orders 1 to ORDER: (gram, p) of the n-grams seen, and (context, back) with the weight of the next lower order.
-
-    The highest order has counts, lower ones continuation counts (of how many n-grams one symbol longer it is the end).
-    """
-    counts = {ORDER: stored(counted(trusted))}
-    for k in range(ORDER - 1, 0, -1):
-        counts[k] = stored(counts[k + 1].groupBy((F.col("gram") % KINDS**k).alias("gram")).agg(F.count("*").alias("n")))
-    out: list[tuple[DataFrame, DataFrame]] = []
-    for k in range(1, ORDER + 1):
-        table_k = counts[k]
-        seen = table_k.agg(*(F.count_if(F.col("n") == r) for r in range(1, 5))).first()
-        d1, d2, d3 = discounts(tuple(seen))
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        table_k = table_k.withColumn("context", F.shiftright("gram", BITS)).withColumn("off", off)
-        contexts = stored(table_k.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("back")))
-        rows = table_k.join(contexts, "context").withColumn("own", (F.col("n") - F.col("off")) / F.col("total"))
-        if k == 1:
-            rows = rows.select("gram", (F.col("own") + F.col("back") / KINDS).alias("p"))
-        else:
-            lower = out[-1][0].select(F.col("gram").alias("end"), F.col("p").alias("lower"))
-            rows = rows.join(lower, F.col("gram") % KINDS ** (k - 1) == F.col("end")).select("gram", (F.col("own") + F.col("back") * F.col("lower")).alias("p"))
-        out.append((stored(rows), contexts.select("context", "back")))
-    return out
-
-
-def _paths(tables: list[tuple[DataFrame, DataFrame]]) -> list[tuple[list[str], list[str]]]:
-    return [(list(p.inputFiles()), list(b.inputFiles())) for p, b in tables]
-
-
-def _read(files: list[str], key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for path in files:
-        system, local = opened(path)
-        found = pa.parquet.read_table(local, columns=[key, value], filesystem=system)
-        keys.append(found.column(key).to_numpy())
-        values.append(found.column(value).to_numpy())
-    return np.concatenate(keys), np.concatenate(values)
-
-
-def dense(paths: list[tuple[list[str], list[str]]]) -> np.ndarray:
-    """The natural logarithm of each n-gram's probability given its context, for all KINDS**ORDER of them."""
-    p = np.full(1, 1 / KINDS, np.float32)
-    for k, (seen, contexts) in enumerate(paths, 1):
-        back = np.ones(KINDS ** (k - 1), np.float32)
-        key, value = _read(contexts, "context", "back")
-        back[key] = value
-        inner = KINDS ** max(0, k - 2)  # contexts of the lower order
-        p = (back.reshape(-1, inner, 1) * p.reshape(1, inner, -1)).reshape(-1) if k > 1 else np.repeat(p * back, KINDS)
-        key, value = _read(seen, "gram", "p")
-        p[key] = value
-    return np.log(p, out=p)
-
-
 def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Keys of the n-grams of order 1 to WORD_ORDER that end at each place, each place's text and number in it, and the words.
 
@@ -182,176 +79,260 @@ def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray],
     return keys, text, np.arange(begin[-1]) - begin[text], (own, starts, ends)
 
 
-def spelt(logs: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The log probability of each word in lower case and the space after it, by the bytes' model."""
-    size = ends - starts + 1
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    joined = np.full(offsets[-1], 32, np.uint8)
-    inside = np.ones(offsets[-1], bool)
-    inside[offsets[1:] - 1] = False
-    joined[inside] = LOWER[data[np.repeat(starts - offsets[:-1], size)[inside] + np.flatnonzero(inside)]]
-    column = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined)])
-    found, _ = codes(column)
-    sums = np.concatenate([[0.0], np.cumsum(logs[found] - np.log(SHARED[FOLD[joined]]), dtype=np.float64)])[offsets]
-    return np.diff(sums)
-
-
-def _after(logs: np.ndarray) -> float:
-    """The mark after a text is spelt as a line break, which no word holds."""
-    return float(logs[0]) - float(np.log(SHARED[FOLD[10]]))
+def byte_pairs(trusted: DataFrame) -> np.ndarray:
+    """Log chances of each byte after each other byte in words in lower case between single spaces.
 
-
-def _word_rows(trusted: DataFrame, paths: list[tuple[list[str], list[str]]]) -> DataFrame:
-    """size, gram, context, lower (the n-gram without its first word), n and spelt, once for each n-gram of a task's slice."""
-    names = ["size", "gram", "context", "lower", "n", "spelt"]
+    A line feed after a space stands for the end of a text. Pairs that training never saw count half.
+    """
 
     def run(batches):
-        logs = None
+        count = np.zeros(1 << 16, np.int64)
         for batch in slices(batches, limit=SLICE):
-            logs = dense(paths) if logs is None else logs
             data, offsets = text_buffer(batch.column("text"))
-            keys, _, at, (own, starts, ends) = word_grams(data, offsets)
-            word = np.full(len(at), -1)
-            word[own] = np.arange(len(own))
-            ends_at = np.flatnonzero(at >= 2)
-            for k in range(1, WORD_ORDER + 1):
-                gram, where, n = np.unique(keys[k - 1][ends_at], return_index=True, return_counts=True)
-                where = ends_at[where]
-                blank = np.zeros(len(gram), np.int64)
-                context = keys[k - 2][where - 1].view(np.int64) if k > 1 else blank
-                lower = keys[k - 2][where].view(np.int64) if k > 1 else blank
-                value = np.zeros(len(gram))
-                if k == 1:
-                    which = word[where]
-                    value[which < 0] = _after(logs)
-                    value[which >= 0] = spelt(logs, data, starts[which[which >= 0]], ends[which[which >= 0]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), *(pa.array(x) for x in (gram.view(np.int64), context, lower, n.astype(np.int64), value))], names=names)
-
-    return trusted.select("text").mapInArrow(run, "size int, gram long, context long, lower long, n long, spelt double")
-
-
-def word_model(trusted: DataFrame, paths: list[tuple[list[str], list[str]]]) -> tuple[DataFrame, float]:
-    """(gram, v), and the weight of spelling: what each n-gram adds to the log probability of a text with it.
-
-    As an n-gram it adds the log of its probability over that of the lower order with the context's weight; as a context
-    it adds the log of that weight. N-grams that were never seen add nothing, so the sum over a text's n-grams, with
-    the spelling of its words, is its log probability.
-    """
-    rows = _word_rows(trusted, paths).groupBy("size", "gram").agg(F.first("context").alias("context"), F.first("lower").alias("lower"), F.sum("n").alias("n"), F.first("spelt").alias("spelt"))
-    rows = stored(rows)
-    counts = {WORD_ORDER: rows.where(F.col("size") == WORD_ORDER)}
-    for k in range(WORD_ORDER - 1, 0, -1):
-        ends = counts[k + 1].groupBy(F.col("lower").alias("gram")).agg(F.count("*").alias("n"))
-        counts[k] = stored(rows.where(F.col("size") == k).drop("n").join(ends, "gram"))
-    values, below, spelling = [], None, 1.0
-    for k in range(1, WORD_ORDER + 1):
-        seen = counts[k].agg(*(F.count_if(F.col("n") == r) for r in range(1, 5))).first()
-        d1, d2, d3 = discounts(tuple(seen))
-        t = counts[k].withColumn("off", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
-        if k == 1:
-            total, off = t.agg(F.sum("n"), F.sum("off")).first()
-            if not total:
-                break
-            spelling = off / total
-            p = t.select("gram", ((F.col("n") - F.col("off")) / float(total) + spelling * F.exp("spelt")).alias("p"), (F.lit(float(np.log(spelling))) + F.col("spelt")).alias("rest"))
-        else:
-            contexts = stored(t.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("back")))
-            values.append(contexts.select(F.col("context").alias("gram"), F.log("back").alias("v")))
-            t = t.join(contexts, "context").join(below.select(F.col("gram").alias("lower"), F.col("p").alias("q")), "lower")
-            p = t.select("gram", ((F.col("n") - F.col("off")) / F.col("total") + F.col("back") * F.col("q")).alias("p"), (F.log("back") + F.log("q")).alias("rest"))
-        below = stored(p)
-        values.append(below.select("gram", (F.log("p") - F.col("rest")).alias("v")))
-    if not values:
-        return rows.select("gram", F.col("spelt").alias("v")).limit(0), spelling
-    out = values[0]
-    for more in values[1:]:
-        out = out.unionByName(more)
-    return stored(out.groupBy("gram").agg(F.sum("v").alias("v"))), spelling
-
-
-def _sent(docs: DataFrame, buckets: int, part: int) -> DataFrame:
-    """PACKED rows: the distinct n-grams of each text of one round; owner: the text's hash, extra: how often."""
+            starts, ends, _, _ = words(data, offsets, True)
+            joined, at = _joined(data, starts, ends)
+            count += np.bincount(np.concatenate([[32], joined[:-1]]).astype(np.int64) << 8 | joined, minlength=1 << 16) if len(joined) else 0
+            count[32 << 8 | 10] += len(offsets) - 1
+        found = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count[found])], names=["pair", "n"])
+
+    count = np.full(1 << 16, 0.5)
+    for pair, n in trusted.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():  # 2**16 rows at most
+        count[pair] += n
+    count = count.reshape(256, 256)
+    return np.log(count / count.sum(1, keepdims=True))
+
+
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words in lower case, a space after each, and where each begins."""
+    size = ends - starts + 1
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    joined = np.full(at[-1], 32, np.uint8)
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    joined[inside] = LOWER[data[np.repeat(starts - at[:-1], size)[inside] + np.flatnonzero(inside)]]
+    return joined, at
 
-    def run(batches):
-        for batch in slices(batches, limit=SLICE):
-            keys, text, at, _ = word_grams(*text_buffer(batch.column("text")))
-            owner = batch.column("text_key").to_numpy().view(np.uint64)
-            for k, all_keys in enumerate(keys):
-                mine = np.flatnonzero((at >= (1, 1, 2)[k]) & (all_keys % np.uint64(ROUNDS) == part))
-                _, where, n = np.unique(mix(all_keys[mine] + text[mine].astype(np.uint64) * _STEP), return_index=True, return_counts=True)
-                order = np.argsort(where)
-                where, n = mine[where[order]], n[order].astype(np.uint32)
-                gram = all_keys[where]
-                yield packed(owner[text[where]], gram, bucket_of(gram, buckets), n)
 
-    return docs.select("text_key", "text").mapInArrow(run, "bucket int, owners binary, counts binary, hashes binary, extra binary")
+def spelt(pairs: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The log probability of each word in lower case and the space after it."""
+    joined, at = _joined(data, starts, ends)
+    each = pairs[np.concatenate([[32], joined[:-1]]), joined] if len(joined) else np.zeros(0)
+    return np.diff(np.concatenate([[0.0], np.cumsum(each)])[at])
 
 
-def _known(values: DataFrame, buckets: int, part: int) -> DataFrame:
-    """PACKED rows of the model's n-grams of one round: no owners; extra: the values."""
+def after(pairs: np.ndarray) -> float:
+    return float(pairs[32, 10])
 
-    def run(batches):
+
+def part_of(words_: np.ndarray, rounds: int) -> np.ndarray:
+    return (words_ >> np.uint64(20)) % np.uint64(rounds)
+
+
+def trigrams(trusted: DataFrame, part: int, rounds: int) -> DataFrame:
+    """k3, ab, bc, b, c and n of the distinct trigrams whose middle word is of this part."""
+    buckets = partitions(trusted.sparkSession)
+
+    def cut(batches):
+        for batch in slices(batches, limit=SLICE):
+            keys, _, at, _ = word_grams(*text_buffer(batch.column("text")))
+            i = np.flatnonzero(at >= 2)
+            i = i[part_of(keys[0][i - 1], rounds) == part]
+            k3, where, n = np.unique(keys[2][i], return_index=True, return_counts=True)
+            i, rows = i[where], np.zeros(len(k3), TRIGRAM)
+            rows["ab"], rows["bc"], rows["b"], rows["c"], rows["n"] = keys[1][i - 1], keys[1][i], keys[0][i - 1], keys[0][i], n
+            yield packed(np.zeros(len(k3), np.uint64), k3, bucket_of(k3, buckets), rows)
+
+    def gather(batches):
+        _, k3, rows = unpacked(batches, extra_type=TRIGRAM)
+        k3, where, which = np.unique(k3, return_index=True, return_inverse=True)
+        n = np.bincount(which, rows["n"], minlength=len(k3)).astype(np.int64)
+        rows = rows[where]
+        for a in range(0, len(k3), 1 << 17):
+            p = slice(a, a + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(k3[p].view(np.int64)), *(pa.array(np.ascontiguousarray(rows[c][p]).view(np.int64)) for c in ("ab", "bc", "b", "c")), pa.array(n[p])], names=["k3", "ab", "bc", "b", "c", "n"])
+
+    return to_buckets(trusted.select("text").mapInArrow(cut, PACKED), gather, "k3 long, ab long, bc long, b long, c long, n long")
+
+
+def _kinds(rows: DataFrame, n: str) -> tuple:
+    return tuple(rows.agg(*(F.count_if(F.col(n) == r) for r in range(1, 5))).first())
+
+
+def _off(n: str, cuts: tuple[float, float, float]):
+    return F.when(F.col(n) == 1, cuts[0]).when(F.col(n) == 2, cuts[1]).otherwise(cuts[2])
+
+
+class Model:
+    """The lower orders of all parts, and the discounts; the highest order's values are made part by part."""
+
+    def __init__(self, trusted: DataFrame, rounds: int = ROUNDS):
+        self.trusted, self.rounds, self.spelling = trusted, rounds, byte_pairs(trusted)
+        kinds, contexts, ends, total = np.zeros((2, 4), np.int64), [], [], 0
+        for part in range(rounds):
+            tri = stored(trigrams(trusted, part, rounds))
+            kinds[0] += _kinds(tri, "n")
+            total += tri.agg(F.sum("n")).first()[0] or 0
+            two = stored(tri.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.count("*").alias("n")))
+            forget(tri)
+            kinds[1] += _kinds(two, "n")
+            contexts.append(stored(two.groupBy("b").agg(F.sum("n").alias("total"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2)), F.count_if(F.col("n") > 2).alias("n3"))))
+            ends.append(stored(two.groupBy("c").agg(F.count("*").alias("n"))))
+            forget(two)
+        self.positions = total
+        self.cuts = {3: discounts(tuple(kinds[0])), 2: discounts(tuple(kinds[1]))}
+        union = ends[0]
+        for more in ends[1:]:
+            union = union.unionByName(more)
+        single = stored(union.groupBy("c").agg(F.sum("n").alias("n")))
+        forget(*ends)
+        self.cuts[1] = discounts(_kinds(single, "n"))
+        n, off = single.agg(F.sum("n"), F.sum(_off("n", self.cuts[1]))).first()
+        self.spread = off / n if n else 1.0  # of single words' chances, what goes by spelling
+        self.single = stored(single.join(self._spellings(), F.col("c") == F.col("word")).select("c", ((F.col("n") - _off("n", self.cuts[1])) / float(n or 1) + self.spread * F.exp("spelt")).alias("p"), "spelt", "often"))
+        forget(single)
+        d1, d2, d3 = self.cuts[2]
+        back = (F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")
+        self.contexts = [c.select("b", "total", back.alias("back")) for c in contexts]
+
+    def _spellings(self) -> DataFrame:
+        """word, spelt, and how often it occurs, of the trusted text's words and the mark after a text."""
+        pairs = self.spelling
+
+        def run(batches):
+            for batch in slices(batches, limit=SLICE):
+                data, offsets = text_buffer(batch.column("text"))
+                starts, ends, hashes, _ = words(data, offsets, True)
+                hashes, where, n = np.unique(hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(mix(np.append(hashes, AFTER)).view(np.int64)), pa.array(np.append(spelt(pairs, data, starts[where], ends[where]), after(pairs))), pa.array(np.append(n, len(offsets) - 1))], names=["word", "spelt", "often"])
+
+        return self.trusted.select("text").mapInArrow(run, "word long, spelt double, often long").groupBy("word").agg(F.first("spelt").alias("spelt"), F.sum("often").alias("often"))
+
+    def single_values(self) -> DataFrame:
+        """gram, v and n of single words, as n-grams (over their spelling) and as contexts of the second order."""
+        contexts = self.contexts[0]
+        for more in self.contexts[1:]:
+            contexts = contexts.unionByName(more)
+        own = (F.log("p") - F.lit(float(np.log(self.spread))) - F.col("spelt")).alias("v")
+        rows = self.single.select(F.col("c").alias("gram"), own, F.col("often").alias("n")).unionByName(contexts.select(F.col("b").alias("gram"), F.log("back").alias("v"), F.col("total").alias("n")))
+        return rows.groupBy("gram").agg(F.sum("v").alias("v"), F.max("n").alias("n"))
+
+    def part_values(self, part: int) -> DataFrame:
+        """gram, v and n: what each trigram, and each pair as its context or its lower order, adds to a text's log probability."""
+        tri = stored(trigrams(self.trusted, part, self.rounds))
+        two = tri.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.count("*").alias("cont"), F.sum("n").alias("n"))
+        raw = stored(two)
+        two = raw.join(self.contexts[part], "b").join(self.single.select("c", F.col("p").alias("p1")), "c")
+        p = (F.col("cont") - _off("cont", self.cuts[2])) / F.col("total") + F.col("back") * F.col("p1")
+        two = stored(two.select("bc", p.alias("p2"), (F.log(p) - F.log("back") - F.log("p1")).alias("v"), "n"))
+        context = stored(tri.groupBy("ab").agg(F.sum("n").alias("total"), (F.sum(_off("n", self.cuts[3])) / F.sum("n")).alias("weight")))
+        three = tri.select("k3", "ab", "bc", "n").join(two.select("bc", "p2"), "bc").join(context, "ab")
+        own = F.log((F.col("n") - _off("n", self.cuts[3])) / F.col("total") + F.col("weight") * F.col("p2")) - F.log("weight") - F.log("p2")
+        rows = three.select(F.col("k3").alias("gram"), own.alias("v"), "n")
+        rows = rows.unionByName(two.select(F.col("bc").alias("gram"), "v", "n")).unionByName(context.select((F.col("ab").bitwiseXOR(F.lit(_CONTEXT))).alias("gram"), F.log("weight").alias("v"), F.col("total").alias("n")))
+        out = stored(rows.select("gram", F.col("v").cast("float").alias("v"), "n"))
+        forget(tri, raw, two, context)
+        return out
+
+
+#: A pair's key as a context differs from its key as an n-gram, since they can be of different parts.
+_CONTEXT = 0x5DEECE66D1CE4E5B
+
+
+def _asked(keys: list[np.ndarray], at: np.ndarray, part: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams texts ask for in a round: place and key, for each kind; part -1: single words and the marks."""
+    if part < 0:  # each is the end of one trigram and the middle of the next; of the marks one is only this, one that
+        i = np.flatnonzero(at >= 1)
+        return i, keys[0][i]
+    i = np.flatnonzero(at >= 2)
+    i = i[part_of(keys[0][i - 1], rounds) == part]
+    return np.concatenate([i, i, i]), np.concatenate([keys[2][i], keys[1][i], keys[1][i - 1] ^ np.uint64(_CONTEXT)])
+
+
+def _sums(docs: DataFrame, values: DataFrame, part: int, model: Model) -> DataFrame:
+    """text_key and known: the sum of the values of one round's n-grams, of all rows with a text."""
+    buckets, rounds = partitions(docs.sparkSession), model.rounds
+    hot = values.where(F.col("n") * HOT > model.positions).select("gram", "v").collect()  # 3 * HOT rows at most
+    hot = sorted((r.gram & (1 << 64) - 1, r.v) for r in hot)
+    near, worth = np.array([g for g, _ in hot], np.uint64), np.array([v for _, v in hot], float)
+
+    def ask(batches):
+        for batch in slices(batches, limit=SLICE):
+            keys, text, at, _ = word_grams(*text_buffer(batch.column("text")))
+            owner = batch.column("text_key").to_numpy().view(np.uint64)
+            place, gram = _asked(keys, at, part, rounds)
+            own = text[place]
+            sums = np.zeros(len(owner))
+            if len(near):
+                k = np.minimum(np.searchsorted(near, gram), len(near) - 1)
+                known = near[k] == gram
+                sums = np.bincount(own[known], worth[k[known]], minlength=len(owner))
+                own, gram = own[~known], gram[~known]
+            bucket = bucket_of(gram, buckets)
+            order = np.lexsort((own, bucket))
+            yield packed(owner[own[order]], gram[order], bucket[order])
+            # What is known already goes along as a value of its own, under a key that no n-gram has: bucket by text.
+            yield packed(owner, np.zeros(len(owner), np.uint64), bucket_of(mix(owner), buckets), sums)
+
+    def tell(batches):
         for batch in batches:
-            gram, v = batch.column("gram").to_numpy().view(np.uint64), batch.column("v").to_numpy()
-            mine = gram % np.uint64(ROUNDS) == part
-            out = packed(np.zeros(int(mine.sum()), np.uint64), gram[mine], bucket_of(gram[mine], buckets), v[mine])
+            gram = batch.column("gram").to_numpy().view(np.uint64)
+            out = packed(np.zeros(len(gram), np.uint64), gram, bucket_of(gram, buckets), batch.column("v").to_numpy().astype(np.float32))
             yield out.set_column(1, "owners", pa.array([b""] * len(out), pa.binary()))
 
-    return values.select("gram", "v").mapInArrow(run, "bucket int, owners binary, counts binary, hashes binary, extra binary")
-
-
-def _sums(batches):
-    known, asked = [], []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("owners", "counts", "hashes", "extra"))):
-            (asked if row[0] else known).append(row)
-    gram = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[2], np.uint64) for r in known)])
-    value = np.concatenate([np.zeros(0), *(np.frombuffer(r[3], np.float64) for r in known)])
-    order = np.argsort(gram)
-    gram, value = gram[order], value[order]
-    if not len(gram):
-        return
-    for owners, counts, hashes, extra in asked:
-        owners, counts, hashes = np.frombuffer(owners, np.uint64), np.frombuffer(counts, np.uint32), np.frombuffer(hashes, np.uint64)
-        at = np.minimum(np.searchsorted(gram, hashes), len(gram) - 1)
-        found = np.where(gram[at] == hashes, value[at], 0.0) * np.frombuffer(extra, np.uint32)
-        sums = np.add.reduceat(found, np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.int64)]))
-        yield pa.RecordBatch.from_arrays([pa.array(owners.view(np.int64)), pa.array(sums)], names=["text_key", "known"])
-
-
-def perplexities(docs: DataFrame, paths: list[tuple[list[str], list[str]]], model_: tuple[DataFrame, float]) -> DataFrame:
+    def match(batches):
+        told, asked = [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("owners", "counts", "hashes", "extra"))):
+                (asked if row[0] else told).append(row)
+        gram = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[2], np.uint64) for r in told)])
+        value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r[3], np.float32) for r in told)])
+        order = np.argsort(gram)
+        gram, value = np.append(gram[order], ~np.uint64(0)), np.append(value[order], np.float32(0))
+        for owners, counts, hashes, extra in asked:
+            owners, counts, hashes = np.frombuffer(owners, np.uint64), np.frombuffer(counts, np.uint32), np.frombuffer(hashes, np.uint64)
+            if extra:
+                found = np.frombuffer(extra, float)
+            else:
+                k = np.searchsorted(gram, hashes)
+                found = np.where(gram[k] == hashes, value[k], np.float32(0)).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(owners.view(np.int64)), pa.array(np.add.reduceat(found, np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.int64)])))], names=["text_key", "known"])
+
+    told = values.where(F.col("n") * HOT <= model.positions).select("gram", "v").mapInArrow(tell, PACKED)
+    both = docs.select("text_key", "text").mapInArrow(ask, PACKED).unionByName(told)
+    return stored(to_buckets(both, match, "text_key long, known double").groupBy("text_key").agg(F.sum("known").alias("known")))
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns but text, n_symbols (words, and the mark after them), and perplexity a symbol; null for null and empty texts.
 
     Equal texts share their n-grams' sums: those of all rows with a text, over the number of such rows.
     """
     kept = [c for c in docs.columns if c not in ("text", "n_symbols", "perplexity")]
-    values, spelling = model_
     docs = docs.select(*kept, "text", F.xxhash64("text").alias("text_key"))
-    buckets = partitions(docs.sparkSession)
-    parts = []
-    for part in range(ROUNDS):
-        both = _sent(docs, buckets, part).unionByName(_known(values, buckets, part))
-        parts.append(stored(to_buckets(both, _sums, "text_key long, known double").groupBy("text_key").agg(F.sum("known").alias("known"))))
+    pairs, spread, parts = model.spelling, model.spread, []
+    for part in range(-1, model.rounds):
+        values = stored(model.single_values()) if part < 0 else model.part_values(part)
+        parts.append(_sums(docs, values, part, model))
+        forget(values)
     known = parts[0]
     for more in parts[1:]:
         known = known.unionByName(more)
 
     def run(batches):
-        logs = None
         for batch in slices(batches, limit=SLICE):
-            logs = dense(paths) if logs is None else logs
             data, offsets = text_buffer(batch.column("text"))
             starts, ends, hashes, first = words(data, offsets, True)
             _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-            each = spelt(logs, data, starts[where], ends[where])[which] if len(starts) else np.zeros(0)
+            each = spelt(pairs, data, starts[where], ends[where])[which] if len(starts) else np.zeros(0)
             n = np.diff(first) + 1
-            base = np.diff(np.concatenate([[0.0], np.cumsum(each)])[first]) + _after(logs) + n * np.log(spelling)
+            base = np.diff(np.concatenate([[0.0], np.cumsum(each)])[first]) + after(pairs) + n * np.log(spread)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*kept, "text_key")), pa.array(np.where(np.diff(offsets) > 0, n, 0)), pa.array(base)], names=[*kept, "text_key", "n_symbols", "base"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.drop("text", "text_key").schema)
     rows = stored(docs.mapInArrow(run, f"{fields}text_key long, n_symbols long, base double"))
     copies = rows.groupBy("text_key").agg(F.count("*").alias("copies"))
-    known = known.groupBy("text_key").agg(F.sum("known").alias("known")).join(copies, "text_key")
+    known = stored(known.groupBy("text_key").agg(F.sum("known").alias("known")).join(copies, "text_key"))
     value = F.exp(-(F.col("base") + F.coalesce(F.col("known") / F.col("copies"), F.lit(0.0))) / F.col("n_symbols"))
     return rows.join(known, "text_key", "left").select(*kept, "n_symbols", F.when(F.col("n_symbols") > 0, value).alias("perplexity"))
 
@@ -365,8 +346,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     """
     train, back = _marked(docs, labels)
     trusted = docs.select("doc_id", "text").join(_small(train), "doc_id", "left_semi")
-    paths = _paths(model(trusted))
-    rows = stored(perplexities(docs.select("doc_id", "lang", "text"), paths, word_model(trusted, paths)))
+    rows = stored(perplexities(docs.select("doc_id", "lang", "text"), Model(trusted)))
     held = rows.join(_small(back), "doc_id", "left_semi").where("perplexity is not null")
     value = F.percentile_approx("perplexity", quantile, 10_000)
     by = held.groupBy(F.col("lang").alias("of")).agg(value.alias("own"))  # a row a language

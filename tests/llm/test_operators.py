@@ -103,9 +103,7 @@ def test_quality(spark, sf_dir):
     import numpy as np
 
     trusted = spark.createDataFrame([("the cat sat on the mat. the cat ran",), ("a cat and a mat",)], "text string")
-    logs = quality.dense(quality._paths(quality.model(trusted)))
-    sums = np.exp(logs.reshape(-1, quality.KINDS).astype(float)).sum(1)
-    assert np.allclose(sums, 1, atol=1e-4)  # each context's probabilities sum to one
+    assert np.allclose(np.exp(quality.byte_pairs(trusted)).sum(1), 1)  # chances after each byte sum to one
     full = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     out = quality.judge(full, labels).cache()
@@ -430,22 +428,24 @@ def plain_kneser_ney(trained, scored, spelt, after):
     return out
 
 
-def test_quality_is_kneser_ney_over_words(spark):
+def test_quality_is_kneser_ney_over_words(spark, monkeypatch):
     import numpy as np
 
     trained = ["the cat sat on the mat and the cat ran", "A cat and a mat", "the dog sat on the mat", "the cat sat"]
     scored = ["the cat sat on the mat", "mat the on sat cat the", "THE zebra sat", " ", "the cat sat on the mat", "a a a a"]
     trusted = spark.createDataFrame([(t,) for t in trained], "text string")
-    paths = quality._paths(quality.model(trusted))
-    logs = quality.dense(paths)
+    model = quality.Model(trusted, rounds=3)
 
     def spelt(word):
-        return quality.spelt(logs, np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word)]))[0]
+        return quality.spelt(model.spelling, np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word)]))[0]
 
     docs = spark.createDataFrame([*enumerate(scored), (6, ""), (7, None)], "doc_id long, text string")
-    got = by_id(quality.perplexities(docs, paths, quality.word_model(trusted, paths)), "n_symbols", "perplexity")
-    for i, want in enumerate(plain_kneser_ney(trained, scored, spelt, quality._after(logs))):
-        assert got[i][0] == len(scored[i].split()) + 1 and abs(got[i][1] - want) < 1e-4 * want
+    want = plain_kneser_ney(trained, scored, spelt, quality.after(model.spelling))
+    for hot in (quality.HOT, 4):  # with few n-grams held by tasks, and with most
+        monkeypatch.setattr(quality, "HOT", hot)
+        got = by_id(quality.perplexities(docs, model), "n_symbols", "perplexity")
+        for i, p in enumerate(want):
+            assert got[i][0] == len(scored[i].split()) + 1 and abs(got[i][1] - p) < 1e-4 * p
     assert got[6] == got[7] == (0, None)
     assert got[0][1] < got[1][1]  # the same words in another order: bytes of words alone could hardly tell
 
