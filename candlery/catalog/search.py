@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M
-from ..plans import backtest, params as P, search as S
+from ..plans import params as P, search as S
 from ..sources.tables import table
 from . import query
 from .bars import daily, hourly, rounded
+from .simulation import GENE
 
-GENE = {"gene_id": 1, "emaFast": 8, "emaSlow": 30, "period": 14, "atrLen": 14, "atrSL": 2.0}
+
+
+SHORT = [(p[0].split(".")[-1], *p[1:]) for p in P.derive(S.TREND)[0]]
+ORDER = [{"lhs": "emaFast", "op": "<", "rhs": "emaSlow", "repair": "clamp-rhs"}]
 
 
 @query("ga_09_composite_fitness", """with m as (select c_custkey, c_acctbal/2500 as pf, c_nationkey/25.0 as dd, c_acctbal/8000 as ret, c_custkey % 120 as positions, case when c_custkey % 7 > 0 then c_nationkey/10.0 end as worst, case when c_custkey % 3 = 0 then c_nationkey/25.0 end as wfe from customer)
@@ -93,7 +96,7 @@ def _(spark, d):
 
 @query("ga_06_sweep", "select * from (values (0, null, null), (1, 'emaFast', 18.0), (2, 'emaSlow', 60.0), (3, 'period', 26.0)) t(planet, id, value)")
 def _(spark, d):
-    rows = [(k, *next(((i, float(v)) for i, v in f.items()), (None, None))) for k, f in enumerate(P.sweep(S.SPACE, 4))]
+    rows = [(k, *next(((i, float(v)) for i, v in f.items()), (None, None))) for k, f in enumerate(P.sweep(SHORT, 4))]
     return spark.createDataFrame(rows, "planet int, id string, value double")
 
 
@@ -107,50 +110,39 @@ def _(spark, d):
 
 @query("ga_02_random_genes")
 def _(spark, d):
-    return P.random_genes(spark, S.SPACE, 200, 7)
+    return P.random_genes(spark, SHORT, 200, 7)
 
 
 @query("ga_03_mutate_cross")
 def _(spark, d):
-    g = P.random_genes(spark, S.SPACE, 200, 7)
-    names = [p[0] for p in S.SPACE]
+    g = P.random_genes(spark, SHORT, 200, 7)
+    names = [p[0] for p in SHORT]
     pairs = g.select("gene_id", F.struct(*names).alias("a")).join(g.select(((F.col("gene_id") + 1) % 200).alias("gene_id"), F.struct(*names).alias("b")), "gene_id")
-    return P.repair(P.mutate(P.cross(pairs, S.SPACE, 3), S.SPACE, 0.3, 5), S.SPACE, S.ORDER)
-
-
-def run(spark, d):
-    return backtest.simulate(S.planned(daily(spark, d), [GENE]))
-
-
-@query("st_01_backtest")
-def _(spark, d):
-    return run(spark, d)
+    return P.repair(P.mutate(P.cross(pairs, SHORT, 3), SHORT, 0.3, 5), SHORT, ORDER)
 
 
-@query("st_01_backtest_metrics")
-def _(spark, d):
-    return M.with_ratios(M.trade_totals(run(spark, d), "symbol")).select("symbol", "trades", "wins", F.round("pf", 6).alias("pf"), F.round("net", 4).alias("net"))
-
-
-@query("st_12_equity_snapshots")
-def _(spark, d):
-    series = S.planned(daily(spark, d), [GENE])
-    return backtest.bar_equity(series, backtest.simulate(series), 100_000.0)
+def genes(n: int) -> list[dict]:
+    return [GENE | {"gene_id": k, "emaTrend.main.emaFast": 5 + k % 20, "emaTrend.main.emaSlow": 30 + 5 * (k % 13), "donchianBreakout.main.period": 10 + 2 * (k % 11)} for k in range(n)]
 
 
 @query("ga_07_evaluate")
 def _(spark, d):
-    genes = [GENE | {"gene_id": k, "emaFast": 5 + k, "emaSlow": 30 + 5 * k} for k in range(6)]
-    return S.evaluate(daily(spark, d), genes)
+    return S.evaluate(daily(spark, d), S.TREND, genes(24)).drop("regimes")
 
 
 @query("ga_10_search")
 def _(spark, d):
-    return S.search(hourly(spark, d))
+    return S.search(hourly(spark, d), planets=2, islands=2, size=5, generations=2, every=1, travel=1, knockout=True).drop("regimes")
 
 
 @query("ga_15_walk_forward")
 def _(spark, d):
     bars = daily(spark, d)
     length = bars.groupBy("symbol").count().agg(F.min("count")).first()[0]  # of the shortest series
-    return S.walk_forward(bars, GENE, S.window_bounds(spark, length, 200, 4, 0.3))
+    return S.walk_forward(bars, S.TREND, GENE, S.window_bounds(spark, length, 200, 4, 0.3)).drop("regimes")
+
+
+@query("lg_01_classic")
+def _(spark, d):
+    gene = {p[0]: p[2] + (p[3] - p[2]) / 2 // p[4] * p[4] for p in P.CLASSIC}
+    return S.classic_run(daily(spark, d), gene).drop("regimes")

@@ -144,18 +144,31 @@ RECURSIVE = {
 }
 
 
+def known_as(kind: str, n: int) -> str:
+    """The column under which a recursive indicator that several rules need is kept."""
+    return f"known_{kind}_{n}"
+
+
 def with_recursive(bars: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
-    """bars with columns {name: (indicator, length)}: all in one pass, each distinct (indicator, length) once."""
+    """bars with columns {name: (indicator, length)}: all in one pass, each distinct (indicator, length) once.
+
+    Those that bars has already under known_as() are taken from there.
+    """
+    there = {name: known_as(*key) for name, key in wanted.items() if known_as(*key) in bars.columns}
+    bars = bars.withColumns({name: F.col(column) for name, column in there.items() if name != column}) if there else bars
+    wanted = {name: key for name, key in wanted.items() if name not in there}
     distinct = list(dict.fromkeys(wanted.values()))
     for kind, _ in distinct:
         if kind not in RECURSIVE:
             raise ValueError(f"unknown indicator {kind!r}; known: {', '.join(RECURSIVE)}")
+    if not wanted:
+        return bars
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bar_ts")
         arrays = {c: group[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")}
         done = {(kind, n): RECURSIVE[kind](arrays, n) for kind, n in distinct}
-        return group.assign(**{name: pd.Series(done[key], index=group.index).astype(object).where(~np.isnan(done[key]), None) for name, key in wanted.items()})
+        return group.assign(**{name: done[key] for name, key in wanted.items()})  # NaN becomes null on the way back
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema), *(f"{name} double" for name in wanted)])
     return bars.groupBy("symbol").applyInPandas(run, schema)

@@ -63,7 +63,7 @@ def _chance(seed: int, *salt) -> Column:
     return F.pmod(F.xxhash64("gene_id", F.lit(seed), *(F.lit(s) for s in salt)), F.lit(1 << 20)) / float(1 << 20)
 
 
-def mutate(genes: DataFrame, params: list[tuple], rate: float, seed: int) -> DataFrame:
+def mutate(genes: DataFrame, params: list[tuple], rate: float | Column, seed: int) -> DataFrame:
     """Each parameter moves one to three steps with the given chance."""
 
     def moved(k: int, p: tuple) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from statistics import mean, pstdev
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import normal_dd, normal_pf, normal_return, normal_weights, number_or
-from ..operators import blocks as B, indicators as I
-from ..operators.blocks import C
-from ..operators.metrics import drawdown, equity_curve, totals, with_ratios
-from . import params as P
-from .backtest import SETTINGS, simulate
+from . import params as P, runtime as R
+from .spec import rules_of
 
 ELIMINATED = -1000.0
 
@@ -45,88 +45,204 @@ def window_bounds(spark: SparkSession, length: int, warmup: int, n: int, oos_sha
     return spark.range(n).select(i.alias("index"), start.alias("is_start"), end.alias("is_end"), F.least(end + step, F.lit(length)).alias("oos_end"))
 
 
-def planned(bars: DataFrame, genes: list[dict]) -> DataFrame:
-    """The series of all genes (a generation's list): every distinct indicator once, then a row for each gene.
-
-    A gene has emaFast, emaSlow, period and atrLen.
+#: A strategy of trend and breakout, over which the search runs by default.
+TREND = {
+    "name": "20240101-001-trend-breakout",
+    "entries": {"mode": "all", "blocks": [
+        {"block": "emaTrend", "version": 1, "params": {"emaFast": {"min": 5, "max": 30, "step": 1}, "emaSlow": {"min": 20, "max": 100, "step": 5}}},
+        {"block": "donchianBreakout", "version": 1, "params": {"period": {"min": 10, "max": 40, "step": 2}}}]},
+    "exits": {
+        "hardStop": {"block": "atrHardStop", "version": 1, "params": {"atrLen": {"value": 14}, "atrSL": {"min": 0.5, "max": 4.0, "step": 0.25}, "emergencySlPct": {"value": 25}}},
+        "target": {"block": "atrScaleOutTarget", "version": 1, "params": {"atrLen": {"value": 14}, "tp1Mult": {"value": 1.5}, "tp1Pct": {"value": 50}, "tp2Mult": {"value": 3.0}, "tp2Pct": {"value": 50}}},
+        "trail": {"block": "structuralExit", "version": 1, "params": {"stochLen": {"value": 14}, "stochSmth": {"value": 3}, "rsiLen": {"value": 14}, "maxBars": {"value": 40}}}},
+    "sizing": {"block": "pctOfEquity", "version": 1, "params": {"pct": {"value": 10}}},
+}
+
+
+def worst_regime() -> Column:
+    """The least profit factor of a regime with five trades and a loss; null if there is none."""
+    return F.expr("array_min(transform(filter(regimes, r -> r.trades >= 5 and r.gross_loss > 0), r -> r.gross_profit / r.gross_loss))")
+
+
+def evaluate(bars: DataFrame, spec: dict, genes: list[dict], settings: dict | None = None, least_trades: int = 10) -> DataFrame:
+    """A summary and a score for each symbol and gene: composite if the spec has a fitness section, else the classic one."""
+    out = R.run(bars, spec, genes, settings).withColumn("worst_pf", worst_regime())
+    if fitness := spec.get("fitness"):
+        pf = F.coalesce("pf", F.when(F.col("wins") > 0, float(fitness["caps"]["pf"])).otherwise(0.0))  # no loss: the cap
+        score = composite(fitness["weights"], fitness["caps"], fitness["gates"], fitness.get("frequencyTarget", 0))["score"]
+        return out.withColumns({"had": F.col("pf"), "pf": pf, "wfe": F.lit(None).cast("double")}).withColumn("score", score).withColumn("pf", F.col("had")).drop("had", "wfe")
+    return out.withColumn("score", classic_score(F.col("trades"), F.col("net_pct"), F.col("max_dd_pct"), least_trades))
+
+
+#: Fixed: hypermutation of an island whose genes have become alike.
+HYPER = {"generations": 5, "cooldown": 15, "rate": 2.5, "most": 0.95, "per_gene": 0.45, "elites": 3, "share": 0.25, "threshold": 0.04}
+
+
+class Island:
+    """Genes (tuples of values) on one island; what the driver holds of a search is its islands."""
+
+    def __init__(self, number: int, planet: int, rate: float, per_gene: float, frozen: dict[int, float]):
+        self.number, self.planet, self.rate, self.per_gene, self.frozen = number, planet, rate, per_gene, frozen
+        self.genes: list[tuple] = []
+        self.active, self.ended, self.count = 0, -HYPER["cooldown"], 0
+
+    def hold(self, gene: tuple) -> tuple:
+        return tuple(self.frozen.get(k, v) for k, v in enumerate(gene))
+
+    def diversity(self, space: list[tuple]) -> float:
+        return mean(pstdev(g[k] for g in self.genes) / (p[3] - p[2]) for k, p in enumerate(space))
+
+    def now(self) -> tuple[float, float]:
+        """Chances of a child to mutate and of each of its parameters."""
+        return (min(self.rate * HYPER["rate"], HYPER["most"]), HYPER["per_gene"]) if self.active else (self.rate, self.per_gene)
+
+    def stir(self, generation: int, space: list[tuple], score: dict, draw, manual: bool = False) -> bool:
+        """Hypermutation when genes are alike (or asked for), not within the cooldown: newcomers for the worst, wilder children."""
+        ready = not self.active and generation - self.ended >= HYPER["cooldown"]
+        if not ready or not (manual or self.diversity(space) < HYPER["threshold"]):
+            return False
+        self.genes.sort(key=lambda g: score[g])
+        for k in range(min(int(len(self.genes) * HYPER["share"]), max(0, len(self.genes) - HYPER["elites"]))):
+            self.genes[k] = self.hold(draw())
+        self.active, self.count = HYPER["generations"], self.count + 1
+        return True
+
+    def calm(self, generation: int) -> None:
+        if self.active:
+            self.active -= 1
+            self.ended = generation if not self.active else self.ended
+
+    def receive(self, migrants: list[tuple], score: dict) -> None:
+        """Migrants, best first, against the worst: each takes the place only if it is strictly better."""
+        self.genes.sort(key=lambda g: score.get(g, float("-inf")))
+        for k, g in enumerate(migrants[: len(self.genes)]):
+            if score[g] > score.get(self.genes[k], float("-inf")):
+                self.genes[k] = self.hold(g)
+
+
+def targets_of(count: int, kind: str, rng: random.Random) -> dict[int, list[int]]:
+    """Where islands (or planets) send to."""
+    if count < 2:
+        return {}
+    if kind == "ring":
+        return {k: [(k + 1) % count] for k in range(count)}
+    if kind == "random":
+        return {k: [rng.choice([t for t in range(count) if t != k])] for k in range(count)}
+    columns = max(2, int(count**0.5 + 0.5))
+    rows = -(-count // columns)
+    near = lambda r, c: {r * columns + (c + 1) % columns, r * columns + (c - 1) % columns, (r + 1) % rows * columns + c, (r - 1) % rows * columns + c}
+    return {k: sorted(t for t in near(k // columns, k % columns) if t != k and t < count) for k in range(count)}
+
+
+def search(bars: DataFrame, spec: dict = TREND, planets: int = 1, islands: int = 4, size: int = 20, generations: int = 80, seed: int = 7, rate: float = 0.4, migrants: int = 2, every: int = 5,
+           travel: int = 2, travelers: int = 1, kind: str = "ring", knockout: bool = False, fitness: int = 0, top: int = 20) -> DataFrame:
+    """The best genes found, with their metrics over all bars; the same for the same seed.
+
+    A generation's unknown genes are evaluated in one job; known ones are not evaluated again. Islands send their best
+    along their topology every few generations, planets along theirs every `travel` such times. With knockout each
+    planet but the first holds one parameter at its midpoint. fitness: scores count trades from this bar on; the best
+    are then evaluated again over all bars.
     """
-    wanted = {f"ema_{n}": ("ema", n) for g in genes for n in (int(g["emaFast"]), int(g["emaSlow"]))} | {f"atr_{int(g['atrLen'])}": ("atr", int(g["atrLen"])) for g in genes}
-    bars = I.with_recursive(bars, wanted)
-    for n in {int(g["period"]) for g in genes}:
-        bars = B.donchian(bars, n, f"d{n}")
-    rows = []
-    for g in genes:
-        fast, slow, d = F.col(f"ema_{int(g['emaFast'])}"), F.col(f"ema_{int(g['emaSlow'])}"), f"d{int(g['period'])}"
-        way = F.when((fast > slow) & F.col(f"{d}_long"), 1).when((fast < slow) & F.col(f"{d}_short"), -1).otherwise(0)
-        rows.append(F.struct(F.lit(int(g["gene_id"])).cast("long").alias("gene_id"), way.alias("way"), F.col(f"atr_{int(g['atrLen'])}").alias("a"), F.coalesce(C() < slow, F.lit(False)).alias("xl"), F.coalesce(C() > slow, F.lit(False)).alias("xs"), F.when(fast > slow, "up").when(fast < slow, "down").alias("reg")))
-    wide = bars.select("symbol", "bar_ts", "open", "high", "low", "close", F.inline(F.array(*rows)))
-    return wide.select("symbol", "gene_id", "bar_ts", "open", "high", "low", "close", F.col("way").alias("direction"), F.col("a").alias("atr"), F.col("reg").alias("regime"), F.col("xl").alias("exit_long"), F.col("xs").alias("exit_short"))
-
-
-def evaluate(bars: DataFrame, genes: list[dict], settings: dict | None = None) -> DataFrame:
-    """gene_id with trades, wins, pf, net and a score over all symbols, whose trades share one account by time of exit."""
-    own = {int(g["gene_id"]): {"stop_mult": float(g["atrSL"])} for g in genes if "atrSL" in g}
-    initial = (SETTINGS | (settings or {}))["initial"]
-    trades = simulate(planned(bars, genes), settings, own)
-    order = ["exit_ts", "symbol", "position", "units", "exit_price"]
-    curve = equity_curve(trades, "gene_id", order, initial).select("gene_id", *order, "equity")
-    start = trades.select("gene_id").distinct().withColumn("equity", F.lit(initial))  # sorts first: the peak begins at the initial equity
-    falls = drawdown(curve.unionByName(start, allowMissingColumns=True), "gene_id", order).select("gene_id", "max_dd_pct")
-    t = with_ratios(trades.groupBy("gene_id").agg(*totals(), F.countDistinct("symbol", "position").alias("positions")))
-    score = classic_score(F.col("trades"), F.col("net") / 100_000.0, F.col("max_dd_pct"), 10)
-    return t.join(falls, "gene_id").withColumn("score", score).drop("max_dd_pct")
-
-
-SPACE = [("emaFast", "int", 5, 30, 1), ("emaSlow", "int", 20, 100, 5), ("period", "int", 10, 40, 2), ("atrLen", "int", 5, 30, 1), ("atrSL", "float", 0.5, 4.0, 0.25)]
-ORDER = [{"lhs": "emaFast", "op": "<", "rhs": "emaSlow", "repair": "clamp-rhs"}]
-
-
-def search(bars: DataFrame, islands: int = 2, size: int = 4, generations: int = 2, seed: int = 7, migrants: int = 1) -> DataFrame:
-    """Best genes found, deterministic for a seed. Known genes are not evaluated again.
-
-    What the driver holds is the population, islands * size genes; trades and bars stay on the executors.
-    """
-    spark = bars.sparkSession
+    spark, rng = bars.sparkSession, random.Random(seed)
+    space, _ = P.derive(spec)
+    names = [p[0] for p in space]
+    rules = [*(spec.get("constraints") or []), *rules_of(spec)]
+    short = [(f"p{k}", *p[1:]) for k, p in enumerate(space)]
+    as_short = {n: f"p{k}" for k, n in enumerate(names)}
+    constraints = [c | {"lhs": as_short[c["lhs"]], "rhs": as_short.get(c["rhs"], c["rhs"])} for c in rules if c["lhs"] in as_short and (not isinstance(c["rhs"], str) or c["rhs"] in as_short)]
     bars = bars.persist()
-    names = [p[0] for p in SPACE]
-    population = P.repair(P.random_genes(spark, SPACE, islands * size, seed), SPACE, ORDER).withColumn("island", F.col("gene_id") % islands)
-    known: dict[tuple, dict] = {}
-    for generation in range(generations + 1):
-        rows = [r.asDict() for r in population.select("gene_id", "island", *names).collect()]
-        keys = {tuple(r[n] for n in names): r for r in rows}
-        fresh = [k for k in sorted(keys) if k not in known]
-        if fresh:
-            found = {r.gene_id: r.asDict() for r in evaluate(bars, [dict(zip(names, k)) | {"gene_id": i} for i, k in enumerate(fresh)]).collect()}
-            for i, k in enumerate(fresh):
-                known[k] = found.get(i, {"score": -10000.0, "trades": 0, "pf": 0.0, "net": 0.0})
-        scored = spark.createDataFrame([(r["gene_id"], r["island"], float(known[tuple(r[n] for n in names)]["score"]), *(float(r[n]) for n in names)) for r in rows], f"gene_id long, island long, score double, {', '.join(f'{n} double' for n in names)}")
-        if generation == generations:
-            break
-        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("island").orderBy(F.desc("score"), "gene_id")))
-        edges = P.topology(spark, islands, "ring")
-        arrivals = ranked.where(F.col("rank") <= migrants).join(edges, "island").select(F.col("target").alias("island"), "score", *names)
-        pool = ranked.where(F.col("rank") <= size - migrants).select("island", "score", *names).unionByName(arrivals)
-        pool = pool.withColumn("k", F.row_number().over(W.partitionBy("island").orderBy(F.desc("score"), *names)) - 1)
-        gene = F.struct(*names)
-        parents = pool.select("island", "k", gene.alias("g"))
-        a = parents.select("island", "k", F.col("g").alias("a"))
-        b = parents.select("island", ((F.col("k") + 1) % size).alias("k"), F.col("g").alias("b"))
-        pairs = a.join(b, ["island", "k"]).withColumn("gene_id", F.col("island") * size + F.col("k"))
-        children = P.repair(P.mutate(P.cross(pairs, SPACE, seed + generation), SPACE, 0.4, seed * 31 + generation), SPACE, ORDER)
-        elites = pairs.where("k = 0").select("gene_id", "island", "a.*")
-        population = elites.unionByName(children.join(elites.select("gene_id"), "gene_id", "left_anti").withColumn("island", F.floor(F.col("gene_id") / size)))
-    best = spark.createDataFrame([(*map(float, k), float(v["score"]), int(v["trades"])) for k, v in known.items()], ", ".join(f"{n} double" for n in names) + ", score double, trades long")
+    score: dict[tuple, float] = {}
+
+    def tuples(genes: DataFrame) -> list[tuple]:
+        """Rows of the population, which the driver holds."""
+        return [tuple(float(x) for x in r[1:]) for r in genes.select("gene_id", *(p[0] for p in short)).orderBy("gene_id").collect()]
+
+    def as_genes(found: list[tuple]) -> list[dict]:
+        return [dict(zip(names, g)) | {"gene_id": k} for k, g in enumerate(found)]
+
+    def learn(found: list[tuple]) -> None:
+        new = sorted(set(found) - set(score))
+        if new:
+            got = evaluate(bars, spec, as_genes(new), {"fitness": fitness}).groupBy("gene_id").agg(F.avg("score").alias("score")).collect()
+            score.update({new[r.gene_id]: r.score for r in got})
+
+    world = []
+    gradient = {r.island: r for r in P.mutation_gradient(spark, islands, rate).collect()}
+    for planet in range(planets):
+        held = P.sweep(short, planets)[planet] if knockout else {}
+        frozen = {k: held[p[0]] for k, p in enumerate(short) if p[0] in held}
+        world += [Island(planet * islands + i, planet, gradient[i].mutation_rate, gradient[i].per_gene, frozen) for i in range(islands)]
+    first = tuples(P.repair(P.random_genes(spark, short, len(world) * size, seed), short, constraints))
+    for island in world:
+        island.genes = [island.hold(g) for g in first[island.number * size : (island.number + 1) * size]]
+    spare = tuples(P.repair(P.random_genes(spark, short, 997, seed + 1), short, constraints))
+    learn([g for island in world for g in island.genes])
+    moves = 0
+    for generation in range(generations):
+        for island in world:
+            island.stir(generation, space, score, lambda: rng.choice(spare))
+        learn([g for island in world for g in island.genes])
+        pairs, rates = [], []
+        for island in world:
+            ranked = sorted(island.genes, key=lambda g: (-score[g], g))
+            for k in range(size - 1):  # the best stays as it is
+                a, b = (min(rng.sample(range(size), min(3, size))) for _ in range(2))
+                chance, per_gene = island.now()
+                pairs.append((len(pairs), ranked[a], ranked[b], per_gene if rng.random() < chance else 0.0))
+            island.genes = ranked[:1]
+        fields = ", ".join(f"{p[0]}: double" for p in short)
+        made = P.cross(rows := spark.createDataFrame(pairs, f"gene_id long, a struct<{fields}>, b struct<{fields}>, chance double"), short, seed + generation)
+        children = tuples(P.repair(P.mutate(made.join(rows.select("gene_id", "chance"), "gene_id"), short, F.col("chance"), seed * 31 + generation), short, constraints))
+        for k, island in enumerate(world):
+            island.genes += [island.hold(g) for g in children[k * (size - 1) : (k + 1) * (size - 1)]]
+            island.calm(generation)
+        learn([g for island in world for g in island.genes])
+        if (generation + 1) % every == 0:
+            moves += 1
+            best = lambda genes, n: sorted(set(genes), key=lambda g: (-score[g], g))[:n]
+            sent = {(p, i): best(world[p * islands + i].genes, migrants) for p in range(planets) for i in range(islands)}
+            for p in range(planets):
+                for i, to in targets_of(islands, kind, rng).items():
+                    for t in to:
+                        world[p * islands + t].receive(sent[p, i], score)
+            if planets > 1 and moves % travel == 0:
+                leaving = {p: best([g for w in world if w.planet == p for g in w.genes], travelers) for p in range(planets)}
+                for p, to in targets_of(planets, kind, rng).items():
+                    for t in to:
+                        world[t * islands + rng.randrange(islands)].receive(leaving[p], score)
+            learn([g for island in world for g in island.genes])
+    chosen = sorted(score, key=lambda g: (-score[g], g))[:top]
+    full = evaluate(bars, spec, as_genes(chosen)).drop("score").cache()  # over all bars, whatever the scores counted
+    full.count()
     bars.unpersist()
-    return best.orderBy(F.desc("score"), *names).limit(20)
-
+    table = spark.createDataFrame([(k, *g, float(score[g])) for k, g in enumerate(chosen)], ", ".join(["gene_id long", *(f"`{n}` double" for n in names), "score double"]))
+    return table.join(full, "gene_id")
 
-def walk_forward(bars: DataFrame, gene: dict, bounds: DataFrame, settings: dict | None = None) -> DataFrame:
-    """The gene over each window's two phases: rows (window, phase, trades, wins, pf, net); all run in one job."""
-    from ..operators.candles import indexed
 
-    series = planned(indexed(bars).drop("i"), [gene | {"gene_id": 0}]).withColumn("i", F.row_number().over(W.partitionBy("symbol").orderBy("bar_ts")) - 1)
+def walk_forward(bars: DataFrame, spec: dict, gene: dict, bounds: DataFrame, settings: dict | None = None) -> DataFrame:
+    """The gene over each window's two phases: rows (symbol, window, phase, trades, wins, pf, net); all run in one job."""
+    series = R.series(bars, spec, [gene | {"gene_id": 0}]).withColumn("i", F.row_number().over(W.partitionBy("symbol").orderBy("bar_ts")) - 1)
     phases = bounds.select(F.col("index").alias("window"), F.inline(F.array(F.struct(F.lit("is").alias("phase"), F.col("is_start").alias("a"), F.col("is_end").alias("b")), F.struct(F.lit("oos").alias("phase"), F.col("is_end").alias("a"), F.col("oos_end").alias("b")))))
-    cut = series.join(F.broadcast(phases), (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))  # a row for each window and phase
-    cut = cut.withColumn("gene_id", F.col("window").cast("long") * 2 + (F.col("phase") == "oos").cast("long"))
-    t = with_ratios(simulate(cut, settings).groupBy("gene_id").agg(*totals()))
-    return t.select(F.floor(F.col("gene_id") / 2).alias("window"), F.when(F.col("gene_id") % 2 == 1, "oos").otherwise("is").alias("phase"), "trades", "wins", "pf", "net")
+    cut = series.join(F.broadcast(phases), (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))  # two short rows a window
+    cut = cut.withColumn("gene_id", F.col("window").cast("long") * 2 + (F.col("phase") == "oos").cast("long")).drop("window", "phase", "a", "b", "i")
+    each = [gene | {"gene_id": k} for k in range(2 * bounds.count())]
+    t = R.summaries(cut, spec, each, settings)
+    return t.select("symbol", F.floor(F.col("gene_id") / 2).alias("window"), F.when(F.col("gene_id") % 2 == 1, "oos").otherwise("is").alias("phase"), "trades", "wins", "pf", "net", "regimes")
+
+
+def classic_run(bars: DataFrame, gene: dict, settings: dict | None = None) -> DataFrame:
+    """The original three-target strategy for one gene of params.CLASSIC, as a spec; each symbol needs 100 bars."""
+    if bars.groupBy("symbol").count().where("count < 100").limit(1).count():
+        raise ValueError("100 bars at least")
+    v = lambda **p: {k: {"value": x} for k, x in p.items()}
+    g = gene
+    spec = {
+        "entries": {"mode": "score", "threshold": g["minEntry"], "blocks": [
+            {"block": "stochCross", "params": v(stochLen=g["stochLen"], stochSmth=g["stochSmth"], longLevel=30, shortLevel=70)}, {"block": "emaTrend", "params": v(emaFast=g["emaFast"], emaSlow=g["emaSlow"])},
+            {"block": "bbSqueezeBreakout", "params": v(bbLen=g["bbLen"], bbMult=g["bbMult"], squeezePctile=25, lookbackBars=5)}]},
+        "exits": {"hardStop": {"block": "atrHardStop", "params": v(atrLen=g["atrLen"], atrSL=g["atrSL"], emergencySlPct=g["emergencySlPct"])},
+                  "target": {"block": "atrScaleOutTarget", "params": v(atrLen=g["atrLen"], **{f"tp{k}Mult": g[f"tp{k}Mult"] for k in (1, 2, 3)}, tp1Pct=g["tp1Pct"], tp2Pct=g["tp2Pct"], tp3Pct=100 - g["tp1Pct"] - g["tp2Pct"])},
+                  "trail": {"block": "structuralExit", "params": v(stochLen=g["stochLen"], stochSmth=g["stochSmth"], rsiLen=g["rsiLen"], maxBars=g["maxBars"])}},
+        "sizing": {"block": "atrRisk", "params": v(riskPct=g["riskPct"], useInitialCapital=0)},
+    }
+    return R.run(bars, spec, [{}], settings)

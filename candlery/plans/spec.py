@@ -112,6 +112,38 @@ def _check_value(path: str, value, bounds: tuple) -> list[str]:
     return out
 
 
+#: Rules over a block's own parameters.
+RULES = {"emaTrend": ("emaFast", "<", "emaSlow"), "maPullback": ("emaFast", "<", "emaSlow"), "volRegime": ("lowThreshold", "<", "highThreshold")}
+
+
+def rules_of(spec: dict) -> list[dict]:
+    """The blocks' own rules as constraints over qualified parameters, a pinned right side as its number."""
+    out = []
+    for _, _, ref in references(spec):
+        if ref.get("block") in RULES:
+            lhs, op, rhs = RULES[ref["block"]]
+            params = ref.get("params") or {}
+            if lhs in params and rhs in params:
+                free = [isinstance(params[x], dict) and "min" in params[x] and "value" not in params[x] for x in (lhs, rhs)]
+                if any(free):
+                    fixed = params[rhs].get("value") if isinstance(params[rhs], dict) else params[rhs]
+                    out.append({"lhs": qualified(ref, lhs), "op": op, "rhs": qualified(ref, rhs) if free[1] else fixed, "repair": "clamp-lhs" if free[0] else "clamp-rhs"})
+    return out
+
+
+def _broken_rules(spec: dict) -> list[str]:
+    """Rules that pinned parameters, or the ends of ranges, cannot keep."""
+    out = []
+    for path, _, ref in references(spec):
+        lhs, op, rhs = RULES.get(ref.get("block"), (None, None, None))
+        params = ref.get("params") or {}
+        if lhs in params and rhs in params and all(isinstance(params[x], dict) for x in (lhs, rhs)):
+            least, most = params[lhs].get("value", params[lhs].get("min")), params[rhs].get("value", params[rhs].get("max"))
+            if isinstance(least, (int, float)) and isinstance(most, (int, float)) and least >= most:
+                out.append(f"{path}: {lhs} has to be less than {rhs}")
+    return out
+
+
 def problems(spec: dict) -> list[str]:
     """Everything that is wrong with a spec."""
     out = []
@@ -130,6 +162,7 @@ def problems(spec: dict) -> list[str]:
             if p in known:
                 out += _check_value(f"{path}.params.{p}", value, known[p])
                 ids.add(qualified(ref, p))
+    out += _broken_rules(spec)
     entries, exits = spec.get("entries") or {}, spec.get("exits") or {}
     if not entries.get("blocks"):
         out.append("entries.blocks: at least one is needed")
