@@ -109,6 +109,16 @@ def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts:
     return rows.join(whole, keys, "left").withColumn(by, F.coalesce(by, value))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows for frames of whole texts that the caller runs later, unless the session sets its own.
+
+    With Spark's 10,000 a task's memory would depend on how long so many texts are. The setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, 1000)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table, text_buffer, words
+from .common import slices, small_batches, table, text_buffer, words
 from .winnow import covered, repeated_runs, with_runs
 
 WIDTH, ANCHOR = 13, 5
@@ -77,6 +77,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     Null has no words and stays null; texts under 13 words keep them all. Rows without a doc_id keep their words;
     repeated rows of one doc_id count as one document, each cut alike.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
     rows, runs = with_runs(docs.select(*kept), repeated(docs.select("doc_id", "text")))
 

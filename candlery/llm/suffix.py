@@ -18,19 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import mix, scratch, slices, table, text_buffer
+from .common import scratch, slices, small_batches, table, text_buffer
 from .files import make_folder, opened
-from .winnow import covered, repeated_runs, with_runs
+from .winnow import SPREAD, covered, repeated_runs, with_runs
 
 WIDTH, ANCHOR = 100, 48
 #: Suffixes in a block of the transform's files; up to twice as many before a block is cut.
-BLOCK = 1 << 15
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BLOCK = 1 << 16
 
 
 def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_buffer(column)
-    return data, _TABLE[data], offsets
+    return data, SPREAD[data], offsets
 
 
 class Ranks:
@@ -207,6 +206,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     stays null; texts under 100 bytes stay whole. doc_id is the order: rows without one stay whole, and repeated rows
     of one doc_id count as one document, each cut alike.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
     rows, runs = with_runs(docs.select(*kept), repeated(docs.select("doc_id", "text")))
 

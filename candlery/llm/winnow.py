@@ -9,9 +9,10 @@ the same anchor. Segments are dealt out by anchor, not by document:
 2. Only the earliest of segments that share an anchor but differ are sent out with their symbols, and a `compare`
    function finds their common windows.
 
-An anchor with more than HOT differing segments is split, without losing a window: of the symbols around an anchor, a
-window holds at least half either before or after it, so segments part into windows of the one kind and of the other,
-and each goes by that longer run of symbols in place of the anchor.
+Segments can be split further without losing a window: of the symbols around an anchor, a window holds at least half
+either before or after it, so segments part into windows of the one kind and of the other, and each goes by that longer
+run of symbols in place of the anchor. An anchor with more than HOT differing segments is split so before they are sent
+out, and what a task gets is split so once more, since a part whose run nobody shares needs no comparison.
 
 What comes back are runs of repeated windows, which the caller joins with the documents.
 """
@@ -26,6 +27,8 @@ from .common import PACKED, bucket_of, fresh, mix, packed, partitions, slices, s
 
 #: seg: hash of the segment; start: its first symbol in the document; count: its windows; off: its anchor's place.
 SEGMENT = np.dtype([("seg", "<u8"), ("start", "<u4"), ("count", "<u2"), ("off", "u1"), ("settled", "u1")])
+#: A hash for each byte, which stands for it as a symbol.
+SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 RUNS = "doc_id long, start long, count long"
 HOT = 4096
 #: Bytes of segments that are compared at once; one anchor's are not cut.
@@ -33,17 +36,19 @@ COLLECTION = 4 << 20
 
 
 def least_positions(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first least value in each run of `width` neighbours."""
-    at, have = np.arange(len(values)), 1
-
-    def lower(a, b):
-        return np.where(values[b] < values[a], b, a)
-
-    while have * 2 <= width:
-        at = lower(at[:-have], at[have:])
-        have *= 2
-    rest = width - have
-    return lower(at[: len(at) - rest], at[rest:]) if rest else at
+    """Place of the first least value in each run of `width` neighbours; values count by their upper 40 bits."""
+    reach, out = 1 << 24, []
+    for a in range(0, max(1, len(values) - width + 1), reach - width + 1):
+        part = values[a : a + reach]
+        least = part & ~np.uint64(reach - 1) | np.arange(len(part), dtype=np.uint64)  # the place decides between equal ones
+        have = 1
+        while have * 2 <= width:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        rest = width - have
+        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+        out.append((least & np.uint64(reach - 1)).astype(np.int64) + a)
+    return np.concatenate(out)
 
 
 def segments(symbols: np.ndarray, first: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +97,7 @@ def _settle(doc: np.ndarray, anchor: np.ndarray, seg: np.ndarray, same_doc: bool
     return order, first, kinds[np.cumsum(new_anchor) - 1]
 
 
-def split_hot(symbols: np.ndarray, base: np.ndarray, anchors: np.ndarray, seg: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(symbols: np.ndarray, base: np.ndarray, anchors: np.ndarray, seg: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parts of segments (base: where their texts begin in symbols) by their windows' longer side: which segment, key and SEGMENT."""
     half = (width - anchor + 1) // 2
     off, count = seg["off"].astype(np.int64), seg["count"].astype(np.int64)
@@ -168,7 +173,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
             seg["start"], seg["count"], seg["off"] = start, count, off
             if hot.any():
                 i = np.flatnonzero(hot)
-                which, keys, parts = split_hot(symbols, first[text[i]], anchors[i], seg[i], width, anchor)
+                which, keys, parts = split(symbols, first[text[i]], anchors[i], seg[i], width, anchor)
                 text, anchors, seg = (np.concatenate([x[~hot], y]) for x, y in ((text, text[i][which]), (anchors, keys), (seg, parts)))
                 order = np.lexsort((seg["start"], text))
                 text, anchors, seg = text[order], anchors[order], seg[order]
@@ -186,6 +191,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "docs", "anchors", "segs", "data"])
 
     def match(batches):
+        spread = SPREAD.__getitem__ if symbol is np.uint8 else lambda x: x
         docs_, anchors, segs, data = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, SEGMENT)], [np.zeros(0, symbol)]
         for batch in batches:
             for own, anchor_, seg, raw in zip(*(batch.column(c).to_pylist() for c in ("docs", "anchors", "segs", "data"))):
@@ -197,6 +203,13 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
         del docs_, anchors, segs
         size = seg["count"].astype(np.int64) + (width - 1)
         begin = np.cumsum(size) - size
+        if len(seg):
+            which, keys, parts = split(spread(data), begin - seg["start"], anchors_, seg, width, anchor)
+            _, kind, often = np.unique(keys, return_inverse=True, return_counts=True)
+            shared = often[kind] > 1
+            which, anchors_, parts = which[shared], keys[shared], parts[shared]
+            begin, doc = begin[which] + parts["start"] - seg["start"][which], doc[which]
+            seg, size = parts, parts["count"].astype(np.int64) + (width - 1)
         order = np.lexsort((seg["start"], doc, anchors_))
         edges = np.flatnonzero(np.concatenate([[True], anchors_[order][1:] != anchors_[order][:-1]])) if len(order) else np.zeros(0, int)
         filled = np.concatenate([[0], np.cumsum(size[order])])
