@@ -1,7 +1,8 @@
 """What a list of trades or an equity curve amounts to.
 
-Totals are plain aggregates with a partial step before the shuffle. Anything in exit order is a window over one
-strategy's trades; nothing is gathered on the driver.
+Totals are plain aggregates with a partial step before the shuffle. What goes in exit order is a window over a stretch
+of a strategy's time (in_stretches), with what came before the stretch carried on: a strategy with a third of all trades
+is so spread over many tasks. Nothing is gathered on the driver but the ends of the time.
 """
 
 from __future__ import annotations
@@ -45,16 +46,41 @@ def sharpe(initial: float) -> Column:
     return F.coalesce(F.when((F.count(r) > 1) & (F.stddev_samp(r) > 0), F.avg(r) / F.nullif(F.stddev_samp(r), F.lit(0.0)) * F.sqrt(F.count(r))), F.lit(0.0))
 
 
+STRETCHES = 64
+
+
+def in_stretches(rows: DataFrame, by: str, stretches: int = STRETCHES) -> DataFrame:
+    """rows with _b: which of so many equal stretches of column `by` (a number) a row is of."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    if low is None or low == high:
+        return rows.withColumn("_b", F.lit(0))
+    return rows.withColumn("_b", F.coalesce(F.floor((F.col(by) - F.lit(low)) / float(high - low) * (stretches - 1)), F.lit(-1)).cast("int"))
+
+
+def _within(key: str, order: list[str]):
+    return W.partitionBy(key, "_b").orderBy(*order)
+
+
+def carried(rows: DataFrame, key: str, **values: tuple[Column, str]) -> DataFrame:
+    """rows with, for each name, the sum, max or last of an aggregate over a key's earlier stretches; null at the first."""
+    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row a stretch
+    per = rows.groupBy(key, "_b").agg(*(x.alias(n) for n, (x, _) in values.items()))
+    over = {"sum": lambda n: F.sum(n), "max": lambda n: F.max(n), "last": lambda n: F.last(n, ignorenulls=True)}
+    per = per.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), *(over[how](n).over(before).alias(n) for n, (_, how) in values.items()))
+    return rows.join(per, rows[key].eqNullSafe(per["_k"]) & (rows["_b"] == per["_c"])).drop("_k", "_c")
+
+
 def drawdown(curve: DataFrame, key: str, order: list[str], equity: str = "equity") -> DataFrame:
     """Largest fall from the running peak, in money and as a share."""
-    peak = F.max(equity).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    x = curve.select(key, F.col(equity).alias("e"), peak.alias("p"))
+    x = carried(in_stretches(curve.select(key, *order, F.col(equity).alias("e")), order[0]), key, _p=(F.max("e"), "max"))
+    x = x.withColumn("p", F.greatest(F.max("e").over(_within(key, order).rowsBetween(W.unboundedPreceding, 0)), F.col("_p")))
     return x.groupBy(key).agg(F.max(F.col("p") - F.col("e")).alias("max_dd"), F.max((F.col("p") - F.col("e")) / F.nullif(F.col("p"), F.lit(0.0))).alias("max_dd_pct"))
 
 
 def equity_curve(trades: DataFrame, key: str, order: list[str], initial: float) -> DataFrame:
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return trades.withColumn("equity", F.lit(initial) + F.sum("pnl").over(w))
+    x = carried(in_stretches(trades, order[0]), key, _s=(F.sum("pnl"), "sum"))
+    own = F.sum("pnl").over(_within(key, order).rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumn("equity", F.lit(initial) + F.coalesce("_s", F.lit(0.0)) + own).drop("_b", "_s")
 
 
 def cagr(total_return: Column, years: Column) -> Column:
@@ -119,11 +145,22 @@ def signal_counts(trades: DataFrame, signal: str, alias: dict[str, str]) -> Data
 
 
 def distribution(df: DataFrame, key: str, x: str) -> DataFrame:
-    """Mean, least, most, and values at floor(n * p) of the sorted ones; ranks by a window, so no list is built."""
-    w = W.partitionBy(key)
-    r = df.select(key, x).withColumns({"_i": F.row_number().over(w.orderBy(x)) - 1, "_n": F.count("*").over(w)})
-    at = lambda p: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * p), F.col(x)))
-    return r.groupBy(key).agg(F.avg(x).alias("mean"), at(0.5).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90"), F.min(x).alias("least"), F.max(x).alias("most"))
+    """Mean, least, most, and values at floor(n * p) of the sorted ones.
+
+    Counts by stretch of values tell in which stretch a rank lies, and only rows of those stretches are ranked.
+    """
+    shares = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    rows = in_stretches(df.select(key, x).where(F.col(x).isNotNull()), x)
+    per = rows.groupBy(key, "_b").agg(F.count("*").alias("_m"))
+    w = W.partitionBy(key)  # a row a stretch
+    per = per.withColumns({"_n": F.sum("_m").over(w), "_before": F.coalesce(F.sum("_m").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    at = {n: F.floor(F.col("_n") * p) - F.col("_before") for n, p in shares.items()}
+    per = per.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), *(F.when((i >= 0) & (i < F.col("_m")), i).alias(f"_{n}") for n, i in at.items()))
+    wanted = per.where(" or ".join(f"_{n} is not null" for n in shares))
+    ranked = rows.join(wanted, rows[key].eqNullSafe(wanted["_k"]) & (rows["_b"] == wanted["_c"])).withColumn("_i", F.row_number().over(_within(key, [x])) - 1)
+    found = ranked.groupBy("_k").agg(*(F.max(F.when(F.col("_i") == F.col(f"_{n}"), F.col(x))).alias(n) for n in shares))
+    ends = df.groupBy(key).agg(F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+    return ends.join(found, ends[key].eqNullSafe(found["_k"]), "left").select(key, "mean", "median", "p10", "p90", "least", "most")
 
 
 def diversity(genes: DataFrame, key: str) -> DataFrame:
@@ -133,29 +170,37 @@ def diversity(genes: DataFrame, key: str) -> DataFrame:
 
 
 def streaks(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """After each trade the kind (W, L) and length of the current streak; trades at 0 change nothing."""
-    w = W.partitionBy(key).orderBy(*order)
-    sign = F.signum("pnl")
-    x = trades.withColumn("_s", F.when(sign != 0, sign))
-    x = x.withColumn("_last", F.last("_s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    """After each trade the kind (W, L) and length of the current streak; trades at 0 change nothing.
+
+    A streak is in one task, stretches of time otherwise.
+    """
+    sign, up_to, at = F.signum("pnl"), _within(key, order), F.struct(*order)
+    x = in_stretches(trades, order[0]).withColumn("_s", F.when(sign != 0, sign))
+    x = carried(x, key, _before=(F.max_by("_s", F.when(F.col("_s").isNotNull(), at)), "last"))
+    x = x.withColumn("_last", F.coalesce(F.last("_s", ignorenulls=True).over(up_to.rowsBetween(W.unboundedPreceding, -1)), F.col("_before")))
     x = x.withColumn("_new", (F.col("_s").isNotNull() & (F.col("_last").isNull() | (F.col("_s") != F.col("_last")))).cast("int"))
-    x = x.withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    x = carried(x, key, _runs=(F.sum("_new"), "sum"))
+    x = x.withColumn("_g", F.coalesce("_runs", F.lit(0)) + F.sum("_new").over(up_to.rowsBetween(W.unboundedPreceding, 0)))
     run = W.partitionBy(key, "_g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    length = F.count("_s").over(run)
     kind = F.last("_s", ignorenulls=True).over(run)
-    return x.withColumns({"streak": length, "kind": F.when(kind > 0, "W").when(kind < 0, "L")}).drop("_s", "_last", "_new", "_g")
+    return x.withColumns({"streak": F.count("_s").over(run), "kind": F.when(kind > 0, "W").when(kind < 0, "L")}).drop("_b", "_s", "_before", "_last", "_new", "_runs", "_g")
 
 
 def running_stats(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
     """What was known before each trade: number, win rate, mean win and loss, largest win and loss, last pnl."""
-    w = W.partitionBy(key).orderBy(*order)
+    win, loss, at = F.when(PNL() > 0, PNL()), F.when(PNL() < 0, -PNL()), F.struct(*order)
+    parts = {"n": F.count("*"), "won": F.count(win), "lost": F.count(loss), "wins": F.sum(win), "losses": F.sum(loss)}
+    x = carried(in_stretches(trades, order[0]), key, **{f"_{n}": (v, "sum") for n, v in parts.items()}, _top=(F.max(win), "max"), _low=(F.max(loss), "max"), _end=(F.max_by("pnl", at), "last"))
+    w = _within(key, order)
     b = w.rowsBetween(W.unboundedPreceding, -1)
-    n = F.count("*").over(b)
-    return trades.withColumns({
-        "n_before": n, "win_rate": F.coalesce(F.count_if(PNL() > 0).over(b) / F.nullif(n, F.lit(0)), F.lit(0.0)),
-        "avg_win": F.coalesce(F.avg(F.when(PNL() > 0, PNL())).over(b), F.lit(0.0)), "avg_loss": F.coalesce(F.avg(F.when(PNL() < 0, -PNL())).over(b), F.lit(0.0)),
-        "biggest_win": F.coalesce(F.max(F.when(PNL() > 0, PNL())).over(b), F.lit(0.0)), "biggest_loss": F.coalesce(F.max(F.when(PNL() < 0, -PNL())).over(b), F.lit(0.0)), "last_pnl": F.lag("pnl").over(w),
+    have = {n: F.coalesce(F.col(f"_{n}"), F.lit(0)) + F.coalesce(v.over(b), F.lit(0)) for n, v in parts.items()}
+    mean = lambda total, n: F.coalesce(have[total] / F.nullif(have[n], F.lit(0)), F.lit(0.0))
+    out = x.withColumns({
+        "n_before": have["n"], "win_rate": mean("won", "n"), "avg_win": mean("wins", "won"), "avg_loss": mean("losses", "lost"),
+        "biggest_win": F.coalesce(F.greatest(F.max(win).over(b), F.col("_top")), F.lit(0.0)), "biggest_loss": F.coalesce(F.greatest(F.max(loss).over(b), F.col("_low")), F.lit(0.0)),
+        "last_pnl": F.coalesce(F.lag("pnl").over(w), F.col("_end")),
     })
+    return out.drop("_b", *(f"_{n}" for n in parts), "_top", "_low", "_end")
 
 
 def sub_pnl(units: Column, entry: Column, exit_: Column, long: Column) -> Column:
