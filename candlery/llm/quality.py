@@ -6,8 +6,8 @@ n-grams, joins counts, contexts and lower orders by n-gram, and joins the values
 texts to score. So only a part of all n-grams lies on disk at a time, and what a round moves grows with the text.
 
 A text's log probability is a sum of one value for each of its n-grams, seen or not, so only sums by text come back.
-N-grams that make up more than one in HOT of the trusted text are no matter of joins: there are HOT of them at most a
-kind, tasks hold their values, and so no task gets all texts' questions for a frequent word.
+N-grams that make up more than one in HOT of the trusted text (words: in HOT_WORDS) are no matter of joins: there are
+so many of them at most a kind, tasks hold their values, and no task gets all texts' questions for a frequent word.
 
 Below single words, in place of a uniform distribution, stands how a word is spelt: the chances of each byte after
 each other byte, a table of 256 times 256.
@@ -25,8 +25,9 @@ WORD_ORDER = 3
 #: Hashes of the marks before a text (which has two of the first) and after it.
 BEFORE, AFTER = mix(np.array([1, 2], np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-ROUNDS = 6
-HOT = 1 << 15
+#: Rounds: one for each so many bytes of text, and no more than so many.
+ROUND_BYTES, ROUNDS = 32 << 20, 6
+HOT, HOT_WORDS = 1 << 15, 1 << 18
 SLICE = 4 << 20
 #: Of the trusted documents kept back from training, this share lies within its language's threshold.
 QUANTILE = 0.98
@@ -129,8 +130,8 @@ def part_of(words_: np.ndarray, rounds: int) -> np.ndarray:
     return (words_ >> np.uint64(20)) % np.uint64(rounds)
 
 
-def trigrams(trusted: DataFrame, part: int, rounds: int) -> DataFrame:
-    """k3, ab, bc, b, c and n of the distinct trigrams whose middle word is of this part."""
+def trigrams(trusted: DataFrame, part: int, rounds: int, run, schema: str) -> DataFrame:
+    """run(k3, rows) -> batches, over the distinct trigrams whose middle word is of this part, those of a pair bc together."""
     buckets = partitions(trusted.sparkSession)
 
     def cut(batches):
@@ -141,22 +142,64 @@ def trigrams(trusted: DataFrame, part: int, rounds: int) -> DataFrame:
             k3, where, n = np.unique(keys[2][i], return_index=True, return_counts=True)
             i, rows = i[where], np.zeros(len(k3), TRIGRAM)
             rows["ab"], rows["bc"], rows["b"], rows["c"], rows["n"] = keys[1][i - 1], keys[1][i], keys[0][i - 1], keys[0][i], n
-            yield packed(np.zeros(len(k3), np.uint64), k3, bucket_of(k3, buckets), rows)
+            yield packed(np.zeros(len(k3), np.uint64), k3, bucket_of(rows["bc"], buckets), rows)
 
     def gather(batches):
         _, k3, rows = unpacked(batches, extra_type=TRIGRAM)
         k3, where, which = np.unique(k3, return_index=True, return_inverse=True)
         n = np.bincount(which, rows["n"], minlength=len(k3)).astype(np.int64)
-        rows = rows[where]
-        for a in range(0, len(k3), 1 << 17):
-            p = slice(a, a + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(k3[p].view(np.int64)), *(pa.array(np.ascontiguousarray(rows[c][p]).view(np.int64)) for c in ("ab", "bc", "b", "c")), pa.array(n[p])], names=["k3", "ab", "bc", "b", "c", "n"])
+        yield from run(k3, rows[where], n)
 
-    return to_buckets(trusted.select("text").mapInArrow(cut, PACKED), gather, "k3 long, ab long, bc long, b long, c long, n long")
+    return to_buckets(trusted.select("text").mapInArrow(cut, PACKED), gather, schema)
 
 
-def _kinds(rows: DataFrame, n: str) -> tuple:
-    return tuple(rows.agg(*(F.count_if(F.col(n) == r) for r in range(1, 5))).first())
+def _batches(names: list[str], *columns: np.ndarray):
+    for a in range(0, len(columns[0]), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[a : a + (1 << 17)])) for c in columns], names=names)
+
+
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal values together, and where each begins in it."""
+    order = np.argsort(values, kind="stable")
+    return order, np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0])) if len(values) else np.zeros(0, int)
+
+
+def _pairs(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of trigrams by their pairs bc: one row of each pair, how many trigrams end in it, and how often it occurs."""
+    order, begin = _groups(rows["bc"])
+    count = np.diff(np.append(begin, len(order)))
+    return rows[order[begin]], count, np.add.reduceat(n[order], begin) if len(begin) else n[:0]
+
+
+def _counts(k3: np.ndarray, rows: np.ndarray, n: np.ndarray):
+    """What one bucket's trigrams add to the statistics: kind, word and five numbers.
+
+    Kinds 3 and 2: how many trigrams and pairs have a count of 1 to 4, and (of 3) their occurrences; kind "b": a word's
+    pairs, their counts' sum and how many have a count of 1, 2 and more; kind "c": how many pairs end in a word.
+    """
+    pair, cont, _ = _pairs(rows, n)
+    out = [np.array([[3, 0, *((n == r).sum() for r in range(1, 5)), n.sum()], [2, 0, *((cont == r).sum() for r in range(1, 5)), 0]], np.int64)]
+    for kind, name in ((0, "b"), (1, "c")):
+        order, begin = _groups(pair[name])
+        if len(begin):
+            c = cont[order]
+            sums = [np.add.reduceat(x.astype(np.int64), begin) for x in ((c == 1), (c == 2), (c > 2), c, np.ones_like(c))]
+            out.append(np.column_stack([np.full(len(begin), kind), pair[name][order[begin]].view(np.int64), *sums]))
+    yield from _batches(["kind", "word", "x1", "x2", "x3", "x4", "x5"], *np.concatenate(out).T)
+
+
+STATISTICS = "kind long, word long, x1 long, x2 long, x3 long, x4 long, x5 long"
+TABLE = "k3 long, ab long, bc long, b long, c long, n long, cont long, first boolean"
+
+
+def _rows(k3: np.ndarray, rows: np.ndarray, n: np.ndarray):
+    """The trigrams, those of a pair side by side; with the pair's first one, how many end in it (cont) and occur (in n of a row of its own)."""
+    order, begin = _groups(rows["bc"])
+    count = np.diff(np.append(begin, len(order)))
+    first = np.zeros(len(order), bool)
+    first[begin] = True
+    rows = rows[order]
+    yield from _batches([x.split()[0] for x in TABLE.split(", ")], k3[order].view(np.int64), *(rows[c].view(np.int64) for c in ("ab", "bc", "b", "c")), n[order], np.repeat(count, count), first)
 
 
 def _off(n: str, cuts: tuple[float, float, float]):
@@ -168,32 +211,22 @@ class Model:
 
     def __init__(self, trusted: DataFrame, rounds: int = ROUNDS):
         self.trusted, self.rounds, self.spelling = trusted, rounds, byte_pairs(trusted)
-        kinds, contexts, ends, total = np.zeros((2, 4), np.int64), [], [], 0
-        for part in range(rounds):
-            tri = stored(trigrams(trusted, part, rounds))
-            kinds[0] += _kinds(tri, "n")
-            total += tri.agg(F.sum("n")).first()[0] or 0
-            two = stored(tri.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.count("*").alias("n")))
-            forget(tri)
-            kinds[1] += _kinds(two, "n")
-            contexts.append(stored(two.groupBy("b").agg(F.sum("n").alias("total"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2)), F.count_if(F.col("n") > 2).alias("n3"))))
-            ends.append(stored(two.groupBy("c").agg(F.count("*").alias("n"))))
-            forget(two)
-        self.positions = total
-        self.cuts = {3: discounts(tuple(kinds[0])), 2: discounts(tuple(kinds[1]))}
-        union = ends[0]
-        for more in ends[1:]:
-            union = union.unionByName(more)
-        single = stored(union.groupBy("c").agg(F.sum("n").alias("n")))
-        forget(*ends)
-        self.cuts[1] = discounts(_kinds(single, "n"))
+        parts = [stored(trigrams(trusted, part, rounds, _counts, STATISTICS).groupBy("kind", "word").agg(*(F.sum(f"x{k}").alias(f"x{k}") for k in range(1, 6)))) for part in range(rounds)]
+        every = parts[0]
+        for more in parts[1:]:
+            every = every.unionByName(more)
+        kinds = {r.kind: r for r in every.where("kind >= 2").groupBy("kind").agg(*(F.sum(f"x{k}").alias(f"x{k}") for k in range(1, 6))).collect()}
+        self.positions = kinds[3].x5 if 3 in kinds else 0
+        self.cuts = {k: discounts(tuple(kinds[k][1:5]) if k in kinds else (0, 0, 0, 0)) for k in (3, 2)}
+        single = stored(every.where("kind = 1").groupBy(F.col("word").alias("c")).agg(F.sum("x5").alias("n")))
+        self.cuts[1] = discounts(tuple(single.agg(*(F.count_if(F.col("n") == r) for r in range(1, 5))).first()))
         n, off = single.agg(F.sum("n"), F.sum(_off("n", self.cuts[1]))).first()
         self.spread = off / n if n else 1.0  # of single words' chances, what goes by spelling
         self.single = stored(single.join(self._spellings(), F.col("c") == F.col("word")).select("c", ((F.col("n") - _off("n", self.cuts[1])) / float(n or 1) + self.spread * F.exp("spelt")).alias("p"), "spelt", "often"))
         forget(single)
         d1, d2, d3 = self.cuts[2]
-        back = (F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")
-        self.contexts = [c.select("b", "total", back.alias("back")) for c in contexts]
+        back = (F.col("x1") * d1 + F.col("x2") * d2 + F.col("x3") * d3) / F.col("x4")
+        self.contexts = [p.where("kind = 0").select(F.col("word").alias("b"), F.col("x4").alias("total"), back.alias("back")) for p in parts]
 
     def _spellings(self) -> DataFrame:
         """word, spelt, and how often it occurs, of the trusted text's words and the mark after a text."""
@@ -219,58 +252,91 @@ class Model:
 
     def part_values(self, part: int) -> DataFrame:
         """gram, v and n: what each trigram, and each pair as its context or its lower order, adds to a text's log probability."""
-        tri = stored(trigrams(self.trusted, part, self.rounds))
-        two = tri.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.count("*").alias("cont"), F.sum("n").alias("n"))
-        raw = stored(two)
-        two = raw.join(self.contexts[part], "b").join(self.single.select("c", F.col("p").alias("p1")), "c")
+        tri = stored(trigrams(self.trusted, part, self.rounds, _rows, TABLE))
+        two = tri.where("first").select("bc", "b", "c", "cont").join(self.contexts[part], "b").join(self.single.select("c", F.col("p").alias("p1")), "c")
         p = (F.col("cont") - _off("cont", self.cuts[2])) / F.col("total") + F.col("back") * F.col("p1")
-        two = stored(two.select("bc", p.alias("p2"), (F.log(p) - F.log("back") - F.log("p1")).alias("v"), "n"))
-        context = stored(tri.groupBy("ab").agg(F.sum("n").alias("total"), (F.sum(_off("n", self.cuts[3])) / F.sum("n")).alias("weight")))
-        three = tri.select("k3", "ab", "bc", "n").join(two.select("bc", "p2"), "bc").join(context, "ab")
-        own = F.log((F.col("n") - _off("n", self.cuts[3])) / F.col("total") + F.col("weight") * F.col("p2")) - F.log("weight") - F.log("p2")
-        rows = three.select(F.col("k3").alias("gram"), own.alias("v"), "n")
-        rows = rows.unionByName(two.select(F.col("bc").alias("gram"), "v", "n")).unionByName(context.select((F.col("ab").bitwiseXOR(F.lit(_CONTEXT))).alias("gram"), F.log("weight").alias("v"), F.col("total").alias("n")))
-        out = stored(rows.select("gram", F.col("v").cast("float").alias("v"), "n"))
-        forget(tri, raw, two, context)
+        two = stored(two.select("bc", p.alias("p2"), (F.log(p) - F.log("back") - F.log("p1")).alias("v")))
+        three = tri.select("k3", "ab", "bc", "n").join(two, "bc")
+        out = stored(self._highest(three))
+        forget(tri, two)
         return out
 
+    def _highest(self, three: DataFrame) -> DataFrame:
+        """gram, v and n of trigrams (k3, ab, bc, n, and p2 and v of bc), and of their pairs as contexts and lower orders."""
+        buckets, (d1, d2, d3) = partitions(three.sparkSession), self.cuts[3]
+        kind = np.dtype([("bc", "<u8"), ("n", "<u4"), ("p2", "<f4"), ("v", "<f4"), ("ab", "<u8")])
+
+        def deal(batches):
+            for batch in batches:
+                k3, ab, bc = (batch.column(c).to_numpy().view(np.uint64) for c in ("k3", "ab", "bc"))
+                rows = np.zeros(len(k3), kind)
+                rows["bc"], rows["ab"], rows["n"], rows["p2"], rows["v"] = bc, ab, batch.column("n").to_numpy(), batch.column("p2").to_numpy(), batch.column("v").to_numpy()
+                yield packed(np.zeros(len(k3), np.uint64), k3, bucket_of(ab, buckets), rows)
+
+        def value(batches):
+            _, k3, rows = unpacked(batches, extra_type=kind)
+            order, begin = _groups(rows["ab"])
+            if not len(begin):
+                return
+            k3, rows = k3[order], rows[order]
+            n = rows["n"].astype(np.int64)
+            off = np.where(n == 1, d1, np.where(n == 2, d2, d3))
+            count = np.diff(np.append(begin, len(order)))
+            total = np.add.reduceat(n, begin)
+            weight = np.add.reduceat(off, begin) / total
+            w, p2 = np.repeat(weight, count), rows["p2"].astype(float)
+            own = np.log((n - off) / np.repeat(total, count) + w * p2) - np.log(w) - np.log(p2)
+            names = ["gram", "v", "n"]
+            yield from _batches(names, k3.view(np.int64), own.astype(np.float32), n)
+            yield from _batches(names, (rows["ab"][begin] ^ np.uint64(_CONTEXT)).view(np.int64), np.log(weight).astype(np.float32), total)
+            yield from _batches(names, rows["bc"].view(np.int64), rows["v"].copy(), n)
+
+        found = to_buckets(three.mapInArrow(deal, PACKED), value, "gram long, v float, n long")
+        return found.groupBy("gram").agg(F.first("v").alias("v"), F.sum("n").alias("n"))
+
 
 #: A pair's key as a context differs from its key as an n-gram, since they can be of different parts.
 _CONTEXT = 0x5DEECE66D1CE4E5B
 
 
-def _asked(keys: list[np.ndarray], at: np.ndarray, part: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which n-grams texts ask for in a round: place and key, for each kind; part -1: single words and the marks."""
+def _asked(keys: list[np.ndarray], at: np.ndarray, part: int, rounds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which n-grams texts ask for in a round: places and keys of each kind; part -1: single words and the marks."""
     if part < 0:  # each is the end of one trigram and the middle of the next; of the marks one is only this, one that
         i = np.flatnonzero(at >= 1)
-        return i, keys[0][i]
+        return [(i, keys[0][i])]
     i = np.flatnonzero(at >= 2)
     i = i[part_of(keys[0][i - 1], rounds) == part]
-    return np.concatenate([i, i, i]), np.concatenate([keys[2][i], keys[1][i], keys[1][i - 1] ^ np.uint64(_CONTEXT)])
+    return [(i, keys[2][i]), (i, keys[1][i]), (i, keys[1][i - 1] ^ np.uint64(_CONTEXT))]
 
 
 def _sums(docs: DataFrame, values: DataFrame, part: int, model: Model) -> DataFrame:
     """text_key and known: the sum of the values of one round's n-grams, of all rows with a text."""
     buckets, rounds = partitions(docs.sparkSession), model.rounds
-    hot = values.where(F.col("n") * HOT > model.positions).select("gram", "v").collect()  # 3 * HOT rows at most
+    most = HOT_WORDS if part < 0 else HOT
+    hot = values.where(F.col("n") * most > model.positions).select("gram", "v").collect()  # 3 * HOT or 2 * HOT_WORDS rows at most
     hot = sorted((r.gram & (1 << 64) - 1, r.v) for r in hot)
     near, worth = np.array([g for g, _ in hot], np.uint64), np.array([v for _, v in hot], float)
+    maybe = np.zeros(1 << 22, bool)  # by the first 22 bits
+    maybe[(near >> np.uint64(42)).astype(np.int64)] = True
+    maybe = np.packbits(maybe)
 
     def ask(batches):
+        held = np.unpackbits(maybe).view(bool)
         for batch in slices(batches, limit=SLICE):
             keys, text, at, _ = word_grams(*text_buffer(batch.column("text")))
             owner = batch.column("text_key").to_numpy().view(np.uint64)
-            place, gram = _asked(keys, at, part, rounds)
-            own = text[place]
             sums = np.zeros(len(owner))
-            if len(near):
-                k = np.minimum(np.searchsorted(near, gram), len(near) - 1)
-                known = near[k] == gram
-                sums = np.bincount(own[known], worth[k[known]], minlength=len(owner))
-                own, gram = own[~known], gram[~known]
-            bucket = bucket_of(gram, buckets)
-            order = np.lexsort((own, bucket))
-            yield packed(owner[own[order]], gram[order], bucket[order])
+            for place, gram in _asked(keys, at, part, rounds):
+                own = text[place]
+                if len(near):
+                    there = np.flatnonzero(held[(gram >> np.uint64(42)).astype(np.int64)])
+                    k = np.minimum(np.searchsorted(near, gram[there]), len(near) - 1)
+                    there, k = there[near[k] == gram[there]], k[near[k] == gram[there]]
+                    sums += np.bincount(own[there], worth[k], minlength=len(owner))
+                    rest = np.ones(len(gram), bool)
+                    rest[there] = False
+                    own, gram = own[rest], gram[rest]
+                yield packed(owner[own], gram, bucket_of(gram, buckets))
             # What is known already goes along as a value of its own, under a key that no n-gram has: bucket by text.
             yield packed(owner, np.zeros(len(owner), np.uint64), bucket_of(mix(owner), buckets), sums)
 
@@ -288,17 +354,21 @@ def _sums(docs: DataFrame, values: DataFrame, part: int, model: Model) -> DataFr
         gram = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[2], np.uint64) for r in told)])
         value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r[3], np.float32) for r in told)])
         order = np.argsort(gram)
-        gram, value = np.append(gram[order], ~np.uint64(0)), np.append(value[order], np.float32(0))
-        for owners, counts, hashes, extra in asked:
-            owners, counts, hashes = np.frombuffer(owners, np.uint64), np.frombuffer(counts, np.uint32), np.frombuffer(hashes, np.uint64)
-            if extra:
-                found = np.frombuffer(extra, float)
-            else:
-                k = np.searchsorted(gram, hashes)
-                found = np.where(gram[k] == hashes, value[k], np.float32(0)).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(owners.view(np.int64)), pa.array(np.add.reduceat(found, np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.int64)])))], names=["text_key", "known"])
-
-    told = values.where(F.col("n") * HOT <= model.positions).select("gram", "v").mapInArrow(tell, PACKED)
+        gram, value = np.append(gram[order], ~np.uint64(0)), np.append(value[order], np.float32(0))  # an end that no n-gram has
+        held, size = [], 0
+        for k, (owners, counts, hashes, extra) in enumerate(asked):
+            held.append((np.repeat(np.frombuffer(owners, np.uint64), np.frombuffer(counts, np.uint32)), np.frombuffer(hashes, np.uint64), np.frombuffer(extra, float) if extra else np.zeros(len(hashes) // 8)))
+            size += len(held[-1][0])
+            if size < 1 << 20 and k + 1 < len(asked):
+                continue
+            owner, hashes, found = (np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+            at = np.searchsorted(gram, hashes)
+            found = found + np.where(gram[at] == hashes, value[at], np.float32(0))
+            owner, which = np.unique(owner, return_inverse=True)
+            yield from _batches(["text_key", "known"], owner.view(np.int64), np.bincount(which, found, minlength=len(owner)))
+
+    told = values.where(F.col("n") * most <= model.positions).select("gram", "v").mapInArrow(tell, PACKED)
     both = docs.select("text_key", "text").mapInArrow(ask, PACKED).unionByName(told)
     return stored(to_buckets(both, match, "text_key long, known double").groupBy("text_key").agg(F.sum("known").alias("known")))
 
@@ -346,7 +416,9 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     """
     train, back = _marked(docs, labels)
     trusted = docs.select("doc_id", "text").join(_small(train), "doc_id", "left_semi")
-    rows = stored(perplexities(docs.select("doc_id", "lang", "text"), Model(trusted)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = Model(trusted, min(ROUNDS, 1 + size // ROUND_BYTES))
+    rows = stored(perplexities(docs.select("doc_id", "lang", "text"), model))
     held = rows.join(_small(back), "doc_id", "left_semi").where("perplexity is not null")
     value = F.percentile_approx("perplexity", quantile, 10_000)
     by = held.groupBy(F.col("lang").alias("of")).agg(value.alias("own"))  # a row a language
