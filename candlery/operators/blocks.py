@@ -29,9 +29,13 @@ def stoch_cross(bars: DataFrame, length=14, smooth=3, long_level=30, short_level
     return put(bars, name, I.cross_over(k, d) & (k < long_level), I.cross_under(k, d) & (k > short_level)).drop("_s", "_k", "_d")
 
 
+def trend_sides(f: Column, w: Column) -> tuple[Column, Column]:
+    return f > w, f < w
+
+
 def ema_trend(bars: DataFrame, fast=10, slow=30, name="trend") -> DataFrame:
     bars = I.with_recursive(bars, {"_f": ("ema", fast), "_w": ("ema", slow)})
-    return put(bars, name, F.col("_f") > F.col("_w"), F.col("_f") < F.col("_w")).drop("_f", "_w")
+    return put(bars, name, *trend_sides(F.col("_f"), F.col("_w"))).drop("_f", "_w")
 
 
 def squeeze_breakout(bars: DataFrame, length=20, mult=2.0, pct=25, lookback=5, window=100, name="squeeze") -> DataFrame:
@@ -42,27 +46,42 @@ def squeeze_breakout(bars: DataFrame, length=20, mult=2.0, pct=25, lookback=5, w
     return put(bars, name, F.col("_q") & (C() > F.col("_b")), F.col("_q") & (C() < F.col("_b"))).drop("_b", "_sd", "_w", "_r", "_q", "i")
 
 
+def rsi_sides(r: Column, long_level: float, short_level: float) -> tuple[Column, Column]:
+    before = F.lag(r).over(I.series())
+    return (before <= long_level) & (r > long_level), (before >= short_level) & (r < short_level)
+
+
 def rsi_pullback(bars: DataFrame, length=14, long_level=40, short_level=60, name="rsi") -> DataFrame:
     bars = I.with_recursive(bars, {"_r": ("rsi", length)})
-    r, before = F.col("_r"), F.lag("_r").over(I.series())
-    return put(bars, name, (before <= long_level) & (r > long_level), (before >= short_level) & (r < short_level)).drop("_r")
+    return put(bars, name, *rsi_sides(F.col("_r"), long_level, short_level)).drop("_r")
+
+
+def pullback_sides(f: Column, w: Column) -> tuple[Column, Column]:
+    return (f > w) & (L() <= f) & (C() > f), (f < w) & (H() >= f) & (C() < f)
 
 
 def ma_pullback(bars: DataFrame, fast=10, slow=30, name="pullback") -> DataFrame:
     bars = I.with_recursive(bars, {"_f": ("ema", fast), "_w": ("ema", slow)})
-    f, w = F.col("_f"), F.col("_w")
-    return put(bars, name, (f > w) & (L() <= f) & (C() > f), (f < w) & (H() >= f) & (C() < f)).drop("_f", "_w")
+    return put(bars, name, *pullback_sides(F.col("_f"), F.col("_w"))).drop("_f", "_w")
 
 
-def donchian(bars: DataFrame, length=20, name="donchian") -> DataFrame:
+def donchian_sides(length: int) -> tuple[Column, Column]:
     w = I.series().rowsBetween(-length, -1)
     full = F.count(F.lit(1)).over(w) == length
-    return put(bars, name, full & (C() > F.max(H()).over(w)), full & (C() < F.min(L()).over(w)))
+    return full & (C() > F.max(H()).over(w)), full & (C() < F.min(L()).over(w))
 
 
-def volume_surge(bars: DataFrame, length=20, mult=1.5, name="surge") -> DataFrame:
+def donchian(bars: DataFrame, length=20, name="donchian") -> DataFrame:
+    return put(bars, name, *donchian_sides(length))
+
+
+def surge_sides(length: int, mult: float) -> tuple[Column, Column]:
     big = V() >= mult * I.sma(V(), length)
-    return put(bars, name, big & (C() > O()), big & (C() < O()))
+    return big & (C() > O()), big & (C() < O())
+
+
+def volume_surge(bars: DataFrame, length=20, mult=1.5, name="surge") -> DataFrame:
+    return put(bars, name, *surge_sides(length, mult))
 
 
 def htf_trend_filter(bars: DataFrame, minutes=240, length=10, name="htf") -> DataFrame:
@@ -73,10 +92,14 @@ def htf_trend_filter(bars: DataFrame, minutes=240, length=10, name="htf") -> Dat
     return put(out, name, free | (F.col("_hc") > F.col("_ma")), free | (F.col("_hc") < F.col("_ma"))).drop("_hc", "_ma")
 
 
+def floor_sides(atr: Column, least: float) -> tuple[Column, Column]:
+    ok = atr / F.nullif(C(), F.lit(0.0)) * 100 >= least
+    return ok, ok
+
+
 def volatility_floor(bars: DataFrame, length=14, least=0.5, name="floor") -> DataFrame:
     bars = I.with_recursive(bars, {"_a": ("atr", length)})
-    ok = F.col("_a") / F.nullif(C(), F.lit(0.0)) * 100 >= least
-    return put(bars, name, ok, ok).drop("_a")
+    return put(bars, name, *floor_sides(F.col("_a"), least)).drop("_a")
 
 
 def volume_filter(bars: DataFrame, length=20, least=0.8, name="volume") -> DataFrame:

@@ -22,7 +22,7 @@ def _signals(f, *names):
 
 
 def _add(kind: str, name: str, **more) -> None:
-    REGISTRY.register(Block(name, kind, BLOCKS[kind][name], rules=(RULES[name],) if name in RULES else (), **more))
+    REGISTRY.register(Block(name, kind, BLOCKS[kind][name], rules=(RULES[name],) if name in RULES else (), sides=SIDES.get(name), **more))
 
 
 def _length(p: dict, key: str) -> int:
@@ -49,6 +49,28 @@ def structure(bars: DataFrame, p: dict, name: str) -> DataFrame:
     return out.select(*before, f"{name}_long", f"{name}_short")
 
 
+def _known(kind: str, p: dict, key: str) -> Column:
+    return F.col(I.known_as(kind, _length(p, key)))
+
+
+def _both(sides) -> dict[str, Column]:
+    return {"long": B.no(sides[0]), "short": B.no(sides[1])}
+
+
+def _atr_of(p: dict) -> dict[str, Column]:
+    return {"atr": _known("atr", p, "atrLen")}
+
+
+#: Rules as expressions over known indicators.
+SIDES = {
+    "emaTrend": lambda p: _both(B.trend_sides(_known("ema", p, "emaFast"), _known("ema", p, "emaSlow"))),
+    "rsiPullback": lambda p: _both(B.rsi_sides(_known("rsi", p, "rsiLen"), p["longLevel"], p["shortLevel"])),
+    "maPullback": lambda p: _both(B.pullback_sides(_known("ema", p, "emaFast"), _known("ema", p, "emaSlow"))),
+    "donchianBreakout": lambda p: _both(B.donchian_sides(_length(p, "period"))),
+    "volumeSurge": lambda p: _both(B.surge_sides(_length(p, "volLen"), p["multiplier"])),
+    "volatilityFloor": lambda p: _both(B.floor_sides(_known("atr", p, "atrLen"), p["minAtrPct"])),
+    "atrHardStop": _atr_of, "atrScaleOutTarget": _atr_of, "volTargetSizing": _atr_of,
+}
 N, X_ = "int", "float"
 _add("entry", "stochCross", columns=_signals(B.stoch_cross, ("stochLen", N), ("stochSmth", N), ("longLevel", X_), ("shortLevel", X_)))
 _add("entry", "emaTrend", columns=_signals(B.ema_trend, ("emaFast", N), ("emaSlow", N)), deps=lambda p: [("ema", _length(p, "emaFast")), ("ema", _length(p, "emaSlow"))])

@@ -84,6 +84,7 @@ def series(bars: DataFrame, spec: dict, genes: list[dict], registry: Registry =
     deps = dict.fromkeys(d for slots in plans for s in slots for d in s.block.deps(s.p))
     bars = I.with_recursive(bars, {I.known_as(*d): d for d in deps})
     names: dict[tuple, str] = {}
+    plain: dict[str, object] = {}  # columns that are expressions over the bars, all added in one step
 
     def name_of(slot: Slot, regime: str | None) -> str:
         """The columns of a block with these parameters; a gate's also depend on the regime it reads."""
@@ -95,6 +96,8 @@ def series(bars: DataFrame, spec: dict, genes: list[dict], registry: Registry =
             if gate:
                 label = F.col(regime) if regime else F.lit(None).cast("string")
                 bars = slot.block.columns(bars.withColumn("regime", label), slot.p, names[key]).drop("regime")
+            elif slot.block.sides:
+                plain.update({f"{names[key]}_{ending}": x for ending, x in slot.block.sides(slot.p).items()})
             elif slot.block.columns:
                 bars = slot.block.columns(bars, slot.p, names[key])
         return names[key]
@@ -122,7 +125,7 @@ def series(bars: DataFrame, spec: dict, genes: list[dict], registry: Registry =
         F.struct(F.lit(g).cast("long").alias("gene_id"), ok["long"].alias("long_ok"), ok["short"].alias("short_ok"), (F.col(regime) if regime else F.lit(None).cast("string")).alias("regime"), *(F.col(c).alias(n) for n, c in extra))
         for g, ok, regime, extra in rows
     ]
-    return bars.select("symbol", *BAR, F.inline(F.array(*structs)))
+    return bars.withColumns(plain).select("symbol", *BAR, F.inline(F.array(*structs)))
 
 
 def _accounts(spec: dict, genes: list[dict], registry: Registry) -> dict[int, tuple[dict, object]]:

@@ -247,3 +247,14 @@ def test_sizing_rules_have_bounds():
     assert size("martingale", basePct=1, stepMult=2, maxMult=3) == 150 and size("antiMartingale", basePct=1, stepMult=2, maxMult=3) == 50
     assert size("fixedFractional", f=0.01, minWorstLoss=100) == 5 and size("volTargetSizing", targetVolPct=1, hardCapPct=50) == 250
     assert size("equityCurveTrading", basePct=1, onPct=10, offPct=2, maLen=3, minTrades=3) == 500
+
+
+@pytest.mark.parametrize("block", [b for b in REGISTRY.all() if b.sides], ids=lambda b: b.id)
+def test_expressions_equal_columns(spark, block):
+    from candlery.operators import indicators as I
+
+    bars = walk(spark, 220)
+    known = I.with_recursive(bars, {I.known_as(*d): d for d in block.deps(PARAMS[block.id])})
+    a = known.select("bar_ts", *(x.alias(n) for n, x in block.sides(PARAMS[block.id]).items()))
+    b = block.columns(bars, PARAMS[block.id], "x").select("bar_ts", *(F.col(f"x_{n}").alias(n) for n in block.sides(PARAMS[block.id])))
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
