@@ -189,17 +189,18 @@ def _counts(k3: np.ndarray, rows: np.ndarray, n: np.ndarray):
 
 
 STATISTICS = "kind long, word long, x1 long, x2 long, x3 long, x4 long, x5 long"
-TABLE = "k3 long, ab long, bc long, b long, c long, n long, cont long, first boolean"
+TABLE = "k3 long, ab long, bc long, b long, c long, n long, cont long, often long, first boolean"
 
 
 def _rows(k3: np.ndarray, rows: np.ndarray, n: np.ndarray):
-    """The trigrams, those of a pair side by side; with the pair's first one, how many end in it (cont) and occur (in n of a row of its own)."""
+    """The trigrams, those of a pair side by side, with how many end in the pair (cont) and how often it occurs (often); first: one a pair."""
     order, begin = _groups(rows["bc"])
     count = np.diff(np.append(begin, len(order)))
     first = np.zeros(len(order), bool)
     first[begin] = True
+    often = np.add.reduceat(n[order], begin) if len(begin) else n[:0]
     rows = rows[order]
-    yield from _batches([x.split()[0] for x in TABLE.split(", ")], k3[order].view(np.int64), *(rows[c].view(np.int64) for c in ("ab", "bc", "b", "c")), n[order], np.repeat(count, count), first)
+    yield from _batches([x.split()[0] for x in TABLE.split(", ")], k3[order].view(np.int64), *(rows[c].view(np.int64) for c in ("ab", "bc", "b", "c")), n[order], np.repeat(count, count), np.repeat(often, count), first)
 
 
 def _off(n: str, cuts: tuple[float, float, float]):
@@ -253,24 +254,24 @@ class Model:
     def part_values(self, part: int) -> DataFrame:
         """gram, v and n: what each trigram, and each pair as its context or its lower order, adds to a text's log probability."""
         tri = stored(trigrams(self.trusted, part, self.rounds, _rows, TABLE))
-        two = tri.where("first").select("bc", "b", "c", "cont").join(self.contexts[part], "b").join(self.single.select("c", F.col("p").alias("p1")), "c")
+        two = tri.where("first").select("bc", "b", "c", "cont", "often").join(self.contexts[part], "b").join(self.single.select("c", F.col("p").alias("p1")), "c")
         p = (F.col("cont") - _off("cont", self.cuts[2])) / F.col("total") + F.col("back") * F.col("p1")
-        two = stored(two.select("bc", p.alias("p2"), (F.log(p) - F.log("back") - F.log("p1")).alias("v")))
-        three = tri.select("k3", "ab", "bc", "n").join(two, "bc")
-        out = stored(self._highest(three))
+        two = stored(two.select("bc", p.alias("p2"), (F.log(p) - F.log("back") - F.log("p1")).cast("float").alias("v"), "often"))
+        three = tri.select("k3", "ab", "bc", "n").join(two.select("bc", "p2"), "bc").select("k3", "ab", "n", "p2")
+        out = stored(self._highest(three).unionByName(two.select(F.col("bc").alias("gram"), "v", F.col("often").alias("n"))))
         forget(tri, two)
         return out
 
     def _highest(self, three: DataFrame) -> DataFrame:
-        """gram, v and n of trigrams (k3, ab, bc, n, and p2 and v of bc), and of their pairs as contexts and lower orders."""
+        """gram, v and n of trigrams (k3, ab, n, and p2 of the lower order), and of their pairs as contexts."""
         buckets, (d1, d2, d3) = partitions(three.sparkSession), self.cuts[3]
-        kind = np.dtype([("bc", "<u8"), ("n", "<u4"), ("p2", "<f4"), ("v", "<f4"), ("ab", "<u8")])
+        kind = np.dtype([("n", "<u4"), ("p2", "<f4"), ("ab", "<u8")])
 
         def deal(batches):
             for batch in batches:
-                k3, ab, bc = (batch.column(c).to_numpy().view(np.uint64) for c in ("k3", "ab", "bc"))
+                k3, ab = (batch.column(c).to_numpy().view(np.uint64) for c in ("k3", "ab"))
                 rows = np.zeros(len(k3), kind)
-                rows["bc"], rows["ab"], rows["n"], rows["p2"], rows["v"] = bc, ab, batch.column("n").to_numpy(), batch.column("p2").to_numpy(), batch.column("v").to_numpy()
+                rows["ab"], rows["n"], rows["p2"] = ab, batch.column("n").to_numpy(), batch.column("p2").to_numpy()
                 yield packed(np.zeros(len(k3), np.uint64), k3, bucket_of(ab, buckets), rows)
 
         def value(batches):
@@ -289,10 +290,8 @@ class Model:
             names = ["gram", "v", "n"]
             yield from _batches(names, k3.view(np.int64), own.astype(np.float32), n)
             yield from _batches(names, (rows["ab"][begin] ^ np.uint64(_CONTEXT)).view(np.int64), np.log(weight).astype(np.float32), total)
-            yield from _batches(names, rows["bc"].view(np.int64), rows["v"].copy(), n)
 
-        found = to_buckets(three.mapInArrow(deal, PACKED), value, "gram long, v float, n long")
-        return found.groupBy("gram").agg(F.first("v").alias("v"), F.sum("n").alias("n"))
+        return to_buckets(three.mapInArrow(deal, PACKED), value, "gram long, v float, n long")
 
 
 #: A pair's key as a context differs from its key as an n-gram, since they can be of different parts.
