@@ -8,7 +8,6 @@ from ..plans import params as P, search as S
 from ..sources.tables import table
 from . import query
 from .bars import daily, hourly, rounded
-from .simulation import GENE
 
 
 
@@ -121,27 +120,11 @@ def _(spark, d):
     return P.repair(P.mutate(P.cross(pairs, SHORT, 3), SHORT, 0.3, 5), SHORT, ORDER)
 
 
-def genes(n: int) -> list[dict]:
-    return [GENE | {"gene_id": k, "emaTrend.main.emaFast": 5 + k % 20, "emaTrend.main.emaSlow": 30 + 5 * (k % 13), "donchianBreakout.main.period": 10 + 2 * (k % 11)} for k in range(n)]
-
-
-@query("ga_07_evaluate")
-def _(spark, d):
-    return S.evaluate(daily(spark, d), S.TREND, genes(24)).drop("regimes")
-
-
 @query("ga_10_search")
 def _(spark, d):
     return S.search(hourly(spark, d), planets=2, islands=2, size=5, generations=2, every=1, travel=1, knockout=True).drop("regimes")
 
 
-@query("ga_15_walk_forward")
-def _(spark, d):
-    bars = daily(spark, d)
-    length = bars.groupBy("symbol").count().agg(F.min("count")).first()[0]  # of the shortest series
-    return S.walk_forward(bars, S.TREND, GENE, S.window_bounds(spark, length, 200, 4, 0.3)).drop("regimes")
-
-
 @query("lg_01_classic")
 def _(spark, d):
     gene = {p[0]: p[2] + (p[3] - p[2]) / 2 // p[4] * p[4] for p in P.CLASSIC}

@@ -3,7 +3,8 @@
 import random
 
 from candlery.catalog.bars import daily, hourly
-from candlery.catalog.search import SHORT, genes
+from candlery.catalog.search import SHORT
+from candlery.catalog.simulation import genes
 from candlery.plans import params as P, runtime as R, search as S
 from candlery.plans.spec import validate
 
