@@ -47,7 +47,7 @@ CURVE = f"{TRADES}, curve as (select *, 100000.0 + sum(pnl) {ORDER} as equity fr
 
 @query("agg_09_drawdown", f"with {CURVE}, p as (select strategy, equity, max(equity) {ORDER} as peak from curve) select strategy, round(max(peak - equity), 4) as max_dd, round(max((peak - equity)/nullif(peak, 0)), 6) as max_dd_pct from p group by 1")
 def _(spark, d):
-    curve = M.equity_curve(trades(spark, d), "strategy", EXIT_ORDER, 100_000.0)
+    curve = M.equity_curve(trades(spark, d), "strategy", EXIT_ORDER, 100_000.0, keep_stretches=True)
     return M.drawdown(curve, "strategy", EXIT_ORDER).select("strategy", F.round("max_dd", 4).alias("max_dd"), F.round("max_dd_pct", 6).alias("max_dd_pct"))
 
 

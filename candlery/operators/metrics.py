@@ -72,15 +72,17 @@ def carried(rows: DataFrame, key: str, **values: tuple[Column, str]) -> DataFram
 
 def drawdown(curve: DataFrame, key: str, order: list[str], equity: str = "equity") -> DataFrame:
     """Largest fall from the running peak, in money and as a share."""
-    x = carried(in_stretches(curve.select(key, *order, F.col(equity).alias("e")), order[0]), key, _p=(F.max("e"), "max"))
+    x = curve if "_b" in curve.columns else in_stretches(curve, order[0])
+    x = carried(x.select(key, "_b", *order, F.col(equity).alias("e")), key, _p=(F.max("e"), "max"))
     x = x.withColumn("p", F.greatest(F.max("e").over(_within(key, order).rowsBetween(W.unboundedPreceding, 0)), F.col("_p")))
     return x.groupBy(key).agg(F.max(F.col("p") - F.col("e")).alias("max_dd"), F.max((F.col("p") - F.col("e")) / F.nullif(F.col("p"), F.lit(0.0))).alias("max_dd_pct"))
 
 
-def equity_curve(trades: DataFrame, key: str, order: list[str], initial: float) -> DataFrame:
+def equity_curve(trades: DataFrame, key: str, order: list[str], initial: float, keep_stretches: bool = False) -> DataFrame:
+    """trades with equity after each; keep_stretches leaves the column _b of in_stretches for what comes next."""
     x = carried(in_stretches(trades, order[0]), key, _s=(F.sum("pnl"), "sum"))
     own = F.sum("pnl").over(_within(key, order).rowsBetween(W.unboundedPreceding, 0))
-    return x.withColumn("equity", F.lit(initial) + F.coalesce("_s", F.lit(0.0)) + own).drop("_b", "_s")
+    return x.withColumn("equity", F.lit(initial) + F.coalesce("_s", F.lit(0.0)) + own).drop("_s", *([] if keep_stretches else ["_b"]))
 
 
 def cagr(total_return: Column, years: Column) -> Column:
