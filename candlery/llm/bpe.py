@@ -26,7 +26,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 #: Distinct pieces a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 def tokenizer_path() -> str:
