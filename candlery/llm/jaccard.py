@@ -235,11 +235,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = to_buckets(back, _rarest, "doc_id long, token long, place long, shared long").join(sets.select("doc_id", "n"), "doc_id")
     fewest = F.ceil(F.col("n") * LEAST / 100)
     # Of the prefix of n - fewest + 1, the n - shared elements that nobody shares come first.
-    tokens = stored(tokens.where((F.col("shared") >= fewest) & (F.col("place") < F.col("shared") - fewest + 1)).select("token", "doc_id", "n"))
+    tokens = stored(tokens.where((F.col("shared") >= fewest) & (F.col("place") < F.col("shared") - fewest + 1)).select("token", "doc_id", "n", "shared"))
     least = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).where("size > 1").select("token", "a")
     near = (F.col("n") * 100 >= F.col("m") * LEAST) & (F.col("m") * 100 >= F.col("n") * LEAST)
-    size_of = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("m"))
-    star = tokens.join(least, "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n").distinct().join(size_of, "a").where(near).select("a", "b")
+    # What two sets have in common both share with another document, so no pair has more in common than either shares.
+    near = near & ((F.col("n") + F.col("m")) * LEAST <= F.least("shared", "shared_m") * (100 + LEAST))
+    size_of = tokens.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("shared").alias("shared_m")).distinct()
+    star = tokens.join(least, "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n", "shared").distinct().join(size_of, "a").where(near).select("a", "b")
     star = stored(star)
     found = _verified(star, sets)
     first = components(found)
@@ -251,7 +253,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = stored(sketch)
     marked = marked.join(sketch, "doc_id")
     cells = [c for c in sketch.columns if c != "doc_id"]
-    other = marked.select(F.col("token"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *(F.col(c).alias(f"o{c}") for c in cells))
+    other = marked.select(F.col("token"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("shared").alias("shared_m"), F.col("component").alias("other"), *(F.col(c).alias(f"o{c}") for c in cells))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in cells), F.lit(0))
     cross = marked.join(other, "token").where((F.col("component") < F.col("other")) & near & (apart * (100 + LEAST) <= (F.col("n") + F.col("m")) * (100 - LEAST)))
     cross = cross.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
