@@ -109,6 +109,19 @@ def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts:
     return rows.join(whole, keys, "left").withColumn(by, F.coalesce(by, value))
 
 
+#: Bytes of a table that every task may get whole.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if its rows, measured as text, are few bytes; else as it is, for Spark to shuffle and split.
+
+    df is read for it, so it should be a stored table or a small aggregate.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows for frames of whole texts that the caller runs later, unless the session sets its own.
 

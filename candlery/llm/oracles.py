@@ -11,3 +11,33 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, d.payload_digest
        case when best is not null and page_id <> best then best end as refers_to
 from d left join b using (payload_digest)
 """
+
+ORACLES["op11_source_divergence"] = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+           from documents),
+w as (select r, lang, source, unnest(ts) as term from d),
+kept as (select lang, term from w group by all having count(distinct r) >= 10),
+c as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v from kept group by lang),
+ng as (select lang, source, sum(n) as held from c group by all),
+nl as (select lang, sum(n) as held from c group by lang),
+full_ as (select g.lang, g.source, kept.term, coalesce(c.n, 0) as n,
+                 1 + (cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 2)) // (coalesce(ng.held, 0) + 2 * v.v) as p
+          from g join kept using (lang) join v using (lang) left join ng using (lang, source)
+          left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+q as (select c.lang, c.term, 1 + (cast(1000000000 as hugeint) * (sum(c.n) + 2)) // (any_value(nl.held) + 2 * any_value(v.v)) as q
+      from c join nl using (lang) join v using (lang) group by c.lang, c.term),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+          from full_ a join full_ b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+allpairs as (select a.lang, a.source, b.source as item, coalesce(pairs.value, 0) as value
+             from g a join g b on a.lang = b.lang and a.source <> b.source
+             left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source),
+terms as (select f.lang, f.source, f.term as item, ((f.p - q.q) * (f.p - q.q)) // (f.p + q.q) as value
+          from full_ f join q on q.lang = f.lang and q.term = f.term where f.n > 0 and f.p > q.q),
+ranked as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, encode(item)) as rank from allpairs
+           union all
+           select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, encode(item)) from terms)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 10
+"""

@@ -15,6 +15,7 @@ _MODULES = {
     "op8_substring_dedup": "substrings",
     "op9_jaccard_join": "jaccard",
     "op10_toxicity": "toxicity",
+    "op11_source_divergence": "divergence",
 }
 
 
