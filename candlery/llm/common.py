@@ -97,6 +97,27 @@ def fresh(prefix: str, taken: list[str]) -> str:
     return name
 
 
+def plain_names(docs: DataFrame, needed: tuple[str, ...], results: tuple[str, ...]):
+    """docs as an operator can work on it whatever its other columns are called, and the function that names them back.
+
+    Columns `needed` keep their names (a column of that very name comes before one in another case); columns called
+    like a result, in any case, are dropped; all others, with dots, backticks or whatever else, are c0_, c1_, ...
+    back(rows, results, without) has docs' columns as docs called them, but those of `without`, and the results.
+    """
+    named = docs.columns
+    lower = [c.lower() for c in named]
+    place = {n: named.index(n) if n in named else lower.index(n.lower()) for n in needed}
+    new = [f"c{i}_" for i in range(len(named))]
+    for n, i in place.items():
+        new[i] = n
+    keep = [i for i, c in enumerate(lower) if i in place.values() or c not in {r.lower() for r in results}]
+
+    def back(rows: DataFrame, results: tuple[str, ...] = results, without: tuple[str, ...] = ()) -> DataFrame:
+        return rows.select(*(F.col(new[i]).alias(named[i]) for i in keep if new[i] not in without), *results)
+
+    return docs.toDF(*new).select(*(new[i] for i in keep)), back
+
+
 def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts: int = 64) -> DataFrame:
     """rows with column `by`: top (F.min or F.max) of value over equal keys; null keys are on their own.
 

@@ -41,3 +41,25 @@ ranked as (select lang, source, 'pair' as part, item, value, row_number() over (
            select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, encode(item)) from terms)
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 10
 """
+
+ORACLES["op12_quality_rules"] = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(source, '') as host from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
+wins as (select r, i, ws[i:i + 7] as win from (select r, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)),
+twice as (select r, win from wins group by all having count(*) > 1),
+rep as (select r, count(distinct i + k) as n_repeat_words from wins semi join twice using (r, win), (select unnest(range(0, 8)) as k) group by r),
+l as (select r, host, text, unnest(string_split(text, chr(10))) as line from d),
+lw as (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from l),
+ln as (select *, array_to_string(list_transform(ws, lambda x: regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g')), ' ') as norm from lw where len(ws) > 0),
+dup as (select r, count(*) - count(distinct line) as n_dup_lines from ln group by r),
+hosts as (select host, count(distinct text) as docs from d group by host),
+hot as (select host, norm from ln join hosts using (host) group by host, norm, docs having count(distinct text) > 10 and 100 * count(distinct text) > docs),
+cut as (select r, sum(len(ws)) as n_cut from ln semi join hot using (host, norm) group by r),
+b as (select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+             cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+             cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(coalesce(n_cut, 0) as bigint) as n_cut
+      from w left join dup using (r) left join rep using (r) left join cut using (r))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * (n_words - n_cut) >= 30 * n_words as kept
+from b
+"""

@@ -16,6 +16,7 @@ _MODULES = {
     "op9_jaccard_join": "jaccard",
     "op10_toxicity": "toxicity",
     "op11_source_divergence": "divergence",
+    "op12_quality_rules": "rules",
 }
 
 
