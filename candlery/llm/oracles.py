@@ -63,3 +63,19 @@ select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
        not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * (n_words - n_cut) >= 30 * n_words as kept
 from b
 """
+
+ORACLES["op13_hard_negatives"] = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x
+           from embeddings
+           where label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.x, b.x) as bigint) as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor, id, score from s where same qualify row_number() over (partition by anchor order by score desc, id) <= 5)
+select p.anchor as anchor_id, p.id as positive_id,
+       cast(row_number() over (partition by p.anchor, p.id order by n.score desc, n.id) as integer) as rank,
+       n.id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.anchor = p.anchor and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify row_number() over (partition by p.anchor, p.id order by n.score desc, n.id) <= 10
+"""

@@ -17,6 +17,7 @@ _MODULES = {
     "op10_toxicity": "toxicity",
     "op11_source_divergence": "divergence",
     "op12_quality_rules": "rules",
+    "op13_hard_negatives": "negatives",
 }
 
 
