@@ -30,7 +30,7 @@ def counted(docs: DataFrame) -> DataFrame:
     def rows_of(held):
         for (lang, source), (n, docs) in held.items():
             terms = list(docs)
-            columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()), pa.array([n[t] for t in terms], pa.int64()), pa.array(list(docs.values()), pa.int64())]
+            columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()), pa.array([n[t] for t in terms], pa.int64()), pa.array(list(docs.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches):
