@@ -23,6 +23,8 @@ _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 #: A line as it is compared: A-Z lowered, each digit 0.
 _NORMAL = LOWER.copy()
 _NORMAL[48:58] = 48
+#: Bytes of text that a task works on at a time; its arrays take some 50 times as much.
+SLICE = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -86,7 +88,7 @@ def measured(docs: DataFrame, carried: list[str]) -> DataFrame:
     """carried columns, LONGS, and lines: each distinct line's hash with its words in the text."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts = Texts(batch.column("text"))
             hashes, size = texts.lines(), texts.size
             order = np.lexsort((hashes, texts.line_of))
@@ -155,7 +157,7 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_p
     names, schema = rows.columns, rows.schema
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts, gone = Texts(batch.column("text")), batch.column("gone").to_pylist()
             hashes, out = texts.lines(), batch.column("text").to_pylist()
             for k in (k for k, lines in enumerate(gone) if lines):
