@@ -121,11 +121,6 @@ def candles_anti(rows, known):
     return rows.join(known, "o_custkey", "left_anti")
 
 
-@query("snk_08_delete_symbol", f"with {HOURLY} select symbol, count(*) as n from hourly where symbol <> 'click' group by 1")
-def _(spark, d):
-    return hourly(spark, d).where("symbol <> 'click'").groupBy("symbol").agg(F.count("*").alias("n"))
-
-
 @query("prj_02_price_sources", f"with {HOURLY} select symbol, bar_ts, round((high+low)/2, 6) as hl2, round((high+low+close)/3, 6) as hlc3, round((open+high+low+close)/4, 6) as ohlc4 from hourly")
 def _(spark, d):
     return hourly(spark, d).select("symbol", "bar_ts", *(F.round(candles.price_source(n), 6).alias(n) for n in ("hl2", "hlc3", "ohlc4")))

@@ -207,11 +207,6 @@ def _(spark, d):
     return closed_windows(table(spark, d, "events"))
 
 
-@query("st_06_resume", "select event_id from events where epoch_us(ts)//1000 >= 1705276800000 + 60000")
-def _(spark, d):
-    return table(spark, d, "events").where(F.unix_millis(F.col("ts").cast("timestamp")) >= 1_705_276_800_000 + 60_000).select("event_id")
-
-
 @query("srt_04_block_order", "select * from (values ('donchianBreakout', 'entry'), ('emaTrend', 'entry'), ('volumeFilter', 'filter')) t(id, kind)")
 def _(spark, d):
     from ..plans.spec import catalogue

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def _load() -> tuple[dict, dict[str, str]]:
     from . import catalog
-    from .catalog import bars, files, indicators, metrics, scalars, search, simulation  # noqa: F401
+    from .catalog import bars, files, indicators, metrics, scalars, search, simulation, streams  # noqa: F401
 
     return catalog.QUERIES, catalog.ORACLES
 

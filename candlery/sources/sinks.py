@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.tables import keep_best
-from .files import exists, replace
+from .files import exists, hadoop, replace, scratch
 from .klines import read_pages
 
 CACHE = "gene_key string, fitness double, metrics string"
@@ -37,6 +37,33 @@ def ingest(spark: SparkSession, pages: str, symbol: str, path: str) -> None:
     insert_new(read_pages(spark, pages, symbol), path, ["symbol", "ts"])
 
 
+def by_symbol(rows: DataFrame, path: str) -> None:
+    """Adds rows to a table with a folder for each symbol."""
+    rows.write.mode("append").partitionBy("symbol").parquet(path)
+
+
+def _folder(spark: SparkSession, path: str, symbol: str) -> str:
+    return f"{path.rstrip('/')}/symbol={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(symbol)}"
+
+
+def delete_symbol(spark: SparkSession, path: str, symbol: str) -> bool:
+    """Removes a symbol's folder from a table by symbol; no other file is touched or read. False if there was none."""
+    system, place = hadoop(spark, _folder(spark, path, symbol))
+    return bool(system.delete(place, True))
+
+
+def delete_between(spark: SparkSession, path: str, symbol: str, first: int, last: int) -> None:
+    """Removes a symbol's rows with ts from first to last: its folder alone is written anew, and gone if none are left."""
+    rest = spark.read.option("basePath", path).parquet(_folder(spark, path, symbol)).where(~F.col("ts").between(first, last))
+    staged = scratch(spark)
+    rest.write.parquet(staged)  # what is overwritten can't be read meanwhile
+    rest = spark.read.schema(rest.schema).parquet(staged)
+    if rest.isEmpty():
+        delete_symbol(spark, path, symbol)
+    else:
+        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
+
+
 def save_cache(entries: DataFrame, path: str, most: int = MOST_CACHED) -> None:
     """The best entries with a positive finite fitness, in place of the cache that was there.
 
