@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, small_batches, table
+from .common import extended, plain_names, slices, small_batches, table
 
 #: Fixed: how byte-level tokenizers of this kind split a text into words.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -358,13 +358,13 @@ def gather(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256, and token_ids (array<int>), added (or replaced).
+    """docs with n_tokens, ids_sha256 and decoded_sha256, and token_ids (array<int>), added, or replaced in any case.
 
     Null and empty texts have no tokens; texts of any length are encoded whole; repeated rows stay.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")]
-    docs = docs.select(*kept)
+    docs, back = plain_names(docs, (text,), ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids"))
+    kept = docs.columns
     with open(path or tokenizer_path(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the input's size
 
@@ -374,12 +374,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
             ids, at = encoder.encode(batch.column(text).fill_null("").to_pylist())
             little = ids.astype("<u4").tobytes()
             sha = [hashlib.sha256(little[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            back = [hashlib.sha256(x).hexdigest() for x in encoder.decode(ids, at)]
-            columns = [*batch.columns, pa.array(np.diff(at)), pa.array(sha), pa.array(back), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+            decoded = [hashlib.sha256(x).hexdigest() for x in encoder.decode(ids, at)]
+            columns = [*batch.columns, pa.array(np.diff(at)), pa.array(sha), pa.array(decoded), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>")
+    return back(docs.mapInArrow(run, extended(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>")))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: ASCII white space that ends a word in the word-shingle operators: tab to carriage return, and space.
 SPACE = np.zeros(256, bool)
@@ -118,6 +118,11 @@ def plain_names(docs: DataFrame, needed: tuple[str, ...], results: tuple[str, ..
     return docs.toDF(*new).select(*(new[i] for i in keep)), back
 
 
+def extended(df: DataFrame, results: str, replaced: tuple[str, ...] = ()) -> T.StructType:
+    """df's schema, without the columns `replaced`, and the results' fields after it."""
+    return T.StructType([f for f in df.schema.fields if f.name not in replaced] + T.StructType.fromDDL(results).fields)
+
+
 def with_top(rows: DataFrame, keys: list[str], value: str, by: str, top, salts: int = 64) -> DataFrame:
     """rows with column `by`: top (F.min or F.max) of value over equal keys; null keys are on their own.
 

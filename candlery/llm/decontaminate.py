@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import LOWER_ASCII, UPPER_ASCII, fresh, stored, table
+from .common import LOWER_ASCII, UPPER_ASCII, plain_names, stored, table
 
 WINDOW = 10
 #: What stands between words, after lower-casing: all ASCII but digits and a-z.
@@ -139,16 +139,17 @@ def clean(docs: DataFrame, items: DataFrame, remove: str = "documents", window:
 
     Columns other than doc_id and text pass through, whatever their names; a null text stays null.
     """
-    names = {c: fresh(f"bad_{c}", docs.columns) for c in ("doc_id", "text_hash", "hit")}
+    docs, back = plain_names(docs, ("doc_id", "text"), ())
+    names = {c: f"bad_{c}" for c in ("doc_id", "text_hash", "hit")}
     bad = hits(docs.select("doc_id", "text"), items, window).where(F.size("hit") > 0).select(*(F.col(c).alias(n) for c, n in names.items())).dropDuplicates([names["doc_id"], names["text_hash"]])
     same = docs["doc_id"].eqNullSafe(bad[names["doc_id"]]) & (F.xxhash64(docs["text"]) == bad[names["text_hash"]])
     if remove == "documents":
-        return docs.join(bad, same, "left_anti")
+        return back(docs.join(bad, same, "left_anti"))
     hit = F.col(names["hit"])
     pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
     kept = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(hit, i)), "")
     text = F.when(hit.isNull(), F.col("text")).otherwise(F.concat(F.regexp_extract("text", HEAD, 0), kept))
-    return docs.join(bad, same, "left").withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return back(docs.join(bad, same, "left").withColumn("text", text))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import PACKED, bucket_of, components, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words, with_top
+from .common import PACKED, bucket_of, components, mix, packed, partitions, plain_names, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words, with_top
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -125,7 +125,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    # A document that came in several rows with different texts keeps its first set; see join_documents.
+    # A document that came in several rows with different texts has a set for each; see join_documents.
     return rows.mapInArrow(run, "doc_id long, n long, hashes binary")
 
 
@@ -258,14 +258,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cross = marked.join(other, "token").where((F.col("component") < F.col("other")) & near & (apart * (100 + LEAST) <= (F.col("n") + F.col("m")) * (100 - LEAST)))
     cross = cross.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = _verified(cross, sets)
-    return rows.select("doc_id", "n_shingles", "class_id"), components(found.union(more))
+    # A doc_id that came with several texts is one document: their classes are linked through it.
+    several = rows.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b")
+    several = rows.join(several.select("doc_id", "a"), "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b"))
+    return rows.select("doc_id", "n_shingles", "class_id"), components(found.union(more).union(several))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links, itself included) of each row.
 
     Texts without words, null ones too, have no shingles and no links. Rows without a doc_id are left out; repeated
-    rows stay, and rows that share a doc_id but not the text are told apart by their text alone.
+    rows stay. Rows that share a doc_id but not the text are one document, with the links of all its texts; n_shingles
+    is that of the row's own text.
     """
     rows, linked = links(docs)
     linked = linked.select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
@@ -274,8 +278,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with the least doc_id of each component only; rows without a doc_id stay."""
+    docs, back = plain_names(docs, ("doc_id", "text"), ())
     keep = join_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(keep, "doc_id", "left_semi").select(*docs.columns))
+    return back(docs.where("doc_id is null").unionByName(docs.join(keep, "doc_id", "left_semi")))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import partitions, scratch, slices, stored, table, with_top
+from .common import extended, partitions, scratch, slices, stored, table, with_top
 from .files import make_folder, opened
 
 ROW = 192
@@ -164,8 +164,8 @@ def _reading(manifest: DataFrame, read, schema: str) -> DataFrame:
                 file.close()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(new))], names=[*kept, *dict(new)])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in manifest.select(*kept).schema)
-    return manifest.select(*kept).mapInArrow(run, f"{fields}, {schema}")
+    manifest = manifest.select(*kept)
+    return manifest.mapInArrow(run, extended(manifest, schema))
 
 
 def in_reading_order(manifest: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LOWER, PACKED, bucket_of, forget, mix, packed, partitions, slices, stored, table, text_buffer, to_buckets, unpacked, words
+from .common import LOWER, PACKED, bucket_of, extended, forget, mix, packed, partitions, plain_names, slices, stored, table, text_buffer, to_buckets, unpacked, words
 
 WORD_ORDER = 3
 #: Hashes of the marks before a text (which has two of the first) and after it.
@@ -377,7 +377,8 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 
     Equal texts share their n-grams' sums: those of all rows with a text, over the number of such rows.
     """
-    kept = [c for c in docs.columns if c not in ("text", "n_symbols", "perplexity")]
+    docs, back = plain_names(docs, ("text",), ("n_symbols", "perplexity"))
+    kept = [c for c in docs.columns if c != "text"]
     docs = docs.select(*kept, "text", F.xxhash64("text").alias("text_key"))
     pairs, spread, parts = model.spelling, model.spread, []
     for part in range(-1, model.rounds):
@@ -398,12 +399,12 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             base = np.diff(np.concatenate([[0.0], np.cumsum(each)])[first]) + after(pairs) + n * np.log(spread)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*kept, "text_key")), pa.array(np.where(np.diff(offsets) > 0, n, 0)), pa.array(base)], names=[*kept, "text_key", "n_symbols", "base"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.drop("text", "text_key").schema)
-    rows = stored(docs.mapInArrow(run, f"{fields}text_key long, n_symbols long, base double"))
+    rows = stored(docs.mapInArrow(run, extended(docs, "text_key long, n_symbols long, base double", ("text", "text_key"))))
     copies = rows.groupBy("text_key").agg(F.count("*").alias("copies"))
     known = stored(known.groupBy("text_key").agg(F.sum("known").alias("known")).join(copies, "text_key"))
     value = F.exp(-(F.col("base") + F.coalesce(F.col("known") / F.col("copies"), F.lit(0.0))) / F.col("n_symbols"))
-    return rows.join(known, "text_key", "left").select(*kept, "n_symbols", F.when(F.col("n_symbols") > 0, value).alias("perplexity"))
+    out = rows.join(known, "text_key", "left").withColumn("perplexity", F.when(F.col("n_symbols") > 0, value))
+    return back(out, without=("text",))
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

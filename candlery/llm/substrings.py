@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, small_batches, table, text_buffer, words
+from .common import extended, plain_names, slices, small_batches, table, text_buffer, words
 from .winnow import covered, repeated_runs, with_runs
 
 WIDTH, ANCHOR = 13, 5
@@ -78,8 +78,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     repeated rows of one doc_id count as one document, each cut alike.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
-    rows, runs = with_runs(docs.select(*kept), repeated(docs.select("doc_id", "text")))
+    docs, back = plain_names(docs, ("doc_id", "text"), ("n_words", "n_removed", "kept_sha256"))
+    kept = docs.columns
+    rows, runs = with_runs(docs, repeated(docs.select("doc_id", "text")))
 
     def run(batches):
         for batch in slices(batches):
@@ -93,8 +94,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             columns = [texts if c == "text" else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(removed), pa.array([hashlib.sha256(b).hexdigest() for b in bodies])], names=[*kept, "n_words", "n_removed", "kept_sha256"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return rows.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_sha256 string")
+    return back(rows.mapInArrow(run, extended(docs, "n_words long, n_removed long, kept_sha256 string")))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

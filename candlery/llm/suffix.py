@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import scratch, slices, small_batches, table, text_buffer
+from .common import extended, plain_names, scratch, slices, small_batches, table, text_buffer
 from .files import make_folder, opened
 from .winnow import SPREAD, covered, repeated_runs, with_runs
 
@@ -207,8 +207,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     of one doc_id count as one document, each cut alike.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]
-    rows, runs = with_runs(docs.select(*kept), repeated(docs.select("doc_id", "text")))
+    docs, back = plain_names(docs, ("doc_id", "text"), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    kept = docs.columns
+    rows, runs = with_runs(docs, repeated(docs.select("doc_id", "text")))
 
     def run(batches):
         for batch in slices(batches):
@@ -226,8 +227,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             columns = [texts if c == "text" else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first)), pa.array(removed), pa.array(np.diff(spans[first])), pa.array([hashlib.sha256(b).hexdigest() for b in bodies])], names=[*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return rows.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return back(rows.mapInArrow(run, extended(docs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fresh, slices, small_batches, stored, table
+from .common import extended, plain_names, slices, small_batches, stored, table
 
 #: Fixed: look-alikes of Latin letters, folded when a text holds any; dashes, quotes and wide blanks become a space.
 HOMOGLYPHS = str.maketrans(
@@ -218,6 +218,7 @@ def fit_curve(rows: DataFrame, lexicon: dict[str, float], exceptions: frozenset[
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], frozenset[str], np.ndarray]:
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels)
     lexicon = learn_lexicon(rows)
     exceptions = learn_exceptions(rows, lexicon)
@@ -231,8 +232,8 @@ def score(docs: DataFrame, model: tuple[dict[str, float], frozenset[str], np.nda
     labels nothing is known to be toxic, and every score is low.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "n_matches")]
-    docs = docs.select(*(f"`{c}`" for c in kept))
+    docs, back = plain_names(docs, ("text",), ("score", "predicted", "n_matches"))
+    kept = docs.columns
     lexicon, exceptions, weights = model
 
     def run(batches):
@@ -243,15 +244,13 @@ def score(docs: DataFrame, model: tuple[dict[str, float], frozenset[str], np.nda
             p = 1 / (1 + np.exp(-z))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(f[2]) for f in found], pa.int64())], names=[*kept, "score", "predicted", "n_matches"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int, n_matches long")
+    return back(docs.mapInArrow(run, extended(docs, "score double, predicted int, n_matches long")))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more; columns named like those of score() keep their values."""
-    model, names = learn(docs, labels), {c: fresh(f"c{i}_", docs.columns) for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    rows = score(docs.withColumnsRenamed(names), model).where("predicted = 0")
-    return rows.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+    docs, back = plain_names(docs, ("doc_id", "text"), ())
+    return back(score(docs, learn(docs, labels)).where("predicted = 0"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import LOWER_ASCII, UPPER_ASCII, fresh, table
+from .common import LOWER_ASCII, UPPER_ASCII, plain_names, table
 
 #: Fixed: rules of host and path beginning with their verdicts.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -111,8 +111,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] =
     stay; columns of pages named like a new one are replaced.
     """
     new = ("host", "path", "rule", "score", "verdict")
-    kept = [f"`{c}`" for c in pages.columns if c.lower() not in new]
-    fit, slots, ruled = (fresh(c, pages.columns) for c in ("fit", "slots", "ruled"))
+    pages, back = plain_names(pages, ("url",), new)
+    kept, fit, slots, ruled = pages.columns, "fit", "slots", "ruled"
     rows = pages.select(*kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     fits = []
     for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r)):
@@ -125,7 +125,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] =
     total = F.aggregate(slots, F.lit(0.0), lambda s, i: s + F.element_at(coefficients, i + 1))
     score = 1 / (1 + F.exp(-(total / F.greatest(F.size(slots), F.lit(1)) + F.lit(float(weights[-1])))))
     rows = rows.select(*kept, "host", "path", F.col(fit)["rule"].alias("rule"), F.col(fit)["verdict"].alias(ruled), score.alias("score"))
-    return rows.select(*kept, "host", "path", "rule", "score", F.coalesce(ruled, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"))
+    return back(rows.withColumn("verdict", F.coalesce(ruled, F.when(F.col("score") >= 0.5, "block").otherwise("allow"))))
 
 
 def held_out(spark: SparkSession, labelled: list[tuple[str, int]], folds: int = 5) -> tuple[float, float]:

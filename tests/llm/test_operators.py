@@ -333,6 +333,15 @@ def test_jaccard(spark, docs, rows, awkward):
     assert kept == {d for d, (_, c) in plain_components(AWKWARD).items() if d == c}
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    """Rows that share a doc_id are one document, with the links of all its texts."""
+    text = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(5, text("a")), (5, text("b")), (2, text("b")), (7, text("a", 29)), (1, text("c")), (1, text("d")), (3, text("d", 29)), (4, text("c")), (9, text("e")), (9, text("e")), (8, text("f")), (8, None)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    heads = {5: 2, 2: 2, 7: 2, 1: 1, 3: 1, 4: 1, 9: 9, 8: 8}
+    assert got == {(d, len((t or "").split()) - 4 if t else 0, heads[d]) for d, t in rows}
+
+
 # -- 10
 
 
@@ -395,7 +404,11 @@ ROWS = [
 #: Names that some operator uses for a column of its own.
 CLASHES = ["_id", "_runs", "runs", "of", "start", "count", "asked", "hot", "hit", "own", "bad_hit", "bad_doc_id", "words", "h1", "items", "copies", "fit", "slots", "ruled", "digest", "owner", "shard", "offset",
            "salt", "n", "k1", "k2", "class_id", "component", "token", "text_key", "known", "base", "threshold", "perplexity", "best", "again_id", "size", "folded", "term"]
-RETURNED = {"score", "predicted", "n_matches", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"}
+
+
+def odd_columns():
+    """Columns whose names have to be quoted, and a struct whose fields have such names."""
+    return [F.lit("own a.b").alias("a.b"), F.lit("own c`d").alias("c`d"), F.struct(F.struct(F.lit(1).alias("x.y")).alias("a-b")).alias("s t")]
 
 
 def plain_rows(df):
@@ -414,7 +427,7 @@ def operators(spark):
         "op2": (bpe.encode, True), "op3": (lambda d: quality.judge(d, labels).select("doc_id", "lang", "n_symbols", F.round("perplexity", 6).alias("p"), "keep"), False), "op4": (suffix.dedup, True),
         "op5": (lambda d: urls.judge(pages(d), urls.fixed_labels(spark)).withColumnsRenamed({"page_id": "doc_id", "url": "text"}), True),
         "op6": (lambda d: media.with_media(*(lambda r, m: (r, media.features(m)))(*media.columns(d, media.scratch(spark)))).drop("shard", "offset"), False),
-        "op7": (lambda d: warc.read(warc.write(d.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html"), *(F.col(c) for c in d.columns if c not in ("doc_id", "lang", "text"))), warc.scratch(spark)), payloads=False), False),
+        "op7": (lambda d: warc.read(warc.write(d.withColumnsRenamed({"doc_id": "page_id", "lang": "url", "text": "html"}), warc.scratch(spark)), payloads=False), False),
         "op8": (substrings.dedup, True), "op9": (jaccard.join_documents, False), "op9_one": (jaccard.one_of_each, True),
         "op10": (lambda d: toxicity.score(d, toxicity.learn(d, labels)), True), "op10_reject": (lambda d: toxicity.reject(d, labels), True),
     }
@@ -431,10 +444,12 @@ def test_rows_that_any_table_can_have(spark, name):
     if lost is not None:  # rows without a doc_id have no place in op9; all others come back, repeated ones too
         assert len(want) == len(ROWS) - lost
     extra = [c for c in CLASHES if c not in plain.columns and c not in docs.columns]
-    odd = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in extra), *(F.lit(7).alias(c) for c in plain.columns if c not in docs.columns and c not in ("page_id", "url")))
+    odd = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in extra), *(F.lit(7).alias(c.upper()) for c in plain.columns if c not in docs.columns and c not in ("page_id", "url")), *odd_columns())
     out = run(odd)
     if hands_on:
-        assert out.where(" or ".join(f"`{c}` <> 'own {c}' or `{c}` is null" for c in extra)).count() == 0
+        quoted = {c: "`" + c.replace("`", "``") + "`" for c in [*extra, "a.b", "c`d"]}
+        assert out.where(" or ".join(f"{q} <> 'own {c}' or {q} is null" for c, q in quoted.items())).count() == 0
+        assert [r[0]["a-b"]["x.y"] for r in out.select(F.col("`s t`")).collect()] == [1] * len(want)
     assert plain_rows(out.select(*(F.col(f"`{c}`") for c in plain.columns))) == want
     assert plain_rows(run(docs.union(docs).distinct())) == plain_rows(run(docs.distinct()))
 

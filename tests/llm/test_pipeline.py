@@ -41,3 +41,22 @@ def test_pipeline(spark, sf_dir):
             want[doc] = (text, len(ids), sha(b"".join(i.to_bytes(4, "little") for i in ids)))
     assert {d: (t or "", *x) for d, (t, *x) in got.items()} == want
     assert plain_bytes([(1, "a")])
+
+
+def test_stages_of_awkward_rows(spark, sf_dir):
+    """Nulls in any column, empty tables, repeated rows and odd names, stage by stage."""
+    from pyspark.sql import functions as F
+
+    from .test_operators import EMPTY, ROWS, odd_columns
+
+    plain = spark.createDataFrame(ROWS, EMPTY).repartition(3)
+    odd = plain.select("*", *(F.lit("own").alias(c) for c in ("N_Bytes", "hit", "runs", "component", "Token_IDs", "score")), *odd_columns())
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert stage(spark, plain.limit(0), sf_dir).count() == 0
+        got, more = stage(spark, plain, sf_dir), stage(spark, odd, sf_dir)
+        assert last or (got.columns == plain.columns and more.columns == odd.columns)
+        key = lambda rows: sorted((repr((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])) for r in rows))
+        rows = more.collect()
+        assert key(rows) == key(got.collect()) and all(r["a.b"] == "own a.b" and r["c`d"] == "own c`d" and r["hit"] == "own" for r in rows)
+        assert {None, 1, 9} <= {r["doc_id"] for r in rows} and (name != "toxicity" or len(rows) == len(ROWS))
