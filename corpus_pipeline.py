@@ -1,5 +1,9 @@
 """A corpus pipeline: each stage takes documents and hands on what it keeps.
 
+Every stage takes any other columns too, whatever their names, and hands them on; an empty table stays empty. Rows
+without a doc_id stay unless their text is toxic, holds a benchmark's passage or is empty after cutting; repeated rows
+share one fate; null texts and texts without words are never toxic, near another or contaminated.
+
 Toxic documents go, one document of each near-duplicate group stays, repeated bytes are cut, documents with benchmark
 passages go, and what is left is encoded. All stages but the last return the columns of documents.
 """
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from candlery.llm import bpe, decontaminate, jaccard, suffix, toxicity
-from candlery.llm.common import scratch, table
+from candlery.llm.common import plain_names, scratch, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +28,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that start earlier; documents of which nothing is left go."""
-    out = suffix.dedup(docs)
-    return out.where("n_removed = 0 or n_removed < n_bytes").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows, back = plain_names(docs, ("doc_id", "text", "n_chars"), ())
+    out = suffix.dedup(rows).where("n_removed = 0 or n_removed < n_bytes")
+    return back(out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, and digests of those and of the text decoded from them."""
+    """Documents with their token ids, and digests of those and of the text decoded from them; null has no tokens."""
     return bpe.encode(docs)
 
 
