@@ -42,19 +42,29 @@ def _(spark, d):
     return S.window_bounds(spark, 1200, 200, 5, 0.2, "rolling")
 
 
-@query("ga_10_ring", "select i as island, (i + 1) % 6 as target from range(6) t(i)")
+NATIONS = "n as (select count(*) as islands from nation), s as (select unnest(range(islands)) as i, islands from n)"
+
+
+def islands(spark, d):
+    """An island for each nation."""
+    return table(spark, d, "nation").count()
+
+
+@query("ga_10_ring", f"with {NATIONS} select i as island, (i + 1) % islands as target from s")
 def _(spark, d):
-    return P.topology(spark, 6, "ring")
+    return P.topology(spark, islands(spark, d), "ring")
 
 
-@query("ga_10_torus", """with c as (select i, i//2 as r, i % 2 as c from range(6) t(i)), n as (select i as island, unnest([r*2 + (c+1) % 2, r*2 + (c-1+2) % 2, (r+1) % 3*2 + c, (r-1+3) % 3*2 + c]) as target from c) select distinct island, target from n where target <> island and target < 6""")
+@query("ga_10_torus", f"""with {NATIONS}, z as (select i, islands, greatest(2, cast(round(sqrt(islands)) as bigint)) as wide from s), g as (select i, i // wide as y, i % wide as x, wide, cast(ceil(islands / wide) as bigint) as tall from z)
+select a.i as island, b.i as target from g a join g b on least(abs(a.y - b.y), a.tall - abs(a.y - b.y)) + least(abs(a.x - b.x), a.wide - abs(a.x - b.x)) = 1""")
 def _(spark, d):
-    return P.topology(spark, 6, "torus")
+    return P.topology(spark, islands(spark, d), "torus")
 
 
-@query("ga_18_mutation_gradient", "select i as island, round(least(0.4*(0.5 + i/7.0), 0.9), 6) as mutation_rate, round(0.12 + i/7.0*0.18, 6) as per_gene from range(8) t(i)")
+@query("ga_18_mutation_gradient", f"with {NATIONS} select i as island, round(least(0.4*(0.5 + i/(islands - 1.0)), 0.9), 6) as mutation_rate, round(0.12 + i/(islands - 1.0)*0.18, 6) as per_gene from s")
 def _(spark, d):
-    return rounded(P.mutation_gradient(spark, 8, 0.4), "mutation_rate", "per_gene")
+    return rounded(P.mutation_gradient(spark, islands(spark, d), 0.4), "mutation_rate", "per_gene")
+
 
 
 SPEC = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -131,19 +133,30 @@ def mutation_gradient(spark: SparkSession, islands: int, rate: float) -> DataFra
     return island.select("island", F.least(F.lit(rate) * (1.0 if islands == 1 else 0.5 + t), F.lit(0.9)).alias("mutation_rate"), (0.12 + t * 0.18).alias("per_gene"))
 
 
-def topology(spark: SparkSession, islands: int, kind: str, seed: int = 0) -> DataFrame:
-    """Edges (island, target) of a ring, a torus or a random choice."""
-    one = spark.range(islands).withColumnRenamed("id", "island")
-    i = F.col("island")
+def _around(a: int, b: int, size: int) -> int:
+    """Steps from a to b on a circle."""
+    straight = abs(a - b)
+    return min(straight, size - straight)
+
+
+def edges(count: int, kind: str, rng: random.Random) -> list[tuple[int, int]]:
+    """Where each of `count` islands (or planets) sends to: the next one of a ring, a random other one, or those a step
+    away on a torus, a nearly square grid filled row by row whose ends meet."""
     if kind == "ring":
-        return one.select("island", ((i + 1) % islands).alias("target"))
+        return [(k, (k + 1) % count) for k in range(count)] if count > 1 else []
     if kind == "random":
-        return one.select("island", ((i + 1 + F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(max(1, islands - 1)))) % islands).alias("target"))
-    columns = max(2, int(islands**0.5 + 0.5))
-    rows = -(-islands // columns)
-    r, c = F.floor(i / columns), i % columns
-    near = F.array(r * columns + (c + 1) % columns, r * columns + (c - 1 + columns) % columns, (r + 1) % rows * columns + c, (r - 1 + rows) % rows * columns + c)
-    return one.select("island", F.explode(F.array_distinct(near)).alias("target")).where((F.col("target") != i) & (F.col("target") < islands))
+        return [(k, rng.choice([t for t in range(count) if t != k])) for k in range(count)] if count > 1 else []
+    if kind != "torus":
+        raise ValueError(f"unknown topology {kind!r}; known: ring, torus, random")
+    wide = max(2, round(math.sqrt(count)))
+    tall = math.ceil(count / wide)
+    steps = lambda a, b: _around(a // wide, b // wide, tall) + _around(a % wide, b % wide, wide)
+    return [(a, b) for a in range(count) for b in range(count) if steps(a, b) == 1]
+
+
+def topology(spark: SparkSession, islands: int, kind: str, seed: int = 0) -> DataFrame:
+    """The edges as a table (island, target)."""
+    return spark.createDataFrame(edges(islands, kind, random.Random(seed)), "island long, target long")
 
 
 def lookback(spec: dict) -> dict[int, int]:

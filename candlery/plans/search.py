@@ -121,17 +121,11 @@ class Island:
 
 
 def targets_of(count: int, kind: str, rng: random.Random) -> dict[int, list[int]]:
-    """Where islands (or planets) send to."""
-    if count < 2:
-        return {}
-    if kind == "ring":
-        return {k: [(k + 1) % count] for k in range(count)}
-    if kind == "random":
-        return {k: [rng.choice([t for t in range(count) if t != k])] for k in range(count)}
-    columns = max(2, int(count**0.5 + 0.5))
-    rows = -(-count // columns)
-    near = lambda r, c: {r * columns + (c + 1) % columns, r * columns + (c - 1) % columns, (r + 1) % rows * columns + c, (r - 1) % rows * columns + c}
-    return {k: sorted(t for t in near(k // columns, k % columns) if t != k and t < count) for k in range(count)}
+    """The edges by sender."""
+    out: dict[int, list[int]] = {}
+    for island, target in P.edges(count, kind, rng):
+        out.setdefault(island, []).append(target)
+    return out
 
 
 def search(bars: DataFrame, spec: dict = TREND, planets: int = 1, islands: int = 4, size: int = 20, generations: int = 80, seed: int = 7, rate: float = 0.4, migrants: int = 2, every: int = 5,

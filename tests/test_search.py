@@ -55,6 +55,9 @@ def test_islands():
     assert island.genes == [(5.0, 5.0), (5.0, 5.0)]  # the first was better than the worst, the second wasn't
     rng = random.Random(1)
     assert S.targets_of(1, "ring", rng) == {} and S.targets_of(3, "ring", rng) == {0: [1], 1: [2], 2: [0]}
+    # 3 by 2, then a last row of one: who is beside whom, and over the edges.
+    assert S.targets_of(6, "torus", rng) == {0: [1, 2, 4], 1: [0, 3, 5], 2: [0, 3, 4], 3: [1, 2, 5], 4: [0, 2, 5], 5: [1, 3, 4]}
+    assert S.targets_of(5, "torus", rng)[4] == [0, 2] and S.targets_of(2, "torus", rng) == {0: [1], 1: [0]} and S.targets_of(1, "torus", rng) == {}
     assert all(k not in t for k, t in S.targets_of(6, "torus", rng).items()) and all(k not in t for k, t in S.targets_of(4, "random", rng).items())
 
 
