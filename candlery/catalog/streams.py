@@ -1,11 +1,11 @@
-"""Sources that resume, exactly-once inserts, leases, deletes and cancelling: streams and tables made from events."""
+"""Sources that resume, exactly-once inserts, leases, deletes, cancelling and payloads: streams and tables made from events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import candles
-from ..sources import files, pages, sinks
+from ..sources import files, pages, payloads, sinks
 from ..sources.tables import table, ticks_events
 from ..streaming import control, leases, ledger, progress
 from . import HOURLY, query
@@ -144,3 +144,27 @@ def _(spark, d):
 
     done = control.run_all(spark, {run: work(run) for run in flags}, lambda: [run for run, flag in flags.items() if flag])
     return spark.createDataFrame([(run, status, n) for run, (status, n) in done.items()], "run string, status string, n long")
+
+
+def with_payloads(spark, d):
+    """The events table with props as variants; every tenth one is cut off."""
+    path = files.scratch(spark)
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id", F.expr("if(event_id % 10 = 0, left(props, length(props) - 1), props)").alias("props"))
+    payloads.save(e, path, "props")
+    return path
+
+
+@query("fn_19_variant", "select event_type, count(*) as n, count(*) filter (where event_id % 10 = 0) as malformed, sum(case when event_id % 10 > 0 then cast(props->>'$.k' as double) end) as total, 0 as words from events group by 1")
+def _(spark, d):
+    rows = spark.read.parquet(with_payloads(spark, d)).select("event_type", F.col("props").isNull().alias("bad"), payloads.field("props", "$.k", "double").alias("k"), payloads.field("props", "$.k.word", "string").alias("word"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("bad").alias("malformed"), F.sum("k").alias("total"), F.count("word").alias("words"))
+
+
+@query("prj_01_metadata", "select event_id, event_type, user_id from events")
+def _(spark, d):
+    return payloads.listing(spark, with_payloads(spark, d))
+
+
+@query("src_12_payload_lookup", "select event_id, event_type, user_id, cast(props->>'$.k' as double) as k from events where user_id = 17 and event_id % 10 > 0 union all select event_id, event_type, user_id, null from events where user_id = 17 and event_id % 10 = 0")
+def _(spark, d):
+    return payloads.lookup(spark, with_payloads(spark, d), "user_id", 17, k=("props", "$.k", "double"))

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from candlery.sources import pages, sinks
+from candlery.sources import pages, payloads, sinks
 from candlery.streaming import control, leases, ledger, progress
 
 BAR = "symbol string, ts long, open double, high double, low double, close double, volume double"
@@ -184,3 +184,24 @@ def test_deletes_touch_one_symbol(spark, tmp_path):
     assert {f: t for f, t in files_of(path).items() if "symbol=C" in f} == {f: t for f, t in before.items() if "symbol=C" in f}
     sinks.delete_between(spark, path, "A", 0, 99)
     assert {r.symbol for r in spark.read.parquet(path).collect()} == {"C"}
+
+
+# -- payloads
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payloads_are_read_by_field(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    texts = ['{"a": {"b": [1, 2.5]}, "k": 7}', '{"a": {"b": [', None, "", '{"k": "x"}', '{"k": 1, "k": 2}', "3", '{"k": 9, "new": true}']
+    payloads.save(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), path, "body")
+    rows = spark.read.parquet(path)
+    got = {r.id: tuple(r)[1:] for r in rows.select("id", payloads.field("body", "$.k", "int"), payloads.field("body", "$.a.b[1]", "double"), F.col("body").isNull()).collect()}
+    bad = (None, None, True)
+    assert got == {0: (7, 2.5, False), 1: bad, 2: bad, 3: bad, 4: (None, None, False), 5: bad, 6: (None, None, False), 7: (9, None, False)}
+    listed = payloads.listing(spark, path)
+    assert listed.columns == ["id"] and "ReadSchema: struct<id:int>" in plan(listed)
+    one = payloads.lookup(spark, path, "id", 7, k=("body", "$.k", "int"))
+    assert one.collect() == [(7, 9)] and "ReadSchema: struct<id:int,body:struct<0:int>>" in plan(one) and "EqualTo(id,7)" in plan(one)
