@@ -111,9 +111,15 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", X.allows(X.name_set(raw), F.col("p_size").cast("string")).alias("ok"))
 
 
-@query("fn_18_name_check", "select c_custkey, regexp_matches(c_name, '^[A-Za-z][A-Za-z0-9#-]*$') as ok from customer")
+@query("fn_18_name_check", r"""with n as (select o_orderkey, strftime(o_orderdate, '%Y%m%d') || '-' || case when o_custkey % 5 = 0 then 'x' else '' end || o_custkey || '-' || case when o_orderkey % 7 = 0 then o_orderpriority else lower(o_orderpriority) || '--a' end as name from orders)
+select o_orderkey, regexp_full_match(name, '[0-9]{8}-[0-9]+-[a-z0-9-]+') as ok from n""")
 def _(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.col("c_name").rlike("^[A-Za-z][A-Za-z0-9#-]*$").alias("ok"))
+    from ..plans.spec import NAME
+
+    o, c = table(spark, d, "orders"), F.col
+    third = F.when(c("o_orderkey") % 7 == 0, c("o_orderpriority")).otherwise(F.concat(F.lower("o_orderpriority"), F.lit("--a")))
+    name = F.concat_ws("-", F.date_format("o_orderdate", "yyyyMMdd"), F.concat(F.when(c("o_custkey") % 5 == 0, "x").otherwise(""), c("o_custkey").cast("string")), third)
+    return o.select("o_orderkey", name.rlike(rf"\A(?:{NAME.pattern})\z").alias("ok"))
 
 
 @query("fn_19_json", "select event_id, cast(props->>'$.k' as bigint) as k from events")

@@ -1,13 +1,13 @@
-"""Indicators as window expressions over (symbol, bar_ts), and the recursive ones as a fold over each symbol's bars.
+"""Indicators as window expressions over (symbol, bar_ts), and the recursive ones as linear steps over stretches of bars.
 
 A value is null until its window is full. A series is bounded by its time span over its timeframe (five years of minutes
-are 2.6 million rows) however many ticks there are, so one task can hold a symbol's bars.
+are 2.6 million rows) however many ticks there are, so a task can sort a symbol's bars.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -86,62 +86,85 @@ def any_recent(flag: Column, k: int) -> Column:
     return F.max(F.coalesce(flag, F.lit(False))).over(rows(k))
 
 
-def _fold(values: np.ndarray, first: int, seed: float, step) -> np.ndarray:
-    out = np.full(len(values), np.nan)
-    if first >= len(values) or np.isnan(seed):
-        return out
-    last = out[first] = seed
-    for i, x in enumerate(values[first + 1 :].tolist(), first + 1):
-        last = out[i] = step(last, x)
-    return out
+#: Bars of a stretch at most, and the power of ten that weights within one may reach.
+STRETCH, WEIGHTS = 4096, 120
+
 
+def recur(bars: DataFrame, wanted: dict[str, tuple[float, Column]]) -> DataFrame:
+    """bars (with _i, their number by symbol) and columns {name: (keep, add)}: keep * the value before + add.
 
-def ema_array(x: np.ndarray, n: int) -> np.ndarray:
+    A bar without an add holds the value; before the first add it is null. Steps of a stretch of bars are one linear
+    step: within a stretch values come from a running sum of weighted adds, and only what each stretch hands on is
+    carried from one to the next, so no task goes through a series bar by bar.
+    """
+    least = min((keep for keep, _ in wanted.values() if keep > 0), default=1.0)
+    length = STRETCH if least == 1 else max(1, min(STRETCH, int(WEIGHTS * math.log(10) / -math.log(least))))
+    c, chained = F.col, {name: (k, keep) for k, (name, (keep, _)) in enumerate(wanted.items()) if keep > 0}
+    bars = bars.withColumns({"_st": F.floor(c("_i") / length).cast("int")} | {f"_x{k}": add for k, (_, add) in enumerate(wanted.values())})
+    within = W.partitionBy("symbol", "_st").orderBy("bar_ts").rowsBetween(W.unboundedPreceding, 0)
+    if chained:
+        bars = bars.withColumns({f"_e{k}": F.count(c(f"_x{k}")).over(within) for k, _ in chained.values()})
+        bars = bars.withColumns({f"_s{k}": F.coalesce(F.sum(c(f"_x{k}") * F.pow(F.lit(keep), -c(f"_e{k}"))).over(within), F.lit(0.0)) for k, keep in chained.values()})
+        ends = bars.groupBy("symbol", "_st").agg(*(F.max(f"_e{k}").alias(f"_e{k}") for k, _ in chained.values()), *(F.max_by(f"_s{k}", "bar_ts").alias(f"_s{k}") for k, _ in chained.values()))
+        steps = (x for k, keep in chained.values() for x in (c(f"_e{k}").alias(f"n{k}"), F.pow(F.lit(keep), c(f"_e{k}")).alias(f"a{k}"), (F.pow(F.lit(keep), c(f"_e{k}")) * c(f"_s{k}")).alias(f"b{k}")))
+        # Some thousand stretches a symbol at most: what each begins with.
+        steps = ends.groupBy(c("symbol").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("_st", *steps))).alias("steps"))
+        begin = "aggregate(steps, array(cast(null as double)), (v, x) -> concat(v, array(if(x.n{0} > 0, coalesce(element_at(v, -1), 0D) * x.a{0} + x.b{0}, element_at(v, -1))))) as _c{0}"
+        bars = bars.join(steps.selectExpr("_of", *(begin.format(k) for k, _ in chained.values())), c("symbol").eqNullSafe(c("_of")), "left")
+    out = {}
+    for k, (name, (keep, _)) in enumerate(wanted.items()):
+        before = F.element_at(f"_c{k}", c("_st") + 1) if keep > 0 else None
+        last = F.last(f"_x{k}", ignorenulls=True).over(series().rowsBetween(W.unboundedPreceding, 0))
+        out[name] = last if keep == 0 else F.when((c(f"_e{k}") > 0) | before.isNotNull(), F.pow(F.lit(keep), c(f"_e{k}")) * (F.coalesce(before, F.lit(0.0)) + c(f"_s{k}")))
+    return bars.withColumns(out).drop("_st", "_of", *(f"{p}{k}" for p in ("_x", "_e", "_s", "_c") for k in range(len(wanted))))
+
+
+def _mean(x: Column, n: int, first: int) -> tuple[float, Column]:
+    """Wilder's mean, seeded at bar `first` by the n values up to it."""
+    return (n - 1) / n, F.when(F.col("_i") == first, F.avg(x).over(rows(n))).when(F.col("_i") > first, x / n)
+
+
+def _ema(n: int) -> dict:
     """Seeded by the mean of the first n values that aren't missing."""
-    lead = int(np.argmax(~np.isnan(x))) if (~np.isnan(x)).any() else len(x)
-    k = 2 / (n + 1)
-    return _fold(x, lead + n - 1, x[lead : lead + n].mean() if lead + n <= len(x) else np.nan, lambda last, v: v * k + last * (1 - k))
+    k, known = 2 / (n + 1), F.count(F.col("close")).over(series().rowsBetween(W.unboundedPreceding, 0))
+    return {"": (1 - k if n > 1 else 0.0, F.when(known == n, F.avg("close").over(rows(n))).when(known > n, F.col("close") * k))}
 
 
-def rma_array(x: np.ndarray, n: int, first: int) -> np.ndarray:
-    """Wilder's mean, seeded at `first` by the n values up to it."""
-    return _fold(x, first, x[first - n + 1 : first + 1].mean() if first < len(x) else np.nan, lambda last, v: (last * (n - 1) + v) / n)
+def _rsi(n: int) -> dict:
+    change = F.col("close") - F.lag("close").over(series())
+    return {"_up": _mean(F.when(change > 0, change).otherwise(0.0), n, n), "_down": _mean(F.when(change < 0, -change).otherwise(0.0), n, n)}
 
 
-def rsi_array(close: np.ndarray, n: int) -> np.ndarray:
-    change = np.diff(close, prepend=np.nan)
-    up, down = rma_array(np.where(change > 0, change, 0.0), n, n), rma_array(np.where(change < 0, -change, 0.0), n, n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(down == 0, 100.0, 100 - 100 / (1 + up / down)) * np.where(np.isnan(up), np.nan, 1)
+def _atr(n: int) -> dict:
+    return {"": _mean(true_range(F.col("high"), F.col("low"), F.col("close")), n, n - 1)}
 
 
-def true_range_array(h: np.ndarray, l: np.ndarray, c: np.ndarray) -> np.ndarray:  # noqa: E741
-    before = np.concatenate([[np.nan], c[:-1]])
-    return np.fmax(h - l, np.fmax(np.abs(h - before), np.abs(l - before)))
+def _adx(n: int) -> dict:
+    """Sums of the moves and of the range, seeded by those of bars 1 to n."""
+    rise, fall = F.col("high") - F.lag("high").over(series()), F.lag("low").over(series()) - F.col("low")
+    moves = {"_plus": F.when((rise > fall) & (rise > 0), rise).otherwise(0.0), "_minus": F.when((fall > rise) & (fall > 0), fall).otherwise(0.0), "_span": true_range(F.col("high"), F.col("low"), F.col("close"))}
+    return {name: ((n - 1) / n, F.when(F.col("_i") == n, F.sum(x).over(rows(n))).when(F.col("_i") > n, x)) for name, x in moves.items()}
 
 
-def adx_array(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:  # noqa: E741
-    if len(h) < 2 * n:
-        return np.full(len(h), np.nan)
-    rise, fall = np.diff(h, prepend=h[0]), -np.diff(l, prepend=l[0])
-    moves = [np.where((rise > fall) & (rise > 0), rise, 0.0), np.where((fall > rise) & (fall > 0), fall, 0.0), true_range_array(h, l, c)]
-    moves[2][0] = 0.0
-    up, down, span = (_fold(m, n, m[1 : n + 1].sum(), lambda last, v: last - last / n + v) for m in moves)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        plus, minus = 100 * up / span, 100 * down / span
-        dx = np.where(plus + minus == 0, np.nan, 100 * np.abs(plus - minus) / (plus + minus))
-    first, window = 2 * n - 1, dx[n : 2 * n]
-    seed = float(np.nanmean(window)) if (~np.isnan(window)).any() else np.nan
-    return _fold(dx, first, seed, lambda last, v: last if np.isnan(v) else (last * (n - 1) + v) / n)
+#: Recursive indicators by name: what they carry from bar to bar, for a length.
+RECURSIVE = {"ema": _ema, "rsi": _rsi, "atr": _atr, "adx": _adx}
 
 
-#: Recursive indicators by name: of a symbol's sorted bars and a length.
-RECURSIVE = {
-    "ema": lambda b, n: ema_array(b["close"], n),
-    "rsi": lambda b, n: rsi_array(b["close"], n),
-    "atr": lambda b, n: rma_array(true_range_array(b["high"], b["low"], b["close"]), n, n - 1),
-    "adx": lambda b, n: adx_array(b["high"], b["low"], b["close"], n),
-}
+def _strength(bars: DataFrame, columns: dict[str, int]) -> DataFrame:
+    """ADX from the sums beside it: Wilder's mean of the directional index, held where that is not known."""
+    index, seed = {}, {}
+    for name, n in columns.items():
+        plus, minus = (100 * F.col(name + x) / F.nullif(F.col(name + "_span"), F.lit(0.0)) for x in ("_plus", "_minus"))
+        index[name + "_dx"] = 100 * F.abs(plus - minus) / F.nullif(plus + minus, F.lit(0.0))
+    bars = bars.withColumns(index)
+    for name, n in columns.items():
+        seed[name + "_seed"] = F.when(F.col("_i") == 2 * n - 1, F.avg(name + "_dx").over(rows(n)))
+    bars = bars.withColumns(seed)
+    add = {}
+    for name, n in columns.items():
+        seeded = F.max(name + "_seed").over(series().rowsBetween(W.unboundedPreceding, 0)).isNotNull()
+        add[name] = (n - 1) / n, F.when(F.col("_i") == 2 * n - 1, F.col(name + "_seed")).when((F.col("_i") >= 2 * n) & seeded, F.col(name + "_dx") / n)
+    return recur(bars, add).drop(*index, *seed)
 
 
 def known_as(kind: str, n: int) -> str:
@@ -150,7 +173,7 @@ def known_as(kind: str, n: int) -> str:
 
 
 def with_recursive(bars: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
-    """bars with columns {name: (indicator, length)}: all in one pass, each distinct (indicator, length) once.
+    """bars with columns {name: (indicator, length)}: all side by side, each distinct (indicator, length) once.
 
     Those that bars has already under known_as() are taken from there.
     """
@@ -164,11 +187,15 @@ def with_recursive(bars: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataF
     if not wanted:
         return bars
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bar_ts")
-        arrays = {c: group[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")}
-        done = {(kind, n): RECURSIVE[kind](arrays, n) for kind, n in distinct}
-        return group.assign(**{name: done[key] for name, key in wanted.items()})  # NaN becomes null on the way back
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema), *(f"{name} double" for name in wanted)])
-    return bars.groupBy("symbol").applyInPandas(run, schema)
+    held = {key: f"_h{k}" for k, key in enumerate(distinct)}
+    parts = {held[key] + part: step for key in distinct for part, step in RECURSIVE[key[0]](key[1]).items()}
+    out = bars.withColumn("_i", F.row_number().over(series()) - 1)
+    out = recur(out, parts)
+    strong = {held[key]: key[1] for key in distinct if key[0] == "adx"}
+    if strong:
+        out = _strength(out, strong)
+    values = {}
+    for (kind, n), name in held.items():
+        up, down = F.col(name + "_up"), F.col(name + "_down")
+        values[kind, n] = F.when(down == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + up / F.nullif(down, F.lit(0.0)))) if kind == "rsi" else F.col(name)
+    return out.withColumns({name: values[key] for name, key in wanted.items()}).drop("_i", *parts, *held.values())

@@ -143,7 +143,9 @@ def _walk(rows: DataFrame, spec: dict, genes: list[dict], settings: dict | None,
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bar_ts")
-        exits, sizing = accounts[int(key[1]) if int(key[1]) in accounts else int(key[1]) % len(accounts)]
+        if int(key[1]) not in accounts:
+            raise ValueError(f"gene_id {key[1]} is none of the genes given")
+        exits, sizing = accounts[int(key[1])]
         bars = {c: [None if x is None or x != x else x for x in group[c].tolist()] if c == "regime" else group[c].tolist() for c in columns}
         account = X.Account(bars, exits, sizing, settings).run()
         return pd.DataFrame([(key[0], int(key[1]), *row) for row in told(account, settings)], columns=names)

@@ -52,7 +52,7 @@ BLOCKS: dict[str, dict[str, dict[str, tuple]]] = {
     },
 }
 NEEDS_STOP = {"atrRisk"}
-NAME = re.compile(r"^\d{8}-[A-Za-z0-9]+-[a-z0-9]+(-[a-z0-9]+)*$")
+NAME = re.compile(r"[0-9]{8}-[0-9]+-[a-z0-9-]+")
 OPERATORS, REPAIRS, MODES = ["<", "<=", ">", ">=", "!="], ["clamp-lhs", "clamp-rhs"], ["score", "all", "any"]
 DEFAULTS = {
     "fitness": {"weights": {"pf": 0.5, "dd": 0.3, "ret": 0.2}, "caps": {"pf": 4.0, "ret": 1.0}, "gates": {"minTradesPerWindow": 30, "worstRegimePfFloor": 1.0, "wfeMin": 0.5}, "frequencyTarget": 0},
@@ -147,7 +147,7 @@ def _broken_rules(spec: dict) -> list[str]:
 def problems(spec: dict) -> list[str]:
     """Everything that is wrong with a spec."""
     out = []
-    if not isinstance(spec.get("name"), str) or not NAME.match(spec["name"]):
+    if not isinstance(spec.get("name"), str) or not NAME.fullmatch(spec["name"]):
         out.append(f"name: {spec.get('name')!r} isn't YYYYMMDD-<id>-<name>")
     ids = set()
     for path, kind, ref in references(spec):
