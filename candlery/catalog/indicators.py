@@ -189,6 +189,19 @@ def _(spark, d):
     return B.htf_trend_regime(hourly(spark, d)).select("symbol", "bar_ts", "regime")
 
 
+@query("ga_20_dependencies", f"""with recursive {HOURLY}, {HTF_EMA}, s as (select *, lag(ma, 3) over (partition by symbol order by hts) as past from hv), {numbered()}, {ema_cte('f', 10)},
+j as (select b.*, hc, ma, past from hourly b asof left join s on b.symbol = s.symbol and b.bar_ts >= s.hts + 14400000)
+select j.symbol, j.bar_ts, ma is null or hc > ma as long, case when (ma - past)/nullif(ma, 0) > 0.01 then 'bull' when (ma - past)/nullif(ma, 0) < -0.01 then 'bear' when (ma - past)/nullif(ma, 0) is not null then 'chop' end as regime, round(f.v, 6) as ema
+from j join n using (symbol, bar_ts) left join f on f.symbol = n.symbol and f.i = n.i""")
+def _(spark, d):
+    """A filter, a regime and an average over the same bars: one longer timeframe, resolved once for both."""
+    from ..operators.dependencies import column_of, with_dependencies
+
+    bars = with_dependencies(hourly(spark, d), [*B.htf_deps(240, 10), *B.htf_deps(240, 10, 3), ("ema", 10)], base=60)
+    bars = B.htf_trend_regime(B.htf_trend_filter(bars, name="x"))
+    return bars.select("symbol", "bar_ts", F.col("x_long").alias("long"), "regime", F.round(column_of(("ema", 10)), 6).alias("ema"))
+
+
 @query("re_02_vol_regime", f"with recursive {HOURLY}, {VOL} select symbol, bar_ts, regime from g")
 def _(spark, d):
     return B.vol_regime(hourly(spark, d)).select("symbol", "bar_ts", "regime")

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import indicators as I
-from .candles import indexed, roll_up_bars
-from .joins import asof_closed, slope
+from .candles import indexed
+from .dependencies import column_of, with_dependencies
 
 C, H, L, O, V = (lambda x=x: F.col(x) for x in ("close", "high", "low", "open", "volume"))  # columns need a session, so made when called
 
@@ -84,12 +84,26 @@ def volume_surge(bars: DataFrame, length=20, mult=1.5, name="surge") -> DataFram
     return put(bars, name, *surge_sides(length, mult))
 
 
+def _with(bars: DataFrame, deps: list[tuple]) -> tuple[DataFrame, list[str]]:
+    """bars with dependencies, and the columns that it did not have before."""
+    return with_dependencies(bars, deps), [c for c in map(column_of, deps) if c not in bars.columns]
+
+
+def htf_deps(minutes: int, length: int, back: int = 0) -> list[tuple]:
+    """Close and average of a longer timeframe, or the average now and `back` of its bars before."""
+    now = (minutes, "ema", length, 0)
+    return [now, (minutes, "ema", length, back)] if back else [(minutes, "close", 0, 0), now]
+
+
+def htf_sides(minutes: int, length: int) -> tuple[Column, Column]:
+    close, ma = (F.col(column_of(d)) for d in htf_deps(minutes, length))
+    return ma.isNull() | (close > ma), ma.isNull() | (close < ma)
+
+
 def htf_trend_filter(bars: DataFrame, minutes=240, length=10, name="htf") -> DataFrame:
     """Both sides pass while the longer timeframe has no bar or no average yet."""
-    htf = I.with_recursive(roll_up_bars(bars, minutes), {"_ma": ("ema", length)}).withColumn("_hc", C()).select("symbol", "bar_ts", "_hc", "_ma")
-    out = asof_closed(bars, htf, minutes, ["_hc", "_ma"])
-    free = F.col("_ma").isNull()
-    return put(out, name, free | (F.col("_hc") > F.col("_ma")), free | (F.col("_hc") < F.col("_ma"))).drop("_hc", "_ma")
+    out, new = _with(bars, htf_deps(minutes, length))
+    return put(out, name, *htf_sides(minutes, length)).drop(*new)
 
 
 def floor_sides(atr: Column, least: float) -> tuple[Column, Column]:
@@ -119,10 +133,11 @@ def regime_gate(bars: DataFrame, allowed_long="*", allowed_short="*", label="reg
 
 
 def htf_trend_regime(bars: DataFrame, minutes=240, length=10, back=3, threshold=0.01, name="regime") -> DataFrame:
-    htf = I.with_recursive(roll_up_bars(bars, minutes), {"_ma": ("ema", length)}).withColumn("_sl", slope(F.col("_ma"), back)).select("symbol", "bar_ts", "_sl")
-    out = asof_closed(bars, htf, minutes, ["_sl"])
-    s = F.col("_sl")
-    return out.withColumn(name, F.when(s > threshold, "bull").when(s < -threshold, "bear").when(s.isNotNull(), "chop")).drop("_sl")
+    deps = htf_deps(minutes, length, back)
+    out, new = _with(bars, deps)
+    now, past = (F.col(column_of(d)) for d in deps)
+    s = (now - past) / F.nullif(now, F.lit(0.0))
+    return out.withColumn(name, F.when(s > threshold, "bull").when(s < -threshold, "bear").when(s.isNotNull(), "chop")).drop(*new)
 
 
 def vol_regime(bars: DataFrame, length=14, rank=50, high=70, low=30, name="regime") -> DataFrame:

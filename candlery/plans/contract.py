@@ -21,7 +21,7 @@ class Block:
     columns(bars, params, name) adds the block's columns: {name}_long and {name}_short (entry, filter), {name} (regime)
     or {name}_{key} for each of keys (exit, sizing). sides(params), where a block has it, gives the same columns by their
     endings as plain expressions over the bars and the indicators of deps, so that many blocks go into one step. acts(params) makes what the account asks: an exit with open() and
-    bar(), or a sizing with units(). deps(params) names the recursive indicators of the base bars that columns needs.
+    bar(), or a sizing with units(). deps(params) names what columns needs beyond the bars (see operators.dependencies).
     rules: (lhs, op, rhs) over the block's own parameters.
     """
 

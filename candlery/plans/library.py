@@ -68,6 +68,7 @@ SIDES = {
     "maPullback": lambda p: _both(B.pullback_sides(_known("ema", p, "emaFast"), _known("ema", p, "emaSlow"))),
     "donchianBreakout": lambda p: _both(B.donchian_sides(_length(p, "period"))),
     "volumeSurge": lambda p: _both(B.surge_sides(_length(p, "volLen"), p["multiplier"])),
+    "htfTrendFilter": lambda p: _both(B.htf_sides(_length(p, "htfTfMin"), _length(p, "maLen"))),
     "volatilityFloor": lambda p: _both(B.floor_sides(_known("atr", p, "atrLen"), p["minAtrPct"])),
     "atrHardStop": _atr_of, "atrScaleOutTarget": _atr_of, "volTargetSizing": _atr_of,
 }
@@ -79,11 +80,11 @@ _add("entry", "rsiPullback", columns=_signals(B.rsi_pullback, ("rsiLen", N), ("l
 _add("entry", "maPullback", columns=_signals(B.ma_pullback, ("emaFast", N), ("emaSlow", N)), deps=lambda p: [("ema", _length(p, "emaFast")), ("ema", _length(p, "emaSlow"))])
 _add("entry", "donchianBreakout", columns=_signals(B.donchian, ("period", N)))
 _add("entry", "volumeSurge", columns=_signals(B.volume_surge, ("volLen", N), ("multiplier", X_)))
-_add("filter", "htfTrendFilter", columns=_signals(B.htf_trend_filter, ("htfTfMin", N), ("maLen", N)))
+_add("filter", "htfTrendFilter", columns=_signals(B.htf_trend_filter, ("htfTfMin", N), ("maLen", N)), deps=lambda p: B.htf_deps(_length(p, "htfTfMin"), _length(p, "maLen")))
 _add("filter", "volatilityFloor", columns=_signals(B.volatility_floor, ("atrLen", N), ("minAtrPct", X_)), deps=lambda p: [("atr", _length(p, "atrLen"))])
 _add("filter", "volumeFilter", columns=_signals(B.volume_filter, ("volLen", N), ("minMultiplier", X_)))
 _add("filter", "regimeGate", columns=lambda bars, p, name: B.regime_gate(bars, str(p.get("allowedLong") or "*"), str(p.get("allowedShort") or "*"), name=name))
-_add("regime", "htfTrendRegime", columns=_signals(B.htf_trend_regime, ("htfTfMin", N), ("maLen", N), ("slopeLookback", N), ("slopeThreshold", X_)))
+_add("regime", "htfTrendRegime", columns=_signals(B.htf_trend_regime, ("htfTfMin", N), ("maLen", N), ("slopeLookback", N), ("slopeThreshold", X_)), deps=lambda p: B.htf_deps(_length(p, "htfTfMin"), _length(p, "maLen"), _length(p, "slopeLookback")))
 _add("regime", "volRegime", columns=_signals(B.vol_regime, ("atrLen", N), ("rankLen", N), ("highThreshold", X_), ("lowThreshold", X_)), deps=lambda p: [("atr", _length(p, "atrLen"))])
 _add("regime", "rangeRegime", columns=_signals(B.range_regime, ("adxLen", N), ("adxThreshold", X_)), deps=lambda p: [("adx", _length(p, "adxLen"))])
 _add("exit", "atrHardStop", slot="hardStop", columns=_atr, keys=("atr",), acts=X.HardStop, deps=lambda p: [("atr", _length(p, "atrLen"))])

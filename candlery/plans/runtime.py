@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import blocks as B, indicators as I
+from ..operators import blocks as B
+from ..operators.dependencies import with_dependencies
 from . import exits as X
 from .contract import SLOTS, Block, Registry
 from .library import REGISTRY
@@ -82,7 +83,7 @@ def series(bars: DataFrame, spec: dict, genes: list[dict], registry: Registry =
     {slot}_{key} of the exits' and the sizing's columns."""
     plans = [resolve(spec, g, registry) for g in genes]
     deps = dict.fromkeys(d for slots in plans for s in slots for d in s.block.deps(s.p))
-    bars = I.with_recursive(bars, {I.known_as(*d): d for d in deps})
+    bars = with_dependencies(bars, deps)
     names: dict[tuple, str] = {}
     plain: dict[str, object] = {}  # columns that are expressions over the bars, all added in one step
 

@@ -251,10 +251,52 @@ def test_sizing_rules_have_bounds():
 
 @pytest.mark.parametrize("block", [b for b in REGISTRY.all() if b.sides], ids=lambda b: b.id)
 def test_expressions_equal_columns(spark, block):
-    from candlery.operators import indicators as I
+    from candlery.operators.dependencies import with_dependencies
 
     bars = walk(spark, 220)
-    known = I.with_recursive(bars, {I.known_as(*d): d for d in block.deps(PARAMS[block.id])})
+    known = with_dependencies(bars, block.deps(PARAMS[block.id]))
     a = known.select("bar_ts", *(x.alias(n) for n, x in block.sides(PARAMS[block.id]).items()))
     b = block.columns(bars, PARAMS[block.id], "x").select("bar_ts", *(F.col(f"x_{n}").alias(n) for n in block.sides(PARAMS[block.id])))
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_longer_timeframes_are_rolled_up_and_joined_once(spark):
+    """Three blocks on one longer timeframe, and a fourth on another: a roll-up and a join for each timeframe."""
+    from candlery.operators import blocks as B, indicators as I
+    from candlery.operators.candles import roll_up_bars
+    from candlery.operators.dependencies import column_of, with_dependencies
+
+    def work(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        lines = [x for x in plan.splitlines() if "Exchange hashpartitioning(symbol" in x and "Reused" not in x]
+        return sum("(floor" in x or "_groupingexpression" in x or "bar_ts" in x for x in lines), plan.count("Union")
+
+    bars = walk(spark, 400).select("symbol", *R.BAR, "volume")
+    deps = [*B.htf_deps(240, 5), *B.htf_deps(240, 5, 3), *B.htf_deps(240, 8), *B.htf_deps(480, 3), ("ema", 5)]
+    together = with_dependencies(bars, deps, base=60)
+    assert list(dict.fromkeys(map(column_of, deps))) == sorted(set(together.columns) - set(bars.columns), key=list(map(column_of, deps)).index)
+    one, _ = work(with_dependencies(bars, B.htf_deps(240, 5)))
+    both, unions = work(with_dependencies(bars, [*B.htf_deps(240, 5), *B.htf_deps(240, 5, 3), *B.htf_deps(240, 8)]))
+    assert both == one and unions == 1
+    # Values: of the last bar of four hours that closed by each start.
+    slow = {r.bar_ts: r for r in I.with_recursive(roll_up_bars(bars, 240), {"x": ("ema", 5)}).collect()}
+    starts = sorted(slow)
+    for r in together.collect():
+        closed = [t for t in starts if t + 240 * 60_000 <= r.bar_ts]
+        want = slow[closed[-1]] if closed else None
+        assert r[column_of((240, "close", 0, 0))] == (want and want.close) and r[column_of((240, "ema", 5, 0))] == (want and want.x)
+        assert r[column_of((240, "ema", 5, 3))] == (slow[closed[-4]].x if len(closed) > 3 else None)
+    assert with_dependencies(together, deps).columns == together.columns  # nothing is done twice
+    for wrong in (90, 60, 0, -240, "240", None):
+        with pytest.raises(ValueError, match="unknown timeframe"):
+            with_dependencies(bars, [(wrong, "ema", 5, 0)], base=60)
+    with pytest.raises(ValueError, match="unknown indicator"):
+        with_dependencies(bars, [(240, "macd", 5, 0)])
+
+
+def test_unknown_gene_ids_are_refused(spark):
+    bars = walk(spark, 60)
+    rows = R.series(bars, validate(FULL), [{"gene_id": 0}]).withColumn("gene_id", F.lit(7).cast("long"))
+    with pytest.raises(Exception, match="none of the genes given"):
+        R.trades(rows, validate(FULL), [{"gene_id": 0}]).collect()
