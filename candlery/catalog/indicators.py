@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import blocks as B, indicators as I
 from ..operators.blocks import C, H, L, V
 from ..operators.candles import indexed
-from . import DAILY, HOURLY, query
+from . import DAILY, HOURLY, ORACLES, query
 from .bars import ASOF, daily, hourly, rounded
 
 P = "partition by symbol order by bar_ts"
@@ -252,3 +254,27 @@ def _(spark, d):
     up = B.entry_ok(["t", "d", "s"], "long", "score", 2) & F.col("f_long") & F.coalesce(C() > F.col("hc"), F.lit(True))
     down = B.entry_ok(["t", "d", "s"], "short", "score", 2) & F.col("f_short") & F.coalesce(C() < F.col("hc"), F.lit(True))
     return bars.groupBy("symbol").agg(F.count_if(up).alias("longs"), F.count_if(down).alias("shorts"), F.count("*").alias("bars"))
+
+
+def through_sql(name, rule, block, params):
+    """A rule's query again, by the table function of SQL."""
+
+    @query(f"udf_11_{name}", ORACLES[rule])
+    def _(spark, d):
+        from ..plans import sqlblocks
+
+        sqlblocks.register(spark)
+        return spark.sql("select * from block(table({bars}), :block, :params)", {"block": block, "params": json.dumps(params)}, bars=hourly(spark, d))
+
+
+for _name, _rule, _block, _params in [
+    ("stoch_cross", "en_01_stoch_cross", "stochCross", {"stochLen": 14, "stochSmth": 3, "longLevel": 30, "shortLevel": 70}),
+    ("ema_trend", "en_02_ema_trend", "emaTrend", {"emaFast": 10, "emaSlow": 30}),
+    ("rsi_pullback", "en_04_rsi_pullback", "rsiPullback", {"rsiLen": 14, "longLevel": 40, "shortLevel": 60}),
+    ("ma_pullback", "en_05_ma_pullback", "maPullback", {"emaFast": 10, "emaSlow": 30}),
+    ("donchian", "en_06_donchian", "donchianBreakout", {"period": 20}),
+    ("volume_surge", "en_07_volume_surge", "volumeSurge", {"volLen": 20, "multiplier": 1.5}),
+    ("volume_filter", "fi_03_volume_filter", "volumeFilter", {"volLen": 20, "minMultiplier": 0.8}),
+    ("range_regime", "re_03_range_regime", "rangeRegime", {"adxLen": 14, "adxThreshold": 25}),
+]:
+    through_sql(_name, _rule, _block, _params)
