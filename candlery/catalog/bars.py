@@ -254,13 +254,13 @@ def _(spark, d):
     return T.compare_windows(w.where("run = 0"), w.where("run = 1"))
 
 
-@query("jn_12_year_join", f"""with {DAILY}, s as (select year(o_orderdate) as year, sum(o_totalprice) as pnl from orders group by 1), h as (select year(make_timestamp(bar_ts*1000)) as year, first(open order by bar_ts) as o, last(close order by bar_ts) as c from daily where symbol = 'R' group by 1)
-select s.year, round(pnl, 2) as pnl, round((c - o)/o*100, 6) as hold_pct from s left join h using (year)""")
+@query("jn_12_year_join", f"""with {DAILY}, s as (select year(o_orderdate) as year, sum(o_totalprice) as pnl from orders group by 1), h as (select symbol, year(make_timestamp(bar_ts*1000)) as year, first(open order by bar_ts) as o, last(close order by bar_ts) as c from daily group by 1, 2)
+select s.year, symbol, round(pnl, 2) as pnl, round((c - o)/o*100, 6) as hold_pct from s left join h using (year)""")
 def _(spark, d):
     from ..operators.metrics import buy_and_hold
 
     strategy = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("pnl"))
-    hold = buy_and_hold(daily(spark, d).where("symbol = 'R'")).select("year", F.round("hold_pct", 6).alias("hold_pct"))
+    hold = buy_and_hold(daily(spark, d)).select("symbol", "year", F.round("hold_pct", 6).alias("hold_pct"))
     return strategy.join(hold, "year", "left")
 
 
@@ -270,9 +270,9 @@ def _(spark, d):
     return table(spark, d, "lineitem").where(F.array_contains(allowed, F.col("l_returnflag"))).groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("srt_01_bar_order", f"with {HOURLY} select symbol, bar_ts, close from hourly where symbol = 'click' order by bar_ts")
+@query("srt_01_bar_order", f"with {HOURLY} select symbol, bar_ts, close from hourly order by bar_ts, symbol")
 def _(spark, d):
-    return hourly(spark, d).where("symbol = 'click'").select("symbol", "bar_ts", "close").orderBy("bar_ts")
+    return hourly(spark, d).select("symbol", "bar_ts", "close").orderBy("bar_ts", "symbol")
 
 
 @query("srt_02_claim_order", "select o_orderkey, o_orderpriority from orders where o_orderstatus = 'O' order by o_orderpriority desc, o_orderkey limit 1")

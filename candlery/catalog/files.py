@@ -34,13 +34,13 @@ def _(spark, d):
     return spark.read.parquet(path).select("symbol", "ts", "close")
 
 
-@query("snk_03_cache_save", "select cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) || ':' || cast(l_partkey as varchar) as gene_key, l_extendedprice - 20000 as fitness from lineitem where l_extendedprice > 20000 order by fitness desc, gene_key limit 2000")
+@query("snk_03_cache_save", "select cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) || ':' || cast(l_partkey as varchar) as gene_key, l_extendedprice - 20000 as fitness from lineitem where l_extendedprice > 20000 order by fitness desc, gene_key limit 50000")
 def _(spark, d):
     """A cache that is replaced by a better one, and read back."""
     path = files.scratch(spark)
     rows = table(spark, d, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("gene_key"), (F.col("l_extendedprice") - 20000).alias("fitness"), F.lit("{}").alias("metrics"))
     sinks.save_cache(rows.limit(10), path, 5)
-    sinks.save_cache(rows, path, 2000)
+    sinks.save_cache(rows, path)
     return sinks.load_cache(spark, path).select("gene_key", "fitness")
 
 

@@ -129,9 +129,9 @@ def _(spark, d):
     return M.month_grid(months(spark, d).withColumn("pct", F.round("pct", 6)), "strategy")
 
 
-@query("agg_15_buy_and_hold", f"with {DAILY} select year(make_timestamp(bar_ts*1000)) as year, round((last(close order by bar_ts) - first(open order by bar_ts))/nullif(first(open order by bar_ts), 0)*100, 6) as hold_pct from daily where symbol = 'A' group by 1")
+@query("agg_15_buy_and_hold", f"with {DAILY} select symbol, year(make_timestamp(bar_ts*1000)) as year, round((last(close order by bar_ts) - first(open order by bar_ts))/nullif(first(open order by bar_ts), 0)*100, 6) as hold_pct from daily group by 1, 2")
 def _(spark, d):
-    return rounded(M.buy_and_hold(daily(spark, d).where("symbol = 'A'")), "hold_pct")
+    return rounded(M.buy_and_hold(daily(spark, d)), "hold_pct")
 
 
 @query("agg_16_signals", "select case l_shipmode when 'x' then 'y' else l_shipmode end as signal, n from (select case l_returnflag when 'A' then 'SL' when 'R' then 'SL' else l_returnflag end as l_shipmode, count(*) as n from lineitem group by 1)")
@@ -232,13 +232,10 @@ CURVES = f"{TRADES}, c0 as (select *, 100000.0 + sum(pnl) {ORDER} as eq from tra
 
 
 def curves(t):
-    w = W.partitionBy("strategy").orderBy(*EXIT_ORDER)
-    c = M.equity_curve(t, "strategy", EXIT_ORDER, 100_000.0)
-    ten = w.rowsBetween(-10, -1)
-    return c.withColumns({"n": F.count("*").over(w.rowsBetween(W.unboundedPreceding, -1)), "le": F.lag("equity").over(w), "me": F.when(F.count("*").over(ten) == 10, F.avg("equity").over(ten))})
+    return M.recent_equity(M.equity_curve(t, "strategy", EXIT_ORDER, 100_000.0, keep_stretches=True), "strategy", EXIT_ORDER)
 
 
-sizing("sz_09_equity_curve", f"{EQ}*(case when n < 20 or me is null then 2.0 when le > me then 4.0 else 1.0 end)/100/nullif(entry_price, 0)", lambda: S.equity_curve(E(), PX(), F.col("n"), F.col("le"), F.col("me"), 2.0, 4.0, 1.0, 20), CURVES, "curves", curves)
+sizing("sz_09_equity_curve", f"{EQ}*(case when n < 20 or me is null then 2.0 when le > me then 4.0 else 1.0 end)/100/nullif(entry_price, 0)", lambda: S.equity_curve(E(), PX(), F.col("n_before"), F.col("last_equity"), F.col("mean_equity"), 2.0, 4.0, 1.0, 20), CURVES, "curves", curves)
 sizing("sz_10_vol_target", f"case when k2 - 1 > 0 then least({EQ}*0.01/nullif(k2 - 1, 0), {EQ}*0.5/nullif(entry_price, 0)) else 0 end", lambda: S.vol_target(E(), PX(), (F.col("k2") - 1).cast("double"), 1, 50))
 
 

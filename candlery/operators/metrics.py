@@ -85,6 +85,27 @@ def equity_curve(trades: DataFrame, key: str, order: list[str], initial: float,
     return x.withColumn("equity", F.lit(initial) + F.coalesce("_s", F.lit(0.0)) + own).drop("_s", *([] if keep_stretches else ["_b"]))
 
 
+def recent_equity(curve: DataFrame, key: str, order: list[str], last: int = 10) -> DataFrame:
+    """curve (an equity curve that kept its stretches) with n_before, last_equity, and mean_equity of the `last` trades
+    before, null while there are fewer.
+
+    A stretch starts with the last equities of those before it; each holds one at least, so `last` of them will do.
+    """
+    at = _within(key, order)
+    back = W.partitionBy(key, "_b").orderBy(*(F.desc(c) for c in order))
+    tails = curve.select(key, "_b", *order, "equity", F.row_number().over(back).alias("_r")).where(F.col("_r") <= last)
+    tails = tails.groupBy(key, "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "equity"))), lambda x: x.equity).alias("_tail"))
+    before = W.partitionBy(key).orderBy("_b").rowsBetween(-last, -1)  # a row a stretch
+    ends = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - last + 1), F.lit(last))
+    tails = tails.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), ends(F.flatten(F.collect_list("_tail").over(before))).alias("_tail"))
+    x = carried(curve, key, _n=(F.count("*"), "sum"))
+    x = x.join(tails, x[key].eqNullSafe(tails["_k"]) & (x["_b"] == tails["_c"])).drop("_k", "_c")
+    x = x.withColumn("_seen", ends(F.concat("_tail", F.collect_list("equity").over(at.rowsBetween(-last, -1)))))
+    mean = F.aggregate("_seen", F.lit(0.0), lambda s, e: s + e) / last
+    new = {"n_before": F.coalesce("_n", F.lit(0)) + F.row_number().over(at) - 1, "last_equity": F.try_element_at("_seen", F.lit(-1)), "mean_equity": F.when(F.size("_seen") == last, mean)}
+    return x.withColumns(new).drop("_n", "_tail", "_seen", "_b")
+
+
 def cagr(total_return: Column, years: Column) -> Column:
     """Yearly rate of a total return (0.5: half more); the return itself where there is no yearly rate."""
     return F.when((years > 0) & (total_return > -1), F.pow(1 + total_return, 1 / F.nullif(years, F.lit(0.0))) - 1).otherwise(total_return)
@@ -134,10 +155,10 @@ def month_grid(months: DataFrame, key: str) -> DataFrame:
 
 
 def buy_and_hold(bars: DataFrame) -> DataFrame:
-    """Percent from the first open to the last close of each year (UTC)."""
+    """Percent from the first open to the last close of each symbol and year (UTC)."""
     year = F.year(F.timestamp_millis(F.col("bar_ts")))
-    out = bars.groupBy(year.alias("year")).agg(F.min_by("open", F.col("bar_ts")).alias("o"), F.max_by("close", F.col("bar_ts")).alias("c"))
-    return out.select("year", ((F.col("c") - F.col("o")) / F.nullif(F.col("o"), F.lit(0.0)) * 100).alias("hold_pct"))
+    out = bars.groupBy("symbol", year.alias("year")).agg(F.min_by("open", F.col("bar_ts")).alias("o"), F.max_by("close", F.col("bar_ts")).alias("c"))
+    return out.select("symbol", "year", ((F.col("c") - F.col("o")) / F.nullif(F.col("o"), F.lit(0.0)) * 100).alias("hold_pct"))
 
 
 def signal_counts(trades: DataFrame, signal: str, alias: dict[str, str]) -> DataFrame:

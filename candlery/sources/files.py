@@ -23,13 +23,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace(spark: SparkSession, made: str, path: str) -> None:
-    """Puts a finished folder or file in the place of another: the old one goes just before the rename."""
-    system, new = hadoop(spark, made)
+    """Puts a finished file in the place of another in one step: a reader finds the old one or the new one."""
+    fs, sc = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext
+    how = sc._gateway.new_array(fs.Options.Rename, 1)
+    how[0] = fs.Options.Rename.OVERWRITE
+    _, new = hadoop(spark, made)
     _, old = hadoop(spark, path)
-    if system.exists(old):
-        system.delete(old, True)
-    if not system.rename(new, old):
-        raise OSError(f"{made} could not be renamed to {path}")
+    fs.FileContext.getFileContext(old.toUri() if old.toUri().getScheme() else fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()), sc._jsc.hadoopConfiguration()).rename(new, old, how)
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool) -> bool:

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.tables import keep_best
-from .files import exists, hadoop, replace, scratch
+from .files import exists, hadoop, scratch
 from .klines import read_pages
 
 CACHE = "gene_key string, fitness double, metrics string"
@@ -64,21 +64,34 @@ def delete_between(spark: SparkSession, path: str, symbol: str, first: int, last
         rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the finished versions of a table, the oldest first."""
+    system, place = hadoop(spark, path)
+    names = sorted(f.getPath().getName() for f in system.listStatus(place) if f.isDirectory()) if system.exists(place) else []
+    return [f"{path.rstrip('/')}/{n}" for n in names if n.startswith("version=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
 def save_cache(entries: DataFrame, path: str, most: int = MOST_CACHED) -> None:
-    """The best entries with a positive finite fitness, in place of the cache that was there.
+    """The best entries with a positive finite fitness as a new version of the cache.
 
-    They are written beside it and then renamed, so a reader sees the old or the new cache or none, never half of one.
+    Readers take the newest finished version, so there is always one, whole; the one before stays for those who read
+    it now, and older ones go.
     """
-    made = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
-    keep_best(entries.select("gene_key", "fitness", "metrics"), "fitness", most, ["gene_key"]).write.parquet(made)
-    replace(entries.sparkSession, made, path)
+    spark = entries.sparkSession
+    there = _versions(spark, path)
+    number = int(there[-1].rpartition("=")[2].split("-")[0]) + 1 if there else 0
+    keep_best(entries.select("gene_key", "fitness", "metrics"), "fitness", most, ["gene_key"]).write.parquet(f"{path.rstrip('/')}/version={number:012d}-{uuid.uuid4().hex}")
+    for old in _versions(spark, path)[:-2]:
+        system, place = hadoop(spark, old)
+        system.delete(place, True)
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache; a missing one is empty, and damaged files count as missing."""
-    if not exists(spark, path):
+    """The newest version of the cache; a missing one is empty, and damaged files count as missing."""
+    there = _versions(spark, path)
+    if not there:
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).option("ignoreCorruptFiles", True).parquet(path)
+    return spark.read.schema(CACHE).option("ignoreCorruptFiles", True).parquet(there[-1])
 
 
 def trade_rows(trades: DataFrame) -> DataFrame:

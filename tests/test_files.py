@@ -36,11 +36,16 @@ def test_cache(spark, tmp_path):
     sinks.save_cache(sinks.load_cache(spark, path).limit(0), path)  # of itself
     assert sinks.load_cache(spark, path).count() == 0
     sinks.save_cache(spark.createDataFrame(rows, sinks.CACHE), path)
-    for name in os.listdir(path):
-        if name.endswith(".parquet"):
-            (tmp_path / "cache" / name).write_bytes(b"no parquet")
-            (tmp_path / "cache" / f".{name}.crc").unlink(missing_ok=True)
-    assert sinks.load_cache(spark, path).count() == 0 and not [x for x in os.listdir(tmp_path) if x.endswith(".tmp")]
+    assert len(os.listdir(path)) == 2  # the newest, and the one before for its readers
+    (tmp_path / "cache" / "version=000000000099-unfinished").mkdir()  # a write that broke off is no version
+    assert sinks.load_cache(spark, path).count() == 9
+    for top, _, names in os.walk(path):
+        for name in names:
+            if name.endswith(".parquet"):
+                os.remove(os.path.join(top, f".{name}.crc"))
+                with open(os.path.join(top, name), "wb") as f:
+                    f.write(b"no parquet")
+    assert sinks.load_cache(spark, path).count() == 0
 
 
 def test_deployments(spark, tmp_path):
