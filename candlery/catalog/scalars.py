@@ -73,9 +73,10 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", X.interval_label(m).alias("label"), X.hours_label(m).alias("hours"))
 
 
-@query("fn_10_period_years", "select x, case x when '3M' then 0.25 when '6M' then 0.5 when '1y' then 1.0 when '5y' then 5.0 end as years from (values ('3M'), ('6M'), ('1y'), ('5y'), ('?')) t(x)")
+@query("fn_10_period_years", "with p as (select o_orderkey, ['3M', '6M', '1y', '5y', '?'][cast(left(o_orderpriority, 1) as integer)] as x from orders) select o_orderkey, case x when '3M' then 0.25 when '6M' then 0.5 when '1y' then 1.0 when '5y' then 5.0 end as years from p")
 def _(spark, d):
-    return spark.createDataFrame([("3M",), ("6M",), ("1y",), ("5y",), ("?",)], "x string").select("x", X.period_years(F.col("x")).alias("years"))
+    label = F.element_at(F.array(*map(F.lit, ("3M", "6M", "1y", "5y", "?"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", X.period_years(label).alias("years"))
 
 
 @query("fn_11_duration", """with s as (select o_orderkey, cast(floor(o_totalprice) as bigint) as s from orders) select o_orderkey, coalesce(nullif(concat_ws(' ', case when s//86400 > 0 then (s//86400) || 'd' end, case when s//3600 % 24 > 0 then (s//3600 % 24) || 'h' end,
@@ -211,10 +212,3 @@ def _(spark, d):
     from ..streaming.inbox import closed_windows
 
     return closed_windows(table(spark, d, "events"))
-
-
-@query("srt_04_block_order", "select * from (values ('donchianBreakout', 'entry'), ('emaTrend', 'entry'), ('volumeFilter', 'filter')) t(id, kind)")
-def _(spark, d):
-    from ..plans.spec import catalogue
-
-    return catalogue(spark).where("id in ('donchianBreakout', 'emaTrend', 'volumeFilter')").orderBy("kind_order", "id", "version").select("id", "kind")

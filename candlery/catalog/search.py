@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import params as P, search as S
+from ..plans import many, params as P, search as S
+from ..plans.spec import catalogue
 from ..sources.tables import table
-from . import query
+from . import DAILY, query
 from .bars import daily, hourly, rounded
 
 
@@ -32,14 +33,16 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(score, 6).alias("score"))
 
 
-@query("ga_14_window_bounds", "select cast(i as integer) as \"index\", 200 as is_start, cast(1000 + 40*i as integer) as is_end, cast(1040 + 40*i as integer) as oos_end from range(5) t(i)")
-def _(spark, d):
-    return S.window_bounds(spark, 1200, 200, 5, 0.2)
+def by_symbol(scheme, start):
+    @query(f"ga_14_{scheme}", f"""with {DAILY}, n as (select symbol, count(*) as length from daily group by 1), r as (select *, cast(floor((length - 200)*0.2) as bigint) as region from n), w as (select *, region // 5 as step, unnest(range(5)) as i from r)
+select symbol, length, cast(i as integer) as "index", cast({start} as integer) as is_start, cast(length - region + i*step as integer) as is_end, cast(least(length - region + (i + 1)*step, length) as integer) as oos_end from w""")
+    def _(spark, d):
+        lengths = daily(spark, d).groupBy("symbol").agg(F.count("*").alias("length"))
+        return S.windows(lengths, 200, 5, 0.2, "rolling" if scheme == "rolling_bounds" else "anchored")
 
 
-@query("ga_14_rolling_bounds", "select cast(i as integer) as \"index\", cast(200 + 40*i as integer) as is_start, cast(1000 + 40*i as integer) as is_end, cast(1040 + 40*i as integer) as oos_end from range(5) t(i)")
-def _(spark, d):
-    return S.window_bounds(spark, 1200, 200, 5, 0.2, "rolling")
+by_symbol("window_bounds", "200")
+by_symbol("rolling_bounds", "200 + i*step")
 
 
 NATIONS = "n as (select count(*) as islands from nation), s as (select unnest(range(islands)) as i, islands from n)"
@@ -67,27 +70,56 @@ def _(spark, d):
 
 
 
-SPEC = {
-    "name": "20240101-001-trend-breakout", "entries": {"mode": "all", "threshold": {"min": 1, "max": 2, "step": 1}, "blocks": [
-        {"block": "emaTrend", "version": 1, "params": {"emaFast": {"min": 8, "max": 40, "step": 1}, "emaSlow": {"min": 30, "max": 150, "step": 5}}},
-        {"block": "donchianBreakout", "version": 1, "params": {"period": {"value": 20}}}]},
-    "exits": {"hardStop": {"block": "atrHardStop", "version": 1, "params": {"atrLen": {"value": 14}, "atrSL": {"min": 0.5, "max": 4.0, "step": 0.25}, "emergencySlPct": {"value": 25}}}},
-    "sizing": {"block": "atrRisk", "version": 1, "params": {"riskPct": {"value": 1.0}, "useInitialCapital": {"value": 0}}},
-    "constraints": [{"lhs": "emaTrend.main.emaFast", "op": "<", "rhs": "emaTrend.main.emaSlow", "repair": "clamp-rhs"}],
-}
+def specs(spark, d):
+    """A spec for each part, its ranges from the part's size; every ninth one is not valid."""
+    c, value, span = F.col, lambda x: F.struct(x.alias("value")), lambda a, b, s: F.struct(a.alias("min"), b.alias("max"), s.alias("step"))
+    ref = lambda block, **params: F.struct(F.lit(block).alias("block"), F.lit(1).alias("version"), F.struct(*(p.alias(k) for k, p in params.items())).alias("params"))
+    lit, size = F.lit, c("p_size").cast("int")
+    trend = ref("emaTrend", emaFast=span(lit(5) + c("p_partkey").cast("int") % 4, lit(20) + size % 20, lit(1)), emaSlow=span(lit(30), lit(150) + 5 * size, lit(5)))
+    slow = ref("htfTrendFilter", htfTfMin=value(60 * (1 + size % 4)), maLen=span(lit(10), 10 + size, lit(1)))
+    stop = ref("atrHardStop", atrLen=value(lit(14)), atrSL=span(lit(0.5), lit(4.0), lit(0.25)), emergencySlPct=value(lit(25)))
+    spec = F.struct(
+        F.concat(lit("20240101-"), c("p_partkey").cast("string"), F.when(c("p_partkey") % 9 == 0, "-A").otherwise("-part")).alias("name"),
+        F.struct(lit("all").alias("mode"), span(lit(1), lit(2), lit(1)).alias("threshold"), F.array(trend).alias("blocks")).alias("entries"),
+        F.struct(lit("all").alias("mode"), F.array(slow).alias("blocks")).alias("filters"),
+        F.struct(stop.alias("hardStop")).alias("exits"), ref("pctOfEquity", pct=value(lit(10))).alias("sizing"),
+    )
+    return table(spark, d, "part").select(c("p_partkey").alias("id"), F.to_json(spec).alias("spec"))
+
+
+VALID = "p as (select p_partkey as id, p_partkey % 4 as k, p_size as size from part where p_partkey % 9 <> 0)"
+
+
+@query("ga_01_param_space", f"""with {VALID}, x as (select *, unnest(range(5)) as j from p)
+select id, ['emaTrend.main.emaFast', 'emaTrend.main.emaSlow', 'htfTrendFilter.main.maLen', 'atrHardStop.main.atrSL', '_meta.entries.threshold'][j + 1] as param, case j when 3 then 'float' else 'int' end as type,
+ cast([5 + k, 30, 10, 0.5, 1][j + 1] as double) as "min", cast([20 + size % 20, 150 + 5*size, 10 + size, 4, 2][j + 1] as double) as "max", cast([1, 5, 1, 0.25, 1][j + 1] as double) as step from x""")
+def _(spark, d):
+    return many.spaces(specs(spark, d))
+
+
+@query("ga_16_lookback", f"with {VALID} select id, 0 as timeframe, cast(greatest(200, 151 + 5*size) as integer) as bars from p union all select id, cast(60*(1 + size % 4) as integer), cast(11 + size as integer) from p")
+def _(spark, d):
+    return many.lookbacks(specs(spark, d))
 
 
-@query("ga_01_param_space", """select * from (values ('emaTrend.main.emaFast', 'int', 8.0, 40.0, 1.0), ('emaTrend.main.emaSlow', 'int', 30.0, 150.0, 5.0), ('atrHardStop.main.atrSL', 'float', 0.5, 4.0, 0.25), ('_meta.entries.threshold', 'int', 1.0, 2.0, 1.0)) t(id, type, "min", "max", step)""")
+@query("sp_01_validate", "select p_partkey as id, p_partkey % 9 = 0 as refused from part")
 def _(spark, d):
-    from ..plans.spec import validate
+    return many.checked(specs(spark, d)).select("id", (F.col("hash").isNull() & F.col("problems").startswith("name")).alias("refused"))
 
-    free, _ = P.derive(validate(SPEC))
-    return P.table_of(spark, free)
 
+@query("ga_22_slots", f"""with {VALID}, x as (select *, unnest(range(4)) as j from p)
+select id, cast(j as integer) as place, ['entries.blocks[0]', 'filters.blocks[0]', 'exits.hardStop', 'sizing'][j + 1] as path, ['entry', 'filter', 'exit', 'sizing'][j + 1] as kind, ['emaTrend', 'htfTrendFilter', 'atrHardStop', 'pctOfEquity'][j + 1] as block, 1 as version,
+ ['{{"emaFast": ' || (5 + k) || ', "emaSlow": 30}}', '{{"htfTfMin": ' || (60*(1 + size % 4)) || ', "maLen": 10}}', '{{"atrLen": 14, "atrSL": 0.5, "emergencySlPct": 25.0}}', '{{"pct": 10.0}}'][j + 1] as params from x""")
+def _(spark, d):
+    return many.slots(specs(spark, d))
 
-@query("ga_16_lookback", "select * from (values (0, 200)) t(timeframe, bars)")
+
+@query("srt_04_block_order", f"with {VALID} select t.kind, t.id, n from (values ('entry', 'emaTrend', 1), ('filter', 'htfTrendFilter', 2), ('exit', 'atrHardStop', 3), ('sizing', 'pctOfEquity', 4)) t(kind, id, o), (select count(*) as n from p) order by o, t.id")
 def _(spark, d):
-    return spark.createDataFrame(list(P.lookback(SPEC).items()), "timeframe int, bars int")
+    """Blocks that the specs use, in the order of their kinds."""
+    used = many.slots(specs(spark, d)).groupBy("kind", F.col("block").alias("id"), "version").agg(F.count("*").alias("n"))
+    known = F.broadcast(catalogue(spark).select("kind", "id", "version", "kind_order"))  # the library's blocks
+    return used.join(known, ["kind", "id", "version"]).orderBy("kind_order", "id", "version").select("kind", "id", "n")
 
 
 @query("ga_05_constraint_repair", "select p_partkey, p_size % 33 + 8.0 as fast, case when p_size % 33 + 8.0 < p_size*1.0 then p_size*1.0 else least(greatest(30 + floor((least(greatest(p_size % 33 + 8.0 + 5, p_size), 150) - 30)/5 + 0.5)*5, 30), 150) end as slow from part")
@@ -103,9 +135,10 @@ def _(spark, d):
     return P.freeze(g, {"fast": 20.0, "unknown": 1.0})
 
 
-@query("ga_06_sweep", "select * from (values (0, null, null), (1, 'emaFast', 18.0), (2, 'emaSlow', 60.0), (3, 'period', 26.0)) t(planet, id, value)")
+@query("ga_06_sweep", "with m as (select * from (values (0, 'emaFast', 18.0), (1, 'emaSlow', 60.0), (2, 'period', 26.0), (3, 'atrSL', 2.25)) t(j, id, value)), p as (select cast(unnest(range(count(*))) as integer) as planet from nation) select planet, id, value from p left join m on planet > 0 and (planet - 1) % (select count(*) from m) = j")
 def _(spark, d):
-    rows = [(k, *next(((i, float(v)) for i, v in f.items()), (None, None))) for k, f in enumerate(P.sweep(SHORT, 4))]
+    """A planet for each nation."""
+    rows = [(k, *next(((i, float(v)) for i, v in f.items()), (None, None))) for k, f in enumerate(P.sweep(SHORT, islands(spark, d)))]
     return spark.createDataFrame(rows, "planet int, id string, value double")
 
 
@@ -117,16 +150,21 @@ def _(spark, d):
     return P.repair_classic(g)
 
 
+def genes_of(spark, d):
+    """A gene for each part."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"))
+
+
 @query("ga_02_random_genes")
 def _(spark, d):
-    return P.random_genes(spark, SHORT, 200, 7)
+    return P.genes_for(genes_of(spark, d), SHORT, 7)
 
 
 @query("ga_03_mutate_cross")
 def _(spark, d):
-    g = P.random_genes(spark, SHORT, 200, 7)
+    g = P.genes_for(genes_of(spark, d), SHORT, 7)
     names = [p[0] for p in SHORT]
-    pairs = g.select("gene_id", F.struct(*names).alias("a")).join(g.select(((F.col("gene_id") + 1) % 200).alias("gene_id"), F.struct(*names).alias("b")), "gene_id")
+    pairs = g.select("gene_id", F.struct(*names).alias("a")).join(g.select((F.col("gene_id") + 1).alias("gene_id"), F.struct(*names).alias("b")), "gene_id")
     return P.repair(P.mutate(P.cross(pairs, SHORT, 3), SHORT, 0.3, 5), SHORT, ORDER)
 
 

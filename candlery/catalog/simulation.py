@@ -116,12 +116,6 @@ by_signal("ex_02_scale_out", ("TP1", "TP2"))
 by_signal("ex_03_structural", ("Time", "Reversal", "Structural"))
 
 
-@query("ga_22_slots", """select * from (values (1, 0, 'entries.blocks[0]', 'emaTrend', 1, '{"emaFast": 8, "emaSlow": 30}'), (1, 1, 'entries.blocks[1]', 'donchianBreakout', 1, '{"period": 14}'), (1, 2, 'exits.hardStop', 'atrHardStop', 1, '{"atrLen": 14, "atrSL": 2.0, "emergencySlPct": 25.0}'),
- (1, 3, 'exits.target', 'atrScaleOutTarget', 1, '{"atrLen": 14, "tp1Mult": 1.5, "tp1Pct": 50, "tp2Mult": 3.0, "tp2Pct": 50}'), (1, 4, 'exits.trail', 'structuralExit', 1, '{"maxBars": 40, "rsiLen": 14, "stochLen": 14, "stochSmth": 3}'), (1, 5, 'sizing', 'pctOfEquity', 1, '{"pct": 10.0}')) t(gene_id, place, path, block, version, params)""")
-def _(spark, d):
-    return R.plan(S.TREND, [GENE])
-
-
 WINDOWS = """spans as (select min(c) as n from (select count(*) as c from daily group by symbol)), wins as (select n, cast(floor((n - 200)*0.3) as bigint) as region, unnest(range(4)) as win from spans),
 bounds as (select win, 200 as is_start, n - region + win*(region//4) as is_end, least(n - region + (win + 1)*(region//4), n) as oos_end from wins),
 phases as (select win, 'is' as phase, is_start as a, is_end as z from bounds union all select win, 'oos', is_end, oos_end from bounds),

@@ -51,7 +51,11 @@ def on_grid(x: Column, p: tuple) -> Column:
 
 def random_genes(spark: SparkSession, params: list[tuple], n: int, seed: int) -> DataFrame:
     """n genes (gene_id and a column for each parameter) on the grid; the same for the same seed."""
-    ids = spark.range(n).withColumnRenamed("id", "gene_id")
+    return genes_for(spark.range(n).withColumnRenamed("id", "gene_id"), params, seed)
+
+
+def genes_for(ids: DataFrame, params: list[tuple], seed: int) -> DataFrame:
+    """A gene for each gene_id."""
 
     def draw(k: int, p: tuple) -> Column:
         steps = round((p[3] - p[2]) / p[4])

@@ -31,18 +31,28 @@ def classic_score(trades: Column, net_pct: Column, dd_pct: Column, least_trades:
     return F.when(trades < 3, -5000.0).when(trades < least_trades, -1000.0 + trades * 10).otherwise(net_pct * 100 * (1 - 0.3 * ratio * ratio))
 
 
+def windows(lengths: DataFrame, warmup: int, n: int, oos_share: float, scheme: str = "anchored") -> DataFrame:
+    """lengths (any columns, and length, a number of bars) with index, is_start, is_end, oos_end of each one's
+    walk-forward windows; a length that is too short raises."""
+    usable = F.col("length") - warmup
+    region = F.floor(usable * oos_share)
+    step = F.floor(region / n)
+    few = F.format_string(f"%d bars after {warmup} are too few for {n} windows with {oos_share} out of sample", usable.cast("long"))
+    step = F.when((usable < 2 * n) | (step < 1) | (usable - region < 1), F.raise_error(few).cast("long")).otherwise(step)
+    rows = lengths.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("index"), region.alias("_r"), step.alias("_s"))
+    shift = F.col("index") * F.col("_s")
+    start, end = F.lit(warmup) + (shift if scheme == "rolling" else F.lit(0)), F.col("length") - F.col("_r") + shift
+    bounds = {"is_start": start, "is_end": end, "oos_end": F.least(end + F.col("_s"), F.col("length"))}
+    return rows.withColumns({k: v.cast("int") for k, v in bounds.items()}).drop("_r", "_s")
+
+
 def window_bounds(spark: SparkSession, length: int, warmup: int, n: int, oos_share: float, scheme: str = "anchored") -> DataFrame:
-    """index, is_start, is_end, oos_end of walk-forward windows."""
+    """index, is_start, is_end, oos_end of walk-forward windows over a number of bars."""
     usable = length - warmup
     region = int(usable * oos_share)
-    step = region // n
-    if usable < 2 * n or step < 1 or usable - region < 1:
+    if usable < 2 * n or region // n < 1 or usable - region < 1:
         raise ValueError(f"{usable} bars after {warmup} are too few for {n} windows with {oos_share} out of sample")
-    i = F.col("id").cast("int")
-    shift = i * step
-    start = F.lit(warmup) + (shift if scheme == "rolling" else F.lit(0))
-    end = F.lit(warmup + usable - region) + shift
-    return spark.range(n).select(i.alias("index"), start.alias("is_start"), end.alias("is_end"), F.least(end + step, F.lit(length)).alias("oos_end"))
+    return windows(spark.range(1).select(F.lit(length).alias("length")), warmup, n, oos_share, scheme).drop("length")
 
 
 #: A strategy of trend and breakout, over which the search runs by default.
