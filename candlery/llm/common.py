@@ -286,9 +286,19 @@ def unpacked(batches, owner_type=np.uint64, extra_type=None) -> tuple[np.ndarray
     return np.concatenate(owners), np.concatenate(hashes), np.concatenate(extras) if extras else (np.zeros(0, extra_type) if extra_type is not None else None)
 
 
-def to_buckets(rows: DataFrame, run, schema: str) -> DataFrame:
+#: Text whose values a bucket is to hold at most; a task holds a bucket.
+BUCKET_TEXT = 64 << 20
+
+
+def buckets_for(docs: DataFrame, text: str = "text") -> int:
+    """As many buckets as there are shuffle partitions, or as the text needs, so that a bucket doesn't grow with the input."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_TEXT))
+
+
+def to_buckets(rows: DataFrame, run, schema: str, buckets: int | None = None) -> DataFrame:
     """Deals PACKED rows out by bucket, one a task, and runs over each bucket's batches."""
-    return rows.repartitionById(partitions(rows.sparkSession), "bucket").mapInArrow(run, schema)
+    return rows.repartitionById(buckets or partitions(rows.sparkSession), "bucket").mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

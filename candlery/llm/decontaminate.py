@@ -64,14 +64,15 @@ def with_window_hashes(rows: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _bits(windows: DataFrame, count: int) -> tuple[Column, int]:
-    """The set as one array literal of longs, and how many bits it has."""
+    """The set as one constant array of longs, and how many bits it has."""
     bits = 1 << max(12, (32 * count).bit_length() if count <= BLOCK // 4 else (BITS_EACH * count - 1).bit_length())
     slot = F.pmod(F.col("hash"), F.lit(bits))
     rows = windows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).collect()
     out = np.zeros(bits // 64, np.int64)
     for word, value in rows:  # at most bits / 64 rows
         out[word] = value
-    return F.lit(out), bits
+    # As one text, which the optimizer makes an array of: a literal array would go to the JVM element by element.
+    return F.split(F.lit(",".join(map(str, out.tolist()))), ",").cast("array<bigint>"), bits
 
 
 def _candidates(k: int, bitmap: Column, bits: int) -> Column:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import PACKED, bucket_of, components, mix, packed, partitions, plain_names, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words, with_top
+from .common import PACKED, bucket_of, buckets_for, components, mix, packed, plain_names, slices, stored, table, text_buffer, to_buckets, unpacked, window_hashes, words, with_top
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -223,16 +223,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     A class is the texts with one set, named by its least doc_id.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = buckets_for(docs)
     rows = with_top(stored(documents_keys(docs.where("doc_id is not null"))), ["k1", "k2", "n_shingles"], "doc_id", "class_id", F.min)
     rows = stored(rows.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))))
     classes = rows.where("n_shingles > 0 and doc_id = class_id").select("k1", "n_shingles", "class_id").distinct()
-    shared = to_buckets(_prefixes(docs, buckets), _shared, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
+    shared = to_buckets(_prefixes(docs, buckets), _shared, "k1 long, shared long", buckets).groupBy("k1").agg(F.sum("shared").alias("shared"))
     enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("n_shingles") * (LEAST / 100) * SHARE)))
     chosen = stored(classes.join(shared, "k1").where(F.col("shared") >= enough).select(F.col("class_id").alias("doc_id")))
     sets = stored(_sets(docs, chosen))
-    back = to_buckets(_all_values(sets, buckets), _frequent(buckets), PACKED)
-    tokens = to_buckets(back, _rarest, "doc_id long, token long, place long, shared long").join(sets.select("doc_id", "n"), "doc_id")
+    back = to_buckets(_all_values(sets, buckets), _frequent(buckets), PACKED, buckets)
+    tokens = to_buckets(back, _rarest, "doc_id long, token long, place long, shared long", buckets).join(sets.select("doc_id", "n"), "doc_id")
     fewest = F.ceil(F.col("n") * LEAST / 100)
     # Of the prefix of n - fewest + 1, the n - shared elements that nobody shares come first.
     tokens = stored(tokens.where((F.col("shared") >= fewest) & (F.col("place") < F.col("shared") - fewest + 1)).select("token", "doc_id", "n", "shared"))

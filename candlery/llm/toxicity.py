@@ -37,6 +37,9 @@ SUPPORT, CLEAN_SUPPORT = 4, 3
 #: Up to this many candidate terms clean rows count only those; beyond, all terms are counted and joined as tables.
 CANDIDATES = 200_000
 BROADCAST_LABELS = 2_000_000
+#: Labelled texts that the lexicon, the exceptions and the curve are learnt from, about: of more, those with the least
+#: hashes. It bounds what the driver and each task hold of the model.
+TRAINING_ROWS = 2_000_000
 #: Terms and phrases that a task holds before it hands on what it has counted.
 HELD_TERMS = 300_000
 
@@ -59,13 +62,18 @@ def terms_of(word: str):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of labelled rows whose crc32(doc_id) mod 5 isn't 0; equal texts with equal labels count once."""
+    """text and toxic of labelled rows whose crc32(doc_id) mod 5 isn't 0; equal texts with equal labels count once.
+
+    Of more than TRAINING_ROWS such texts a sample by hash, of about so many, is taken.
+    """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     rows = docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, "doc_id")
     rows = rows.groupBy(F.sha2("text", 256).alias("digest"), "toxic").agg(F.first("text").alias("text"))
-    return stored(rows.select("text", "toxic"))  # read several times
+    rows = stored(rows.select("text", "toxic"))  # read several times
+    n = rows.count()
+    return rows if n <= TRAINING_ROWS else rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * TRAINING_ROWS / n))
 
 
 def _counted(rows: DataFrame, known: frozenset | None) -> DataFrame:

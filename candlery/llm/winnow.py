@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import PACKED, bucket_of, fresh, mix, packed, partitions, slices, stored, to_buckets, unpacked, window_hashes
+from .common import PACKED, bucket_of, buckets_for, fresh, mix, packed, slices, stored, to_buckets, unpacked, window_hashes
 
 #: seg: hash of the segment; start: its first symbol in the document; count: its windows; off: its anchor's place.
 SEGMENT = np.dtype([("seg", "<u8"), ("start", "<u4"), ("count", "<u2"), ("off", "u1"), ("settled", "u1")])
@@ -124,7 +124,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
     compare(doc, anchor, start, count, off, data, width) -> flags, for windows one after the other.
     same_doc: whether a window repeats if it starts earlier in its own document; else in a lesser doc_id only.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = buckets_for(docs)
     limit = (2 if symbol is np.uint8 else 8) << 20  # a symbol a byte takes more memory than one a word
     docs = docs.where("doc_id is not null").select("doc_id", "text")
 
@@ -156,7 +156,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(seg["start"][i].astype(np.int64)), pa.array(seg["count"][i].astype(np.int64)), pa.array(ask[i]), pa.array(anchors[i].view(np.int64)), pa.array(seg["off"][i].astype(np.int32)), pa.array(hot[i])],
                                                  names=["doc_id", "start", "count", "ask", "anchor", "off", "hot"])
 
-    found = stored(to_buckets(docs.mapInArrow(cut, PACKED), gather, f"{RUNS}, ask boolean, anchor long, off int, hot boolean"))
+    found = stored(to_buckets(docs.mapInArrow(cut, PACKED), gather, f"{RUNS}, ask boolean, anchor long, off int, hot boolean", buckets))
     asked = found.where("ask").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "off", "anchor", "hot")).alias("asked"))
     schema = "bucket int, docs binary, anchors binary, segs binary, data binary"
 
@@ -231,7 +231,7 @@ def repeated_runs(docs: DataFrame, symbols_of, compare, width: int, anchor: int,
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i][owner[runs]]), pa.array(seg["start"][i][owner[runs]].astype(np.int64) + place[runs]), pa.array(length)], names=["doc_id", "start", "count"])
 
     sent = docs.join(asked, "doc_id").mapInArrow(send, schema)
-    return found.where("not ask").select("doc_id", "start", "count").unionByName(to_buckets(sent, match, RUNS))
+    return found.where("not ask").select("doc_id", "start", "count").unionByName(to_buckets(sent, match, RUNS, buckets))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> tuple[DataFrame, str]:

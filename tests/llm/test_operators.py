@@ -96,6 +96,28 @@ def test_bpe(docs, rows, awkward):
             assert got[doc] == (len(ids), sha(b"".join(i.to_bytes(4, "little") for i in ids)), sha(tok.decode(ids, skip_special_tokens=False).encode())), doc
 
 
+def test_bpe_pieces_at_any_white_space(spark, monkeypatch):
+    """White space of every kind, single and in runs, between and around words: pieces join to the text, ids are exact."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    spaces = [" ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", "\u200b", "\ufeff"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice([*spaces, " ", "\n", "a", "word", "don't", "12", "!?", "é", "'s", "<|endoftext|>"]) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += ["\t".join(f"w{i}" for i in range(3000)), "x" * 70_000, "\t" * 500, " \t" * 300 + "end", "a\tb" * 900]
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARACTERS", 3000)
+    with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+        encoder = bpe.Encoder(bpe.Vocabulary(f.read()))
+    assert all("".join(encoder.pieces(t)) == t for t in texts) and len(encoder.pieces(texts[-5])) == 3000
+    tok = Tokenizer.from_file(bpe.tokenizer_path())
+    tok.no_truncation()
+    tok.no_padding()
+    for k in range(0, len(texts), 50):
+        ids, at = encoder.encode(texts[k : k + 50])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts[k : k + 50]]
+
+
 # -- 3
 
 
@@ -393,7 +415,7 @@ def test_toxicity_held_out(spark):
         pytest.skip("needs the larger table")
     out = toxicity.op10_toxicity(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null")
     hit, wrong, bad, good = out.agg(*(F.expr(f"count_if({x})") for x in ("predicted = 1 and toxic = 1", "predicted = 1 and toxic = 0", "toxic = 1", "toxic = 0"))).first()
-    assert hit >= 0.8 * bad and wrong <= 0.02 * good
+    assert hit >= 0.9 * bad and wrong <= 0.01 * good
 
 
 # -- rows that any table can have
@@ -531,6 +553,29 @@ def test_quality_is_kneser_ney_over_words(spark, monkeypatch):
     assert got[0][1] < got[1][1]  # the same words in another order: bytes of words alone could hardly tell
 
 
+def test_buckets_grow_with_the_text(spark, monkeypatch):
+    """More buckets than shuffle partitions, with the same results."""
+    from candlery.llm import common
+
+    rows = [(i, " ".join(f"w{(i // 3) * 7 + k}" for k in range(40 + i % 3))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert common.buckets_for(docs) == common.partitions(spark)
+    monkeypatch.setattr(common, "BUCKET_TEXT", 600)
+    assert common.buckets_for(docs) == -(-sum(len(t) for _, t in rows) // 600) > common.partitions(spark)
+    assert by_id(suffix.dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_bytes(rows)
+    assert by_id(substrings.dedup(docs), "n_words", "n_removed", "kept_sha256") == plain_words(rows)
+    assert by_id(jaccard.join_documents(docs), "n_shingles", "component_id") == plain_components(rows)
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(3000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    everything = toxicity.training_rows(docs, labels).count()
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", 500)
+    few = {r.text for r in toxicity.training_rows(docs, labels).collect()}
+    assert everything > 2000 and 350 < len(few) < 650 and few == {r.text for r in toxicity.training_rows(docs.repartition(7), labels).collect()}
+
+
 def test_toxicity_copies_count_once(spark):
     """900 copies of a toxic text must not push out a term that six toxic texts hold."""
     ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
