@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import runtime as R, search as S
+from ..plans import evaluated, runtime as R, search as S
+from ..plans.spec import validate
+from ..sources import files
 from . import DAILY, query
 from .bars import daily, rounded
 from .indicators import RSI, TR, ema_cte, frame, numbered, rma_cte
@@ -148,3 +150,12 @@ SCORE = "case when trades < 3 then -5000.0 when trades < 10 then -1000.0 + trade
 def _(spark, d):
     out = S.evaluate(daily(spark, d), S.TREND, genes(24))
     return out.select("symbol", "gene_id", "trades", "positions", "wins", F.round("pf", 6).alias("pf"), F.round("net", 4).alias("net"), F.round("max_dd_pct", 6).alias("max_dd_pct"), F.round("score", 4).alias("score"))
+
+
+@query("ga_07_cached", f"with recursive {signals()}, {GENES}, {walk('each')}, {SUMS} select cast(split_part(symbol, '/', 2) as bigint) as gene_id, round(avg({SCORE}), 4) as fitness, sum(trades) as trades, cast(split_part(symbol, '/', 2) as bigint) < 9 and avg({SCORE}) > 0 as known from sums group by 1")
+def _(spark, d):
+    """Nine genes, then all: the second run takes from the cache what the first has found and kept."""
+    folder, bars, spec = files.scratch(spark), daily(spark, d), S.TREND | {"hash": validate(S.TREND)["hash"]}
+    evaluated.evaluate(bars, spec, genes(9), folder)
+    out = evaluated.evaluate(bars, spec, genes(24), folder)
+    return out.select("gene_id", F.round("fitness", 4).alias("fitness"), F.get_json_object("metrics", "$.trades").cast("long").alias("trades"), "known")

@@ -119,3 +119,26 @@ def test_classic_strategy(spark, sf_dir):
     assert S.classic_run(daily(spark, sf_dir), gene).count() == daily(spark, sf_dir).select("symbol").distinct().count()
     with pytest.raises(ValueError):
         S.classic_run(daily(spark, sf_dir).limit(50), gene)
+
+
+def test_genes_are_evaluated_once_for_a_spec_and_its_bars(spark, tmp_path, monkeypatch):
+    from candlery.plans import evaluated
+
+    rows = [("S", k * 3_600_000, 1.0, 2.0, 0.5, float(100 + k % 7), 1.0) for k in range(60)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_ts long, open double, high double, low double, close double, volume double")
+    runs = []
+
+    def stub(bars, spec, genes, settings=None):
+        runs.append(sorted(g["a"] for g in genes))
+        return spark.createDataFrame([("S", g["gene_id"], float(g["a"] - 2), 3, 1.5, 0.1) for g in genes] + [("T", g["gene_id"], float(g["a"] - 2), 4, 0.5, 0.2) for g in genes], "symbol string, gene_id long, score double, trades long, net double, max_dd_pct double")
+
+    monkeypatch.setattr(evaluated.S, "evaluate", stub)
+    spec, genes = {"hash": "h"}, [{"gene_id": 10 + k, "a": a} for k, a in enumerate((1, 3, 5, 3))]
+    ask = lambda b, s, g: sorted((r.gene_id, r.fitness, r.known) for r in evaluated.evaluate(b, s, g, str(tmp_path)).collect())
+    assert ask(bars, spec, genes) == [(10, -1.0, False), (11, 1.0, False), (12, 3.0, False), (13, 1.0, False)]
+    assert ask(bars, spec, [*genes, {"gene_id": 20, "a": 9}]) == [(10, -1.0, False), (11, 1.0, True), (12, 3.0, True), (13, 1.0, True), (20, 7.0, False)]
+    assert ask(bars.repartition(7), spec, genes[1:3]) == [(11, 1.0, True), (12, 3.0, True)]  # the same bars, in any order
+    assert runs == [[1, 3, 5], [1, 9]]  # what has no positive fitness isn't kept
+    ask(bars, {"hash": "other"}, genes[1:2])
+    ask(bars.limit(59), spec, genes[1:2])
+    assert runs[2:] == [[3], [3]]
