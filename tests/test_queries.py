@@ -58,6 +58,17 @@ def test_query_equals_oracle(spark, duck, sf_dir, name):
     assert_same(rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(want.columns, want.fetchall()))
 
 
+@pytest.mark.parametrize("name", ["agg_09_drawdown", "agg_14_monthly", "agg_17_slippage", "agg_23_streaks", "agg_24_running_stats", "sz_05_martingale", "sz_07_kelly", "sz_09_equity_curve"])
+def test_small_stretches_equal_oracle(spark, duck, sf_dir, name, monkeypatch):
+    """The same over some hundred stretches, most of them of one key's few rows."""
+    from candlery.operators import metrics
+
+    for setting, value in (("STRETCH_ROWS", 23), ("CELLS", 700), ("MOST_CELLS", 700)):
+        monkeypatch.setattr(metrics, setting, value)
+    assert metrics.in_stretches(all_queries()["sz_01_flat"](spark, sf_dir), "exit_ms").select("_b").distinct().count() > 100
+    test_query_equals_oracle(spark, duck, sf_dir, name)
+
+
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_oracles())))
 def test_query_without_oracle_runs(spark, sf_dir, name):
     """What must hold of results that SQL can't give: rows, no nulls in keys, and values within bounds."""
