@@ -553,6 +553,61 @@ def test_quality_is_kneser_ney_over_words(spark, monkeypatch):
     assert got[0][1] < got[1][1]  # the same words in another order: bytes of words alone could hardly tell
 
 
+def test_quality_thresholds_against_a_plain_version(spark, monkeypatch):
+    """Quantiles by language of trusted documents kept out of training, with given perplexities; all languages where one has none."""
+    import math
+    import random
+
+    rng = random.Random(9)
+    docs = [(i, rng.choice(["en", "en", "de", None]), rng.choice([None, *(round(rng.uniform(5, 900), 3) for _ in range(9))])) for i in range(600)] + [(1000 + i, "fr", 50.0 * i) for i in range(20)] + [(3, "en", 40.0)]
+    quality_of = {i: int(rng.random() < 0.7) for i, lang, _ in docs if lang != "fr" and rng.random() < 0.6}
+    table_ = spark.createDataFrame(docs, "doc_id long, lang string, p double").withColumn("text", F.when(F.col("p").isNotNull(), F.col("p").cast("string")))
+    labels = spark.createDataFrame([*quality_of.items(), (7, None), (None, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "Model", lambda trusted, rounds: None)
+    monkeypatch.setattr(quality, "perplexities", lambda d, model: d.select("doc_id", "lang", F.lit(1).cast("long").alias("n_symbols"), F.col("text").cast("double").alias("perplexity")))
+    back = [(lang, p) for i, lang, p in docs if quality_of.get(i) == 1 and zlib.crc32(str(i).encode()) % 5 == 0 and p is not None]
+
+    def limit(values, q):
+        return sorted(values)[max(math.ceil(q * len(values)), 1) - 1] if values else None
+
+    for q in (0.5, 0.9, 0.98):
+        want = Counter()
+        for i, lang, p in docs:
+            own = [x for of, x in back if of == lang] or [x for _, x in back]
+            want[i, p, limit(own, q), p is not None and p <= limit(own, q)] += 1
+        assert Counter((r.doc_id, r.perplexity, r.threshold, r.keep) for r in quality.judge(table_, labels, q).collect()) == want
+    assert {(r.threshold, r.keep) for r in quality.judge(table_, labels.limit(0)).where("perplexity is not null").collect()} == {(None, True)}
+
+
+def test_media_in_plain_sight(spark, tmp_path):
+    """Stored bytes read by another PNG reader: size, samples and padding, worked out here without the operator's functions."""
+    import struct
+
+    texts = ["", None, "a", "x" * 192, "x" * 193, "ü" * 1000]
+    manifest = media.store(media.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), f"{tmp_path}/s")
+    found = {r.digest: r for r in manifest.collect()}
+    for text in texts:
+        data = (text or "").encode()
+        payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        r = found[sha(payload)]
+        with open(r.shard.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            png = f.read(r.length)
+        assert png[:8] == b"\x89PNG\r\n\x1a\n"
+        at, body = 8, b""
+        while at < len(png):
+            size, kind = struct.unpack(">I4s", png[at : at + 8])
+            chunk = png[at + 8 : at + 8 + size]
+            assert struct.unpack(">I", png[at + 8 + size : at + 12 + size])[0] == zlib.crc32(kind + chunk)
+            if kind == b"IHDR":
+                assert struct.unpack(">IIBBBBB", chunk) == (192, len(payload) // 192, 8, 0, 0, 0, 0)
+            body += chunk if kind == b"IDAT" else b""
+            at += 12 + size
+        rows = zlib.decompress(body)
+        assert all(rows[k] == 0 for k in range(0, len(rows), 193)) and b"".join(rows[k + 1 : k + 193] for k in range(0, len(rows), 193)) == payload
+    assert len(found) == len({(t or "").ljust(192) if len((t or "").encode()) <= 192 else t for t in texts})
+
+
 def test_buckets_grow_with_the_text(spark, monkeypatch):
     """More buckets than shuffle partitions, with the same results."""
     from candlery.llm import common
