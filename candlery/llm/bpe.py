@@ -11,7 +11,8 @@ import hashlib
 import heapq
 import json
 import re
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: Pieces that the pattern never joins, if a text's only white space is space and line feed.
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-#: Distinct pieces a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: The same with any white space: a word never goes on from another character into white space.
+WIDE = regex.compile(r"\s*\S+|\s+")
+#: Distinct pieces, and characters of them, that a worker remembers before it starts anew; bytes of text at a time.
+REMEMBERED, REMEMBERED_CHARACTERS, SLICE = 200_000, 8 << 20, 2 << 20
 
 
 def tokenizer_path() -> str:
@@ -296,7 +299,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known = Codes()
+        self.known, self.characters = Codes(), 0
         self.at, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
@@ -322,18 +325,20 @@ class Encoder:
         for s in self.v.special:
             if s in text:
                 return [y for k, x in enumerate(text.split(s)) for y in [s] * (k > 0) + self.pieces(x)]
-        return ([text] if text else []) if OTHER_SPACE.search(text) else PIECES.findall(text)
+        return (WIDE if OTHER_SPACE.search(text) else PIECES).findall(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, concatenated, and the offsets between them."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
             self.reset()
         split = [self.pieces(t) for t in texts]
         have = len(self.known)
         known = self.known
         code = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64)
         if len(known) > have:
-            self._learn(list(known)[have:])
+            new = list(islice(known, have, None))
+            self.characters += sum(map(len, new))
+            self._learn(new)
         ids, total = gather(self.ids, self.at[code], self.count[code])
         per = np.fromiter(map(len, split), np.int64, len(split))
         sums = np.concatenate([[0], np.cumsum(self.count[code])])
@@ -348,6 +353,12 @@ class Encoder:
         return [whole[a:b].decode("utf-8", "replace").encode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
+@lru_cache(maxsize=1)
+def vocabulary(text: str) -> Vocabulary:
+    """The tables of a vocabulary file, which a worker keeps from task to task."""
+    return Vocabulary(text)
+
+
 def gather(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
     """values[start:start+count] of all rows, concatenated."""
     total = int(count.sum())
@@ -369,8 +380,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the input's size
 
     def run(batches):
-        encoder = Encoder(Vocabulary(spec.value))
-        for batch in slices(batches, text, 4 << 20):
+        encoder = Encoder(vocabulary(spec.value))
+        for batch in slices(batches, text, SLICE):
             ids, at = encoder.encode(batch.column(text).fill_null("").to_pylist())
             little = ids.astype("<u4").tobytes()
             sha = [hashlib.sha256(little[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
