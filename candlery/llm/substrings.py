@@ -83,7 +83,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows, runs = with_runs(docs, repeated(docs.select("doc_id", "text")))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             split = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
             n = np.fromiter(map(len, split), np.int64, len(split))
             first = np.concatenate([[0], np.cumsum(n)])
