@@ -191,7 +191,10 @@ class KlinePages(DataSource):
 
 
 def scan(spark: SparkSession, path: str, minutes: int = PAGE) -> DataFrame:
-    """All bars in saved pages; where() bounds on ts and symbol keep other pages closed."""
+    """All bars in saved pages; where() bounds on ts and symbol keep other pages closed.
+
+    The session hands filters to Python sources from then on.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(KlinePages)
     return spark.read.format("kline_pages").option("minutes", minutes).load(path)
