@@ -11,23 +11,31 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import params as P, runtime as R
-from .spec import SpecError, validate
+from .spec import SpecError, completed, spec_hash
+
+#: Tasks for each core that specs are dealt to: a file of millions of specs may come as one task's rows.
+TASKS_A_CORE = 4
 
 
 def _spec(text: str | None) -> dict:
-    """A valid spec of a text, else SpecError."""
+    """A valid spec of a text with its defaults, without its hash; else SpecError."""
     try:
         spec = json.loads(text)
     except (ValueError, TypeError):
         spec = None
     if not isinstance(spec, dict):
         raise SpecError("not a JSON object")
-    return validate(spec)
+    return completed(spec)  # the text's own objects, so none are copied
+
+
+def _dealt(specs: DataFrame) -> DataFrame:
+    """id and spec, dealt to all cores: reading them takes far less time than judging them."""
+    rows = specs.select(F.col("id").cast("long").alias("id"), F.col("spec").cast("string").alias("spec"))
+    return rows.repartition(TASKS_A_CORE * specs.sparkSession.sparkContext.defaultParallelism, "id", "spec")
 
 
 def per_spec(specs: DataFrame, schema: str, told: Callable[[dict], Iterable[tuple]]) -> DataFrame:
     """id and a row for each tuple told(valid spec) gives; specs that are not valid, and null ones, give none (see checked)."""
-    rows = specs.select(F.col("id").cast("long").alias("id"), F.col("spec").cast("string").alias("spec"))
     target = to_arrow_schema(StructType.fromDDL("id long, " + schema))
 
     def run(batches):
@@ -41,16 +49,15 @@ def per_spec(specs: DataFrame, schema: str, told: Callable[[dict], Iterable[tupl
                 out += [(key, *row) for row in told(spec)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(target)], schema=target)
 
-    return rows.mapInArrow(run, "id long, " + schema)
+    return _dealt(specs).mapInArrow(run, "id long, " + schema)
 
 
 def checked(specs: DataFrame) -> DataFrame:
     """id, the spec's hash if it is valid, else all that is wrong with it, one line each."""
-    rows = specs.select(F.col("id").cast("long").alias("id"), F.col("spec").cast("string").alias("spec"))
 
     def verdict(text):
         try:
-            return _spec(text)["hash"], None
+            return spec_hash(_spec(text)), None
         except SpecError as e:
             return None, str(e)
 
@@ -59,7 +66,7 @@ def checked(specs: DataFrame) -> DataFrame:
             found = [verdict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.string()) for k in range(2))], names=["id", "hash", "problems"])
 
-    return rows.mapInArrow(run, "id long, hash string, problems string")
+    return _dealt(specs).mapInArrow(run, "id long, hash string, problems string")
 
 
 def spaces(specs: DataFrame) -> DataFrame:
