@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .metrics import in_stretches
+
+#: The most rows that one task sorts to find the best ones.
+IN_ONE_TASK = 100_000
 #: Fixed: labels of intervals in minutes.
 INTERVALS = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "1H": 60, "2H": 120, "4H": 240, "6H": 360, "8H": 480, "12H": 720, "1D": 1440, "1W": 10080}
 
@@ -30,9 +34,29 @@ def best_distinct(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
 
 
 def keep_best(df: DataFrame, value: str, n: int, ties: list[str]) -> DataFrame:
-    """The n best rows whose value is a positive finite number."""
+    """The n best rows whose value is a positive finite number; in their order if n is IN_ONE_TASK at most.
+
+    Of more, those that are all among the best are left where they are: counts by stretch of values (in_stretches) tell
+    in which stretch the n-th best lies, and only its rows are put in order, over many tasks if they are many.
+    """
     good = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > 0) & (F.col(value) < float("inf"))
-    return df.where(good).orderBy(F.desc(value), *ties).limit(n)
+    rows, order = df.where(good), [F.desc(value), *ties]
+    if n <= IN_ONE_TASK:
+        return rows.orderBy(*order).limit(n)
+    if rows.count() <= n:
+        return rows
+    x, held = in_stretches(rows, value), 0
+    for edge, more in sorted(((r[0], r[1]) for r in x.groupBy("_b").count().collect()), reverse=True):  # a row a stretch
+        if held + more > n:
+            break
+        held += more
+    last = x.where(F.col("_b") == edge).drop("_b").orderBy(*order)
+    if n - held <= IN_ONE_TASK:
+        last = last.limit(n - held)
+    else:  # very many rows of nearly one value
+        ranked = last.rdd.zipWithIndex().filter(lambda r: r[1] < n - held).keys()
+        last = df.sparkSession.createDataFrame(ranked, df.schema, verifySchema=False)
+    return x.where(F.col("_b") > edge).drop("_b").unionByName(last)
 
 
 def worst_share(df: DataFrame, group: str, value: str, tie: str, share: float, elites: int) -> DataFrame:
