@@ -232,7 +232,7 @@ CURVES = f"{TRADES}, c0 as (select *, 100000.0 + sum(pnl) {ORDER} as eq from tra
 
 
 def curves(t):
-    return M.recent_equity(M.equity_curve(t, "strategy", EXIT_ORDER, 100_000.0, keep_stretches=True), "strategy", EXIT_ORDER)
+    return M.recent_equity(t, "strategy", EXIT_ORDER, 100_000.0)
 
 
 sizing("sz_09_equity_curve", f"{EQ}*(case when n < 20 or me is null then 2.0 when le > me then 4.0 else 1.0 end)/100/nullif(entry_price, 0)", lambda: S.equity_curve(E(), PX(), F.col("n_before"), F.col("last_equity"), F.col("mean_equity"), 2.0, 4.0, 1.0, 20), CURVES, "curves", curves)

@@ -72,53 +72,67 @@ def in_stretches(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("_b", F.coalesce(F.element_at(of, cell + 1), F.lit(-1)))
 
 
-def _within(key: str, order: list[str]):
-    return W.partitionBy(key, "_b").orderBy(*order)
+def _keyed(rows: DataFrame, key: str) -> DataFrame:
+    """rows with the key as _k, a struct: never null, and equal where both keys are null. Joins by _k and _b and windows
+    over them so ask for one distribution, and rows are sent once for all of them."""
+    return rows.select(*(F.struct(c).alias("_k") if c == key else F.col(f"`{c}`") for c in rows.columns))
 
 
-def carried(rows: DataFrame, key: str, **values: tuple[Column, str]) -> DataFrame:
-    """rows with, for each name, the sum, max or last of an aggregate over a key's earlier stretches; null at the first."""
-    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row a stretch
-    per = rows.groupBy(key, "_b").agg(*(x.alias(n) for n, (x, _) in values.items()))
+def _plain(rows: DataFrame, key: str, *without: str) -> DataFrame:
+    """rows with the key itself in place of _k, and without some columns."""
+    return rows.select(*(F.col("_k")[key].alias(key) if c == "_k" else F.col(f"`{c}`") for c in rows.columns if c not in without))
+
+
+def _within(order: list[str]):
+    return W.partitionBy("_k", "_b").orderBy(*order)
+
+
+def carried(rows: DataFrame, **values: tuple[Column, str]) -> DataFrame:
+    """rows (_keyed, in stretches) with, for each name, the sum, max or last of an aggregate over a key's earlier stretches; null at the first."""
+    before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row a stretch
+    per = rows.groupBy("_k", "_b").agg(*(x.alias(n) for n, (x, _) in values.items()))
     over = {"sum": lambda n: F.sum(n), "max": lambda n: F.max(n), "last": lambda n: F.last(n, ignorenulls=True)}
-    per = per.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), *(over[how](n).over(before).alias(n) for n, (_, how) in values.items()))
-    return rows.join(per, rows[key].eqNullSafe(per["_k"]) & (rows["_b"] == per["_c"])).drop("_k", "_c")
+    return rows.join(per.select("_k", "_b", *(over[how](n).over(before).alias(n) for n, (_, how) in values.items())), ["_k", "_b"])
 
 
 def drawdown(curve: DataFrame, key: str, order: list[str], equity: str = "equity") -> DataFrame:
     """Largest fall from the running peak, in money and as a share."""
     x = curve if "_b" in curve.columns else in_stretches(curve, order[0])
-    x = carried(x.select(key, "_b", *order, F.col(equity).alias("e")), key, _p=(F.max("e"), "max"))
-    x = x.withColumn("p", F.greatest(F.max("e").over(_within(key, order).rowsBetween(W.unboundedPreceding, 0)), F.col("_p")))
-    return x.groupBy(key).agg(F.max(F.col("p") - F.col("e")).alias("max_dd"), F.max((F.col("p") - F.col("e")) / F.nullif(F.col("p"), F.lit(0.0))).alias("max_dd_pct"))
+    x = carried(_keyed(x.select(key, "_b", *order, F.col(equity).alias("e")), key), _p=(F.max("e"), "max"))
+    x = x.withColumn("p", F.greatest(F.max("e").over(_within(order).rowsBetween(W.unboundedPreceding, 0)), F.col("_p")))
+    out = x.groupBy("_k").agg(F.max(F.col("p") - F.col("e")).alias("max_dd"), F.max((F.col("p") - F.col("e")) / F.nullif(F.col("p"), F.lit(0.0))).alias("max_dd_pct"))
+    return _plain(out, key)
+
+
+def _with_equity(trades: DataFrame, key: str, order: list[str], initial: float) -> DataFrame:
+    """trades, _keyed and in stretches, with equity after each, and _n: how many there are in earlier stretches."""
+    x = carried(_keyed(in_stretches(trades, order[0]), key), _s=(F.sum("pnl"), "sum"), _n=(F.count("*"), "sum"))
+    own = F.sum("pnl").over(_within(order).rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumn("equity", F.lit(initial) + F.coalesce("_s", F.lit(0.0)) + own).drop("_s")
 
 
 def equity_curve(trades: DataFrame, key: str, order: list[str], initial: float, keep_stretches: bool = False) -> DataFrame:
     """trades with equity after each; keep_stretches leaves the column _b of in_stretches for what comes next."""
-    x = carried(in_stretches(trades, order[0]), key, _s=(F.sum("pnl"), "sum"))
-    own = F.sum("pnl").over(_within(key, order).rowsBetween(W.unboundedPreceding, 0))
-    return x.withColumn("equity", F.lit(initial) + F.coalesce("_s", F.lit(0.0)) + own).drop("_s", *([] if keep_stretches else ["_b"]))
+    return _plain(_with_equity(trades, key, order, initial), key, "_n", *([] if keep_stretches else ["_b"])).select(*trades.columns, *(["_b"] if keep_stretches else []), "equity")
 
 
-def recent_equity(curve: DataFrame, key: str, order: list[str], last: int = 10) -> DataFrame:
-    """curve (an equity curve that kept its stretches) with n_before, last_equity, and mean_equity of the `last` trades
-    before, null while there are fewer.
+def recent_equity(trades: DataFrame, key: str, order: list[str], initial: float, last: int = 10) -> DataFrame:
+    """trades with equity after each, n_before, last_equity, and mean_equity of the `last` trades before, null while
+    there are fewer.
 
     A stretch starts with the last equities of those before it; each holds one at least, so `last` of them will do.
     """
-    at = _within(key, order)
-    back = W.partitionBy(key, "_b").orderBy(*(F.desc(c) for c in order))
-    tails = curve.select(key, "_b", *order, "equity", F.row_number().over(back).alias("_r")).where(F.col("_r") <= last)
-    tails = tails.groupBy(key, "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "equity"))), lambda x: x.equity).alias("_tail"))
-    before = W.partitionBy(key).orderBy("_b").rowsBetween(-last, -1)  # a row a stretch
+    curve, at = _with_equity(trades, key, order, initial), _within(order)
+    back = W.partitionBy("_k", "_b").orderBy(*(F.desc(c) for c in order))
+    tails = curve.select("_k", "_b", *order, "equity", F.row_number().over(back).alias("_r")).where(F.col("_r") <= last)
+    tails = tails.groupBy("_k", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "equity"))), lambda x: x.equity).alias("_tail"))
+    before = W.partitionBy("_k").orderBy("_b").rowsBetween(-last, -1)  # a row a stretch
     ends = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - last + 1), F.lit(last))
-    tails = tails.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), ends(F.flatten(F.collect_list("_tail").over(before))).alias("_tail"))
-    x = carried(curve, key, _n=(F.count("*"), "sum"))
-    x = x.join(tails, x[key].eqNullSafe(tails["_k"]) & (x["_b"] == tails["_c"])).drop("_k", "_c")
+    x = curve.join(tails.select("_k", "_b", ends(F.flatten(F.collect_list("_tail").over(before))).alias("_tail")), ["_k", "_b"])
     x = x.withColumn("_seen", ends(F.concat("_tail", F.collect_list("equity").over(at.rowsBetween(-last, -1)))))
     mean = F.aggregate("_seen", F.lit(0.0), lambda s, e: s + e) / last
     new = {"n_before": F.coalesce("_n", F.lit(0)) + F.row_number().over(at) - 1, "last_equity": F.try_element_at("_seen", F.lit(-1)), "mean_equity": F.when(F.size("_seen") == last, mean)}
-    return x.withColumns(new).drop("_n", "_tail", "_seen", "_b")
+    return _plain(x.withColumns(new), key, "_n", "_tail", "_seen", "_b")
 
 
 def cagr(total_return: Column, years: Column) -> Column:
@@ -188,17 +202,17 @@ def distribution(df: DataFrame, key: str, x: str) -> DataFrame:
     Counts by stretch of values tell in which stretch a rank lies, and only rows of those stretches are ranked.
     """
     shares = {"p10": 0.1, "median": 0.5, "p90": 0.9}
-    rows = in_stretches(df.select(key, x).where(F.col(x).isNotNull()), x)
-    per = rows.groupBy(key, "_b").agg(F.count("*").alias("_m"))
-    w = W.partitionBy(key)  # a row a stretch
+    rows = _keyed(in_stretches(df.select(key, x).where(F.col(x).isNotNull()), x), key)
+    per = rows.groupBy("_k", "_b").agg(F.count("*").alias("_m"))
+    w = W.partitionBy("_k")  # a row a stretch
     per = per.withColumns({"_n": F.sum("_m").over(w), "_before": F.coalesce(F.sum("_m").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
     at = {n: F.floor(F.col("_n") * p) - F.col("_before") for n, p in shares.items()}
-    per = per.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), *(F.when((i >= 0) & (i < F.col("_m")), i).alias(f"_{n}") for n, i in at.items()))
+    per = per.select("_k", "_b", *(F.when((i >= 0) & (i < F.col("_m")), i).alias(f"_{n}") for n, i in at.items()))
     wanted = per.where(" or ".join(f"_{n} is not null" for n in shares))
-    ranked = rows.join(wanted, rows[key].eqNullSafe(wanted["_k"]) & (rows["_b"] == wanted["_c"])).withColumn("_i", F.row_number().over(_within(key, [x])) - 1)
+    ranked = rows.join(wanted, ["_k", "_b"]).withColumn("_i", F.row_number().over(_within([x])) - 1)
     found = ranked.groupBy("_k").agg(*(F.max(F.when(F.col("_i") == F.col(f"_{n}"), F.col(x))).alias(n) for n in shares))
     ends = df.groupBy(key).agg(F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
-    return ends.join(found, ends[key].eqNullSafe(found["_k"]), "left").select(key, "mean", "median", "p10", "p90", "least", "most")
+    return ends.join(found, ends[key].eqNullSafe(found["_k"][key]), "left").select(key, "mean", "median", "p10", "p90", "least", "most")
 
 
 def diversity(genes: DataFrame, key: str) -> DataFrame:
@@ -210,26 +224,35 @@ def diversity(genes: DataFrame, key: str) -> DataFrame:
 def streaks(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
     """After each trade the kind (W, L) and length of the current streak; trades at 0 change nothing.
 
-    A streak is in one task, stretches of time otherwise.
+    Each stretch tells its last sign, and how many trades have it in a row at its end; from that follows the streak with
+    which the next one starts. Trades are sent once as they are, and once with order and sign only.
     """
-    sign, up_to, at = F.signum("pnl"), _within(key, order), F.struct(*order)
-    x = in_stretches(trades, order[0]).withColumn("_s", F.when(sign != 0, sign))
-    x = carried(x, key, _before=(F.max_by("_s", F.when(F.col("_s").isNotNull(), at)), "last"))
-    x = x.withColumn("_last", F.coalesce(F.last("_s", ignorenulls=True).over(up_to.rowsBetween(W.unboundedPreceding, -1)), F.col("_before")))
-    x = x.withColumn("_new", (F.col("_s").isNotNull() & (F.col("_last").isNull() | (F.col("_s") != F.col("_last")))).cast("int"))
-    x = carried(x, key, _runs=(F.sum("_new"), "sum"))
-    x = x.withColumn("_g", F.coalesce("_runs", F.lit(0)) + F.sum("_new").over(up_to.rowsBetween(W.unboundedPreceding, 0)))
-    run = W.partitionBy(key, "_g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    kind = F.last("_s", ignorenulls=True).over(run)
-    return x.withColumns({"streak": F.count("_s").over(run), "kind": F.when(kind > 0, "W").when(kind < 0, "L")}).drop("_b", "_s", "_before", "_last", "_new", "_runs", "_g")
+    x = _keyed(in_stretches(trades, order[0]), key).withColumn("_s", F.when(PNL() > 0, 1).when(PNL() < 0, -1))
+    at = _within(order)
+    up_to, prior = at.rowsBetween(W.unboundedPreceding, 0), at.rowsBetween(W.unboundedPreceding, -1)
+    last, turned = lambda w: F.last("_s", ignorenulls=True).over(w), lambda before: F.col("_s").isNotNull() & ~F.col("_s").eqNullSafe(before)
+    mine = x.select("_k", "_b", "_s", F.count("_s").over(up_to).alias("_c"), last(prior).alias("_last"))
+    turn = turned(F.col("_last"))
+    per = mine.groupBy("_k", "_b").agg(F.max("_c").alias("_all"), F.max(F.when(turn, F.col("_c") - 1)).alias("_from"), F.max_by("_s", F.when(turn, F.col("_c"))).alias("_s"))
+    w = W.partitionBy("_k").orderBy("_b")  # a row a stretch
+    so_far, earlier = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumns({"_run": F.col("_all") - F.coalesce("_from", F.lit(0)), "_before": last(earlier)})
+    per = per.withColumn("_sum", F.sum("_run").over(so_far))
+    starts = turned(F.col("_before")) | (F.col("_run") < F.col("_all"))  # its last run begins in the stretch
+    per = per.withColumn("_length", F.col("_sum") - F.max(F.when(starts, F.col("_sum") - F.col("_run"))).over(so_far))
+    per = per.select("_k", "_b", "_before", F.coalesce(F.lag("_length").over(w), F.lit(0)).alias("_length"))
+    x = x.join(per, ["_k", "_b"]).withColumns({"_c": F.count("_s").over(up_to), "_last": F.coalesce(last(prior), F.col("_before")), "_now": F.coalesce(last(up_to), F.col("_before"))})
+    start = F.max(F.when(turned(F.col("_last")), F.col("_c") - 1)).over(up_to)
+    x = x.withColumns({"streak": F.coalesce(F.col("_c") - start, F.col("_c") + F.col("_length")), "kind": F.when(F.col("_now") > 0, "W").when(F.col("_now") < 0, "L")})
+    return _plain(x, key, "_b", "_s", "_before", "_length", "_c", "_last", "_now")
 
 
 def running_stats(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
     """What was known before each trade: number, win rate, mean win and loss, largest win and loss, last pnl."""
     win, loss, at = F.when(PNL() > 0, PNL()), F.when(PNL() < 0, -PNL()), F.struct(*order)
     parts = {"n": F.count("*"), "won": F.count(win), "lost": F.count(loss), "wins": F.sum(win), "losses": F.sum(loss)}
-    x = carried(in_stretches(trades, order[0]), key, **{f"_{n}": (v, "sum") for n, v in parts.items()}, _top=(F.max(win), "max"), _low=(F.max(loss), "max"), _end=(F.max_by("pnl", at), "last"))
-    w = _within(key, order)
+    x = carried(_keyed(in_stretches(trades, order[0]), key), **{f"_{n}": (v, "sum") for n, v in parts.items()}, _top=(F.max(win), "max"), _low=(F.max(loss), "max"), _end=(F.max_by("pnl", at), "last"))
+    w = _within(order)
     b = w.rowsBetween(W.unboundedPreceding, -1)
     have = {n: F.coalesce(F.col(f"_{n}"), F.lit(0)) + F.coalesce(v.over(b), F.lit(0)) for n, v in parts.items()}
     mean = lambda total, n: F.coalesce(have[total] / F.nullif(have[n], F.lit(0)), F.lit(0.0))
@@ -238,7 +261,7 @@ def running_stats(trades: DataFrame, key: str, order: list[str]) -> DataFrame:
         "biggest_win": F.coalesce(F.greatest(F.max(win).over(b), F.col("_top")), F.lit(0.0)), "biggest_loss": F.coalesce(F.greatest(F.max(loss).over(b), F.col("_low")), F.lit(0.0)),
         "last_pnl": F.coalesce(F.lag("pnl").over(w), F.col("_end")),
     })
-    return out.drop("_b", *(f"_{n}" for n in parts), "_top", "_low", "_end")
+    return _plain(out, key, "_b", *(f"_{n}" for n in parts), "_top", "_low", "_end")
 
 
 def sub_pnl(units: Column, entry: Column, exit_: Column, long: Column) -> Column:
