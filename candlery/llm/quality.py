@@ -6,6 +6,8 @@ n-grams, joins counts, contexts and lower orders by n-gram, and joins the values
 texts to score. So only a part of all n-grams lies on disk at a time, and what a round moves grows with the text.
 
 A text's log probability is a sum of one value for each of its n-grams, seen or not, so only sums by text come back.
+Values are whole numbers of 1 / UNIT, so sums do not depend on their order. Texts ask a slice at a time: a bucket gets
+how many n-grams each text of the slice asks it for and 48 bits of each, and sends back a number for each text.
 N-grams that make up more than one in HOT of the trusted text (words: in HOT_WORDS) are no matter of joins: there are
 so many of them at most a kind, tasks hold their values, and no task gets all texts' questions for a frequent word.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import LOWER, PACKED, bucket_of, extended, forget, mix, packed, partitions, plain_names, slices, stored, table, text_buffer, to_buckets, unpacked, words
@@ -26,14 +29,19 @@ WORD_ORDER = 3
 BEFORE, AFTER = mix(np.array([1, 2], np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Rounds: one for each so many bytes of text, and no more than so many.
-ROUND_BYTES, ROUNDS = 32 << 20, 6
+ROUND_BYTES, ROUNDS = 32 << 20, 8
 HOT, HOT_WORDS = 1 << 15, 1 << 18
 SLICE = 4 << 20
+UNIT = 1 << 22
 #: Of the trusted documents kept back from training, this share lies within its language's threshold.
 QUANTILE = 0.98
 BROADCAST_LABELS = 2_000_000
-#: A trigram abc with the keys of its parts, and how often it occurs in a slice.
-TRIGRAM = np.dtype([("ab", "<u8"), ("bc", "<u8"), ("b", "<u8"), ("c", "<u8"), ("n", "<u4")])
+#: What a trigram abc has besides the key of ab: b's key, the word c's hash (all other keys follow) and how often it occurs in a slice.
+TRIGRAM = np.dtype([("b", "<u8"), ("c", "<u8"), ("n", "<u4")])
+#: The same once ab is done with: (its count - discount) over what its context gives away, and its count.
+RATIO = np.dtype([("b", "<u8"), ("c", "<u8"), ("x", "<f4"), ("n", "<u4")])
+#: A row of RATIO can be a context (x: its value) or a pair (x: its probability) as well.
+_TRIGRAM, _IS_CONTEXT, _IS_PAIR = np.arange(3, dtype=np.uint64)
 
 
 def _marked(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,17 +65,17 @@ def discounts(counts: tuple[int, int, int, int]) -> tuple[float, float, float]:
     return tuple(float(min(max(x, 0.05), k + 0.95)) for k, x in enumerate(d))
 
 
-def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys of the n-grams of order 1 to WORD_ORDER that end at each place, each place's text and number in it, and the words.
+def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the n-grams of order 1 to WORD_ORDER that end at each place, each place's text and number in it, and its word's hash.
 
-    A text is two marks, its words in lower case, and a mark; the words are given by place, start and end in data.
+    A text is two marks, its words in lower case, and a mark.
     A key is made from the key of the n-gram without its last word, so a context has the key it has as an n-gram.
     """
-    starts, ends, hashes, first = words(data, offsets, True)
+    _, _, hashes, first = words(data, offsets, True)
     count = np.diff(first)
     size = count + 3
     begin = np.concatenate([[0], np.cumsum(size)])
-    own = np.arange(len(starts)) + 3 * np.repeat(np.arange(len(count)), count) + 2
+    own = np.arange(len(hashes)) + 3 * np.repeat(np.arange(len(count)), count) + 2
     symbols = np.full(begin[-1], BEFORE, np.uint64)
     symbols[own] = hashes
     symbols[begin[1:] - 1] = AFTER
@@ -77,7 +85,7 @@ def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray],
         longer[1:] = mix(keys[-1][:-1] * _STEP + symbols[1:])
         keys.append(longer)
     text = np.repeat(np.arange(len(count)), size)
-    return keys, text, np.arange(begin[-1]) - begin[text], (own, starts, ends)
+    return keys, text, np.arange(begin[-1]) - begin[text], symbols
 
 
 def byte_pairs(trusted: DataFrame) -> np.ndarray:
@@ -130,27 +138,36 @@ def part_of(words_: np.ndarray, rounds: int) -> np.ndarray:
     return (words_ >> np.uint64(20)) % np.uint64(rounds)
 
 
-def trigrams(trusted: DataFrame, part: int, rounds: int, run, schema: str) -> DataFrame:
-    """run(k3, rows) -> batches, over the distinct trigrams whose middle word is of this part, those of a pair bc together."""
-    buckets = partitions(trusted.sparkSession)
+def longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of an n-gram and one more word, given by its hash."""
+    return mix(key * _STEP + word)
+
+
+def dealt(spark: SparkSession, rounds: int) -> int:
+    """Buckets for one round's part of the n-grams: fewer than for all, so that a text has several in one."""
+    return max(min(partitions(spark), 24), partitions(spark) // rounds)
+
+
+def trigrams(trusted: DataFrame, part: int, rounds: int, by_context: bool, buckets: int, run, schema: str) -> DataFrame:
+    """run(k3, ab, rows, n) -> batches, over the distinct trigrams abc whose middle word is of this part; those of a pair ab (by_context) or bc are together."""
 
     def cut(batches):
         for batch in slices(batches, limit=SLICE):
-            keys, _, at, _ = word_grams(*text_buffer(batch.column("text")))
+            keys, _, at, symbols = word_grams(*text_buffer(batch.column("text")))
             i = np.flatnonzero(at >= 2)
             i = i[part_of(keys[0][i - 1], rounds) == part]
-            k3, where, n = np.unique(keys[2][i], return_index=True, return_counts=True)
-            i, rows = i[where], np.zeros(len(k3), TRIGRAM)
-            rows["ab"], rows["bc"], rows["b"], rows["c"], rows["n"] = keys[1][i - 1], keys[1][i], keys[0][i - 1], keys[0][i], n
-            yield packed(np.zeros(len(k3), np.uint64), k3, bucket_of(rows["bc"], buckets), rows)
+            _, where, n = np.unique(keys[2][i], return_index=True, return_counts=True)
+            i, rows = i[where], np.zeros(len(where), TRIGRAM)
+            rows["b"], rows["c"], rows["n"] = keys[0][i - 1], symbols[i], n
+            yield packed(np.zeros(len(i), np.uint64), keys[1][i - 1], bucket_of(keys[1][i - 1 if by_context else i], buckets), rows)
 
     def gather(batches):
-        _, k3, rows = unpacked(batches, extra_type=TRIGRAM)
-        k3, where, which = np.unique(k3, return_index=True, return_inverse=True)
+        _, ab, rows = unpacked(batches, extra_type=TRIGRAM)
+        k3, where, which = np.unique(longer(ab, rows["c"]), return_index=True, return_inverse=True)
         n = np.bincount(which, rows["n"], minlength=len(k3)).astype(np.int64)
-        yield from run(k3, rows[where], n)
+        yield from run(k3, ab[where], rows[where], n)
 
-    return to_buckets(trusted.select("text").mapInArrow(cut, PACKED), gather, schema)
+    return to_buckets(trusted.select("text").mapInArrow(cut, PACKED), gather, schema, buckets)
 
 
 def _batches(names: list[str], *columns: np.ndarray):
@@ -160,47 +177,36 @@ def _batches(names: list[str], *columns: np.ndarray):
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal values together, and where each begins in it."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     return order, np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0])) if len(values) else np.zeros(0, int)
 
 
-def _pairs(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of trigrams by their pairs bc: one row of each pair, how many trigrams end in it, and how often it occurs."""
-    order, begin = _groups(rows["bc"])
-    count = np.diff(np.append(begin, len(order)))
-    return rows[order[begin]], count, np.add.reduceat(n[order], begin) if len(begin) else n[:0]
+def _pairs(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of trigrams by their pairs bc: keys of each pair and its words, how many trigrams end in it, and how often it occurs."""
+    bc = longer(rows["b"], rows["c"])
+    order, begin = _groups(bc)
+    one = order[begin]
+    return bc[one], rows["b"][one], mix(rows["c"][one]), np.diff(np.append(begin, len(order))), np.add.reduceat(n[order], begin) if len(begin) else n[:0]
 
 
-def _counts(k3: np.ndarray, rows: np.ndarray, n: np.ndarray):
+def _counts(k3: np.ndarray, ab: np.ndarray, rows: np.ndarray, n: np.ndarray):
     """What one bucket's trigrams add to the statistics: kind, word and five numbers.
 
     Kinds 3 and 2: how many trigrams and pairs have a count of 1 to 4, and (of 3) their occurrences; kind "b": a word's
     pairs, their counts' sum and how many have a count of 1, 2 and more; kind "c": how many pairs end in a word.
     """
-    pair, cont, _ = _pairs(rows, n)
+    _, b, c, cont, _ = _pairs(rows, n)
     out = [np.array([[3, 0, *((n == r).sum() for r in range(1, 5)), n.sum()], [2, 0, *((cont == r).sum() for r in range(1, 5)), 0]], np.int64)]
-    for kind, name in ((0, "b"), (1, "c")):
-        order, begin = _groups(pair[name])
+    for kind, word in ((0, b), (1, c)):
+        order, begin = _groups(word)
         if len(begin):
-            c = cont[order]
-            sums = [np.add.reduceat(x.astype(np.int64), begin) for x in ((c == 1), (c == 2), (c > 2), c, np.ones_like(c))]
-            out.append(np.column_stack([np.full(len(begin), kind), pair[name][order[begin]].view(np.int64), *sums]))
+            m = cont[order]
+            sums = [np.add.reduceat(x.astype(np.int64), begin) for x in ((m == 1), (m == 2), (m > 2), m, np.ones_like(m))]
+            out.append(np.column_stack([np.full(len(begin), kind), word[order[begin]].view(np.int64), *sums]))
     yield from _batches(["kind", "word", "x1", "x2", "x3", "x4", "x5"], *np.concatenate(out).T)
 
 
 STATISTICS = "kind long, word long, x1 long, x2 long, x3 long, x4 long, x5 long"
-TABLE = "k3 long, ab long, bc long, b long, c long, n long, cont long, often long, first boolean"
-
-
-def _rows(k3: np.ndarray, rows: np.ndarray, n: np.ndarray):
-    """The trigrams, those of a pair side by side, with how many end in the pair (cont) and how often it occurs (often); first: one a pair."""
-    order, begin = _groups(rows["bc"])
-    count = np.diff(np.append(begin, len(order)))
-    first = np.zeros(len(order), bool)
-    first[begin] = True
-    often = np.add.reduceat(n[order], begin) if len(begin) else n[:0]
-    rows = rows[order]
-    yield from _batches([x.split()[0] for x in TABLE.split(", ")], k3[order].view(np.int64), *(rows[c].view(np.int64) for c in ("ab", "bc", "b", "c")), n[order], np.repeat(count, count), np.repeat(often, count), first)
 
 
 def _off(n: str, cuts: tuple[float, float, float]):
@@ -212,7 +218,8 @@ class Model:
 
     def __init__(self, trusted: DataFrame, rounds: int = ROUNDS):
         self.trusted, self.rounds, self.spelling = trusted, rounds, byte_pairs(trusted)
-        parts = [stored(trigrams(trusted, part, rounds, _counts, STATISTICS).groupBy("kind", "word").agg(*(F.sum(f"x{k}").alias(f"x{k}") for k in range(1, 6)))) for part in range(rounds)]
+        few = -(-rounds // 2)  # counting takes half the disk that scoring takes
+        parts = [stored(trigrams(trusted, part, few, False, partitions(trusted.sparkSession), _counts, STATISTICS).groupBy("kind", "word").agg(*(F.sum(f"x{k}").alias(f"x{k}") for k in range(1, 6)))) for part in range(few)]
         every = parts[0]
         for more in parts[1:]:
             every = every.unionByName(more)
@@ -227,7 +234,8 @@ class Model:
         forget(single)
         d1, d2, d3 = self.cuts[2]
         back = (F.col("x1") * d1 + F.col("x2") * d2 + F.col("x3") * d3) / F.col("x4")
-        self.contexts = [p.where("kind = 0").select(F.col("word").alias("b"), F.col("x4").alias("total"), back.alias("back")) for p in parts]
+        self.contexts = stored(every.where("kind = 0").select(F.col("word").alias("b"), F.col("x4").alias("total"), back.alias("back")))
+        forget(*parts)
 
     def _spellings(self) -> DataFrame:
         """word, spelt, and how often it occurs, of the trusted text's words and the mark after a text."""
@@ -244,132 +252,217 @@ class Model:
 
     def single_values(self) -> DataFrame:
         """gram, v and n of single words, as n-grams (over their spelling) and as contexts of the second order."""
-        contexts = self.contexts[0]
-        for more in self.contexts[1:]:
-            contexts = contexts.unionByName(more)
         own = (F.log("p") - F.lit(float(np.log(self.spread))) - F.col("spelt")).alias("v")
-        rows = self.single.select(F.col("c").alias("gram"), own, F.col("often").alias("n")).unionByName(contexts.select(F.col("b").alias("gram"), F.log("back").alias("v"), F.col("total").alias("n")))
-        return rows.groupBy("gram").agg(F.sum("v").alias("v"), F.max("n").alias("n"))
+        rows = self.single.select(F.col("c").alias("gram"), own, F.col("often").alias("n")).unionByName(self.contexts.select(F.col("b").alias("gram"), F.log("back").alias("v"), F.col("total").alias("n")))
+        return rows.groupBy("gram").agg(_whole(F.sum("v")).alias("v"), F.max("n").alias("n"))
 
     def part_values(self, part: int) -> DataFrame:
         """gram, v and n: what each trigram, and each pair as its context or its lower order, adds to a text's log probability."""
-        tri = stored(trigrams(self.trusted, part, self.rounds, _rows, TABLE))
-        two = tri.where("first").select("bc", "b", "c", "cont", "often").join(self.contexts[part], "b").join(self.single.select("c", F.col("p").alias("p1")), "c")
+        rounds, buckets, (d1, d2, d3) = self.rounds, dealt(self.trusted.sparkSession, self.rounds), self.cuts[3]
+
+        def ratios(k3, ab, rows, n):
+            order, begin = _groups(ab)
+            if not len(begin):
+                return
+            k3, rows, n = k3[order], rows[order], n[order]
+            off = np.where(n == 1, d1, np.where(n == 2, d2, d3))
+            total, given = np.add.reduceat(n, begin), np.add.reduceat(off, begin)
+            out = np.zeros(len(k3), RATIO)
+            out["b"], out["c"], out["n"] = rows["b"], rows["c"], n
+            out["x"] = (n - off) / np.repeat(given, np.diff(np.append(begin, len(order))))
+            yield packed(np.full(len(k3), _TRIGRAM), k3, bucket_of(longer(rows["b"], rows["c"]), buckets), out)
+            out, context = np.zeros(len(begin), RATIO), ab[order[begin]] ^ np.uint64(_CONTEXT)
+            out["x"], out["n"] = np.log(given / total), total
+            yield packed(np.full(len(begin), _IS_CONTEXT), context, bucket_of(context, buckets), out)
+
+        def pairs(batches):
+            owner, _, rows = unpacked(batches, extra_type=RATIO)
+            rows = rows[owner == _TRIGRAM]
+            yield from _batches(["bc", "b", "c", "cont", "often"], *(x.view(np.int64) for x in _pairs(rows, rows["n"].astype(np.int64))))
+
+        def tell(batches):
+            for batch in batches:
+                bc, rows = batch.column("bc").to_numpy().view(np.uint64), np.zeros(len(batch), RATIO)
+                rows["x"] = batch.column("p2").to_numpy()
+                yield packed(np.full(len(bc), _IS_PAIR), bc, bucket_of(bc, buckets), rows)
+
+        def value(batches):
+            owner, gram, rows = unpacked(batches, extra_type=RATIO)
+            pair, p2 = gram[owner == _IS_PAIR], rows["x"][owner == _IS_PAIR].astype(float)
+            order = np.argsort(pair)
+            pair, p2 = pair[order], p2[order]
+            gram, rows, owner = gram[owner != _IS_PAIR], rows[owner != _IS_PAIR], owner[owner != _IS_PAIR]
+            v, three = rows["x"].astype(float), owner == _TRIGRAM
+            v[three] = np.log1p(v[three] / p2[np.searchsorted(pair, longer(rows["b"][three], rows["c"][three]))])
+            yield from _batches(["gram", "v", "n"], gram.view(np.int64), np.rint(v * UNIT).astype(np.int32), rows["n"].astype(np.int64))
+
+        tri = stored(trigrams(self.trusted, part, rounds, True, buckets, ratios, PACKED))
+        two = to_buckets(tri, pairs, "bc long, b long, c long, cont long, often long", buckets)
+        contexts = self.contexts.where(F.shiftrightunsigned("b", 20) % rounds == part)  # part_of
+        two = two.join(contexts, "b").join(self.single.select("c", F.col("p").alias("p1")), "c")
         p = (F.col("cont") - _off("cont", self.cuts[2])) / F.col("total") + F.col("back") * F.col("p1")
-        two = stored(two.select("bc", p.alias("p2"), (F.log(p) - F.log("back") - F.log("p1")).cast("float").alias("v"), "often"))
-        three = tri.select("k3", "ab", "bc", "n").join(two.select("bc", "p2"), "bc").select("k3", "ab", "n", "p2")
-        out = stored(self._highest(three).unionByName(two.select(F.col("bc").alias("gram"), "v", F.col("often").alias("n"))))
+        two = stored(two.select("bc", p.cast("float").alias("p2"), _whole(F.log(p) - F.log("back") - F.log("p1")).alias("v"), "often"))
+        high = to_buckets(tri.unionByName(two.select("bc", "p2").mapInArrow(tell, PACKED)), value, VALUES, buckets)
+        out = stored(high.unionByName(two.select(F.col("bc").alias("gram"), "v", F.col("often").alias("n"))))
         forget(tri, two)
         return out
 
-    def _highest(self, three: DataFrame) -> DataFrame:
-        """gram, v and n of trigrams (k3, ab, n, and p2 of the lower order), and of their pairs as contexts."""
-        buckets, (d1, d2, d3) = partitions(three.sparkSession), self.cuts[3]
-        kind = np.dtype([("n", "<u4"), ("p2", "<f4"), ("ab", "<u8")])
 
-        def deal(batches):
-            for batch in batches:
-                k3, ab = (batch.column(c).to_numpy().view(np.uint64) for c in ("k3", "ab"))
-                rows = np.zeros(len(k3), kind)
-                rows["ab"], rows["n"], rows["p2"] = ab, batch.column("n").to_numpy(), batch.column("p2").to_numpy()
-                yield packed(np.zeros(len(k3), np.uint64), k3, bucket_of(ab, buckets), rows)
+VALUES = "gram long, v int, n long"
 
-        def value(batches):
-            _, k3, rows = unpacked(batches, extra_type=kind)
-            order, begin = _groups(rows["ab"])
-            if not len(begin):
-                return
-            k3, rows = k3[order], rows[order]
-            n = rows["n"].astype(np.int64)
-            off = np.where(n == 1, d1, np.where(n == 2, d2, d3))
-            count = np.diff(np.append(begin, len(order)))
-            total = np.add.reduceat(n, begin)
-            weight = np.add.reduceat(off, begin) / total
-            w, p2 = np.repeat(weight, count), rows["p2"].astype(float)
-            own = np.log((n - off) / np.repeat(total, count) + w * p2) - np.log(w) - np.log(p2)
-            names = ["gram", "v", "n"]
-            yield from _batches(names, k3.view(np.int64), own.astype(np.float32), n)
-            yield from _batches(names, (rows["ab"][begin] ^ np.uint64(_CONTEXT)).view(np.int64), np.log(weight).astype(np.float32), total)
 
-        return to_buckets(three.mapInArrow(deal, PACKED), value, "gram long, v float, n long")
+def _whole(v):
+    return F.round(v * UNIT).cast("int")
 
 
 #: A pair's key as a context differs from its key as an n-gram, since they can be of different parts.
 _CONTEXT = 0x5DEECE66D1CE4E5B
 
 
-def _asked(keys: list[np.ndarray], at: np.ndarray, part: int, rounds: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Which n-grams texts ask for in a round: places and keys of each kind; part -1: single words and the marks."""
+def _asked(keys: list[np.ndarray], at: np.ndarray, part: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams texts ask for in a round: places, and a row of keys for each; part -1: single words and the marks."""
     if part < 0:  # each is the end of one trigram and the middle of the next; of the marks one is only this, one that
         i = np.flatnonzero(at >= 1)
-        return [(i, keys[0][i])]
+        return i, keys[0][i][:, None]
     i = np.flatnonzero(at >= 2)
     i = i[part_of(keys[0][i - 1], rounds) == part]
-    return [(i, keys[2][i]), (i, keys[1][i]), (i, keys[1][i - 1] ^ np.uint64(_CONTEXT))]
+    return i, np.column_stack([keys[2][i], keys[1][i], keys[1][i - 1] ^ np.uint64(_CONTEXT)])
+
+
+def short(grams: np.ndarray) -> np.ndarray:
+    """The lower six bytes of each key; the bucket holds more of it."""
+    return np.ascontiguousarray(grams).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def widened(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _by_bucket(gram: np.ndarray, buckets: int):
+    """An order that brings keys of a bucket together without changing theirs, and (bucket, begin, end) of each."""
+    bucket = bucket_of(gram, buckets)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])), len(order)) if len(order) else np.zeros(1, int)
+    return order, [(int(bucket[order[a]]), a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """(bucket, owners, counts, hashes, extra) of each row."""
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "owners", "counts", "hashes", "extra"])
 
 
 def _sums(docs: DataFrame, values: DataFrame, part: int, model: Model) -> DataFrame:
     """text_key and known: the sum of the values of one round's n-grams, of all rows with a text."""
-    buckets, rounds = partitions(docs.sparkSession), model.rounds
+    rounds = model.rounds
+    buckets = dealt(docs.sparkSession, rounds)
     most = HOT_WORDS if part < 0 else HOT
     hot = values.where(F.col("n") * most > model.positions).select("gram", "v").collect()  # 3 * HOT or 2 * HOT_WORDS rows at most
     hot = sorted((r.gram & (1 << 64) - 1, r.v) for r in hot)
-    near, worth = np.array([g for g, _ in hot], np.uint64), np.array([v for _, v in hot], float)
+    near, worth = np.array([g for g, _ in hot], np.uint64), np.array([v for _, v in hot], np.int64)
     maybe = np.zeros(1 << 22, bool)  # by the first 22 bits
     maybe[(near >> np.uint64(42)).astype(np.int64)] = True
     maybe = np.packbits(maybe)
 
     def ask(batches):
-        held = np.unpackbits(maybe).view(bool)
-        for batch in slices(batches, limit=SLICE):
+        held, task = np.unpackbits(maybe).view(bool), TaskContext.get().partitionId()
+        for number, batch in enumerate(slices(batches, limit=SLICE)):
             keys, text, at, _ = word_grams(*text_buffer(batch.column("text")))
             owner = batch.column("text_key").to_numpy().view(np.uint64)
-            sums = np.zeros(len(owner))
-            for place, gram in _asked(keys, at, part, rounds):
-                own = text[place]
-                if len(near):
-                    there = np.flatnonzero(held[(gram >> np.uint64(42)).astype(np.int64)])
-                    k = np.minimum(np.searchsorted(near, gram[there]), len(near) - 1)
-                    there, k = there[near[k] == gram[there]], k[near[k] == gram[there]]
-                    sums += np.bincount(own[there], worth[k], minlength=len(owner))
-                    rest = np.ones(len(gram), bool)
-                    rest[there] = False
-                    own, gram = own[rest], gram[rest]
-                yield packed(owner[own], gram, bucket_of(gram, buckets))
-            # What is known already goes along as a value of its own, under a key that no n-gram has: bucket by text.
-            yield packed(owner, np.zeros(len(owner), np.uint64), bucket_of(mix(owner), buckets), sums)
+            size, sums = len(owner), np.zeros(len(owner), np.int64)
+            place, gram = _asked(keys, at, part, rounds)
+            own, gram = np.repeat(text[place], gram.shape[1]), gram.ravel()
+            if len(near):
+                there = np.flatnonzero(held[(gram >> np.uint64(42)).astype(np.int64)])
+                k = np.minimum(np.searchsorted(near, gram[there]), len(near) - 1)
+                there, k = there[near[k] == gram[there]], k[near[k] == gram[there]]
+                sums += np.bincount(own[there], worth[k], minlength=size).astype(np.int64)  # whole numbers, far below 2**53
+                rest = np.ones(len(gram), bool)
+                rest[there] = False
+                own, gram = own[rest], gram[rest]
+            # A slice is named by its texts, so that what a repeated task sends for others can't be taken for it.
+            name = mix(np.bitwise_xor.reduce(longer(owner, np.arange(size, dtype=np.uint64)), keepdims=True) + mix(np.array([task << 32 | number], np.uint64)))
+            slice_ = name.tobytes() + np.uint32(size).tobytes()
+            order, cuts = _by_bucket(gram, buckets)
+            own, gram = own[order], short(gram[order])
+            rows = []
+            for bucket, a, b in cuts:
+                count = np.bincount(own[a:b], minlength=size)
+                rows.append((bucket, slice_, count.astype(np.uint8 if count.max() < 256 else np.uint32).tobytes(), gram[a:b].tobytes(), b""))
+            # Which texts these are, and what is known already, goes along to the place where the slice's sums meet.
+            rows.append((int(bucket_of(name, buckets)[0]), slice_, b"", b"", owner.tobytes() + sums.tobytes()))
+            yield _rows(rows)
 
     def tell(batches):
         for batch in batches:
-            gram = batch.column("gram").to_numpy().view(np.uint64)
-            out = packed(np.zeros(len(gram), np.uint64), gram, bucket_of(gram, buckets), batch.column("v").to_numpy().astype(np.float32))
-            yield out.set_column(1, "owners", pa.array([b""] * len(out), pa.binary()))
+            gram, v = batch.column("gram").to_numpy().view(np.uint64), batch.column("v").to_numpy()
+            order, cuts = _by_bucket(gram, buckets)
+            gram, v = short(gram[order]), v[order]
+            yield _rows([(bucket, b"", b"", gram[a:b].tobytes(), v[a:b].tobytes()) for bucket, a, b in cuts])
 
     def match(batches):
         told, asked = [], []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("owners", "counts", "hashes", "extra"))):
                 (asked if row[0] else told).append(row)
-        gram = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[2], np.uint64) for r in told)])
-        value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r[3], np.float32) for r in told)])
+        gram = widened(b"".join(r[2] for r in told))
+        value = np.frombuffer(b"".join(r[3] for r in told), np.int32)
         order = np.argsort(gram)
-        gram, value = np.append(gram[order], ~np.uint64(0)), np.append(value[order], np.float32(0))  # an end that no n-gram has
+        gram, value = np.append(gram[order], ~np.uint64(0)), np.append(value[order], np.int32(0))  # an end that no key of six bytes has
+        del told
         held, size = [], 0
-        for k, (owners, counts, hashes, extra) in enumerate(asked):
-            held.append((np.repeat(np.frombuffer(owners, np.uint64), np.frombuffer(counts, np.uint32)), np.frombuffer(hashes, np.uint64), np.frombuffer(extra, float) if extra else np.zeros(len(hashes) // 8)))
-            size += len(held[-1][0])
+        for k, row in enumerate(asked):
+            held.append(row)
+            size += len(row[2]) // 6
             if size < 1 << 20 and k + 1 < len(asked):
                 continue
-            owner, hashes, found = (np.concatenate(x) for x in zip(*held))
-            held, size = [], 0
+            texts = [int(np.frombuffer(r[0], np.uint32, 1, 8)[0]) if r[2] else 0 for r in held]
+            begin = np.cumsum([0, *texts])
+            counts = [np.frombuffer(r[1], np.uint8 if len(r[1]) == n else np.uint32) for r, n in zip(held, texts)]
+            own = np.repeat(np.arange(begin[-1]), np.concatenate(counts).astype(np.int64))
+            hashes = widened(b"".join(r[2] for r in held))
+            order = np.argsort(hashes)
+            hashes, own = hashes[order], own[order]
             at = np.searchsorted(gram, hashes)
-            found = found + np.where(gram[at] == hashes, value[at], np.float32(0))
-            owner, which = np.unique(owner, return_inverse=True)
-            yield from _batches(["text_key", "known"], owner.view(np.int64), np.bincount(which, found, minlength=len(owner)))
+            sums = np.bincount(own, np.where(gram[at] == hashes, value[at], 0), minlength=begin[-1]).astype(np.int64)
+            rows = []
+            for r, a, b in zip(held, begin[:-1], begin[1:]):
+                to = int(bucket_of(np.frombuffer(r[0], np.uint64, 1), buckets)[0])
+                if not r[2]:
+                    rows.append((to, r[0], b"texts", b"", r[3]))
+                    continue
+                own, which = sums[a:b], np.flatnonzero(sums[a:b])
+                own = own if np.abs(own).max() >> 31 else own.astype(np.int32)
+                sparse = 3 * len(which) < 2 * (b - a)
+                rows.append((to, r[0], b"", which.astype(np.uint32 if b - a > 1 << 16 else np.uint16).tobytes() if sparse else b"", (own[which] if sparse else own).tobytes()))
+            yield _rows(rows)
+            held, size = [], 0
+
+    def gather(batches):
+        sums, owners = {}, {}
+        for batch in batches:
+            for slice_, what, which, values_ in zip(*(batch.column(c).to_pylist() for c in ("owners", "counts", "hashes", "extra"))):
+                size = int(np.frombuffer(slice_, np.uint32, 1, 8)[0])
+                sum_ = sums.setdefault(slice_, np.zeros(size, np.int64))
+                if what:
+                    owners[slice_], known = np.frombuffer(values_, np.int64).reshape(2, size)
+                    sum_ += known
+                elif which:
+                    which = np.frombuffer(which, np.uint32 if size > 1 << 16 else np.uint16)
+                    sum_[which] += np.frombuffer(values_, np.int32 if len(values_) == 4 * len(which) else np.int64)
+                elif values_:
+                    sum_ += np.frombuffer(values_, np.int32 if len(values_) == 4 * size else np.int64)
+        if sums.keys() - owners.keys():
+            raise RuntimeError("a task that ran again got other texts than before")
+        for slice_, owner in owners.items():
+            yield from _batches(["text_key", "known"], owner, sums[slice_])
 
     told = values.where(F.col("n") * most <= model.positions).select("gram", "v").mapInArrow(tell, PACKED)
     both = docs.select("text_key", "text").mapInArrow(ask, PACKED).unionByName(told)
-    return stored(to_buckets(both, match, "text_key long, known double").groupBy("text_key").agg(F.sum("known").alias("known")))
+    sums = to_buckets(to_buckets(both, match, PACKED, buckets), gather, "text_key long, known long", buckets)
+    return stored(sums.groupBy("text_key").agg(F.sum("known").alias("known")))
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
@@ -402,7 +495,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     rows = stored(docs.mapInArrow(run, extended(docs, "text_key long, n_symbols long, base double", ("text", "text_key"))))
     copies = rows.groupBy("text_key").agg(F.count("*").alias("copies"))
     known = stored(known.groupBy("text_key").agg(F.sum("known").alias("known")).join(copies, "text_key"))
-    value = F.exp(-(F.col("base") + F.coalesce(F.col("known") / F.col("copies"), F.lit(0.0))) / F.col("n_symbols"))
+    value = F.exp(-(F.col("base") + F.coalesce(F.col("known") / F.col("copies") / UNIT, F.lit(0.0))) / F.col("n_symbols"))
     out = rows.join(known, "text_key", "left").withColumn("perplexity", F.when(F.col("n_symbols") > 0, value))
     return back(out, without=("text",))
 

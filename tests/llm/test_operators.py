@@ -553,6 +553,51 @@ def test_quality_is_kneser_ney_over_words(spark, monkeypatch):
     assert got[0][1] < got[1][1]  # the same words in another order: bytes of words alone could hardly tell
 
 
+def test_quality_of_texts_that_ask_for_much(spark, monkeypatch):
+    """No n-gram is held by tasks; a text asks one bucket more than 255 times, and most texts of a slice ask it nothing."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    vocabulary = [f"{rng.choice('abcdefgh')}{k}" for k in range(40)]
+    trained = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 30))) for _ in range(40)]
+    scored = ["a a " * 700, "b1 " * 900, *(" ".join(rng.choices([*vocabulary, "new"], k=rng.randrange(1, 4))) for _ in range(60))]
+    model = quality.Model(spark.createDataFrame([(t,) for t in trained], "text string"), rounds=2)
+
+    def spelt(word):
+        return quality.spelt(model.spelling, np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word)]))[0]
+
+    monkeypatch.setattr(quality, "HOT", 1)
+    monkeypatch.setattr(quality, "HOT_WORDS", 1)
+    docs = spark.createDataFrame([*enumerate(scored)], "doc_id long, text string").coalesce(1)
+    got = by_id(quality.perplexities(docs, model), "n_symbols", "perplexity")
+    for i, p in enumerate(plain_kneser_ney(trained, scored, spelt, quality.after(model.spelling))):
+        assert got[i][0] == len(scored[i].split()) + 1 and abs(got[i][1] - p) < 1e-5 * p
+
+
+def test_quality_sends_few_bytes_for_an_n_gram(spark, monkeypatch):
+    """What a round sends for the n-grams of texts is about their keys' six bytes, however few of a text's go to a bucket."""
+    import random
+    from types import SimpleNamespace
+
+    sent, send = [], quality.to_buckets
+
+    def seen(rows, *more):
+        sent.append(rows.selectExpr("sum(octet_length(owners) + octet_length(counts) + octet_length(hashes) + octet_length(extra))").first()[0] or 0)
+        return send(rows, *more)
+
+    monkeypatch.setattr(quality, "to_buckets", seen)
+    monkeypatch.setattr(quality, "HOT", 1)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(500)}" for _ in range(120))) for i in range(400)], "text_key long, text string").coalesce(1)
+    values = spark.createDataFrame([], "gram long, v double, n long")
+    asked = 3 * 400 * 121
+    for part in range(3):
+        quality._sums(docs, values, part, SimpleNamespace(rounds=3, positions=0))
+    assert max(sent) < 8 * asked / 2 and sum(sent) < 8 * asked
+
+
 def test_quality_thresholds_against_a_plain_version(spark, monkeypatch):
     """Quantiles by language of trusted documents kept out of training, with given perplexities; all languages where one has none."""
     import math
