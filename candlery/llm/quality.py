@@ -31,7 +31,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Rounds: one for each so many bytes of text, and no more than so many.
 ROUND_BYTES, ROUNDS = 32 << 20, 8
 HOT, HOT_WORDS = 1 << 15, 1 << 18
-SLICE = 4 << 20
+SLICE, CACHED = 4 << 20, 1 << 19
 UNIT = 1 << 22
 #: Of the trusted documents kept back from training, this share lies within its language's threshold.
 QUANTILE = 0.98
@@ -65,27 +65,32 @@ def discounts(counts: tuple[int, int, int, int]) -> tuple[float, float, float]:
     return tuple(float(min(max(x, 0.05), k + 0.95)) for k, x in enumerate(d))
 
 
-def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the n-grams of order 1 to WORD_ORDER that end at each place, each place's text and number in it, and its word's hash.
+def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each place's key of its word alone, text, number in it and word's hash.
 
-    A text is two marks, its words in lower case, and a mark.
-    A key is made from the key of the n-gram without its last word, so a context has the key it has as an n-gram.
+    A text is two marks, its words in lower case, and a mark. Words are hashed a few texts at a time, in what a
+    processor's cache holds.
     """
-    _, _, hashes, first = words(data, offsets, True)
-    count = np.diff(first)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(offsets[1:] // CACHED)) + 1, [len(offsets) - 1]])
+    hashes, count = [np.zeros(0, np.uint64)], [np.zeros(0, int)]
+    for a, b in zip(cut[:-1], cut[1:]):
+        _, _, own, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], True)
+        hashes.append(own)
+        count.append(np.diff(first))
+    hashes, count = np.concatenate(hashes), np.concatenate(count)
     size = count + 3
     begin = np.concatenate([[0], np.cumsum(size)])
-    own = np.arange(len(hashes)) + 3 * np.repeat(np.arange(len(count)), count) + 2
+    own = np.arange(len(hashes)) + np.repeat(3 * np.arange(len(count)) + 2, count)
     symbols = np.full(begin[-1], BEFORE, np.uint64)
     symbols[own] = hashes
     symbols[begin[1:] - 1] = AFTER
-    keys = [mix(symbols)]
-    for _ in range(1, WORD_ORDER):
-        longer = np.zeros_like(symbols)
-        longer[1:] = mix(keys[-1][:-1] * _STEP + symbols[1:])
-        keys.append(longer)
-    text = np.repeat(np.arange(len(count)), size)
-    return keys, text, np.arange(begin[-1]) - begin[text], symbols
+    return mix(symbols), np.repeat(np.arange(len(count)), size), np.arange(begin[-1]) - np.repeat(begin[:-1], size), symbols
+
+
+def ending_at(i: np.ndarray, single: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys ab, bc and abc of the trigrams that end at places i. An n-gram's key is made from that of the n-gram without its last word, so a context has the key it has as an n-gram."""
+    ab = longer(single[i - 2], symbols[i - 1])
+    return ab, longer(single[i - 1], symbols[i]), longer(ab, symbols[i])
 
 
 def byte_pairs(trusted: DataFrame) -> np.ndarray:
@@ -153,13 +158,14 @@ def trigrams(trusted: DataFrame, part: int, rounds: int, by_context: bool, bucke
 
     def cut(batches):
         for batch in slices(batches, limit=SLICE):
-            keys, _, at, symbols = word_grams(*text_buffer(batch.column("text")))
+            single, _, at, symbols = word_grams(*text_buffer(batch.column("text")))
             i = np.flatnonzero(at >= 2)
-            i = i[part_of(keys[0][i - 1], rounds) == part]
-            _, where, n = np.unique(keys[2][i], return_index=True, return_counts=True)
-            i, rows = i[where], np.zeros(len(where), TRIGRAM)
-            rows["b"], rows["c"], rows["n"] = keys[0][i - 1], symbols[i], n
-            yield packed(np.zeros(len(i), np.uint64), keys[1][i - 1], bucket_of(keys[1][i - 1 if by_context else i], buckets), rows)
+            i = i[part_of(single[i - 1], rounds) == part]
+            ab, bc, k3 = ending_at(i, single, symbols)
+            _, where, n = np.unique(k3, return_index=True, return_counts=True)
+            i, ab, bc, rows = i[where], ab[where], bc[where], np.zeros(len(where), TRIGRAM)
+            rows["b"], rows["c"], rows["n"] = single[i - 1], symbols[i], n
+            yield packed(np.zeros(len(i), np.uint64), ab, bucket_of(ab if by_context else bc, buckets), rows)
 
     def gather(batches):
         _, ab, rows = unpacked(batches, extra_type=TRIGRAM)
@@ -319,14 +325,15 @@ def _whole(v):
 _CONTEXT = 0x5DEECE66D1CE4E5B
 
 
-def _asked(keys: list[np.ndarray], at: np.ndarray, part: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _asked(single: np.ndarray, at: np.ndarray, symbols: np.ndarray, part: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Which n-grams texts ask for in a round: places, and a row of keys for each; part -1: single words and the marks."""
     if part < 0:  # each is the end of one trigram and the middle of the next; of the marks one is only this, one that
         i = np.flatnonzero(at >= 1)
-        return i, keys[0][i][:, None]
+        return i, single[i][:, None]
     i = np.flatnonzero(at >= 2)
-    i = i[part_of(keys[0][i - 1], rounds) == part]
-    return i, np.column_stack([keys[2][i], keys[1][i], keys[1][i - 1] ^ np.uint64(_CONTEXT)])
+    i = i[part_of(single[i - 1], rounds) == part]
+    ab, bc, k3 = ending_at(i, single, symbols)
+    return i, np.column_stack([k3, bc, ab ^ np.uint64(_CONTEXT)])
 
 
 def short(grams: np.ndarray) -> np.ndarray:
@@ -369,10 +376,10 @@ def _sums(docs: DataFrame, values: DataFrame, part: int, model: Model) -> DataFr
     def ask(batches):
         held, task = np.unpackbits(maybe).view(bool), TaskContext.get().partitionId()
         for number, batch in enumerate(slices(batches, limit=SLICE)):
-            keys, text, at, _ = word_grams(*text_buffer(batch.column("text")))
+            single, text, at, symbols = word_grams(*text_buffer(batch.column("text")))
             owner = batch.column("text_key").to_numpy().view(np.uint64)
             size, sums = len(owner), np.zeros(len(owner), np.int64)
-            place, gram = _asked(keys, at, part, rounds)
+            place, gram = _asked(single, at, symbols, part, rounds)
             own, gram = np.repeat(text[place], gram.shape[1]), gram.ravel()
             if len(near):
                 there = np.flatnonzero(held[(gram >> np.uint64(42)).astype(np.int64)])
