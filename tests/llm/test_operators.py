@@ -598,6 +598,23 @@ def test_quality_sends_few_bytes_for_an_n_gram(spark, monkeypatch):
     assert max(sent) < 8 * asked / 2 and sum(sent) < 8 * asked
 
 
+def test_quality_cuts_texts_into_words_once(spark, monkeypatch):
+    """Texts to score are hashed in one pass however many rounds there are, and what is kept of them gives the same symbols back."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, f"mark the cat w{i} sat ") for i in range(20)], "doc_id long, text string").coalesce(1)
+    model = quality.Model(docs.where("doc_id < 9").select("text"), rounds=5)
+    cut = model.sliced(docs.select("text", F.col("doc_id").alias("text_key"))).toArrow().to_batches()
+    got = [(owners.tolist(), symbols, size) for owners, symbols, size in quality.opened(cut, model.held)]
+    texts = docs.select("text").toArrow()["text"]
+    want = quality.symbols_of(*quality.text_buffer(texts))
+    assert [x for owners, _, _ in got for x in owners] == list(range(20))
+    assert np.array_equal(np.concatenate([x for _, x, _ in got]), want[0]) and np.array_equal(np.concatenate([x for _, _, x in got]), want[1])
+    read, read_text = [], quality._sums
+    monkeypatch.setattr(quality, "_sums", lambda rows, *more: read.append("text" in rows.columns) or read_text(rows, *more))
+    assert quality.perplexities(docs, model).count() == 20 and read == [False] * 6
+
+
 def test_quality_thresholds_against_a_plain_version(spark, monkeypatch):
     """Quantiles by language of trusted documents kept out of training, with given perplexities; all languages where one has none."""
     import math
